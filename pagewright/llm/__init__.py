@@ -4,10 +4,11 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import mixing, quality_rules
+    from . import minhash, mixing, quality_rules
 
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op5_minhash": minhash.op5_minhash,
         "op8_mixing": mixing.op8_mixing,
     }
 
