@@ -87,7 +87,7 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, U(width) * U(0xD6E8FEB86659FD93))
+    out = np.full(n, U(width * 0xD6E8FEB86659FD93 % (1 << 64)))
     for k in range(width):
         out += words[k : k + n] * U(2 * k + 0xA0761D6478BD642F | 1)
         out = (out << U(7)) ^ (out >> U(57)) ^ out * U(0xE7037ED1A0B428DB)
