@@ -4,11 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import minhash, mixing, quality_rules
+    from . import minhash, mixing, quality_rules, substring_dedup
 
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op5_minhash": minhash.op5_minhash,
+        "op6_suffix_array": substring_dedup.op6_suffix_array,
         "op8_mixing": mixing.op8_mixing,
     }
 
