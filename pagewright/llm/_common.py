@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +83,36 @@ def let(value: Column, body) -> Column:
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus (null for a null id)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+
+
+MAX_FILTER_BITS = 30
+
+
+def filter_bits(keys: int, most: int = MAX_FILTER_BITS) -> int:
+    """Bits of a bit map for so many keys: 16 a key, between 2^16 and 2^most bits (128 MB)."""
+    return min(most, max(16, math.ceil(math.log2(max(1, keys) * 16))))
+
+
+def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bit map of the low bits of keys.key, built in parts of 4 KB by Spark: 2^bits bits in all, however many keys."""
+    low = keys.select(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).alias("k"))
+    parts = low.groupBy(F.floor(F.col("k") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("k") % 32768).alias("bits"))
+    out = np.zeros((1 << bits) >> 3, np.uint8)
+    for r in parts.toLocalIterator():
+        out[r["part"] * 4096 : r["part"] * 4096 + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (doc_id). A bit map of bounded size is broadcast first, so that only rows that
+    may be in ids are shuffled; the join that follows is exact."""
+    key = F.xxhash64("doc_id")
+    bits = filter_bits(ids.count())
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(key.alias("key")), bits))
+
+    @F.arrow_udf("boolean")
+    def maybe(k: pa.Array) -> pa.Array:
+        at = k.to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
+        return pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return docs.where(maybe(key)).join(ids, "doc_id", "left_semi")

@@ -5,8 +5,8 @@ buckets; pairs of a bucket are verified first on signatures, then on the full se
 alternating large-star and small-star.
 
 Texts with equal sets are one class, so copies never meet in pairs. Within a bucket every class is compared with the
-bucket's least class (a star, not all pairs). Buckets that still hold several components afterwards are compared
-across these components: small ones in pairs, large ones by an exact prefix filter, so no link is lost to the star.
+bucket's least class (a star, not all pairs). Classes of buckets that still hold several components afterwards are
+compared across these components by an exact prefix filter, so no link is lost to the star.
 
 Defined results: a null or empty text, or one of white space only, has an empty set and is linked with nothing
 (component_id is its own id). Rows that repeat an id belong to one component. A row without id has no component and is
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import release, stage_table, table
+from ._common import only_ids, release, stage_table, table
 from ._vec import U, shingle_sets, slices
 from .components import components
 
@@ -40,7 +40,6 @@ class MinHashParams:
     bands: int = 32
     rows: int = 4
     slack: float = 0.19
-    pair_limit: int = 64
 
     @property
     def minima(self) -> int:
@@ -112,7 +111,7 @@ def verify(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, params: Min
     equal = F.size(F.filter(F.sequence(F.lit(1), F.lit(4 * n), F.lit(4)), lambda i: F.col("sa").substr(i, F.lit(4)) == F.col("sb").substr(i, F.lit(4))))
     likely = stage_table(signed.where(equal >= least).select("a", "b"), "near-likely")
     ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stage_table(docs.select("doc_id", "text").where("doc_id is not null").join(ids, "doc_id", "left_semi"), "near-texts")
+    texts = stage_table(only_ids(docs, ids), "near-texts")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
     full = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").sortWithinPartitions("b")
     out = stage_table(full.mapInArrow(partial(_exact, params=params), "a long, b long"), "near-links")
@@ -121,35 +120,30 @@ def verify(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, params: Min
     return out
 
 
-def _across(rows: DataFrame, docs: DataFrame, params: MinHashParams) -> DataFrame:
-    """rows: key, rep, label of buckets with several components. Pairs of different components that may be links."""
-    size = rows.groupBy("key").agg(F.count("*").alias("n"))
-    sized = rows.join(size, "key")
-    few = sized.where(F.col("n") <= params.pair_limit)
-    other = few.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
-    near = few.join(other, "key").where("label < lb").select(F.col("rep").alias("a"), "b")
-    # Large buckets: two sets with similarity t share one of the size - ceil(t * size) + 1 rarest shingles of each.
-    many = sized.where(F.col("n") > params.pair_limit).groupBy("rep").agg(F.min("label").alias("label"))
-    many = stage_table(many, "near-many")
-    if many.isEmpty():
-        return near.distinct()
-    shingles = docs.select("doc_id", "text").join(many.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(partial(_prefixes, params=params), "id long, shingle long, size long")
-    shingles = stage_table(shingles.distinct(), "near-shingles")
-    rarity = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-
-    order = Window.partitionBy("id").orderBy("df", "shingle")
-    ranked = shingles.join(rarity, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", F.row_number().over(order))
-    prefix = ranked.where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * params.percent / 100) + 1) & (F.col("df") > 1)).join(many.select(F.col("rep").alias("id"), "label"), "id")
-    prefix = stage_table(prefix.select("id", "shingle", "size", "label"), "near-prefix")
-    right = prefix.select("shingle", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("label").alias("lb"))
-    lengths = (F.col("size") * 100 >= F.col("sb") * params.percent) & (F.col("sb") * 100 >= F.col("size") * params.percent)
-    far = prefix.join(right, "shingle").where((F.col("label") < F.col("lb")) & lengths).select(F.col("id").alias("a"), "b")
-    return near.unionByName(far).distinct()
+def _across(nodes: DataFrame, docs: DataFrame, params: MinHashParams) -> DataFrame:
+    """nodes: rep, label. Pairs (a, b) of different labels that may be links, by prefix filter: two sets with similarity t
+    share one of the size - ceil(t * size) + 1 rarest shingles of each. Shingles that a single node has can't be
+    shared, so a node with too many of them is in no pair; a shingle with one label needs no pair."""
+    t = params.percent
+    nodes = stage_table(nodes, "near-open")
+    shingles = stage_table(only_ids(docs, nodes.select(F.col("rep").alias("doc_id"))).mapInArrow(partial(_prefixes, params=params), "id long, shingle long, size long").distinct(), "near-shingles")
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    shared = shingles.join(common, "shingle")
+    own = shared.groupBy("id").agg(F.count("*").alias("shared"), F.max("size").alias("_size")).where(F.col("shared") * 100 >= F.col("_size") * t).drop("_size")
+    by_rarity = Window.partitionBy("id").orderBy("df", "shingle")
+    ranked = shared.join(own, "id").withColumn("at", F.row_number().over(by_rarity) + F.col("size") - F.col("shared"))
+    prefix = ranked.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * t / 100) + 1).join(nodes.select(F.col("rep").alias("id"), "label"), "id")
+    prefix = stage_table(prefix.select("id", "shingle", "size", "shared", "label"), "near-prefix")
+    mixed = prefix.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("shingle")
+    prefix = prefix.join(mixed, "shingle", "left_semi")
+    right = prefix.select("shingle", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("shared").alias("hb"), F.col("label").alias("lb"))
+    enough = (100 + t) * F.least("shared", "hb") >= t * (F.col("size") + F.col("sb"))
+    return prefix.join(right, "shingle").where((F.col("label") < F.col("lb")) & enough).select(F.col("id").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = stage_table(docs.mapInArrow(partial(_sketch, params=params), "doc_id long, n_shingles long, digest binary, sig binary"), "near-sketch")
     classes = stage_table(sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "near-classes")
     width = 4 * params.rows
@@ -167,7 +161,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     label = stage_table(components(links), "near-labels")
     labelled = buckets.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    more = _across(stage_table(labelled.join(open_keys, "key", "left_semi"), "near-open"), docs, params)
+    more = _across(labelled.join(open_keys, "key", "left_semi").select("rep", "label").distinct(), docs, params)
     more = stage_table(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
     if not more.isEmpty():
         extra = verify(more, classes, docs, params)

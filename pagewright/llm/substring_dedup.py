@@ -32,20 +32,20 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stage_table, table
+from ._common import MAX_FILTER_BITS, bitmap, filter_bits, stage_table, table
 from ._vec import _PLAIN, U, mix, powers
 from .suffix_array import repeated_starts
 
 
 @dataclass(frozen=True)
 class SubstringParams:
-    """filter_bits bounds the bit map that is broadcast; with more keys than it can tell apart, the shards only get more segments."""
+    """max_filter_bits bounds the bit map that is broadcast; with more keys than it can tell apart, the shards only get more segments."""
 
     width: int = 400
     gram: int = 100
     group_limit: int = 4096
     shard_bytes: int = 1 << 20
-    max_filter_bits: int = 30
+    max_filter_bits: int = MAX_FILTER_BITS
 
 
 def anchors(data: bytes, p: SubstringParams) -> tuple[np.ndarray, ...]:
@@ -125,10 +125,10 @@ def _key(f, e, p, dk: int, th: int) -> np.ndarray:
     return f ^ e ^ p ^ dk ^ th
 
 
-def _segments(batches: Iterator[pa.RecordBatch], p: SubstringParams, bitmap: Broadcast, bits: int) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], p: SubstringParams, held: Broadcast, bits: int) -> Iterator[pa.RecordBatch]:
     """The segments, with bytes, of the anchor occurrences that the bit map names."""
     schema = pa.schema([("f", pa.int64()), ("dk", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("seg", pa.binary())])
-    bitmap = bitmap.value
+    bits_set = held.value
     for batch in batches:
         out, size = [], 0
         for dk, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2)), strict=True):
@@ -137,7 +137,7 @@ def _segments(batches: Iterator[pa.RecordBatch], p: SubstringParams, bitmap: Bro
                 continue
             e = _segment_hashes(total, place, lo, hi, p)
             bit = _key(f.view(np.int64), e.view(np.int64), place, dk, th) & ((1 << bits) - 1)
-            hit = np.flatnonzero(bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            hit = np.flatnonzero(bits_set[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
             for k in hit.tolist():
                 seg = text[lo[k] : hi[k] + p.width]
                 out.append((f[k].view(np.int64).item(), dk, th, int(place[k]), int(lo[k]), int(hi[k]), seg))
@@ -218,17 +218,6 @@ def _shards(batches: Iterator[pa.RecordBatch], p: SubstringParams) -> Iterator[p
         yield from flush()
 
 
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bit map of the low bits of keys.key, built in parts of 4 KB by Spark: 2^bits bits in all, however many keys."""
-    low = keys.select(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).alias("k"))
-    parts = low.groupBy(F.floor(F.col("k") / 32768).alias("part")).agg(F.bitmap_construct_agg((F.col("k") % 32768)).alias("bits"))
-    out = np.zeros(max(1, (1 << bits) >> 3), np.uint8)
-    for r in parts.toLocalIterator():
-        own = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[r["part"] * 4096 : r["part"] * 4096 + 4096] = own
-    return out
-
-
 def _status(rows: DataFrame, name: str) -> DataFrame:
     """rows: f, e, dk, th, p (and more, taken from the least occurrence). One row for each f with several occurrences and
     each e of it: c, the number of occurrences; n, the number of different e of the f."""
@@ -266,12 +255,12 @@ def repeated_ranges(docs: DataFrame, p: SubstringParams = SubstringParams()) ->
     n = open_.count()
     if n == 0:
         return out
-    bits = min(p.max_filter_bits, max(16, int(np.ceil(np.log2(n * 16)))))
+    bits = filter_bits(n, p.max_filter_bits)
     key = F.col("f").bitwiseXOR(F.col("e")).bitwiseXOR(F.col("p").cast("long")).bitwiseXOR(F.col("dk")).bitwiseXOR(F.col("th"))
-    bitmap = spark.sparkContext.broadcast(_bitmap(open_.select(key.alias("key")), bits))
+    held = spark.sparkContext.broadcast(bitmap(open_.select(key.alias("key")), bits))
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     hot = stage_table(open_.where(F.col("n") > p.group_limit).select("f").distinct(), "sub-hot")
-    segments = docs.mapInArrow(partial(_segments, p=p, bitmap=bitmap, bits=bits), _SEGMENT_ROW)
+    segments = docs.mapInArrow(partial(_segments, p=p, held=held, bits=bits), _SEGMENT_ROW)
     search = [segments]
     if not hot.isEmpty():
         segments = stage_table(segments, "sub-segments")
