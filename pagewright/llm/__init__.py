@@ -4,10 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import minhash, mixing, quality_rules, substring_dedup
+    from . import langid, minhash, mixing, quality_rules, substring_dedup, toxicity
 
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_language_id": langid.op2_language_id,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op5_minhash": minhash.op5_minhash,
         "op6_suffix_array": substring_dedup.op6_suffix_array,
         "op8_mixing": mixing.op8_mixing,
