@@ -6,8 +6,8 @@ and exception phrases; a hit within an exception phrase doesn't count, and a wor
 plain and for each hundred words, give the score through a logistic function.
 
 Lexicon, weights, exceptions and the logistic function are learned from labelled rows: an entry must be so much more
-frequent in toxic texts that chance explains it less than once in a hundred runs; of the beginnings of a word, the
-longest that loses no support is taken. At most ``max_toxic`` and ``max_clean`` labelled documents are used (chosen by a
+frequent in toxic texts that chance explains it less than once in a hundred runs; of nested beginnings of a word the
+strongest is taken. At most ``max_toxic`` and ``max_clean`` labelled documents are used (chosen by a
 hash of the id).
 
 Defined results: a null or empty text has no hits and gets the score of no hits; a null label isn't learned from;
@@ -48,7 +48,7 @@ class ToxParams:
     max_clean: int = 12000
     shortest: int = 4
     longest: int = 14
-    max_clean_share: float = 0.05
+    least_odds: float = 3.0
     exceptions: tuple[str, ...] = ()
 
 
@@ -114,20 +114,20 @@ def _candidates(batches: Iterator[pa.RecordBatch], params: ToxParams) -> Iterato
 
 
 def choose_entries(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """rows: entry, toxic and clean documents with it. Entries with their log-odds."""
-    counts = {e: (t, c) for e, t, c in rows}
-    out = {}
-    for e, (t, c) in counts.items():
-        if e.endswith(" "):
-            if counts.get(e[:-1], (0, 0))[0] > t:  # its beginning has more
-                continue
-        else:
-            longer = [x for x in counts if len(x) == len(e) + 1 and x.startswith(e) and not x.endswith(" ") and counts[x][0] >= 0.95 * t]
-            if longer:
-                continue
+    """rows: entry, toxic and clean documents with it. Entries with their log-odds: the strongest first, and none that
+    begins another one taken or is begun by it."""
+
+    def strength(t: int, c: int) -> float:
+        return t * math.log((t / toxic) / ((t + c) / (toxic + clean)))
+
+    out: dict[str, float] = {}
+    begun: set[str] = set()  # what begins an entry taken
+    for _, _, e, t, c in sorted(((round(strength(t, c), 6), len(e), e, t, c) for e, t, c in rows), reverse=True):
+        if e in begun or any(e[:k] in out for k in range(1, len(e))):
+            continue
         out[e] = math.log(((t + 0.5) / (toxic + 1)) / ((c + 0.5) / (clean + 1)))
-    # an entry within a shorter one that was chosen adds nothing
-    return {e: w for e, w in out.items() if not any(e != o and not o.endswith(" ") and e.startswith(o) for o in out)}
+        begun.update(e[:k] for k in range(1, len(e) + 1))
+    return out
 
 
 class Matcher:
@@ -209,8 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxParams = ToxParams()) -
         return ToxModel(exceptions=list(params.exceptions))
     found = some.mapInArrow(partial(_candidates, params=params), "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     found = stage_table(found, "tox-entries")
-    least = math.ceil((math.log(max(found.count(), 2)) + math.log(100)) / math.log((toxic + clean) / toxic))
-    rows = found.where((F.col("t") >= least) & (F.col("c") / clean <= params.max_clean_share * F.col("t") / toxic)).collect()
+    least = math.log(max(found.count(), 2)) + math.log(100)
+    lift = (F.col("t") / toxic) / ((F.col("t") + F.col("c")) / (toxic + clean))
+    rows = found.where((F.col("t") > 0) & (F.col("t") * F.log(lift) >= least) & (F.col("t") / toxic >= params.least_odds * F.col("c") / clean)).collect()
     model = ToxModel(choose_entries([tuple(r) for r in rows], toxic, clean), list(params.exceptions))
     measured = stage_table(some.mapInArrow(partial(_measure, model=model), "toxic int, hits long, weight double, words long, phrases array<string>"), "tox-measured")
     phrases = measured.select("toxic", F.explode(F.array_distinct("phrases")).alias("p")).groupBy("p").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
