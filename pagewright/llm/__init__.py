@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import langid, minhash, mixing, quality_rules, substring_dedup, toxicity
+    from . import html_text, langid, minhash, mixing, quality_rules, substring_dedup, toxicity, warc
 
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,8 +13,12 @@ def queries() -> dict:
         "op5_minhash": minhash.op5_minhash,
         "op6_suffix_array": substring_dedup.op6_suffix_array,
         "op8_mixing": mixing.op8_mixing,
+        "op9_warc": warc.op9_warc,
+        "op10_html_text": html_text.op10_html_text,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    from . import warc
+
+    return {"op9_warc": warc.ORACLE_SQL}
