@@ -4,14 +4,16 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import html_text, langid, minhash, mixing, quality_rules, substring_dedup, toxicity, warc
+    from . import decontamination, html_text, langid, licenses, minhash, mixing, quality_rules, substring_dedup, toxicity, warc
 
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_language_id": langid.op2_language_id,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_licenses": licenses.op4_licenses,
         "op5_minhash": minhash.op5_minhash,
         "op6_suffix_array": substring_dedup.op6_suffix_array,
+        "op7_decontamination": decontamination.op7_decontamination,
         "op8_mixing": mixing.op8_mixing,
         "op9_warc": warc.op9_warc,
         "op10_html_text": html_text.op10_html_text,
