@@ -97,7 +97,8 @@ def canonical(texts: list[str], units: bool = True) -> tuple[np.ndarray, np.ndar
     stops = np.cumsum(np.isin(cps, [0, 0x0A, 0x21, 0x2E, 0x3A, 0x3F]))
     first = np.ones(len(head), bool)
     first[1:] = stops[start[1:]] != stops[k[tail[:-1] - 1]]
-    name = looked_up(capital, cps[start], False) & ~first & ~number & (tail - head > 1)
+    second = looked_up(capital, cps[k[np.minimum(head + 1, len(k) - 1)]], False)  # words all in capitals are no names
+    name = looked_up(capital, cps[start], False) & ~second & ~first & ~number & (tail - head > 1)
     if units:
         known = _units()
         hit = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value
