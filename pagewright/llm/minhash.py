@@ -122,8 +122,9 @@ def verify(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, params: Min
 
 def _across(nodes: DataFrame, docs: DataFrame, params: MinHashParams) -> DataFrame:
     """nodes: rep, label. Pairs (a, b) of different labels that may be links, by prefix filter: two sets with similarity t
-    share one of the size - ceil(t * size) + 1 rarest shingles of each. Shingles that a single node has can't be
-    shared, so a node with too many of them is in no pair; a shingle with one label needs no pair."""
+    share one of the size - ceil(t * size) + 1 rarest shingles of each. From the first shingle that they share, each
+    must have enough shingles left for the common part. Shingles that a single node has can't be shared, so a node with
+    too many of them is in no pair; a shingle with one label needs no pair."""
     t = params.percent
     nodes = stage_table(nodes, "near-open")
     shingles = stage_table(only_ids(docs, nodes.select(F.col("rep").alias("doc_id"))).mapInArrow(partial(_prefixes, params=params), "id long, shingle long, size long").distinct(), "near-shingles")
@@ -133,11 +134,11 @@ def _across(nodes: DataFrame, docs: DataFrame, params: MinHashParams) -> DataFra
     by_rarity = Window.partitionBy("id").orderBy("df", "shingle")
     ranked = shared.join(own, "id").withColumn("at", F.row_number().over(by_rarity) + F.col("size") - F.col("shared"))
     prefix = ranked.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * t / 100) + 1).join(nodes.select(F.col("rep").alias("id"), "label"), "id")
-    prefix = stage_table(prefix.select("id", "shingle", "size", "shared", "label"), "near-prefix")
+    prefix = stage_table(prefix.select("id", "shingle", "size", (F.col("size") - F.col("at") + 1).alias("rest"), "label"), "near-prefix")
     mixed = prefix.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("shingle")
     prefix = prefix.join(mixed, "shingle", "left_semi")
-    right = prefix.select("shingle", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("shared").alias("hb"), F.col("label").alias("lb"))
-    enough = (100 + t) * F.least("shared", "hb") >= t * (F.col("size") + F.col("sb"))
+    right = prefix.select("shingle", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("rest").alias("rb"), F.col("label").alias("lb"))
+    enough = (100 + t) * F.least("rest", "rb") >= t * (F.col("size") + F.col("sb"))
     return prefix.join(right, "shingle").where((F.col("label") < F.col("lb")) & enough).select(F.col("id").alias("a"), "b").distinct()
 
 
