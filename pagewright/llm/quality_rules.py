@@ -218,7 +218,8 @@ def labelled_rows(features: DataFrame, labels: DataFrame, params: RuleParams = R
     if total > params.max_labelled:
         own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * params.max_labelled / total))
     return (
-        features.where(~base_failed())
+        features.withColumn("_q_row", F.monotonically_increasing_id())
+        .where((F.col("_q_row") >= 0) & ~base_failed())
         .join(own.withColumnRenamed("doc_id", "_label_id"), F.col("doc_id") == F.col("_label_id"))
         .select(*FEATURES, (F.col("_quality") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(3)) > 0).alias("_grow"))
     )
@@ -232,7 +233,10 @@ def learn(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleParams())
 
 def keep_good(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """The rows of docs that neither the base rules nor a learned rule reject, with the columns of docs."""
-    return with_features(docs).where(~base_failed() & rules.rule_number().isNull()).select(*docs.columns)
+    # the row number keeps the optimizer from moving the test below the columns that it reads, where each use would
+    # compute them again
+    features = with_features(docs).withColumn("_q_row", F.monotonically_increasing_id())
+    return features.where((F.col("_q_row") >= 0) & ~base_failed() & rules.rule_number().isNull()).select(*docs.columns)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
