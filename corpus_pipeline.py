@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import decontamination, minhash, mixing, quality_rules, substring_dedup
-from pagewright.llm._common import stage_table, table
+from pagewright.llm._common import release, stage_table, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +49,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, stage_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(before)
     return docs

@@ -126,7 +126,6 @@ def _across(nodes: DataFrame, docs: DataFrame, params: MinHashParams) -> DataFra
     must have enough shingles left for the common part. Shingles that a single node has can't be shared, so a node with
     too many of them is in no pair; a shingle with one label needs no pair."""
     t = params.percent
-    nodes = stage_table(nodes, "near-open")
     shingles = stage_table(only_ids(docs, nodes.select(F.col("rep").alias("doc_id"))).mapInArrow(partial(_prefixes, params=params), "id long, shingle long, size long").distinct(), "near-shingles")
     common = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     shared = shingles.join(common, "shingle")
@@ -135,6 +134,7 @@ def _across(nodes: DataFrame, docs: DataFrame, params: MinHashParams) -> DataFra
     ranked = shared.join(own, "id").withColumn("at", F.row_number().over(by_rarity) + F.col("size") - F.col("shared"))
     prefix = ranked.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * t / 100) + 1).join(nodes.select(F.col("rep").alias("id"), "label"), "id")
     prefix = stage_table(prefix.select("id", "shingle", "size", (F.col("size") - F.col("at") + 1).alias("rest"), "label"), "near-prefix")
+    release(shingles)
     mixed = prefix.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("shingle")
     prefix = prefix.join(mixed, "shingle", "left_semi")
     right = prefix.select("shingle", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("rest").alias("rb"), F.col("label").alias("lb"))
@@ -162,12 +162,14 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     label = stage_table(components(links), "near-labels")
     labelled = buckets.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    more = _across(labelled.join(open_keys, "key", "left_semi").select("rep", "label").distinct(), docs, params)
-    more = stage_table(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
+    nodes = stage_table(labelled.join(open_keys, "key", "left_semi").select("rep", "label").distinct(), "near-open")
+    more = stage_table(_across(nodes, docs, params).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
     if not more.isEmpty():
         extra = verify(more, classes, docs, params)
         if not extra.isEmpty():
             label = stage_table(components(links.unionByName(extra)), "near-labels")
+    for df in (classes, buckets, tried, links, more):
+        release(df)
     out = member.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

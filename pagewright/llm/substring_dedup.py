@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import MAX_FILTER_BITS, bitmap, filter_bits, stage_table, table
+from ._common import MAX_FILTER_BITS, bitmap, filter_bits, release, stage_table, table
 from ._vec import _PLAIN, U, mix, powers
 from .suffix_array import repeated_starts
 
@@ -245,16 +245,29 @@ def _halves(rows: DataFrame, p: SubstringParams) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, p: SubstringParams = SubstringParams()) -> DataFrame:
-    """docs: dk, th, text. (dk, th, s, t): byte ranges of that text that are covered by repeated strings; they may overlap."""
+    """docs: dk, th, text. (dk, th, ranges): the byte ranges (s, t) of that text that are covered by repeated strings; they
+    may overlap. The tables that lead there are deleted."""
     spark = docs.sparkSession
-    rows = stage_table(docs.mapInArrow(partial(_anchor_rows, p=p), _ANCHOR_ROW), "sub-anchors")
-    status = _status(rows.select("f", "e", "dk", "th", "p"), "sub-status")
+    temporary: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        temporary.append(df)
+        return df
+
+    def done(out: DataFrame) -> DataFrame:
+        lists = stage_table(out.groupBy("dk", "th").agg(F.collect_set(F.struct("s", "t")).alias("ranges")), "sub-ranges")
+        for df in temporary:
+            release(df)
+        return lists
+
+    rows = kept(stage_table(docs.mapInArrow(partial(_anchor_rows, p=p), _ANCHOR_ROW), "sub-anchors"))
+    status = kept(_status(rows.select("f", "e", "dk", "th", "p"), "sub-status"))
     whole = status.where("c > 1").select("f", "e")
     out = rows.join(whole, ["f", "e"], "left_semi").select("dk", "th", F.col("lo").alias("s"), (F.col("hi") + p.width).alias("t"))
     open_ = status.where("n > 1")
     n = open_.count()
     if n == 0:
-        return out
+        return done(out)
     bits = filter_bits(n, p.max_filter_bits)
     key = F.col("f").bitwiseXOR(F.col("e")).bitwiseXOR(F.col("p").cast("long")).bitwiseXOR(F.col("dk")).bitwiseXOR(F.col("th"))
     held = spark.sparkContext.broadcast(bitmap(open_.select(key.alias("key")), bits))
@@ -263,12 +276,12 @@ def repeated_ranges(docs: DataFrame, p: SubstringParams = SubstringParams()) ->
     segments = docs.mapInArrow(partial(_segments, p=p, held=held, bits=bits), _SEGMENT_ROW)
     search = [segments]
     if not hot.isEmpty():
-        segments = stage_table(segments, "sub-segments")
+        segments = kept(stage_table(segments, "sub-segments"))
         search = [segments.join(hot, "f", "left_anti")]
         now = segments.join(hot, "f", "left_semi").withColumns({"near": F.lit(0), "far": F.lit(p.width - p.gram)})
         while True:
-            now = stage_table(_halves(now, p), "sub-halves")
-            state = _status(now, "sub-status")
+            now = kept(stage_table(_halves(now, p), "sub-halves"))
+            state = kept(_status(now, "sub-status"))
             out = out.unionByName(now.join(state.where("c > 1").select("f", "e"), ["f", "e"], "left_semi").select("dk", "th", F.col("lo").alias("s"), (F.col("hi") + p.width).alias("t")))
             columns = ["f", "dk", "th", "p", "lo", "hi", "seg"]
             search.append(state.where((F.col("n") > 1) & (F.col("n") <= p.group_limit)).select(*columns))
@@ -279,7 +292,7 @@ def repeated_ranges(docs: DataFrame, p: SubstringParams = SubstringParams()) ->
     for x in search[1:]:
         every = every.unionByName(x)
     sharded = every.repartition(max(int(parts), 16), "f").sortWithinPartitions("f").mapInArrow(partial(_shards, p=p), "dk long, th long, s int, t int")
-    return out.unionByName(stage_table(sharded, "sub-covered"))
+    return done(out.unionByName(kept(stage_table(sharded, "sub-covered"))))
 
 
 def _merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -325,8 +338,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _with_ranges(docs: DataFrame, p: SubstringParams) -> DataFrame:
     keyed = _keyed(docs)
-    ranges = repeated_ranges(keyed.select(F.col("_dk").alias("dk"), F.col("_th").alias("th"), "text"), p)
-    lists = ranges.groupBy("dk", "th").agg(F.collect_set(F.struct("s", "t")).alias("_ranges"))
+    lists = repeated_ranges(keyed.select(F.col("_dk").alias("dk"), F.col("_th").alias("th"), "text"), p).withColumnRenamed("ranges", "_ranges")
     return keyed.join(lists, (F.col("_dk") == F.col("dk")) & (F.col("_th") == F.col("th")), "left").drop("dk", "th", "_dk", "_th")
 
 
