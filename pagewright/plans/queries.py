@@ -222,9 +222,9 @@ def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- cleanup ---------------------------------------------------------------------------------------------------------
 
 
-def _noisy(name: str, spark_noise: Column, spark_clean, sql_noise: str, sql_clean: str) -> None:
+def _noisy(name: str, spark_noise, spark_clean, sql_noise: str, sql_clean: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, spark_noise).otherwise(F.col("text")).alias("t"))
+        d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, spark_noise(F.col("text"), F.col("doc_id"))).otherwise(F.col("text")).alias("t"))
         return d.select("doc_id", F.md5(spark_clean(F.col("t"))).alias("digest"), F.length(spark_clean(F.col("t"))).cast("long").alias("n"))
 
     QUERIES[name] = run
@@ -232,39 +232,38 @@ def _noisy(name: str, spark_noise: Column, spark_clean, sql_noise: str, sql_clea
     ORACLES[name] = f"SELECT doc_id, md5(c) AS digest, length(c) AS n FROM (SELECT doc_id, {cleaned} AS c FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {sql_noise} ELSE text END AS t FROM documents))"
 
 
-text_, id_ = F.col("text"), F.col("doc_id")
-_noisy("clean_control", F.concat(F.lit("\f\x01"), text_, F.lit("\x1f\t")), T.drop_control, "concat(chr(12), chr(1), text, chr(31), chr(9))", "regexp_replace($t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')")
+_noisy("clean_control", lambda t, i: F.concat(F.lit("\f\x01"), t, F.lit("\x1f\t")), T.drop_control, "concat(chr(12), chr(1), text, chr(31), chr(9))", "regexp_replace($t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')")
 _noisy(
     "clean_punctuation",
-    F.replace(F.replace(text_, F.lit(","), F.lit("’")), F.lit("."), F.lit("…")),
+    lambda t, i: F.replace(F.replace(t, F.lit(","), F.lit("’")), F.lit("."), F.lit("…")),
     T.map_punctuation,
     "replace(replace(text, ',', '’'), '.', '…')",
     f"replace(translate($t, '{T.PUNCTUATION_FROM}', '{T.PUNCTUATION_TO.replace(chr(39), chr(39) * 2)}'), '…', '...')",
 )
 _noisy(
     "clean_pagenum",
-    F.concat(text_, F.lit("\n "), (id_ % 1000).cast("string"), F.lit(" \ntail")),
+    lambda t, i: F.concat(t, F.lit("\n "), (i % 1000).cast("string"), F.lit(" \ntail")),
     T.blank_page_number_lines,
     f"concat(text, {NL}, ' ', doc_id % 1000, ' ', {NL}, 'tail')",
     "regexp_replace($t, '(?m)^\\s*\\d{1,4}\\s*$', '', 'g')",
 )
 _noisy(
     "clean_spaces",
-    F.replace(F.replace(text_, F.lit(". "), F.lit(".\n\n\n\n")), F.lit(" "), F.lit("  ")),
+    lambda t, i: F.replace(F.replace(t, F.lit(". "), F.lit(".\n\n\n\n")), F.lit(" "), F.lit("  ")),
     lambda c: T.squeeze_spaces(T.squeeze_newlines(c)),
     f"replace(replace(text, '. ', concat('.', {NL}, {NL}, {NL}, {NL})), ' ', '  ')",
     f"regexp_replace(regexp_replace($t, '\\n{{3,}}', concat({NL}, {NL}), 'g'), '[ \\t]{{2,}}', ' ', 'g')",
 )
 _noisy(
     "clean_lines",
-    F.replace(text_, F.lit("\n"), F.lit(" \n\t ")),
+    lambda t, i: F.replace(t, F.lit("\n"), F.lit(" \n\t ")),
     T.strip_lines,
     f"replace(text, {NL}, concat(' ', {NL}, chr(9), ' '))",
     f"array_to_string(list_transform(string_split($t, {NL}), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), {NL})",
 )
 _noisy(
     "token_runs",
-    F.replace(text_, F.lit(" the "), F.lit(" the the the the ")),
+    lambda t, i: F.replace(t, F.lit(" the "), F.lit(" the the the the ")),
     T.collapse_runs_by_line,
     "replace(text, ' the ', ' the the the the ')",
     f"array_to_string(list_transform(string_split($t, {NL}), lambda l: array_to_string(list_filter(string_split(l, ' '), lambda x, i: NOT (x <> '' AND coalesce(i > 1 AND string_split(l, ' ')[i - 1] = x, false) AND "
