@@ -18,7 +18,19 @@ WHITE = r"[\x20\x09-\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Bytes of an Arrow batch that a Python worker gets at once, where the session sets no limit of its own.
+BATCH_BYTES = 16 << 20
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Rows may be very long texts: bound Arrow batches by bytes, not by rows alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "2147483647")) > 1 << 28:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    limit_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,6 +57,7 @@ def stage_path(spark: SparkSession, name: str) -> str:
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    limit_batches(df.sparkSession)
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
