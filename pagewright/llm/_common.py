@@ -25,7 +25,7 @@ BATCH_BYTES = 16 << 20
 def limit_batches(spark: SparkSession) -> None:
     """Rows may be very long texts: bound Arrow batches by bytes, not by rows alone."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, "2147483647")) > 1 << 28:
+    if spark.conf.get(key, None) is None:
         spark.conf.set(key, BATCH_BYTES)
 
 
