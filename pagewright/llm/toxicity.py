@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._chars import looked_up, points, tables
-from ._common import crc_mod, stage_table, table
+from ._common import crc_mod, only_ids, stage_table, table
 from ._vec import slices
 
 #: Letters of other scripts that look like Latin ones.
@@ -44,11 +44,12 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 
 @dataclass(frozen=True)
 class ToxParams:
-    max_toxic: int = 4000
-    max_clean: int = 12000
+    max_toxic: int = 2000
+    max_clean: int = 10000
     shortest: int = 4
     longest: int = 14
     least_odds: float = 3.0
+    candidates: int = 10_000_000  # entries that could be tried; sets how strong one must be
     exceptions: tuple[str, ...] = ()
 
 
@@ -98,19 +99,24 @@ def _texts(column) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], params: ToxParams) -> Iterator[pa.RecordBatch]:
-    """toxic, text -> (entry, toxic documents, clean documents), summed over the batch. ' abc' is a beginning, ' abc ' a word."""
+def _entries(folded: str, params: ToxParams) -> set[str]:
+    """The words (' abc ') and their beginnings (' abc') in a text."""
+    words = set(folded.split())
+    out = {f" {w} " for w in words}
+    for w in words:
+        for k in range(params.shortest, min(len(w), params.longest) + 1):
+            out.add(" " + w[:k])
+    return out
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], params: ToxParams, only: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
+    """text -> (entry, documents with it), summed over the batch; only: the entries to count."""
     for batch in batches:
-        n = (Counter(), Counter())
-        for toxic, text in zip(batch.column(0).to_pylist(), _folded(_texts(batch.column(1))), strict=True):
-            words = set(text.split())
-            found = {f" {w} " for w in words}
-            for w in words:
-                for k in range(params.shortest, min(len(w), params.longest) + 1):
-                    found.add(" " + w[:k])
-            n[0 if toxic else 1].update(found)
-        every = list(n[0].keys() | n[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([n[0][e] for e in every], pa.int64()), pa.array([n[1][e] for e in every], pa.int64())], ["entry", "t", "c"])
+        n: Counter = Counter()
+        for text in _folded(_texts(batch.column(0))):
+            found = _entries(text, params)
+            n.update(found if only is None else found & only)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["entry", "n"])
 
 
 def choose_entries(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
@@ -202,17 +208,24 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxParams = ToxParams()) -
     scale = [min(1.0, m / k) for m, k in ((params.max_clean, clean), (params.max_toxic, toxic))]
     share = F.when(F.col("toxic") == 1, F.lit(int(scale[1] * (1 << 20)) + 1)).otherwise(F.lit(int(scale[0] * (1 << 20)) + 1))
     own = own.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < share)
-    some = stage_table(docs.select("doc_id", "text").join(own, "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text"), "tox-train")
+    own = stage_table(own, "tox-labels")
+    some = only_ids(docs.select("doc_id", "text"), own.select("doc_id")).join(own, "doc_id")
+    some = stage_table(some.select(F.col("toxic").cast("int").alias("toxic"), "text"), "tox-train")
     n = some.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     toxic, clean = int(n[0]), int(n[1]) - int(n[0])
     if not toxic or not clean:
         return ToxModel(exceptions=list(params.exceptions))
-    found = some.mapInArrow(partial(_candidates, params=params), "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    found = stage_table(found, "tox-entries")
-    least = math.log(max(found.count(), 2)) + math.log(100)
-    lift = (F.col("t") / toxic) / ((F.col("t") + F.col("c")) / (toxic + clean))
-    rows = found.where((F.col("t") > 0) & (F.col("t") * F.log(lift) >= least) & (F.col("t") / toxic >= params.least_odds * F.col("c") / clean)).collect()
-    model = ToxModel(choose_entries([tuple(r) for r in rows], toxic, clean), list(params.exceptions))
+    least = math.log(params.candidates) + math.log(100)
+    support = math.ceil(least / math.log((toxic + clean) / toxic))  # with fewer toxic documents no entry is strong enough
+    counted = lambda kind, only: some.where(F.col("toxic") == kind).select("text").mapInArrow(partial(_candidates, params=params, only=only), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    often = {r["entry"]: r["n"] for r in counted(1, None).where(F.col("n") >= support).collect()}  # bounded by max_toxic
+    also = {r["entry"]: r["n"] for r in counted(0, frozenset(often)).collect()}
+    rows = []
+    for e, t in often.items():
+        c = also.get(e, 0)
+        if t * math.log((t / toxic) / ((t + c) / (toxic + clean))) >= least and t / toxic >= params.least_odds * c / clean:
+            rows.append((e, t, c))
+    model = ToxModel(choose_entries(rows, toxic, clean), list(params.exceptions))
     measured = stage_table(some.mapInArrow(partial(_measure, model=model), "toxic int, hits long, weight double, words long, phrases array<string>"), "tox-measured")
     phrases = measured.select("toxic", F.explode(F.array_distinct("phrases")).alias("p")).groupBy("p").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     free = [r["p"] for r in phrases.where((F.col("t") == 0) & (F.col("n") >= 5)).orderBy(F.desc("n")).limit(1000).collect()]
