@@ -116,10 +116,10 @@ def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids (doc_id). A bit map of bounded size is broadcast first, so that only rows that
+def only_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is in ids (both in column). A bit map of bounded size is broadcast first, so that only rows that
     may be in ids are shuffled; the join that follows is exact."""
-    key = F.xxhash64("doc_id")
+    key = F.xxhash64(column)
     bits = filter_bits(ids.count())
     held = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(key.alias("key")), bits))
 
@@ -128,4 +128,4 @@ def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
         at = k.to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
         return pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-    return docs.where(maybe(key)).join(ids, "doc_id", "left_semi")
+    return docs.where(maybe(key)).join(ids, column, "left_semi")
