@@ -71,7 +71,7 @@ def _units() -> np.ndarray:
     return _unit_hashes()
 
 
-def canonical(texts: list[str], units: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def canonical(texts: list[str], units: bool = True, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Canonical words of all texts, the values behind placeholders (0 for a plain word), where each text's words begin."""
     word, digit, capital = _classes()
     cps, at = points(texts)
@@ -98,7 +98,7 @@ def canonical(texts: list[str], units: bool = True) -> tuple[np.ndarray, np.ndar
     first = np.ones(len(head), bool)
     first[1:] = stops[start[1:]] != stops[k[tail[:-1] - 1]]
     second = looked_up(capital, cps[k[np.minimum(head + 1, len(k) - 1)]], False)  # words all in capitals are no names
-    name = looked_up(capital, cps[start], False) & ~second & ~first & ~number & (tail - head > 1)
+    name = looked_up(capital, cps[start], False) & ~second & ~first & ~number & (tail - head > 1) & names
     if units:
         known = _units()
         hit = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value
@@ -114,9 +114,9 @@ def canonical(texts: list[str], units: bool = True) -> tuple[np.ndarray, np.ndar
     return token[keep], slot[keep], np.searchsorted(start[keep], at)
 
 
-def _windows(texts: list[str], widths: list[int], p: DeconParams, own_width: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _windows(texts: list[str], widths: list[int], p: DeconParams, own_width: bool, names: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, hashes, places, slots) of the windows with words enough; own_width: only of width min(width, words)."""
-    token, slot, at = canonical(texts)
+    token, slot, at = canonical(texts, names=names)
     every = {w: shingle_hashes(token, w) for w in widths}
     plain = np.concatenate([[0], np.cumsum(slot == 0)])
     for t, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
@@ -144,17 +144,22 @@ def _texts(column) -> list[str]:
 
 
 def _item_rows(batches: Iterator[pa.RecordBatch], p: DeconParams) -> Iterator[pa.RecordBatch]:
+    """Windows of the items, once with names as placeholders (v 0) and once as plain words (v 1), as texts in one case have them."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), _texts(batch.column(1))
-        item, h, place, slots, width, n = [], [], [], [], [], []
-        for t, hashes, places, own in _windows(texts, [p.width], p, True):
-            item += [ids[t]] * len(hashes)
-            h += hashes.view(np.int64).tolist()
-            place += places.tolist()
-            slots += list(own)
-            width += [own.shape[1]] * len(hashes)
-            n += [len(hashes)] * len(hashes)
-        yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(h, pa.int64()), pa.array(place, pa.int32()), pa.array(width, pa.int32()), pa.array(n, pa.int32()), _lists(slots)], ["item_id", "w", "ip", "width", "n", "islots"])
+        item, v, h, place, slots, width, n = [], [], [], [], [], [], []
+        for names in (True, False):
+            for t, hashes, places, own in _windows(texts, [p.width], p, True, names):
+                k = len(hashes)
+                item += [ids[t]] * k
+                v += [0 if names else 1] * k
+                h += hashes.view(np.int64).tolist()
+                place += places.tolist()
+                slots += list(own)
+                width += [own.shape[1]] * k
+                n += [k] * k
+        columns = [pa.array(item, pa.int64()), pa.array(v, pa.int32()), pa.array(h, pa.int64()), *(pa.array(c, pa.int32()) for c in (place, width, n)), _lists(slots)]
+        yield pa.RecordBatch.from_arrays(columns, ["item_id", "v", "w", "ip", "width", "n", "islots"])
 
 
 def _doc_rows(batches: Iterator[pa.RecordBatch], widths: list[int], held: Broadcast, bits: int, p: DeconParams) -> Iterator[pa.RecordBatch]:
@@ -182,7 +187,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def matches(keyed: DataFrame, items: DataFrame, p: DeconParams = DeconParams()) -> DataFrame:
     """keyed: _dk, _th, text. dk, th, item_id, coverage, consistency of the contaminated ones."""
     spark = keyed.sparkSession
-    own = stage_table(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(partial(_item_rows, p=p), "item_id long, w long, ip int, width int, n int, islots array<long>"), "decon-items")
+    own = stage_table(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(partial(_item_rows, p=p), "item_id long, v int, w long, ip int, width int, n int, islots array<long>"), "decon-items")
     widths = sorted(r["width"] for r in own.select("width").distinct().collect())  # width of them at most
     if not widths:
         return spark.createDataFrame([], "dk long, th long, item_id long, coverage double, consistency double")
@@ -192,12 +197,14 @@ def matches(keyed: DataFrame, items: DataFrame, p: DeconParams = DeconParams())
     found = keyed.select("_dk", "_th", "text").mapInArrow(partial(_doc_rows, widths=widths, held=held, bits=bits, p=p), "dk long, th long, w long, width int, dslots array<long>")
     found = found.groupBy("dk", "th", "w", "width", "dslots").agg(F.count("*").alias("times"))
     met = stage_table(found.join(own, ["w", "width"]), "decon-met")
-    ids = ["dk", "th", "item_id"]
+    ids = ["dk", "th", "item_id", "v"]
     covered = met.groupBy(*ids).agg(F.countDistinct("ip").alias("got"), F.first("n").alias("n")).withColumn("coverage", F.col("got") / F.col("n")).where(F.col("coverage") >= p.coverage)
     pairs = met.where("islots is not null").select(*ids, F.explode(F.arrays_zip("islots", "dslots")).alias("s")).where("s.islots <> 0")
     each = pairs.groupBy(*ids, "s.islots", "s.dslots").agg(F.count("*").alias("c")).groupBy(*ids, "islots").agg(F.max("c").alias("best"), F.sum("c").alias("all"))
     agreed = each.groupBy(*ids).agg((F.sum("best") / F.sum("all")).alias("consistency"))
-    return covered.join(agreed, ids, "left").select(*ids, "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency")).where(F.col("consistency") >= p.consistency)
+    both = covered.join(agreed, ids, "left").select(*ids, "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency")).where(F.col("consistency") >= p.consistency)
+    best = F.max_by(F.struct("coverage", "consistency"), F.struct("coverage", "consistency"))
+    return both.groupBy("dk", "th", "item_id").agg(best.alias("b")).select("dk", "th", "item_id", "b.coverage", "b.consistency")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, p: DeconParams = DeconParams()) -> DataFrame:
