@@ -116,16 +116,31 @@ def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is in ids (both in column). A bit map of bounded size is broadcast first, so that only rows that
-    may be in ids are shuffled; the join that follows is exact."""
-    key = F.xxhash64(column)
-    bits = filter_bits(ids.count())
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(key.alias("key")), bits))
+def maybe_in(keys: DataFrame):
+    """A test of a long column: true if it is in keys.key, and for some values that aren't. The bit map behind it is broadcast;
+    its size is bounded."""
+    bits = filter_bits(keys.count())
+    held = keys.sparkSession.sparkContext.broadcast(bitmap(keys, bits))
 
     @F.arrow_udf("boolean")
-    def maybe(k: pa.Array) -> pa.Array:
+    def test(k: pa.Array) -> pa.Array:
         at = k.to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
         return pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-    return docs.where(maybe(key)).join(ids, column, "left_semi")
+    return test
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is in ids (both in column). Only rows that may be in ids are shuffled; the join is exact."""
+    key = F.xxhash64(column)
+    return docs.where(maybe_in(ids.select(key.alias("key")))(key)).join(ids, column, "left_semi")
+
+
+def with_matches(docs: DataFrame, found: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """docs joined to found (a written table) by columns, none of them null; how is left or left_anti. Rows that surely have no
+    match aren't shuffled."""
+    key = F.xxhash64(*columns)
+    test = maybe_in(found.select(key.alias("key")).distinct())
+    near, far = docs.where(test(key)), docs.where(~test(key))
+    joined = near.join(found, columns, how)
+    return joined.unionByName(far, allowMissingColumns=True)

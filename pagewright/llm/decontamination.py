@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._chars import looked_up, points, tables
-from ._common import bitmap, filter_bits, stage_table, table
+from ._common import bitmap, filter_bits, stage_table, table, with_matches
 from ._vec import U, mix, powers, shingle_hashes, slices
 
 #: Units that may follow a number.
@@ -218,8 +218,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, p: DeconParams = DeconParam
 def drop_contaminated(docs: DataFrame, items: DataFrame, p: DeconParams = DeconParams()) -> DataFrame:
     """The rows of docs that no item contaminates, with the columns of docs."""
     keyed = _keyed(docs)
-    bad = matches(keyed, items, p).select("dk", "th").distinct()
-    return keyed.join(bad, (F.col("_dk") == F.col("dk")) & (F.col("_th") == F.col("th")), "left_anti").select(*docs.columns)
+    bad = stage_table(matches(keyed, items, p).select(F.col("dk").alias("_dk"), F.col("th").alias("_th")).distinct(), "decon-bad")
+    return with_matches(keyed, bad, ["_dk", "_th"], "left_anti").select(*docs.columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

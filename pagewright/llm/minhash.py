@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import only_ids, release, stage_table, table
+from ._common import only_ids, release, stage_table, table, with_matches
 from ._vec import U, shingle_sets, slices
 from .components import components
 
@@ -179,7 +179,9 @@ def keep_first(docs: DataFrame, params: MinHashParams = MinHashParams()) -> Data
     """One document of each group of near-duplicates, that with the least id; columns of docs. Rows that repeat a kept
     id are kept as one, rows without id or words all stay."""
     found = near_duplicates(docs, params).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("_gone", F.col("doc_id").cast("long"))
+    known, unknown = keyed.where("_gone is not null"), keyed.where("_gone is null")
+    return with_matches(known, stage_table(found, "near-gone"), ["_gone"], "left_anti").unionByName(unknown).select(*docs.columns)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

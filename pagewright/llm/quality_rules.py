@@ -226,9 +226,9 @@ def labelled_rows(features: DataFrame, labels: DataFrame, params: RuleParams = R
 
 
 def learn(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> DecisionList:
-    """Fit on the labelled ones of docs."""
-    some = docs.select("doc_id", "text").join(labels.select("doc_id").where("quality is not null").distinct(), "doc_id", "left_semi")
-    return fit(stage_table(labelled_rows(with_features(some), labels, params), "rules-labelled"), params)
+    """Fit on the labelled ones of docs. The features of all are computed before the join, so no text is shuffled."""
+    features = with_features(docs.select("doc_id", "text")).drop("text")
+    return fit(stage_table(labelled_rows(features, labels, params), "rules-labelled"), params)
 
 
 def keep_good(docs: DataFrame, rules: DecisionList) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import MAX_FILTER_BITS, bitmap, filter_bits, release, stage_table, table
+from ._common import MAX_FILTER_BITS, bitmap, filter_bits, release, stage_table, table, with_matches
 from ._vec import _PLAIN, U, mix, powers
 from .suffix_array import repeated_starts
 
@@ -338,8 +338,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _with_ranges(docs: DataFrame, p: SubstringParams) -> DataFrame:
     keyed = _keyed(docs)
-    lists = repeated_ranges(keyed.select(F.col("_dk").alias("dk"), F.col("_th").alias("th"), "text"), p).withColumnRenamed("ranges", "_ranges")
-    return keyed.join(lists, (F.col("_dk") == F.col("dk")) & (F.col("_th") == F.col("th")), "left").drop("dk", "th", "_dk", "_th")
+    lists = repeated_ranges(keyed.select(F.col("_dk").alias("dk"), F.col("_th").alias("th"), "text"), p)
+    lists = lists.withColumnsRenamed({"dk": "_dk", "th": "_th", "ranges": "_ranges"})
+    return with_matches(keyed, lists, ["_dk", "_th"], "left").drop("_dk", "_th")
 
 
 def substring_digests(docs: DataFrame, p: SubstringParams = SubstringParams()) -> DataFrame:
