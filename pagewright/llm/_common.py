@@ -19,7 +19,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 #: Bytes of an Arrow batch that a Python worker gets at once, where the session sets no limit of its own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def limit_batches(spark: SparkSession) -> None:

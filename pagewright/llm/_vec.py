@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 U = np.uint64
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _P = U(0x9E3779B97F4A7C15 | 1)
 _PI = U(pow(int(_P), -1, 1 << 64))
 
@@ -29,6 +29,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P^i and P^-i for i < n."""
     if "p" not in _powers or len(_powers["p"]) < n:
+        n = 1 << max(18, (n - 1).bit_length())
         for k, base in (("p", _P), ("q", _PI)):
             x = np.full(n, base, np.uint64)
             x[0] = 1
@@ -64,7 +65,7 @@ def run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool
         lo = int(starts[k])
         m = max(k + 1, int(np.searchsorted(ends, lo + _SLICE, "right")))
         hi = int(ends[m - 1])
-        p, q = powers(max(_SLICE, hi - lo) + 1)
+        p, q = powers(hi - lo + 1)
         total = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(lut[buf[lo:hi]] * p[: hi - lo], out=total[1:])
         s, e = starts[k:m] - lo, ends[k:m] - lo

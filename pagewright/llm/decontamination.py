@@ -87,7 +87,7 @@ def canonical(texts: list[str], units: bool = True, names: bool = True) -> tuple
     tail = np.append(head[1:], len(k))
     low = looked_up(tables()[1], cps[k], 0).astype(np.uint64)
     low = np.where(low == 0, cps[k], low).astype(np.uint64)
-    up, down = powers(max(1 << 20, len(k) + 1))
+    up, down = powers(len(k) + 1)
     total = np.zeros(len(k) + 1, np.uint64)
     np.cumsum(mix(low) * up[: len(k)], out=total[1:])
     value = mix((total[tail] - total[head]) * down[head])

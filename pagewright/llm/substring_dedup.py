@@ -54,7 +54,7 @@ def anchors(data: bytes, p: SubstringParams) -> tuple[np.ndarray, ...]:
     if n < p.width:
         none = np.empty(0, np.int64)
         return none.astype(np.uint64), none, none, none, np.zeros(1, np.uint64)
-    up, down = powers(max(1 << 20, n + 1))
+    up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_PLAIN[np.frombuffer(data, np.uint8)] * up[:n], out=total[1:])
     h = mix((total[p.gram :] - total[: -p.gram]) * down[: n - p.gram + 1])
@@ -97,7 +97,7 @@ def _texts(column) -> list[bytes]:
 
 
 def _segment_hashes(total: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: SubstringParams) -> np.ndarray:
-    _, down = powers(max(1 << 20, len(total)))
+    _, down = powers(len(total))
     where = (place - lo).astype(np.uint64) << U(16) | (hi - lo).astype(np.uint64)
     return mix((total[hi + p.width] - total[lo]) * down[lo] ^ mix(where + U(1)))
 
