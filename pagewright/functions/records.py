@@ -73,8 +73,12 @@ def table_embedding_text(tables: Column) -> Column:
     return _filled(F.flatten(F.transform(some(tables, TABLE), parts)))
 
 
-def embedding_inputs(chunk_text: Column, content: Column, formulas: Column, tables: Column) -> list[Column]:
-    """The texts of the three embeddings of a chunk; formulas and tables fall back to the search text."""
+def embedding_inputs(chunk_text: Column, content: Column, formulas: Column, tables: Column, older: bool = False) -> list[Column]:
+    """The texts of the three embeddings of a chunk; formulas and tables fall back to the search text. older: the content
+    doesn't stand in for a blank search text, and a formula gives its context or else its description, not both."""
+    if older:
+        search = F.coalesce(chunk_text, F.lit(""))
+        return [search.alias("search_input"), first_filled(formulas_text(formulas), search).alias("formula_input"), first_filled(table_embedding_text(tables), search).alias("table_input")]
     search = first_filled(chunk_text, content)
     return [search.alias("search_input"), first_filled(formula_embedding_text(formulas), search).alias("formula_input"), first_filled(table_embedding_text(tables), search).alias("table_input")]
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import analyzer
 from ..functions import records as R
 from ..functions import text as T
 from ..functions.backends import HashingBackend, embed
@@ -82,6 +83,18 @@ def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(F.forall(words, lambda t: F.array_contains("w", t))).select("doc_id")
 
 
+@query("SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("search_text"))
+    return analyzer.postings(d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+
+
+@query()
+def english_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("search_text"))
+    return retrieval.keyword_lane(d, "the things are thing", 20, analyzer.english_terms).withColumn("score", F.round("score", 6))
+
+
 SECTION_QUERY = "see 5.4 and section 3.11 about the thing"
 _SECTION_SQL = """section AS (SELECT *, {overlap} AS token_overlap FROM chunks_v WHERE document_id = 'src3' AND ({where}) ORDER BY token_overlap DESC, page_start, id LIMIT {k})"""
 
@@ -578,6 +591,14 @@ def enrich_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parents.select(*columns, F.lit("").alias("role")).unionByName(children.select(*columns, "role"))
 
 
+@query("SELECT doc_id, concat('E=mc^2 energy E: ', lang) AS formula_input, concat('cap cell ', source) AS table_input FROM documents")
+def embedding_inputs_older(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formula = F.struct(F.lit("").alias("name"), F.lit("E=mc^2").alias("latex"), F.array(F.struct(F.lit("E").alias("symbol"), F.col("lang").alias("meaning"))).alias("variables"), F.lit("").alias("context"), F.lit("energy").alias("describes"))
+    tables = F.array(F.struct(F.lit("cap").alias("caption"), F.array(F.lit("h")).alias("headers"), F.array(F.array(F.lit("cell"), F.col("source"))).alias("rows")))
+    x = R.embedding_inputs(F.lit("s"), F.lit(""), F.array(formula), tables, older=True)
+    return table(spark, sf_dir, "documents").select("doc_id", *x).select("doc_id", "formula_input", "table_input")
+
+
 @query()
 def offline_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embed(F.col("text"), HashingBackend(64))
