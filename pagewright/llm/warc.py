@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stage_path, stage_table, table
+from ._common import maybe_in, stage_path, stage_table, table
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -138,6 +138,20 @@ def write_archives(pages: DataFrame, folder: str, p: WarcParams = WarcParams())
     base = pages.select(F.col("page_id").cast("string").alias("page"), F.col("page_id").cast("long").alias("number"), "url", F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumn("digest", F.sha2("html", 256))
     headers = base.select("page", "number", "url", "digest", F.octet_length("html").alias("n"))
+    repeated = stage_table(headers.groupBy("digest").agg(F.count("*").alias("rows")).where("rows > 1").select("digest"), "warc-repeated")
+    alone = lambda x: x.select("page", "url", "digest", F.lit(1).alias("copy"), "html", F.lit(None).cast("string").alias("first_page"), F.lit(None).cast("string").alias("first_url"), F.lit(True).alias("is_first"))
+    if repeated.isEmpty():
+        rows = alone(base)
+    else:
+        # payloads that occur once are responses and stay where they are; only the others are shuffled
+        key = F.xxhash64("digest")
+        test = maybe_in(repeated.select(key.alias("key")))
+        rows = alone(base.where(~test(key))).unionByName(_resolved(base.where(test(key)), headers.join(repeated, "digest", "left_semi"), p))
+    return stage_table(rows.mapInArrow(partial(_write, folder=folder, p=p), "name string"), "warc-parts")
+
+
+def _resolved(base: DataFrame, headers: DataFrame, p: WarcParams) -> DataFrame:
+    """base with the first record of each payload; headers are those of the payloads that occur again."""
     order = F.struct(F.col("number").isNull().alias("last"), F.col("number").alias("number"), F.coalesce("url", F.lit("")).alias("u"), F.col("page").alias("page"), F.col("url").alias("url"))
     first = headers.where(F.col("n") >= p.least).groupBy("digest").agg(F.min(order).alias("first"))
     known = headers.distinct().join(first, "digest", "left")
@@ -146,10 +160,10 @@ def write_archives(pages: DataFrame, folder: str, p: WarcParams = WarcParams())
         F.coalesce("page", F.lit("")).alias("kp"), F.coalesce("url", F.lit("")).alias("ku"), F.col("url").isNull().alias("kn"), F.col("digest").alias("kd"), (F.col("first").isNull() | same).alias("lead"), F.col("first").isNull().alias("small"), F.col("first.page").alias("first_page"), F.col("first.url").alias("first_url")
     )
     keyed = base.withColumns({"kp": F.coalesce("page", F.lit("")), "ku": F.coalesce("url", F.lit("")), "kn": F.col("url").isNull(), "kd": F.col("digest")})
-    joined = keyed.join(known, ["kp", "ku", "kn", "kd"])
+    # a row that the bit map let through without need has no header here: it is alone
+    joined = keyed.join(known, ["kp", "ku", "kn", "kd"], "left").withColumns({"small": F.coalesce("small", F.lit(True)), "lead": F.coalesce("lead", F.lit(True))})
     copy = F.row_number().over(Window.partitionBy("kp", "ku", "kn", "kd").orderBy("number"))
-    rows = joined.withColumn("copy", copy).select("page", "url", "digest", "copy", "html", "first_page", "first_url", (F.col("small") | (F.col("lead") & (F.col("copy") == 1))).alias("is_first"))
-    return stage_table(rows.mapInArrow(partial(_write, folder=folder, p=p), "name string"), "warc-parts")
+    return joined.withColumn("copy", copy).select("page", "url", "digest", "copy", "html", "first_page", "first_url", (F.col("small") | (F.col("lead") & (F.col("copy") == 1))).alias("is_first"))
 
 
 def read_archives(spark: SparkSession, folder: str, parts: DataFrame) -> DataFrame:
