@@ -6,6 +6,11 @@ placeholders is carried along: a question that was given other numbers or names
 must stand for the same value of the document throughout (slot consistency), so texts of equal shape and unrelated
 content don't count.
 
+Coverage and consistency are judged for each occurrence of an item by itself, so copies with other values don't speak against
+each other. Matches of one occurrence have about the same alignment (place in the document less place in the item): equal ones,
+ones in overlapping bands of an eighth and of half of the item's words (for words put in or left out), and, for items in pieces, all
+matches of the document. An item whose matches of the document don't have the coverage has no occurrence that has it.
+
 Only windows that may be an item's are shuffled: a bit map of bounded size over the items' windows is broadcast; the join is
 exact. An item with fewer words than ``width`` is one window of all its words.
 
@@ -23,7 +28,7 @@ from functools import cache, partial
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._chars import looked_up, points, tables
@@ -114,8 +119,8 @@ def canonical(texts: list[str], units: bool = True, names: bool = True) -> tuple
     return token[keep], slot[keep], np.searchsorted(start[keep], at)
 
 
-def _windows(texts: list[str], widths: list[int], p: DeconParams, own_width: bool, names: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, hashes, places, slots) of the windows with words enough; own_width: only of width min(width, words)."""
+def _windows(texts: list[str], widths: list[int], p: DeconParams, own_width: bool, names: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, its words, hashes, places, slots) of the windows with words enough; own_width: only of width min(width, words)."""
     token, slot, at = canonical(texts, names=names)
     every = {w: shingle_hashes(token, w) for w in widths}
     plain = np.concatenate([[0], np.cumsum(slot == 0)])
@@ -131,7 +136,7 @@ def _windows(texts: list[str], widths: list[int], p: DeconParams, own_width: boo
                     hashes = every[w][a + place]
                 else:
                     hashes = shingle_hashes(token[a:b], w)[place]
-                yield t, hashes, place, slots
+                yield t, n, hashes, place, slots
 
 
 def _lists(slots: list[np.ndarray]) -> pa.Array:
@@ -147,9 +152,9 @@ def _item_rows(batches: Iterator[pa.RecordBatch], p: DeconParams) -> Iterator[pa
     """Windows of the items, once with names as placeholders (v 0) and once as plain words (v 1), as texts in one case have them."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), _texts(batch.column(1))
-        item, v, h, place, slots, width, n = [], [], [], [], [], [], []
+        item, v, h, place, slots, width, n, words = [], [], [], [], [], [], [], []
         for names in (True, False):
-            for t, hashes, places, own in _windows(texts, [p.width], p, True, names):
+            for t, length, hashes, places, own in _windows(texts, [p.width], p, True, names):
                 k = len(hashes)
                 item += [ids[t]] * k
                 v += [0 if names else 1] * k
@@ -158,16 +163,17 @@ def _item_rows(batches: Iterator[pa.RecordBatch], p: DeconParams) -> Iterator[pa
                 slots += list(own)
                 width += [own.shape[1]] * k
                 n += [k] * k
-        columns = [pa.array(item, pa.int64()), pa.array(v, pa.int32()), pa.array(h, pa.int64()), *(pa.array(c, pa.int32()) for c in (place, width, n)), _lists(slots)]
-        yield pa.RecordBatch.from_arrays(columns, ["item_id", "v", "w", "ip", "width", "n", "islots"])
+                words += [length] * k
+        columns = [pa.array(item, pa.int64()), pa.array(v, pa.int32()), pa.array(h, pa.int64()), *(pa.array(c, pa.int32()) for c in (place, width, n, words)), _lists(slots)]
+        yield pa.RecordBatch.from_arrays(columns, ["item_id", "v", "w", "ip", "width", "n", "words", "islots"])
 
 
 def _doc_rows(batches: Iterator[pa.RecordBatch], widths: list[int], held: Broadcast, bits: int, p: DeconParams) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         dk, th, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2))
-        out: tuple[list, ...] = ([], [], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [], [])
         for lo, hi in slices([len(t) for t in texts]):
-            for t, hashes, places, own in _windows(texts[lo:hi], widths, p, False):
+            for t, _, hashes, places, own in _windows(texts[lo:hi], widths, p, False):
                 bit = hashes.view(np.int64) & ((1 << bits) - 1)
                 hit = np.flatnonzero(held.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
                 if len(hit):
@@ -175,29 +181,43 @@ def _doc_rows(batches: Iterator[pa.RecordBatch], widths: list[int], held: Broadc
                     out[1].extend([th[lo + t]] * len(hit))
                     out[2].extend(hashes[hit].view(np.int64).tolist())
                     out[3].extend([own.shape[1]] * len(hit))
-                    out[4].extend(own[hit])
+                    out[4].extend(places[hit].tolist())
+                    out[5].extend(own[hit])
         if out[0]:
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.int32()), _lists(out[4])], ["dk", "th", "w", "width", "dslots"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.int32()) for c in out[3:5]), _lists(out[5])], ["dk", "th", "w", "width", "dp", "dslots"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_dk": F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long"), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
+def _occurrences(shift: Column, words: Column) -> Column:
+    """The occurrences that a match may belong to: (scale, band) of its alignment. Bands of two steps each overlap, so alignments
+    within a step have one in common; at half of the item's words two whole copies have none in common."""
+    out = [F.struct(F.lit(0).alias("scale"), F.lit(0).cast("long").alias("band")), F.struct(F.lit(1).alias("scale"), shift.cast("long").alias("band"))]
+    for scale, part in ((2, 8), (3, 2)):
+        band = F.floor(shift / F.greatest(F.lit(1), F.floor(words / part))).cast("long")
+        out += [F.struct(F.lit(scale).alias("scale"), (band - k).alias("band")) for k in (0, 1)]
+    return F.array(*out)
+
+
 def matches(keyed: DataFrame, items: DataFrame, p: DeconParams = DeconParams()) -> DataFrame:
     """keyed: _dk, _th, text. dk, th, item_id, coverage, consistency of the contaminated ones."""
     spark = keyed.sparkSession
-    own = stage_table(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(partial(_item_rows, p=p), "item_id long, v int, w long, ip int, width int, n int, islots array<long>"), "decon-items")
+    own = stage_table(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(partial(_item_rows, p=p), "item_id long, v int, w long, ip int, width int, n int, words int, islots array<long>"), "decon-items")
     widths = sorted(r["width"] for r in own.select("width").distinct().collect())  # width of them at most
     if not widths:
         return spark.createDataFrame([], "dk long, th long, item_id long, coverage double, consistency double")
     keys = own.select(F.col("w").alias("key")).distinct()
     bits = filter_bits(keys.count())
     held = spark.sparkContext.broadcast(bitmap(keys, bits))
-    found = keyed.select("_dk", "_th", "text").mapInArrow(partial(_doc_rows, widths=widths, held=held, bits=bits, p=p), "dk long, th long, w long, width int, dslots array<long>")
-    found = found.groupBy("dk", "th", "w", "width", "dslots").agg(F.count("*").alias("times"))
+    found = keyed.select("_dk", "_th", "text").mapInArrow(partial(_doc_rows, widths=widths, held=held, bits=bits, p=p), "dk long, th long, w long, width int, dp int, dslots array<long>")
+    found = found.distinct()  # repeated rows
     met = stage_table(found.join(own, ["w", "width"]), "decon-met")
     ids = ["dk", "th", "item_id", "v"]
+    met = met.withColumn("got", F.size(F.collect_set("ip").over(Window.partitionBy(*ids)))).where(F.col("got") >= p.coverage * F.col("n"))
+    met = met.withColumn("occurrence", F.explode(_occurrences(F.col("dp") - F.col("ip"), F.col("words"))))
+    ids.append("occurrence")
     covered = met.groupBy(*ids).agg(F.countDistinct("ip").alias("got"), F.first("n").alias("n")).withColumn("coverage", F.col("got") / F.col("n")).where(F.col("coverage") >= p.coverage)
     pairs = met.where("islots is not null").select(*ids, F.explode(F.arrays_zip("islots", "dslots")).alias("s")).where("s.islots <> 0")
     each = pairs.groupBy(*ids, "s.islots", "s.dslots").agg(F.count("*").alias("c")).groupBy(*ids, "islots").agg(F.max("c").alias("best"), F.sum("c").alias("all"))

@@ -128,3 +128,15 @@ def test_leaks_by_brute_force(spark, small):
         c = canon(r["text"])
         own = {tuple(c[k : k + 8]) for k in range(len(c) - 7)}
         assert any(w and len(w & own) >= 0.5 * len(w) for w in windows)
+
+
+def test_occurrences(spark):
+    """Copies of one item with other values, side by side and far apart, and an item's copy among windows of the same shape."""
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    swap = ITEM.replace("1999", "2003").replace("Tom Baker", "Ann").replace("12", "55").replace("Mary", "Joe").replace("30", "81").replace("7 pears", "4 pears")
+    third = swap.replace("2003", "1870").replace("Ann", "Eve").replace("55", "6").replace("81", "9")
+    longer = swap.replace("for 81 dollars", "for no more than 81 dollars")
+    stray = " ".join(f"and so {a} called Tim{k} Low sold {k} kg of apples to Kim{k} for {k * 3} dollars." for k, a in enumerate(["a farmer"] * 60))
+    rows = [(1, f"{ITEM} {swap}"), (2, f"{swap} {third}"), (3, f"{swap} " + "some other words " * 200 + third), (4, f"{longer} {third}"), (5, f"{ITEM} {stray}"), (6, stray), (7, "nothing of it")]
+    got = {r["doc_id"]: r["contaminated"] for r in decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {k: k < 6 for k in range(1, 8)}
