@@ -11,6 +11,10 @@ each other. Matches of one occurrence have about the same alignment (place in th
 ones in overlapping bands of an eighth and of half of the item's words (for words put in or left out), and, for items in pieces, all
 matches of the document. An item whose matches of the document don't have the coverage has no occurrence that has it.
 
+Windows with few plain words (below ``literals``) would match anything of their shape, so they don't count as templates. An item
+with such windows is also matched word by word (v 2): all its windows, with the values as they are, so that it is found verbatim,
+though not with other values.
+
 Only windows that may be an item's are shuffled: a bit map of bounded size over the items' windows is broadcast; the join is
 exact. An item with fewer words than ``width`` is one window of all its words.
 
@@ -41,7 +45,7 @@ UNITS = (
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degrees celsius fahrenheit "
     "meter meters metre metres kilometer kilometers centimeter centimeters watt watts kw volt volts hz mph kmh"
 ).split()
-NUMBER, UNIT, NAME = (U(x) for x in (0x1F3D5B79, 0x2E4C6A81, 0x3D5B7992))
+NUMBER, UNIT, NAME, VERBATIM = (U(x) for x in (0x1F3D5B79, 0x2E4C6A81, 0x3D5B7992, 0x4C6A81A3))
 
 
 @dataclass(frozen=True)
@@ -78,6 +82,11 @@ def _units() -> np.ndarray:
 
 def canonical(texts: list[str], units: bool = True, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Canonical words of all texts, the values behind placeholders (0 for a plain word), where each text's words begin."""
+    return _typed(texts, units, names)[:3]
+
+
+def _typed(texts: list[str], units: bool = True, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """canonical(), and all words as they are (in one case), where each text's begin."""
     word, digit, capital = _classes()
     cps, at = points(texts)
     space = (cps == 0x20) | ((cps >= 0x09) & (cps <= 0x0D)) | (cps == 0)
@@ -85,7 +94,7 @@ def canonical(texts: list[str], units: bool = True, names: bool = True) -> tuple
     k = np.flatnonzero(is_word)
     if not len(k):
         none = np.empty(0, np.uint64)
-        return none, none, np.zeros(len(texts) + 1, np.int64)
+        return none, none, np.zeros(len(texts) + 1, np.int64), none, np.zeros(len(texts) + 1, np.int64)
     gaps = np.cumsum(space)  # the word that a letter belongs to
     own = gaps[k]
     head = np.flatnonzero(np.diff(own, prepend=-1) != 0)
@@ -116,12 +125,12 @@ def canonical(texts: list[str], units: bool = True, names: bool = True) -> tuple
     slot = np.where(number | unit | name, value, U(0))
     keep = np.ones(len(head), bool)
     keep[1:] = ~(name[1:] & name[:-1])  # a name of several words is one
-    return token[keep], slot[keep], np.searchsorted(start[keep], at)
+    return token[keep], slot[keep], np.searchsorted(start[keep], at), mix(value ^ VERBATIM), np.searchsorted(start, at)
 
 
-def _windows(texts: list[str], widths: list[int], p: DeconParams, own_width: bool, names: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _windows(typed: tuple[np.ndarray, ...], widths: list[int], p: DeconParams, own_width: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, its words, hashes, places, slots) of the windows with words enough; own_width: only of width min(width, words)."""
-    token, slot, at = canonical(texts, names=names)
+    token, slot, at = typed[:3]
     every = {w: shingle_hashes(token, w) for w in widths}
     plain = np.concatenate([[0], np.cumsum(slot == 0)])
     for t, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
@@ -139,6 +148,15 @@ def _windows(texts: list[str], widths: list[int], p: DeconParams, own_width: boo
                 yield t, n, hashes, place, slots
 
 
+def _verbatim(typed: tuple[np.ndarray, ...], p: DeconParams) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """As _windows: all windows of width min(width, words) of the words as they are; no slots."""
+    value, at = typed[3:]
+    for t, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        if a < b:
+            hashes = shingle_hashes(value[a:b], min(p.width, b - a))
+            yield t, b - a, hashes, np.arange(len(hashes)), np.zeros((len(hashes), min(p.width, b - a)), np.uint64)
+
+
 def _lists(slots: list[np.ndarray]) -> pa.Array:
     """Slots as lists; null where a window has no placeholder."""
     return pa.array([s.view(np.int64).tolist() if s.any() else None for s in slots], pa.list_(pa.int64()))
@@ -149,15 +167,20 @@ def _texts(column) -> list[str]:
 
 
 def _item_rows(batches: Iterator[pa.RecordBatch], p: DeconParams) -> Iterator[pa.RecordBatch]:
-    """Windows of the items, once with names as placeholders (v 0) and once as plain words (v 1), as texts in one case have them."""
+    """Windows of the items, once with names as placeholders (v 0) and once as plain words (v 1), as texts in one case have them; those of
+    items with windows of few plain words also as they are (v 2)."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), _texts(batch.column(1))
         item, v, h, place, slots, width, n, words = [], [], [], [], [], [], [], []
-        for names in (True, False):
-            for t, length, hashes, places, own in _windows(texts, [p.width], p, True, names):
+        both = [_typed(texts, names=names) for names in (True, False)]
+        found = [[*_windows(typed, [p.width], p, True)] for typed in both]
+        few = {t for t, length, hashes, _, own in found[0] if len(hashes) < length - own.shape[1] + 1}
+        found.append([x for x in _verbatim(both[0], p) if x[0] in few])
+        for kind, rows in enumerate(found):
+            for t, length, hashes, places, own in rows:
                 k = len(hashes)
                 item += [ids[t]] * k
-                v += [0 if names else 1] * k
+                v += [kind] * k
                 h += hashes.view(np.int64).tolist()
                 place += places.tolist()
                 slots += list(own)
@@ -168,14 +191,19 @@ def _item_rows(batches: Iterator[pa.RecordBatch], p: DeconParams) -> Iterator[pa
         yield pa.RecordBatch.from_arrays(columns, ["item_id", "v", "w", "ip", "width", "n", "words", "islots"])
 
 
-def _doc_rows(batches: Iterator[pa.RecordBatch], widths: list[int], held: Broadcast, bits: int, p: DeconParams) -> Iterator[pa.RecordBatch]:
+def _doc_rows(batches: Iterator[pa.RecordBatch], widths: list[int], verbatim: list[int], held: Broadcast, bits: int, p: DeconParams) -> Iterator[pa.RecordBatch]:
+
+    def maybe(hashes: np.ndarray) -> np.ndarray:
+        bit = hashes.view(np.int64) & ((1 << bits) - 1)
+        return np.flatnonzero(held.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+
     for batch in batches:
         dk, th, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2))
         out: tuple[list, ...] = ([], [], [], [], [], [])
         for lo, hi in slices([len(t) for t in texts]):
-            for t, _, hashes, places, own in _windows(texts[lo:hi], widths, p, False):
-                bit = hashes.view(np.int64) & ((1 << bits) - 1)
-                hit = np.flatnonzero(held.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            typed = _typed(texts[lo:hi])
+            for t, _, hashes, places, own in _windows(typed, widths, p, False):
+                hit = maybe(hashes)
                 if len(hit):
                     out[0].extend([dk[lo + t]] * len(hit))
                     out[1].extend([th[lo + t]] * len(hit))
@@ -183,6 +211,19 @@ def _doc_rows(batches: Iterator[pa.RecordBatch], widths: list[int], held: Broadc
                     out[3].extend([own.shape[1]] * len(hit))
                     out[4].extend(places[hit].tolist())
                     out[5].extend(own[hit])
+            value, at = typed[3:]
+            for w in verbatim:
+                hashes = shingle_hashes(value, w)
+                hit = maybe(hashes)
+                t = np.searchsorted(at, hit, "right") - 1
+                inside = hit + w <= at[t + 1]
+                hit, t = hit[inside], t[inside]
+                out[0].extend(dk[lo + k] for k in t.tolist())
+                out[1].extend(th[lo + k] for k in t.tolist())
+                out[2].extend(hashes[hit].view(np.int64).tolist())
+                out[3].extend([w] * len(hit))
+                out[4].extend((hit - at[t]).tolist())
+                out[5].extend(np.zeros((len(hit), w), np.uint64))
         if out[0]:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.int32()) for c in out[3:5]), _lists(out[5])], ["dk", "th", "w", "width", "dp", "dslots"])
 
@@ -205,13 +246,14 @@ def matches(keyed: DataFrame, items: DataFrame, p: DeconParams = DeconParams())
     """keyed: _dk, _th, text. dk, th, item_id, coverage, consistency of the contaminated ones."""
     spark = keyed.sparkSession
     own = stage_table(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(partial(_item_rows, p=p), "item_id long, v int, w long, ip int, width int, n int, words int, islots array<long>"), "decon-items")
-    widths = sorted(r["width"] for r in own.select("width").distinct().collect())  # width of them at most
-    if not widths:
+    kinds = own.select("width", (F.col("v") == 2).alias("verbatim")).distinct().collect()  # twice width of them at most
+    widths, verbatim = (sorted(r["width"] for r in kinds if r["verbatim"] == kind) for kind in (False, True))
+    if not kinds:
         return spark.createDataFrame([], "dk long, th long, item_id long, coverage double, consistency double")
     keys = own.select(F.col("w").alias("key")).distinct()
     bits = filter_bits(keys.count())
     held = spark.sparkContext.broadcast(bitmap(keys, bits))
-    found = keyed.select("_dk", "_th", "text").mapInArrow(partial(_doc_rows, widths=widths, held=held, bits=bits, p=p), "dk long, th long, w long, width int, dp int, dslots array<long>")
+    found = keyed.select("_dk", "_th", "text").mapInArrow(partial(_doc_rows, widths=widths, verbatim=verbatim, held=held, bits=bits, p=p), "dk long, th long, w long, width int, dp int, dslots array<long>")
     found = found.distinct()  # repeated rows
     met = stage_table(found.join(own, ["w", "width"]), "decon-met")
     ids = ["dk", "th", "item_id", "v"]

@@ -140,3 +140,12 @@ def test_occurrences(spark):
     rows = [(1, f"{ITEM} {swap}"), (2, f"{swap} {third}"), (3, f"{swap} " + "some other words " * 200 + third), (4, f"{longer} {third}"), (5, f"{ITEM} {stray}"), (6, stray), (7, "nothing of it")]
     got = {r["doc_id"]: r["contaminated"] for r in decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
     assert got == {k: k < 6 for k in range(1, 8)}
+
+
+def test_items_of_few_plain_words(spark):
+    sums, names = "12 + 7 = 19, 8 + 5 = 13, 20 - 4 = 16, 9 + 9 = 18", "Then Ann, Bob, Cid and Dan owe Eve 3, Fay 4, Gil 5 and Hal 6 dollars to Ida or Jon Low."
+    items = spark.createDataFrame([(1, sums), (2, names)], "item_id long, text string")
+    other = sums.replace("19", "29").replace("13", "43").replace("16", "36").replace("18", "48")
+    rows = [(1, f"Some lead: {sums} and a tail", 1), (2, f"some words. {names} More words.", 2), (3, f"Lead: {other} and a tail", None), (4, "12 7", None), (5, names.lower(), 2), (6, None, None), (7, f"{other} {sums}", 1)]
+    got = {r["doc_id"]: r["item_id"] for r in decontamination.decontaminate(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), items).collect()}
+    assert got == {k: i for k, _, i in rows}
