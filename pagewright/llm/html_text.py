@@ -1,7 +1,7 @@
 """Operator 10: main text of web pages with wrappers induced from pages of the same host.
 
-Induction: up to ``exemplars`` pages of a host (chosen by a hash of the page id) are parsed to trees and aligned with the
-first of them by simple tree matching. A node that is matched often and has the same text nearly always is template,
+Induction: up to ``exemplars`` pages of a host (chosen by a hash of the page id; pages whose text is the same count once, so
+that copies of an article don't make it template) are parsed to trees and aligned with the first of them by simple tree matching. A node that is matched often and has the same text nearly always is template,
 nodes whose text varies are slots. The wrapper of a host is the set of its template nodes, as hashes of place and text.
 
 Extraction: a page's tree loses scripts, styles, forms, navigation, page headers and footers, sidebars, notices, adverts
@@ -245,8 +245,11 @@ def simple_tree_matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]
 def induce(pages: list[str], p: HtmlParams = HtmlParams()) -> set[int]:
     """The template nodes of pages of one host."""
     trees = [parse(h) for h in pages]
-    sized = [(t, placed(t)) for t in trees]
-    sized = [(t, n) for t, n in sized if len(n) <= p.max_nodes]
+    distinct = {}  # copies tell nothing about what is template
+    for t in trees:
+        nodes = placed(t)
+        distinct.setdefault(tuple((n.place, n.own_text()) for n in nodes), (t, nodes))
+    sized = [(t, n) for t, n in distinct.values() if len(n) <= p.max_nodes]
     if len(sized) < p.least_matches:
         return set()
     first = sized[0][0]
@@ -289,17 +292,26 @@ def host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
 
+def visible(html) -> F.Column:
+    """A digest of the text between tags, white space squeezed; null if there is none."""
+    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>", " ")
+    text = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(text != "", F.sha2(text, 256))
+
+
 def wrappers(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
-    """host and its template nodes, for hosts with pages enough."""
-    slim = pages.select(host(F.col("url")).alias("host"), "page_id", "url").where("host <> ''")
-    order = Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id", "url")
-    chosen = slim.withColumn("n", F.row_number().over(order)).where(F.col("n") <= p.exemplars).select(F.col("page_id").alias("_p"), F.col("url").alias("_u"), F.col("host").alias("_h")).distinct()
+    """host and its template nodes, for hosts with different pages enough."""
+    slim = pages.select(host(F.col("url")).alias("host"), "page_id", "url", visible(F.col("html")).alias("v")).where("host <> '' and page_id is not null and v is not null")
+    slim = slim.groupBy("host", "v").agg(F.min(F.struct(F.xxhash64("page_id").alias("h"), "page_id", "url")).alias("one"))
+    order = Window.partitionBy("host").orderBy("one")
+    chosen = slim.withColumn("n", F.row_number().over(order)).where(F.col("n") <= p.exemplars).select(F.col("one.page_id").alias("_p"), F.col("one.url").alias("_u"), F.col("host").alias("_h"), F.col("v").alias("_v"))
     chosen = stage_table(chosen, "html-exemplars")
-    some = only_ids(pages.select("page_id", "url", "html"), chosen.where("_p is not null").select(F.col("_p").alias("page_id")).distinct(), "page_id")
-    some = some.join(chosen, (F.col("page_id") == F.col("_p")) & (F.col("url") == F.col("_u"))).select(F.col("_h").alias("host"), "page_id", "html")
+    some = only_ids(pages.select("page_id", "url", "html"), chosen.select(F.col("_p").alias("page_id")).distinct(), "page_id")
+    some = some.join(chosen, (F.col("page_id") == F.col("_p")) & (F.col("url") == F.col("_u"))).where(visible(F.col("html")) == F.col("_v"))
+    some = some.groupBy(F.col("_h").alias("host"), "_v").agg(F.min(F.struct("page_id", "html")).alias("one")).select("host", "one.page_id", "one.html")  # repeated rows
 
     def of_host(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("page_id").head(p.exemplars)  # repeated rows may have brought more
+        rows = rows.sort_values("page_id")
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "template": [sorted(induce([h or "" for h in rows["html"]], p))]})
 
     return some.groupBy("host").applyInPandas(of_host, "host string, template array<long>")

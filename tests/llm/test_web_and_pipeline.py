@@ -77,6 +77,20 @@ def test_wrapper(spark):
     assert len(got) == 12
 
 
+def test_copies_are_no_template(spark):
+    page = lambda k, n=0: f"<body><script>var n={n};</script><div><p>Subscribe now for news</p></div><div><p>Story number {k} about thing {k * 7}</p></div><div>Imprint</div></body>"
+    rows = [(k, "http://copies.example/", page(1)) for k in range(9)]
+    rows += [(100 + k, f"http://most.example/{k}", page(1, k)) for k in range(60)] + [(200 + k, f"http://most.example/o{k}", page(k)) for k in range(2, 7)]
+    rows += [(300, "http://repeated.example/", page(1))] * 20 + [(None, "http://repeated.example/", page(1))]
+    got = [(r["page_id"], r["text"]) for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert len(got) == len(rows)
+    for k, text in got:
+        if k is None or k < 100 or k == 300:
+            assert text == "Subscribe now for news Story number 1 about thing 7 Imprint"
+        else:
+            assert text == (f"Story number {k - 200} about thing {(k - 200) * 7}" if k >= 200 else "Story number 1 about thing 7")
+
+
 def test_extraction_fixture(spark, small):
     import html
     import re
