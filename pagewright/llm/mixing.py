@@ -2,8 +2,10 @@
 
 Slot k of the mix has the golden-ratio point frac(k * phi); the point falls into the source whose share of the
 cumulative targets holds it, and the slots of a source are ranked. The documents of a source, shuffled by a hash of
-their ids, lie one after another on a line of words that is cut into blocks of equal length; slot r of a source takes
-block r modulo its number of blocks. So the mix is even at every length, whatever prefix of it is read.
+their ids, lie one after another on a line of words that is read round and round; the words of the target, from the start of
+the line, are divided evenly between the source's slots, so each source has a block length of its own and takes its target to
+the word. A source that no point falls into has one slot, after the others. So the mix is even at every length, whatever
+prefix of it is read, and a source much smaller than a slot isn't lost.
 
 No task sees a whole source: documents are dealt by (source, shard), where shard is a part of the hash.
 
@@ -62,33 +64,37 @@ def targets(sources: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 
 
 def schedule(plan: DataFrame, spark: SparkSession, params: MixParams = MixParams()) -> DataFrame:
-    """plan: targets(), block_size and blocks. One row for each slot: slot, source rank, number among its source's slots, block."""
+    """plan: targets(), block_size and quota. One row for each slot: slot, source rank, number among its source's slots (nth) and how many
+    they are (own_slots). The slot takes words nth * quota / own_slots to (nth + 1) * quota / own_slots of its source, rounded down."""
     total = F.sum("target").over(Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     upto = F.sum("target").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     spans = (
         plan.withColumn("hi", upto / total)
         .withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("rank")), F.lit(0.0)))
         .withColumn("hi", F.when(F.lead("rank").over(Window.orderBy("rank")).isNull(), F.lit(2.0)).otherwise(F.col("hi")))
-        .where("target > 0")
+        .where("quota > 0")
         .withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * params.bins), F.least(F.floor(F.col("hi") * params.bins), F.lit(params.bins - 1).cast("long")))))
-        .select("bin", "rank", "lo", "hi", "blocks")
+        .select("bin", "rank", "lo", "hi")
     )
     whole = plan.agg(F.sum("source_size"), F.max("block_size")).first()
     n_slots = -(-int(whole[0] or 0) // int(whole[1] or 1))
     point = F.col("id") * F.lit(GOLDEN)
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("x")).withColumn("bin", F.floor(F.col("x") * params.bins))
-    placed = slots.join(spans, "bin").where("x >= lo and x < hi").select("slot", "rank", "blocks")
+    placed = slots.join(spans, "bin").where("x >= lo and x < hi").select("slot", "rank")
     # ranks within a source: sources that own most slots are ranked in ranges of slots, with the counts before each
     width = max(1, n_slots // params.shards)
     placed = stage_table(placed.withColumn("part", F.floor(F.col("slot") / width)), "mix-slots")
+    parts = stage_table(placed.groupBy("rank", "part").agg(F.count("*").alias("n")), "mix-parts")
     before = (
-        placed.groupBy("rank", "part").agg(F.count("*").alias("n"))
+        parts
         .withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .select("rank", "part", "before")
     )
     ranked = placed.withColumn("own", F.row_number().over(Window.partitionBy("rank", "part").orderBy("slot"))).join(before, ["rank", "part"])
-    ranked = ranked.withColumn("nth", F.col("before") + F.col("own") - 1)
-    return ranked.where(F.col("nth") < F.col("blocks") * params.max_repeat).select("slot", "rank", "nth", (F.col("nth") % F.col("blocks")).alias("block"))
+    ranked = ranked.select("slot", "rank", (F.col("before") + F.col("own") - 1).alias("nth")).join(parts.groupBy("rank").agg(F.sum("n").alias("own_slots")), "rank")
+    missed = plan.where("quota > 0").join(parts, "rank", "left_anti")
+    missed = missed.select((F.lit(n_slots) + F.row_number().over(Window.orderBy("rank")) - 1).cast("long").alias("slot"), "rank", F.lit(0).cast("long").alias("nth"), F.lit(1).cast("long").alias("own_slots"))
+    return ranked.select("slot", "rank", F.col("nth").cast("long").alias("nth"), "own_slots").unionByName(missed)
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
@@ -106,17 +112,22 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     block = F.greatest(F.lit(1), F.ceil(F.sum("source_size").over(Window.partitionBy()) / params.slots)).cast("long")
     plan = sources.select("key", "source", "source_size", block.alias("block_size"))
     plan = targets(plan.select("source", "source_size"), params).join(plan.select("key", F.col("source").alias("s"), "block_size"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = stage_table(plan.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_size")).cast("long")), "mix-plan")
+    plan = stage_table(plan.withColumn("quota", F.round("target").cast("long")), "mix-plan")
+    slots = stage_table(schedule(plan, spark, params), "mix-schedule")
+    counts = slots.groupBy("rank").agg(F.first("own_slots").alias("own_slots"))
+    plan = stage_table(plan.join(counts, "rank", "left"), "mix-counts")
     offset = F.coalesce(F.sum("shard_size").over(Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    where = shards.withColumn("offset", offset).select("key", "shard", "offset").join(plan.select("key", "rank", "source_size", "target", "block_size"), "key")
+    where = shards.withColumn("offset", offset).select("key", "shard", "offset").join(plan.select("key", "rank", "source_size", "target", "quota", "own_slots"), "key")
     before = Window.partitionBy("key", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     line = sized.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))).join(where, ["key", "shard"]).withColumn("start", F.col("start") + F.col("offset"))
-    line = stage_table(line.select("doc_id", "source", "size", "source_size", "target", "rank", "start", "block_size"), "mix-line")
-    times = schedule(plan, spark, params).groupBy("rank", "block").agg(F.count("*").alias("times"))
-    b, s, e = F.col("block_size"), F.col("start"), F.col("start") + F.col("size")
-    pieces = line.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(s / b), F.floor((e - 1) / b))))
-    pieces = pieces.withColumn("words", F.least(e, (F.col("block") + 1) * b) - F.greatest(s, F.col("block") * b))
-    taken = pieces.join(times, ["rank", "block"]).groupBy("rank", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    line = stage_table(line.select("doc_id", "source", "size", "source_size", "target", "rank", "start", "quota", "own_slots"), "mix-line")
+    # the line is read max_repeat times at most; the piece of a document in a slot is where their words overlap
+    again = line.where("size > 0 and quota > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(params.max_repeat - 1))))
+    again = again.withColumn("s", F.col("start") + F.col("turn") * F.col("source_size")).withColumn("e", F.least(F.col("s") + F.col("size"), "quota")).where("s < e")
+    slot_of = lambda word: F.expr(f"(({word} + 1) * own_slots - 1) div quota")
+    pieces = again.withColumn("nth", F.explode(F.sequence(slot_of("s"), slot_of("e - 1"))))
+    pieces = pieces.withColumn("words", F.least("e", F.expr("((nth + 1) * quota) div own_slots")) - F.greatest("s", F.expr("(nth * quota) div own_slots")))
+    taken = pieces.join(slots.select("rank", "nth"), ["rank", "nth"]).groupBy("rank", "start").agg(F.sum("words").alias("taken"))
     keyed = line.withColumn("at", F.when(F.col("size") > 0, F.col("start")))  # documents of no words take no place on the line
     taken = taken.withColumnRenamed("start", "at")
     return keyed.join(taken, ["rank", "at"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -125,3 +125,22 @@ def test_coarse_blocks(spark, small):
         own[r["source"]][0] += r["taken"]
         own[r["source"]][1] = r["target"]
     assert all(abs(a - b) < 0.15 * b + 400 for a, b in own.values())
+
+
+def test_small_sources_beside_large_ones(spark):
+    """Sources of 1.2, 0.1 and 0.01 blocks beside large ones take their targets to the word."""
+    sizes = {"a": 12, "b": 1000, "c": 90_000, "d": 10_000, "e": 120_000, "f": 1200, "g": 100, "h": 7, "i": 500_000}
+    rows = []
+    for s, n in sizes.items():
+        while n:
+            k = min(n, 1 + len(rows) * 37 % 700)
+            rows.append((len(rows), s, "w " * k))
+            n -= k
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), mixing.MixParams(slots=700)).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(got) == len(rows) and set(target) == set(sizes)
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in sizes)
