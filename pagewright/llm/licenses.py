@@ -5,6 +5,11 @@ logistic regression, trained here, tells licence families from each other and fr
 and the bar that a family must pass are calibrated on rows that training hasn't seen, so that what is unlike all
 families is ``unknown``. A prediction counts only if the paragraph also compares with a template of its family.
 
+Notices that are wrapped, or lie across two pieces of a long line, are found in blocks: neighbouring lines up to one without words. A
+block is classified and compared in overlapping pieces of a quarter, a half and all of ``piece_words``; by their strides, templates of
+up to 48 words are whole in one of 64. Such a piece counts once for each notice, and only where no line, and no piece that compares
+better, has given its family, or a sister of it (CC, GPL), for these words. n_paragraphs counts lines and pieces of lines.
+
 Training rows are variants of the templates below (words dropped, replaced, cut off, put in context) and, for the unknown
 class, at most ``background`` paragraphs of the corpus (chosen by a hash of the id) that compare with no template.
 
@@ -102,8 +107,9 @@ def _clean(text: str) -> bytes:
     return text.encode().translate(_LETTERS)
 
 
-def _grams(cleaned: list[bytes], p: LicenseParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: buckets of uni- and bigrams in turn (-1: none), first word of each paragraph, its text, its line."""
+def _grams(cleaned: list[bytes], p: LicenseParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Of all texts: buckets of uni- and bigrams in turn (-1: none), first word of each paragraph, its text, its line; for blocks: the bytes, each
+    word's start, end, line among all and text, and the bigram buckets over line ends."""
     buf = np.frombuffer(b"\n".join(cleaned) + b"\n", np.uint8)
     starts, ends = word_bounds(buf)
     h = run_hashes(buf, starts, ends)
@@ -117,11 +123,37 @@ def _grams(cleaned: list[bytes], p: LicenseParams) -> tuple[np.ndarray, np.ndarr
     first = np.flatnonzero(new)
     bucket = np.full((len(starts), 2), -1, np.int64)
     bucket[:, 0] = (h % U(p.features)).astype(np.int64)
+    two = np.full(len(starts), -1, np.int64)
     if len(h) > 1:
-        two = (mix(h[:-1] * U(3) + h[1:]) % U(p.features)).astype(np.int64)
-        bucket[:-1, 1] = np.where(new[1:], -1, two)
+        two[:-1] = (mix(h[:-1] * U(3) + h[1:]) % U(p.features)).astype(np.int64)
+        bucket[:-1, 1] = np.where(new[1:], -1, two[:-1])
     text = np.searchsorted(at, starts[first], "right") - 1
-    return bucket, first, text, own[first] - np.searchsorted(np.flatnonzero(buf == 0x0A), at[text])
+    words = (buf, starts, ends, own, np.searchsorted(at, starts, "right") - 1, two)
+    return bucket, first, text, own[first] - np.searchsorted(np.flatnonzero(buf == 0x0A), at[text]), words
+
+
+def _block_pieces(own: np.ndarray, text: np.ndarray, p: LicenseParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words and ends of the pieces of blocks that lines don't show whole; the words that end a block."""
+    new = np.ones(len(own), bool)
+    new[1:] = (text[1:] != text[:-1]) | (own[1:] > own[:-1] + 1)
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(own)))
+    last = head + size - 1
+    more = (own[last] != own[head]) | (size > p.piece_words)
+    begin, end = np.repeat(head, size), np.repeat(head + size, size)
+    k = np.flatnonzero(np.repeat(more, size))
+    out = []
+    for part, steps in ((4, 2), (2, 4), (1, 4)):
+        width = max(2, p.piece_words // part)
+        stride = max(1, width // steps)
+        at = k - begin[k]
+        a = k[(at % stride == 0) & ((at == 0) | (k - stride + width < end[k]))]
+        out.append((a, np.minimum(a + width, end[a])))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]), last
+
+
+def _stem(family: str) -> str:
+    return family.split("-")[0][-3:]
 
 
 def _matrix(texts: list[str], p: LicenseParams) -> np.ndarray:
@@ -227,7 +259,7 @@ def _scan(batches: Iterator[pa.RecordBatch], model: LicenseModel, p: LicensePara
         counts = np.zeros(len(texts), np.int64)
         found: list[list[dict]] = [[] for _ in texts]
         for lo, hi in slices([len(t) for t in texts], 1 << 18):
-            bucket, first, text, line = _grams([_clean(t) for t in texts[lo:hi]], p)
+            bucket, first, text, line, (buf, starts, ends, own, of, two) = _grams([_clean(t) for t in texts[lo:hi]], p)
             if not len(first):
                 continue
             n = np.add.reduceat((bucket >= 0).sum(axis=1), first)
@@ -236,12 +268,37 @@ def _scan(batches: Iterator[pa.RecordBatch], model: LicenseModel, p: LicensePara
             probability = model.probabilities(raw)
             top = probability[:, :-1].argmax(axis=1)
             value = probability[np.arange(len(top)), top]
+            spans: dict[int, list[tuple[int, int, str, float]]] = {}
             for k in np.flatnonzero(value >= model.bar).tolist():
                 family, t = FAMILIES[top[k]], lo + int(text[k])
                 lines = texts[t].split("\n")
                 sim = best_similarity(lines[int(line[k])], family)
                 if sim >= p.similarity:
                     found[t].append({"family": family, "line": int(line[k]), "probability": float(value[k]), "similarity": sim})
+                    spans.setdefault(t, []).append((int(first[k]), int(first[k + 1]) if k + 1 < len(first) else len(starts), family, sim))
+            a, b, last = _block_pieces(own, of, p)
+            if not len(a):
+                continue
+            two[last] = -1
+            total = np.zeros((len(two) + 1, len(FAMILIES)))
+            np.cumsum(table_[bucket[:, 0]] + table_[two], axis=0, out=total[1:])
+            raw = (total[b] - total[a] - table_[two[b - 1]]) / np.sqrt(2 * (b - a) - 1)[:, None] + model.weights[-1]
+            probability = model.probabilities(raw)
+            top = probability[:, :-1].argmax(axis=1)
+            value = probability[np.arange(len(top)), top]
+            more = []
+            for k in np.flatnonzero(value >= model.bar).tolist():
+                family = FAMILIES[top[k]]
+                sim = best_similarity(buf[starts[a[k]] : ends[b[k] - 1]].tobytes().decode(errors="replace"), family)
+                if sim >= p.similarity:
+                    more.append((-sim, int(b[k] - a[k]), -float(value[k]), int(a[k]), family))
+            for sim, size, minus, at, family in sorted(more):
+                t = lo + int(of[at])
+                met = [x for x in spans.get(t, []) if x[0] < at + size and at < x[1] and _stem(x[2]) == _stem(family)]
+                if not any(f == family or s >= -sim for _, _, f, s in met):
+                    spans.setdefault(t, []).append((at, at + size, family, -sim))
+                    number = int(own[at] - own[np.searchsorted(of, of[at])]) + int(line[np.searchsorted(text, of[at])])
+                    found[t].append({"family": family, "line": number, "probability": -minus, "similarity": -sim})
         best = [min(f, key=lambda e: (-e["similarity"], -e["probability"], FAMILIES.index(e["family"])))["family"] if f else None for f in found]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(best, pa.string()), pa.array(found, pa.list_(entry))], ["doc_id", "n_paragraphs", "license", "found"])
 

@@ -149,3 +149,19 @@ def test_items_of_few_plain_words(spark):
     rows = [(1, f"Some lead: {sums} and a tail", 1), (2, f"some words. {names} More words.", 2), (3, f"Lead: {other} and a tail", None), (4, "12 7", None), (5, names.lower(), 2), (6, None, None), (7, f"{other} {sums}", 1)]
     got = {r["doc_id"]: r["item_id"] for r in decontamination.decontaminate(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), items).collect()}
     assert got == {k: i for k, _, i in rows}
+
+
+def test_wrapped_licenses(spark, small):
+    import textwrap
+
+    model = licenses.train(spark.read.parquet(f"{small}/documents.parquet"))
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    apache = licenses.TEMPLATES["apache-2.0"][1]
+    word = "the thing and of onon ther with is was tion in the and"
+    rows = [(1, f"MIT License\n\nCopyright (c) 2020 A Person\n\n{mit}\n\nThe above notice", "mit"), (2, "\n".join(f"# {x}" for x in textwrap.wrap(gpl, 40)), "gpl-3.0"), (3, "\n".join(textwrap.wrap(apache, 30)), "apache-2.0")]
+    rows += [(10 + k, f"{'and the of ' * 30}"[: 3 * k] + "\n" + " ".join(["thing"] * (40 + k)) + " " + apache + " " + word, "apache-2.0") for k in range(0, 24, 4)]
+    rows += [(40, "\n".join([word] * 30), None), (41, "She got her driving\nlicense last year", None)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), model).collect()}
+    assert {k: r["license"] for k, r in got.items()} == {k: e for k, _, e in rows}
+    assert got[1]["found"][0]["line"] == 4 and len(got[1]["found"]) == 1
