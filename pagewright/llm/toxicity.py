@@ -8,7 +8,8 @@ plain and for each hundred words, give the score through a logistic function.
 Lexicon, weights, exceptions and the logistic function are learned from labelled rows: an entry must be so much more
 frequent in toxic texts that chance explains it less than once in a hundred runs; of nested beginnings of a word the
 strongest is taken. At most ``max_toxic`` and ``max_clean`` labelled documents are used (chosen by a
-hash of the id).
+hash of the id). Exception phrases are learned from all hits of these texts: phrases of five clean ones and no toxic one, the
+``max_exceptions`` most frequent (ten for each of ``max_clean`` by default), ties in order of the phrase.
 
 Defined results: a null or empty text has no hits and gets the score of no hits; a null label isn't learned from;
 without toxic labels every score is the share of toxic ones (0). Rows that repeat are scored alike. Extra columns are ignored.
@@ -17,10 +18,13 @@ without toxic labels every score is the share of toxic ones (0). Rows that repea
 from __future__ import annotations
 
 import math
+import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache, partial
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -51,6 +55,7 @@ class ToxParams:
     least_odds: float = 3.0
     candidates: int = 10_000_000  # entries that could be tried; sets how strong one must be
     exceptions: tuple[str, ...] = ()
+    max_exceptions: int = 100_000
 
 
 @dataclass
@@ -159,13 +164,19 @@ class Matcher:
                 free.append((start, end))
             else:
                 best[start] = max(w, best.get(start, w))
-        return [(p, w) for p, w in sorted(best.items()) if not any(a <= p < b for a, b in free)]
+        free.sort()
+        reach = list(accumulate((b for _, b in free), max))
+        within = lambda p: bool(k := bisect_right(free, (p, len(folded) + 1))) and p < reach[k - 1]
+        return [(p, w) for p, w in sorted(best.items()) if not within(p)]
 
 
 def _features(weight: float, words: int) -> tuple[float, float]:
     return math.log1p(weight), math.log1p(100 * weight / max(words, 1))
 
 
+_TWO_WORDS = re.compile(r"\s*(\S+)(?:\s+(\S+))?")
+
+
 def _measure(batches: Iterator[pa.RecordBatch], model: ToxModel) -> Iterator[pa.RecordBatch]:
     """id, text -> id, hits, weight, words, phrases around the hits."""
     matcher = Matcher(model)
@@ -177,8 +188,8 @@ def _measure(batches: Iterator[pa.RecordBatch], model: ToxModel) -> Iterator[pa.
             weight.append(sum(w for _, w in found))
             words.append(len(text.split()))
             around = set()
-            for p, _ in found[:50]:
-                own = text[p:].split(None, 2)[:2]
+            for p, _ in found:
+                own = [x for x in _TWO_WORDS.match(text, p).groups() if x]
                 before = text[max(0, p - 40) : p].split()[-1:]
                 around |= {" ".join(own)} | {" ".join([*before, own[0]])}
             phrases.append([x for x in around if " " in x])
@@ -228,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxParams = ToxParams()) -
     model = ToxModel(choose_entries(rows, toxic, clean), list(params.exceptions))
     measured = stage_table(some.mapInArrow(partial(_measure, model=model), "toxic int, hits long, weight double, words long, phrases array<string>"), "tox-measured")
     phrases = measured.select("toxic", F.explode(F.array_distinct("phrases")).alias("p")).groupBy("p").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    free = [r["p"] for r in phrases.where((F.col("t") == 0) & (F.col("n") >= 5)).orderBy(F.desc("n")).limit(1000).collect()]
+    free = [r["p"] for r in phrases.where((F.col("t") == 0) & (F.col("n") >= 5)).orderBy(F.desc("n"), "p").limit(params.max_exceptions).collect()]
     if free:
         model.exceptions += free
         measured = some.mapInArrow(partial(_measure, model=model), "toxic int, hits long, weight double, words long, phrases array<string>")

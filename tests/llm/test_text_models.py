@@ -165,3 +165,18 @@ def test_wrapped_licenses(spark, small):
     got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), model).collect()}
     assert {k: r["license"] for k, r in got.items()} == {k: e for k, _, e in rows}
     assert got[1]["found"][0]["line"] == 4 and len(got[1]["found"]) == 1
+
+
+def test_exceptions_of_all_hits():
+    import pyarrow as pa
+
+    model = toxicity.ToxModel({" trash": 2.0}, ["trash can", "of trash"])
+    text = " ".join(f"w{k} trash x{k}" for k in range(200)) + " a trash can and sort of trash trash"
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([text])], ["id", "text"])
+    (row,) = next(toxicity._measure(iter([batch]), model)).to_pylist()
+    folded = toxicity.fold([text])[0]
+    free = [(m, m + len(x) + 1) for x in model.exceptions for m in range(len(folded)) if folded.startswith(f" {x} ", m)]
+    hits = [m for m in range(len(folded)) if folded.startswith(" trash", m) and not any(a <= m < b for a, b in free)]
+    assert row["hits"] == len(hits) == 201
+    words = folded.split()
+    assert set(row["phrases"]) == {f"{a} {b}" for a, b, m in zip(words, words[1:], range(len(words))) if ("trash" in (a, b)) and m < 600} | {"trash trash"}
