@@ -1,22 +1,24 @@
 """Operator 6: removal of repeated substrings with suffix arrays.
 
-A byte goes if it lies in a string of width bytes that begins anywhere else too. Comparing every position of a corpus
-with every other is avoided without losing one:
+A symbol goes if it lies in a string of width symbols that begins anywhere else too. Symbols are bytes, or words with
+``unit`` "words" (case counts, white space between words doesn't): words are compared by 64-bit hashes, bytes as they are.
+Comparing every position of a corpus with every other is avoided without losing one:
 
-1. Every window of width bytes picks the least hash among its k-grams (its anchor). Equal windows pick equal anchors at
+1. Every window of width symbols picks the least hash among its k-grams (its anchor). Equal windows pick equal anchors at
    equal places, so windows are compared only within one anchor hash. Each window belongs to exactly one anchor.
 2. The windows of an anchor occurrence span a segment. Segments that occur twice as a whole are repeated throughout; this
    is a count with map-side sums, so large groups of copies collapse before the shuffle. Anchors that occur once have
    nothing repeated.
 3. What is left, anchors with several different segments, goes to shards by anchor. Each shard builds a suffix array
-   (Larsson-Sadakane refinement), its common prefixes (Kasai) and marks windows of equal width bytes; an anchor with more
+   (Larsson-Sadakane refinement), its common prefixes (Kasai) and marks windows of width equal symbols; an anchor with more
    bytes than a shard holds is cut into shards that are merged by binary search.
 4. An anchor with more than ``group_limit`` different segments is split first: windows are halved by their place
    relative to the anchor, and segments are regrouped by the bytes that all windows of a half share.
 
 Defined results: a null text is empty; texts shorter than width lose nothing; rows that repeat id and text count as
 two documents and both lose what they share. A null id is allowed. Where removal cuts a UTF-8 character in two,
-``remove_repeats`` drops the bytes that are left of it. Extra columns are kept by ``remove_repeats``.
+``remove_repeats`` drops the bytes that are left of it. Words go with the white space behind them. Extra columns are kept
+by ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -33,30 +35,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import MAX_FILTER_BITS, bitmap, filter_bits, release, stage_table, table, with_matches
-from ._vec import _PLAIN, U, mix, powers
+from ._vec import _PLAIN, U, mix, powers, run_hashes, word_bounds
 from .suffix_array import repeated_starts
 
 
 @dataclass(frozen=True)
 class SubstringParams:
-    """max_filter_bits bounds the bit map that is broadcast; with more keys than it can tell apart, the shards only get more segments."""
+    """width and gram count symbols: bytes or words, by unit. max_filter_bits bounds the bit map that is broadcast; with more keys
+    than it can tell apart, the shards only get more segments."""
 
     width: int = 400
     gram: int = 100
+    unit: str = "bytes"
     group_limit: int = 4096
     shard_bytes: int = 1 << 20
     max_filter_bits: int = MAX_FILTER_BITS
 
+    @property
+    def symbol_bytes(self) -> int:
+        return 8 if self.unit == "words" else 1
 
-def anchors(data: bytes, p: SubstringParams) -> tuple[np.ndarray, ...]:
+
+#: Repeated passages of running text: 50 words and more.
+PASSAGES = SubstringParams(width=50, gram=12, unit="words")
+
+
+def symbols(text: bytes, p: SubstringParams) -> tuple[np.ndarray, bytes]:
+    """A number for each symbol of the text, and the symbols as bytes, symbol_bytes each."""
+    buf = np.frombuffer(text, np.uint8)
+    if p.unit == "bytes":
+        return _PLAIN[buf], text
+    words = run_hashes(buf, *word_bounds(buf), fold=False)
+    return words, words.tobytes()
+
+
+def anchors(values: np.ndarray, p: SubstringParams) -> tuple[np.ndarray, ...]:
     """Of each anchor: hash, place, first and last window that picked it (the rightmost least k-gram of the window)."""
-    n, w = len(data), p.width - p.gram + 1
+    n, w = len(values), p.width - p.gram + 1
     if n < p.width:
         none = np.empty(0, np.int64)
         return none.astype(np.uint64), none, none, none, np.zeros(1, np.uint64)
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_PLAIN[np.frombuffer(data, np.uint8)] * up[:n], out=total[1:])
+    np.cumsum(values * up[:n], out=total[1:])
     h = mix((total[p.gram :] - total[: -p.gram]) * down[: n - p.gram + 1])
     m = len(h)
     blocks = np.concatenate([h, np.full(-m % w, ~U(0))]).reshape(-1, w)
@@ -109,7 +130,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], p: SubstringParams) -> Itera
     for batch in batches:
         parts = []
         for dk, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2)), strict=True):
-            f, place, lo, hi, total = anchors(text, p)
+            f, place, lo, hi, total = anchors(symbols(text, p)[0], p)
             if len(f):
                 e = _segment_hashes(total, place, lo, hi, p)
                 parts.append((np.full(len(f), dk), np.full(len(f), th), f.view(np.int64), e.view(np.int64), place, lo, hi))
@@ -132,14 +153,15 @@ def _segments(batches: Iterator[pa.RecordBatch], p: SubstringParams, held: Broad
     for batch in batches:
         out, size = [], 0
         for dk, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2)), strict=True):
-            f, place, lo, hi, total = anchors(text, p)
+            values, data = symbols(text, p)
+            f, place, lo, hi, total = anchors(values, p)
             if not len(f):
                 continue
             e = _segment_hashes(total, place, lo, hi, p)
             bit = _key(f.view(np.int64), e.view(np.int64), place, dk, th) & ((1 << bits) - 1)
             hit = np.flatnonzero(bits_set[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
             for k in hit.tolist():
-                seg = text[lo[k] : hi[k] + p.width]
+                seg = data[lo[k] * p.symbol_bytes : (hi[k] + p.width) * p.symbol_bytes]
                 out.append((f[k].view(np.int64).item(), dk, th, int(place[k]), int(lo[k]), int(hi[k]), seg))
                 size += len(seg)
             if size > 4 << 20:
@@ -170,10 +192,11 @@ def _covered(rows: list[tuple], p: SubstringParams) -> tuple[list, ...]:
     """rows: (f, dk, th, p, lo, hi, seg). The covered ranges (dk, th, from, to)."""
     f = np.array([r[0] for r in rows], np.int64)
     at, lo, hi = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
-    rel = at - lo
+    one, width = p.symbol_bytes, p.width * p.symbol_bytes
+    rel = (at - lo) * one
     segs = [r[6] for r in rows]
-    right = _reach(f, [s[r:] for s, r in zip(segs, rel.tolist(), strict=True)], p.width)
-    left = _reach(f, [s[:r][::-1] or b"\0" for s, r in zip(segs, rel.tolist(), strict=True)], p.width)
+    right = _reach(f, [s[r:] for s, r in zip(segs, rel.tolist(), strict=True)], width) // one
+    left = _reach(f, [s[:r][::-1] or b"\0" for s, r in zip(segs, rel.tolist(), strict=True)], width) // one
     # windows that reach farther than any other segment agrees can't be repeated
     a = np.where(left < 0, 1, np.maximum(lo, at - left))
     b = np.where(left < 0, 0, np.minimum(hi, at + right - p.width))
@@ -182,14 +205,14 @@ def _covered(rows: list[tuple], p: SubstringParams) -> tuple[list, ...]:
         return [], [], [], []
     texts, asked = [], []
     for k in use.tolist():
-        s, n = int(a[k] - lo[k]), int(b[k] - a[k])
-        texts.append(np.frombuffer(segs[k], np.uint8)[s : s + n + p.width])
-        mask = np.zeros(n + p.width, bool)
-        mask[: n + 1] = True
+        s, n = int(a[k] - lo[k]) * one, int(b[k] - a[k]) * one
+        texts.append(np.frombuffer(segs[k], np.uint8)[s : s + n + width])
+        mask = np.zeros(n + width, bool)
+        mask[: n + 1 : one] = True
         asked.append(mask)
     out: tuple[list, ...] = ([], [], [], [])
-    for k, mask in zip(use.tolist(), repeated_starts(texts, asked, p.width, p.shard_bytes), strict=True):
-        edge = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
+    for k, mask in zip(use.tolist(), repeated_starts(texts, asked, width, p.shard_bytes), strict=True):
+        edge = np.flatnonzero(np.diff(mask[::one].astype(np.int8), prepend=0, append=0))
         for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             for c, v in zip(out, (rows[k][1], rows[k][2], int(a[k]) + s, int(a[k]) + e - 1 + p.width), strict=True):
                 c.append(v)
@@ -229,13 +252,14 @@ def _status(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _halves(rows: DataFrame, p: SubstringParams) -> DataFrame:
-    """rows: f, dk, th, p, lo, hi, seg, near, far: windows near to far bytes before the anchor. Each half of them, regrouped
-    by the bytes that all windows of the half have."""
+    """rows: f, dk, th, p, lo, hi, seg, near, far: windows near to far symbols before the anchor. Each half of them, regrouped
+    by the symbols that all windows of the half have."""
     mid = F.floor((F.col("near") + F.col("far")) / 2).cast("int")
     halves = F.array(F.struct(F.col("near").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("far").alias("b")))
     x = rows.withColumn("_half", F.explode(halves)).select("*", "_half.a", "_half.b").where("a <= b").drop("_half")
     x = x.withColumn("o1", F.greatest("a", F.col("p") - F.col("hi"))).withColumn("o2", F.least("b", F.col("p") - F.col("lo"))).where("o1 <= o2")
-    piece = lambda s, n: F.col("seg").substr((s - F.col("lo") + 1).cast("int"), n.cast("int"))
+    one = p.symbol_bytes
+    piece = lambda s, n: F.col("seg").substr(((s - F.col("lo")) * one + 1).cast("int"), (n * one).cast("int"))
     core = piece(F.col("p") - F.col("a"), F.lit(p.width) - (F.col("b") - F.col("a")))
     own = piece(F.col("p") - F.col("o2"), F.lit(p.width) + F.col("o2") - F.col("o1"))
     x = x.withColumn("g", F.xxhash64("f", "a", "b", core)).withColumn("own", own)
@@ -245,7 +269,7 @@ def _halves(rows: DataFrame, p: SubstringParams) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, p: SubstringParams = SubstringParams()) -> DataFrame:
-    """docs: dk, th, text. (dk, th, ranges): the byte ranges (s, t) of that text that are covered by repeated strings; they
+    """docs: dk, th, text. (dk, th, ranges): the ranges (s, t) of symbols of that text that are covered by repeated strings; they
     may overlap. The tables that lead there are deleted."""
     spark = docs.sparkSession
     temporary: list[DataFrame] = []
@@ -295,13 +319,17 @@ def repeated_ranges(docs: DataFrame, p: SubstringParams = SubstringParams()) ->
     return done(out.unionByName(kept(stage_table(sharded, "sub-covered"))))
 
 
-def _merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
+def _merged(text: bytes, ranges: list[dict] | None, p: SubstringParams) -> list[tuple[int, int]]:
+    """The ranges as maximal runs of bytes; words with the white space up to the next word."""
     out: list[list[int]] = []
     for s, t in sorted((r["s"], r["t"]) for r in ranges or ()):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], t)
         else:
             out.append([s, t])
+    if out and p.unit == "words":
+        at = np.append(word_bounds(np.frombuffer(text, np.uint8))[0], len(text)).tolist()
+        return [(at[s], at[t]) for s, t in out]
     return [(s, t) for s, t in out]
 
 
@@ -313,9 +341,10 @@ def _kept(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[last:]])
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], p: SubstringParams) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, ranges = _texts(batch.column(1)), [_merged(r) for r in batch.column(2).to_pylist()]
+        texts = _texts(batch.column(1))
+        ranges = [_merged(t, r, p) for t, r in zip(texts, batch.column(2).to_pylist(), strict=True)]
         cut = [sum(t - s for s, t in r) for r in ranges]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(cut, pa.int64()), pa.array([len(r) for r in ranges], pa.int64()), pa.array([hashlib.sha256(_kept(t, r)).hexdigest() for t, r in zip(texts, ranges, strict=True)])],
@@ -323,10 +352,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _shortened(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
+def _shortened(batches: Iterator[pa.RecordBatch], text_at: int, p: SubstringParams) -> Iterator[pa.RecordBatch]:
     """Replace the text by what is left; the last column has the ranges."""
     for batch in batches:
-        texts, ranges = _texts(batch.column(text_at)), [_merged(r) for r in batch.column(batch.num_columns - 1).to_pylist()]
+        texts = _texts(batch.column(text_at))
+        ranges = [_merged(t, r, p) for t, r in zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
         new = pa.array([_kept(t, r).decode("utf-8", "ignore") if r else None for t, r in zip(texts, ranges, strict=True)], pa.string())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], new], [*batch.schema.names[:-1], "_left"])
 
@@ -346,7 +376,7 @@ def _with_ranges(docs: DataFrame, p: SubstringParams) -> DataFrame:
 def substring_digests(docs: DataFrame, p: SubstringParams = SubstringParams()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
     found = _with_ranges(docs.select("doc_id", "text"), p).select("doc_id", "text", "_ranges")
-    return found.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(partial(_digests, p=p), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams()) -> DataFrame:
@@ -354,7 +384,7 @@ def remove_repeats(docs: DataFrame, p: SubstringParams = SubstringParams()) -> D
     columns = docs.columns
     found = _with_ranges(docs, p).select(*columns, "_ranges")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _left string"
-    cut = found.mapInArrow(partial(_shortened, text_at=columns.index("text")), schema)
+    cut = found.mapInArrow(partial(_shortened, text_at=columns.index("text"), p=p), schema)
     out = {"text": F.coalesce("_left", "text")}
     if "n_chars" in columns:
         out["n_chars"] = F.when(F.col("_left").isNull(), F.col("n_chars")).otherwise(F.length("_left").cast("long"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter, defaultdict
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,18 +83,23 @@ def test_components(spark, seed):
     assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
 
 
-def brute_repeats(texts, width=400):
-    data = [(t or "").encode() for t in texts]
-    seen = defaultdict(int)
+def brute_covered(data, width):
+    """Of each sequence, which places lie in a window of width that occurs twice or more."""
+    key = lambda d, i: hash(tuple(d[i : i + width]) if isinstance(d, list) else d[i : i + width])  # noqa: E731  64 bits
+    seen = Counter(key(d, i) for d in data for i in range(len(d) - width + 1))
     for d in data:
+        gone, until = bytearray(len(d)), 0
         for i in range(len(d) - width + 1):
-            seen[d[i : i + width]] += 1
+            if seen[key(d, i)] > 1:
+                gone[max(i, until) : i + width] = b"\1" * (i + width - max(i, until))
+                until = i + width
+        yield gone
+
+
+def brute_repeats(texts, width=400):
+    data = [(t or "").encode() for t in texts]
     out = []
-    for d in data:
-        gone = bytearray(len(d))
-        for i in range(len(d) - width + 1):
-            if seen[d[i : i + width]] > 1:
-                gone[i : i + width] = b"\1" * width
+    for d, gone in zip(data, brute_covered(data, width), strict=True):
         kept = bytes(c for c, g in zip(d, gone, strict=True) if not g)
         spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
         out.append((len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
@@ -103,7 +109,7 @@ def brute_repeats(texts, width=400):
 @pytest.mark.parametrize("limit", [4096, 2])
 def test_repeats_awkward(docs, no_docs, limit):
     p = substring_dedup.SubstringParams(group_limit=limit, shard_bytes=1 << 12)
-    some = docs.where("doc_id is null or doc_id <> 7")
+    some = docs
     rows = some.select("doc_id", "text").collect()
     expected = Counter((r["doc_id"], *e) for r, e in zip(rows, brute_repeats([r["text"] for r in rows]), strict=True))
     got = substring_dedup.substring_digests(some, p).collect()
@@ -131,12 +137,66 @@ def test_repeats_of_a_hot_passage(spark, limit):
 
 
 def test_repeats_fixture(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").where("length(text) < 3000")
+    docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
     expected = {r["doc_id"]: e for r, e in zip(rows, brute_repeats([r["text"] for r in rows]), strict=True)}
     assert {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.substring_digests(docs).collect()} == expected
 
 
+def brute_passages(texts, width=50):
+    """Texts without the words of passages that occur twice; a word goes with the white space behind it."""
+    found = [list(re.finditer(r"[^\x20\x09-\x0D]+", t)) for t in texts]
+    out = []
+    for t, m, gone in zip(texts, found, brute_covered([[x[0] for x in m] for m in found], width), strict=True):
+        if not any(gone):
+            out.append(t)
+            continue
+        parts = [t[: m[0].start()]]
+        for k, x in enumerate(m):
+            if not gone[k]:
+                parts.append(t[x.start() : m[k + 1].start() if k + 1 < len(m) else len(t)])
+        out.append("".join(parts))
+    return out
+
+
+@pytest.mark.parametrize("limit", [4096, 2])
+def test_passages_awkward(docs, no_docs, limit):
+    from dataclasses import replace
+
+    p = replace(substring_dedup.PASSAGES, group_limit=limit, shard_bytes=1 << 12)
+    rows = docs.collect()
+    cut = brute_passages([r["text"] or "" for r in rows])
+    got = substring_dedup.remove_repeats(docs, p)
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"] or "") for r in got.collect()) == Counter((r["doc_id"], t) for r, t in zip(rows, cut, strict=True))
+    assert sum(t != (r["text"] or "") for r, t in zip(rows, cut, strict=True)) >= 8
+    assert substring_dedup.remove_repeats(no_docs, p).collect() == []
+
+
+@pytest.mark.parametrize("limit", [4096, 3])
+def test_passages_under_400_bytes(spark, limit):
+    """Short words, other line breaks, runs of one word, a passage of 49 words that stays."""
+    import random
+    from dataclasses import replace
+
+    r = random.Random(8)
+    words = lambda n: [r.choice("abcdefgh") * r.randrange(1, 4) for _ in range(n)]
+    passage, short = words(51), words(49)
+    rows = [(n, " ".join(words(r.randrange(60))) + "\n" + r.choice(" \n").join(passage) + " \t" + " ".join(words(r.randrange(60)))) for n in range(30)]
+    rows += [(100 + n, " ".join([*words(70), f"before{n}", *short, f"after{n}", *words(70)])) for n in range(3)] + [(200, "the " * 130), (201, "x " + "the " * 49)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in substring_dedup.remove_repeats(docs, replace(substring_dedup.PASSAGES, group_limit=limit)).collect()}
+    assert got == {i: t for (i, _), t in zip(rows, brute_passages([t for _, t in rows]), strict=True)}
+    assert all(" ".join(passage) not in " ".join(got[n].split()) for n in range(30)) and all(got[i] == t for i, t in rows[30:33])
+
+
+def test_passages_fixture(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(docs, substring_dedup.PASSAGES).collect()}
+    assert got == {r["doc_id"]: t for r, t in zip(rows, brute_passages([r["text"] for r in rows]), strict=True)}
+
+
 def test_utf8_cut(spark):
     shared = "é" * 250
     docs = spark.createDataFrame([(1, "x" + shared + "ñ"), (2, "y" + shared + "ó")], "doc_id long, text string")
