@@ -20,8 +20,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: passages that occur more than once go from the texts."""
-    return substring_dedup.remove_repeats(docs)
+    """Operator 6: passages of 50 words and more that occur more than once go from the texts."""
+    return substring_dedup.remove_repeats(docs, substring_dedup.PASSAGES)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
