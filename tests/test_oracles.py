@@ -40,3 +40,25 @@ def test_entry(spark):
     import __spark_entry__
 
     assert len(__spark_entry__.entry(spark).columns) == 3
+
+
+def test_entry_without_llm(tmp_path):
+    """The rest works on a copy without the operators for training data, with and without the pipeline's module."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root / "pagewright", copy / "pagewright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q); assert not [n for n in q if n == 'pipeline' or n.startswith('op')]"
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, copy)
+    for left in (False, True):
+        if left:  # an empty folder that a deletion left behind
+            (copy / "pagewright" / "llm" / "__pycache__").mkdir(parents=True)
+        subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)
+    (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)
