@@ -1,15 +1,22 @@
 """Operator 10: main text of web pages with wrappers induced from pages of the same host.
 
-Induction: up to ``exemplars`` pages of a host (chosen by a hash of the page id; pages whose text is the same count once, so
-that copies of an article don't make it template) are parsed to trees and aligned with the first of them by simple tree matching. A node that is matched often and has the same text nearly always is template,
-nodes whose text varies are slots. The wrapper of a host is the set of its template nodes, as hashes of place and text.
-
-Extraction: a page's tree loses scripts, styles, forms, navigation, page headers and footers, sidebars, notices, adverts
-and comments (by element, role and class or id), and its host's template nodes; the rest of the main element, else of the
-articles, else of the body without blocks of links, is the text: blocks in page order, white space squeezed.
+Induction: ``exemplars`` pages of each layout of a host, and as many of the host as a whole (chosen by a hash of the page id; pages
+whose text is the same count once, so that copies of an article don't make it template), are parsed to trees and aligned with
+the first of them by simple tree matching, whatever their size. A node that is matched often and has the same text nearly
+always is template; nodes whose text varies are slots. The wrapper has the template nodes, as hashes of place and text, and
+the region that holds the content: from the root down, the only container of its kind that has most of the text in slots (not in
+links, not in what extraction loses below), as long as no varying heading is left outside; an article element ends the way.
+A layout is the set of the tags and classes of a page's containers.
+
+Extraction: a page's text is that of the nodes at the region of its layout's wrapper, else of its host's, without template nodes. A page
+without wrapper, or without text there, gives that of its articles, else of the main element, else of the body without blocks of
+links. Scripts, styles, forms, navigation, page headers and footers, sidebars, notices, adverts and comments (by element, role and
+class or id) are lost everywhere; words that may name parts of an article too count within one only where the class
+says no more (``legal``, not ``legal-text``) and the element is no table or paragraph. Blocks come in page order, white space squeezed.
 
 Defined results: a null or empty html gives an empty text; a null or unreadable url is a host without wrapper; markup
-that isn't closed ends with the page; rows that repeat are extracted alike. Extra columns are ignored.
+that isn't closed ends with the page, a tag whose quote isn't closed at its first >; nesting may be of any depth; rows that repeat
+are extracted alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +27,13 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
+from statistics import median
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import only_ids, stage_table, table
@@ -31,15 +41,21 @@ from ._common import only_ids, stage_table, table
 
 @dataclass(frozen=True)
 class HtmlParams:
+    """exemplars: pages that a wrapper is induced from, least_matches: the fewest that do. share: the part of the text in slots that a
+    region must have of what is around it. link_density: the part of a block's text in links beyond which it isn't text, outside of
+    article and main elements."""
+
     exemplars: int = 8
     least_matches: int = 4
-    max_nodes: int = 400
+    share: float = 0.75
     link_density: float = 0.6
 
 
+#: A quoted value ends where white space, / or > follows its quote.
+_VALUES = r"(?:\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|[^'\">])*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|audio|video)\b(?P<rawattrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?<!/)>"
-    r".*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|audio|video)\b(?:{_VALUES}(?=>)|[^>]*)(?<!/)>"
+    rf".*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_VALUES}(?=>|\Z)|[^>]*)(?:>|\Z)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -58,6 +74,11 @@ MARKS = {
     "gdpr", "notice", "notices", "notification", "notifications", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "signin", "search", "searchbox",
     "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "footer", "masthead", "topbar", "pagination", "pager", "copyright", "legal", "disclaimer", "skip", "toolbar", "paywall", "form",
 }
+#: Those of them that may name a part of an article.
+UNSURE = {"legal", "form", "notice", "notices", "search", "share", "sharing", "alert", "banner", "copyright", "disclaimer", "widget", "skip", "login", "footer", "related", "reply", "respond"}
+TEXTUAL = {"table", "thead", "tbody", "tr", "td", "th", "p", "blockquote", "pre", "dl", "dt", "dd", "li", "figure", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"}
+ARTICLE = ("article", "main")
+CONTAINERS = {"div", "section", "article", "main", "table", "tbody", "tr", "td", "center"}
 COMMENTS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
 HEADERS = {"header", "site", "page", "top", "masthead", "banner"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
@@ -69,19 +90,25 @@ class Node:
     tag: str
     attrs: dict[str, str]
     children: list = field(default_factory=list)  # Node, or (text, in a link)
-    place: str = ""
 
     def key(self) -> str:
-        return f"{self.tag}.{self.attrs.get('class', '')}#{self.attrs.get('id', '')}"
+        """What nodes must have in common to be matched; numbers in class and id don't count."""
+        if self.tag == "html" or not self.attrs:
+            return self.tag
+        return re.sub(r"\d+", "0", f"{self.tag}.{self.attrs.get('class', '')}#{self.attrs.get('id', '')}")
 
     def own_text(self) -> str:
         return " ".join(html_lib.unescape("".join(c[0] for c in self.children if isinstance(c, tuple))).split())
 
+    def nodes(self) -> list[Node]:
+        return [c for c in self.children if isinstance(c, Node)]
+
 
 def parse(html: str) -> Node:
     """The tree of block elements; inline elements are dissolved in the text of their block."""
     root = Node("html", {})
     stack = [root]
+    opened: Counter = Counter()  # open elements by tag: no search for one that isn't there
     links = 0
     at = 0
 
@@ -89,6 +116,11 @@ def parse(html: str) -> Node:
         if piece:
             stack[-1].children.append((piece, links > 0))
 
+    def end(k: int) -> None:
+        for n in stack[k:]:
+            opened[n.tag] -= 1
+        del stack[k:]
+
     for m in _TOKEN.finditer(html):
         if m.start() > at:
             text(html[at : m.start()])
@@ -109,27 +141,27 @@ def parse(html: str) -> Node:
             continue
         links = 0
         if m["close"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if opened[tag] > 0:
+                end(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag in ("html", "body"):
             root.attrs |= _attrs(m["attrs"])
             continue
         if tag in _CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in _CLOSES[tag]:
-                    del stack[k:]
-                    break
-                if stack[k].tag in _SCOPE:
-                    break
+            if any(opened[t] > 0 for t in _CLOSES[tag]):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in _CLOSES[tag]:
+                        end(k)
+                        break
+                    if stack[k].tag in _SCOPE:
+                        break
         elif stack[-1].tag == "p":  # a block ends a paragraph
-            stack.pop()
+            end(len(stack) - 1)
         node = Node(tag, _attrs(m["attrs"]))
         stack[-1].children.append(node)
         if not m["attrs"].rstrip().endswith("/") or tag in ("p", "div", "section", "article"):
             stack.append(node)
+            opened[tag] += 1
     if at < len(html):
         rest = html[at:]
         cut = re.search(r"<[a-zA-Z/!?]", rest)
@@ -155,137 +187,338 @@ def _words(attrs: dict[str, str]) -> set[str]:
 def dropped(node: Node, inside: bool) -> bool:
     """Isn't the node part of the article? inside: it is below an article or main element."""
     tag, attrs = node.tag, node.attrs
-    if tag in DROPPED or attrs.get("role", "").lower() in ROLES:
+    if tag in DROPPED:
+        return True
+    if not attrs:
+        return tag == "header" and not inside
+    if attrs.get("role", "").lower() in ROLES:
         return True
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
     words = _words(attrs)
-    if tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "") == "articleBody":
+    if tag in ARTICLE or attrs.get("role", "").lower() in ARTICLE or attrs.get("itemprop", "") == "articleBody":
         return bool(words & (COMMENTS | {"ad", "ads", "advert", "advertisement", "teaser", "related", "promo", "sponsored"}))
     if tag == "header" and not inside:
         return True
     if "header" in words and not inside and tag == "div":
         return True
-    return bool(words & MARKS)
+    marks = words & MARKS
+    if marks and inside and marks <= UNSURE:
+        return tag not in TEXTUAL and (words <= MARKS or not words & {"text", "body", "content", "entry", "story", "article", "post", "section", "copy", "box"})
+    return bool(marks)
+
+
+def is_article(node: Node) -> bool:
+    return node.tag in ARTICLE or node.attrs.get("role", "").lower() in ARTICLE or node.attrs.get("itemprop", "") == "articleBody"
 
 
-def blocks(node: Node, constant: set[int], inside: bool = False) -> list[tuple[str, float]]:
-    """Texts of the blocks below node, with the share of each that is in links."""
-    out: list[tuple[str, float]] = []
+def place(above: int, node: Node) -> int:
+    """A hash of the keys from the root down to node."""
+    return crc32(node.key().encode("utf-8", "surrogatepass"), above)
+
+
+def hash_of(node: Node, at: int) -> int:
+    text = node.own_text()
+    return (at & 0x7FFFFFFF) << 32 | crc32(text.encode("utf-8", "surrogatepass")) if text else -1
+
+
+def blocks(node: Node, constant: frozenset[int] | set[int], at: int = 0, inside: bool = False) -> list[tuple[str, float, bool]]:
+    """Texts of the blocks below node, with the share of each that is in links, and whether it is below an article or main element.
+    constant: hashes of the template nodes; at: the node's place."""
+    out: list[tuple[str, float, bool]] = []
     run: list[tuple[str, bool]] = []
 
-    def end() -> None:
+    def end(within: bool) -> None:
         if run:
             whole = " ".join(html_lib.unescape("".join(t for t, _ in run)).split())
             if whole:
                 linked = sum(len(t.strip()) for t, a in run if a)
-                out.append((whole, linked / max(1, sum(len(t.strip()) for t, _ in run))))
+                out.append((whole, linked / max(1, sum(len(t.strip()) for t, _ in run)), within))
             run.clear()
 
-    inside = inside or node.tag in ("article", "main")
-    template = bool(constant) and hash_of(node) in constant
-    for c in node.children:
-        if isinstance(c, tuple):
-            if not template:
-                run.append(c)
+    stack = [(iter(node.children), bool(constant) and hash_of(node, at) in constant, inside or is_article(node), at)]
+    while stack:
+        rest, template, within, own = stack[-1]
+        for c in rest:
+            if isinstance(c, tuple):
+                if not template:
+                    run.append(c)
+            else:
+                end(within)
+                if not dropped(c, within):
+                    here = place(own, c) if constant else 0
+                    stack.append((iter(c.children), bool(constant) and hash_of(c, here) in constant, within or is_article(c), here))
+                    break
         else:
-            end()
-            if not dropped(c, inside):
-                out += blocks(c, constant, inside)
-    end()
+            end(within)
+            stack.pop()
     return out
 
 
-def placed(root: Node) -> list[Node]:
-    """All nodes, with their places: the keys from the root down."""
-    out, todo = [], [root]
+class _Shapes:
+    """Trees by their shape: one number for all nodes whose subtrees have equal keys throughout."""
+
+    def __init__(self):
+        self.number: dict[tuple, int] = {}
+        self.keys: list[str] = []
+        self.below: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        self.weights: dict[tuple[int, int], int] = {}
+
+    def add(self, root: Node) -> dict[int, int]:
+        """The shape of each node, by id()."""
+        order = [root]
+        for n in order:
+            order += n.nodes()
+        shape: dict[int, int] = {}
+        for n in reversed(order):
+            below = tuple(shape[id(c)] for c in n.nodes())
+            own = (n.key(), below)
+            if own not in self.number:
+                self.number[own] = len(self.keys)
+                self.keys.append(own[0])
+                self.below.append(below)
+                self.size.append(1 + sum(self.size[c] for c in below))
+            shape[id(n)] = self.number[own]
+        return shape
+
+    def middle(self, x: int, y: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
+        """How many children are of equal shape at the front, and the children between these and those of equal shape at the end. To match equal
+        ones there costs nothing: no other match of them is larger."""
+        p, q = self.below[x], self.below[y]
+        n, front = min(len(p), len(q)), 0
+        while front < n and p[front] == q[front]:
+            front += 1
+        back = 0
+        while back < n - front and p[-1 - back] == q[-1 - back]:
+            back += 1
+        return front, p[front : len(p) - back], q[front : len(q) - back]
+
+    def known(self, x: int, y: int) -> int | None:
+        if self.keys[x] != self.keys[y]:
+            return 0
+        return self.size[x] if x == y else self.weights.get((x, y))
+
+    def weight(self, x: int, y: int) -> int:
+        """Size of the largest match of shapes x and y, those of their children first."""
+        todo = [(x, y)]
+        while todo:
+            a, b = todo[-1]
+            if self.known(a, b) is not None:
+                todo.pop()
+                continue
+            front, p, q = self.middle(a, b)
+            lacking = [(c, d) for c in set(p) for d in set(q) if self.known(c, d) is None]
+            if lacking:
+                todo += lacking
+                continue
+            todo.pop()
+            back = len(self.below[a]) - front - len(p)
+            ends = self.below[a]
+            equal = sum(self.size[c] for c in (*ends[:front], *ends[len(ends) - back :]))
+            self.weights[a, b] = 1 + equal + (int(_last_row(self.table(p, q))[-1]) if p and q else 0)
+        return self.known(x, y)
+
+    def table(self, p: tuple[int, ...], q: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights of different shapes, and the numbers of those of p and q in them."""
+        (u, i), (v, j) = np.unique(p, return_inverse=True), np.unique(q, return_inverse=True)
+        return np.array([[self.weight(c, d) for d in v.tolist()] for c in u.tolist()], np.int64), i, j
+
+
+def _last_row(t: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The weights of the best matches of all of p with the beginnings of q."""
+    w, i, j = t
+    row = np.zeros(len(j) + 1, np.int64)
+    for k in i.tolist():
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w[k][j]))
+    return row
+
+
+def _aligned(t: tuple[np.ndarray, np.ndarray, np.ndarray], most: int = 1 << 22) -> list[tuple[int, int]]:
+    """The pairs of a best match; a table of more than most cells is halved (Hirschberg), so memory is linear."""
+    w, i, j = t
+    if not len(i) or not len(j):
+        return []
+    if len(i) > 1 and len(i) * len(j) > most:
+        half = len(i) // 2
+        k = int((_last_row((w, i[:half], j)) + _last_row((w, i[half:][::-1], j[::-1]))[::-1]).argmax())
+        return _aligned((w, i[:half], j[:k]), most) + [(half + a, k + b) for a, b in _aligned((w, i[half:], j[k:]), most)]
+    best = np.zeros((len(i) + 1, len(j) + 1), np.int64)
+    for r, k in enumerate(i.tolist(), 1):
+        best[r, 1:] = np.maximum.accumulate(np.maximum(best[r - 1, 1:], best[r - 1, :-1] + w[k][j]))
+    out = []
+    a, b = len(i), len(j)
+    while a and b:
+        own = w[i[a - 1], j[b - 1]]
+        if own and best[a, b] == best[a - 1, b - 1] + own:
+            a, b = a - 1, b - 1
+            out.append((a, b))
+        elif best[a, b] == best[a - 1, b]:
+            a -= 1
+        else:
+            b -= 1
+    return out[::-1]
+
+
+def simple_tree_matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+    """Size and pairs of the largest order-preserving match of two trees; none if their roots have different keys."""
+    shapes = _Shapes()
+    of = shapes.add(a) | shapes.add(b)
+    size = shapes.weight(of[id(a)], of[id(b)])
+    out, todo = [], [(a, b)] if size else []
     while todo:
-        n = todo.pop()
-        out.append(n)
-        for c in n.children:
-            if isinstance(c, Node):
-                c.place = f"{n.place}/{c.key()}"
-                todo.append(c)
-    return out
+        x, y = todo.pop()
+        out.append((x, y))
+        xs, ys = x.nodes(), y.nodes()
+        front, p, q = shapes.middle(of[id(x)], of[id(y)])
+        back = len(xs) - front - len(p)
+        todo += zip(xs[:front], ys[:front], strict=True)
+        if p and q:
+            todo += [(xs[front + i], ys[front + j]) for i, j in _aligned(shapes.table(p, q))]
+        todo += zip(xs[len(xs) - back :], ys[len(ys) - back :], strict=True)
+    return size, out
 
 
-def hash_of(node: Node) -> int:
-    import zlib
+@dataclass(frozen=True)
+class Wrapper:
+    """path: keys from below the root to the content, empty if no region was found; template: hashes of constant nodes."""
 
-    text = node.own_text()
-    return zlib.crc32(f"{node.place}\n{text}".encode("utf-8", "surrogatepass")) << 16 | min(len(text), 0xFFFF) if text else -1
+    path: tuple[str, ...] = ()
+    template: frozenset[int] = frozenset()
 
 
-def simple_tree_matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Size and pairs of the largest order-preserving match of two trees whose roots have equal keys."""
-    if a.key() != b.key():
-        return 0, []
-    x, y = ([c for c in n.children if isinstance(c, Node)] for n in (a, b))
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    pairs: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, c in enumerate(x, 1):
-        for j, d in enumerate(y, 1):
-            w = simple_tree_matching(c, d)
-            pairs[i, j] = w
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w[0])
-    out = [(a, b)]
-    i, j = len(x), len(y)
-    while i and j:
-        w, own = pairs[i, j]
-        if w and best[i][j] == best[i - 1][j - 1] + w:
-            out += own
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[len(x)][len(y)] + 1, out
-
-
-def induce(pages: list[str], p: HtmlParams = HtmlParams()) -> set[int]:
-    """The template nodes of pages of one host."""
-    trees = [parse(h) for h in pages]
-    distinct = {}  # copies tell nothing about what is template
-    for t in trees:
-        nodes = placed(t)
-        distinct.setdefault(tuple((n.place, n.own_text()) for n in nodes), (t, nodes))
-    sized = [(t, n) for t, n in distinct.values() if len(n) <= p.max_nodes]
-    if len(sized) < p.least_matches:
-        return set()
-    first = sized[0][0]
+def _placed(root: Node) -> list[tuple[Node, int, int]]:
+    """All nodes with their places and the numbers of their parents in the list (-1 for the root)."""
+    out, k = [(root, 0, -1)], 0
+    while k < len(out):
+        n, at, _ = out[k]
+        out += [(c, place(at, c), k) for c in n.nodes()]
+        k += 1
+    return out
+
+
+@dataclass
+class _Weight:
+    text: int = 0  # letters in slots, not in links
+    count: int = 0
+    headings: int = 0
+    node: Node | None = None
+    above: int = 0
+
+
+def _weights(root: Node, template: frozenset[int]) -> dict[int, _Weight]:
+    """What extraction leaves of a page, summed by place."""
+    rows = [[root, 0, -1, False, 0, 0]]  # node, place, parent, inside, text, headings
+    k = 0
+    while k < len(rows):
+        n, at, _, inside = rows[k][:4]
+        within = inside or is_article(n)
+        rows += [[c, place(at, c), k, within, 0, 0] for c in n.nodes() if not dropped(c, within)]
+        if hash_of(n, at) not in template:
+            rows[k][4] = sum(len(t.strip()) for t, link in (c for c in n.children if isinstance(c, tuple)) if not link)
+            rows[k][5] = int(rows[k][4] > 0 and n.tag in ("h1", "h2"))
+        k += 1
+    out: dict[int, _Weight] = {}
+    for n, at, parent, _, text, headings in reversed(rows):
+        w = out.setdefault(at, _Weight(node=n, above=rows[parent][1] if parent >= 0 else -1))
+        w.text, w.count, w.headings = w.text + text, w.count + 1, w.headings + headings
+        if parent >= 0:
+            rows[parent][4] += text
+            rows[parent][5] += headings
+    return out
+
+
+def _region(trees: list[Node], template: frozenset[int], p: HtmlParams) -> tuple[str, ...]:
+    """The keys on the way to the content."""
+    pages = [_weights(t, template) for t in trees]
+    known = {at: w for page in pages for at, w in page.items()}
+    below: dict[int, list[int]] = {}
+    for at, w in known.items():
+        if w.node.tag in CONTAINERS:
+            below.setdefault(w.above, []).append(at)
+    here, path = 0, []
+    nothing = _Weight()
+    while True:
+        best = None
+        for at in below.get(here, ()):
+            if sum(page.get(at, nothing).count == 1 for page in pages) < 0.8 * len(pages):
+                continue
+            share = median(page.get(at, nothing).text / max(1, page.get(here, nothing).text) for page in pages)
+            outside = sum(page.get(here, nothing).headings > page.get(at, nothing).headings for page in pages)
+            if share >= p.share and 2 * outside < len(pages) and (best is None or share > best[0]):
+                best = share, at
+        if best is None:
+            return tuple(path)
+        here = best[1]
+        path.append(known[here].node.key())
+        if known[here].node.tag == "article":
+            return tuple(path)
+
+
+def induce(pages: list[str], p: HtmlParams = HtmlParams()) -> Wrapper | None:
+    """The wrapper of pages of one layout; None if too few of them differ."""
+    distinct: dict[tuple, list] = {}  # copies tell nothing about what is template
+    for root in (parse(h) for h in pages):
+        placed = _placed(root)
+        distinct.setdefault(tuple((at, n.own_text()) for n, at, _ in placed), placed)
+    exemplars = list(distinct.values())
+    if len(exemplars) < p.least_matches:
+        return None
+    trees = [e[0][0] for e in exemplars]
     matched: Counter = Counter()
     equal: Counter = Counter()
-    nodes = {id(n): n for n in sized[0][1]}
-    for other, _ in sized[1:]:
-        for a, b in simple_tree_matching(first, other)[1]:
+    for other in trees[1:]:
+        for a, b in simple_tree_matching(trees[0], other)[1]:
             matched[id(a)] += 1
             equal[id(a)] += a.own_text() == b.own_text()
-    return {hash_of(nodes[k]) for k, n in matched.items() if n >= p.least_matches - 1 and equal[k] >= n - 1 and equal[k] >= 0.85 * n and nodes[k].own_text()}
+    constant = lambda k: matched[k] >= p.least_matches - 1 and equal[k] >= matched[k] - 1 and equal[k] >= 0.85 * matched[k]
+    template = frozenset(hash_of(n, at) for n, at, _ in exemplars[0] if constant(id(n))) - {-1}
+    return Wrapper(_region(trees, template, p), template)
 
 
-def main_text(html: str, constant: set[int], p: HtmlParams = HtmlParams()) -> str:
-    root = parse(html)
-    if constant:
-        placed(root)
-    found: list[Node] = []
-
-    def look(n: Node, wanted) -> None:
-        for c in n.children:
-            if isinstance(c, Node) and not dropped(c, n.tag in ("article", "main")):
-                if wanted(c):
-                    found.append(c)
-                else:
-                    look(c, wanted)
+def _look(root: Node, wanted) -> list[Node]:
+    """The topmost nodes wanted, in page order, that aren't dropped."""
+    found, todo = [], [(root, False)]
+    while todo:
+        n, inside = todo.pop()
+        if n is not root:
+            if dropped(n, inside):
+                continue
+            if wanted(n):
+                found.append(n)
+                continue
+        todo += [(c, n.tag in ARTICLE) for c in reversed(n.nodes())]
+    return found
+
+
+def _at(root: Node, path: tuple[str, ...]) -> list[tuple[Node, int]]:
+    """The nodes at a path of keys, with their places."""
+    out = [(root, 0, False)]
+    for key in path:
+        out = [(c, place(at, c), inside or is_article(n)) for n, at, inside in out for c in n.nodes() if c.key() == key and not dropped(c, inside or is_article(n))]
+    return [(n, at) for n, at, _ in out]
+
 
+def main_text(html: str, wrapper: Wrapper | None = None, p: HtmlParams = HtmlParams()) -> str:
+    return extract(html, wrapper, p)[0]
+
+
+def extract(html: str, wrapper: Wrapper | None = None, p: HtmlParams = HtmlParams()) -> tuple[str, bool]:
+    """The main text, and whether the region of the wrapper gave it."""
+    root = parse(html)
+    template = wrapper.template if wrapper else frozenset()
+    join = lambda out: " ".join(t for t, links, inside in out if inside or links <= p.link_density)
+    if wrapper and wrapper.path:
+        text = join(b for n, at in _at(root, wrapper.path) for b in blocks(n, template, at))
+        if text:
+            return text, True
     role = lambda c: c.attrs.get("role", "").lower()
-    look(root, lambda c: c.tag == "article" or role(c) == "article" or c.attrs.get("itemprop") == "articleBody")
-    if not found:
-        look(root, lambda c: c.tag == "main" or role(c) == "main")
+    found = _look(root, lambda c: c.tag == "article" or role(c) == "article" or c.attrs.get("itemprop") == "articleBody")
+    found = found or _look(root, lambda c: c.tag == "main" or role(c) == "main")
     if found:
-        out = [t for n in found for t, _ in blocks(n, constant)]
-    else:
-        out = [t for t, links in blocks(root, constant) if links <= p.link_density]
-    return " ".join(out)
+        at = {id(n): k for n, k, _ in _placed(root)} if template else {}
+        return " ".join(t for n in found for t, _, _ in blocks(n, template, at.get(id(n), 0))), False
+    return join(blocks(root, template)), False
 
 
 def host(url) -> F.Column:
@@ -299,42 +532,64 @@ def visible(html) -> F.Column:
     return F.when(text != "", F.sha2(text, 256))
 
 
+def layout(html) -> Column:
+    """A number for the set of tags and classes of the containers of a page, without digits."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:div|section|main|article|aside|nav|header|footer|table|form)\b[^>]*>"), F.lit(0))
+    name = lambda t: F.lower(F.regexp_replace(F.regexp_replace(t, r"(?is)^<(\w+)(?:[^>]*?\sclass\s*=\s*[\"']?([\w -]*))?.*$", "$1.$2"), r"\d+", "0"))
+    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(tags, name))))
+
+
 def wrappers(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
-    """host and its template nodes, for hosts with different pages enough."""
-    slim = pages.select(host(F.col("url")).alias("host"), "page_id", "url", visible(F.col("html")).alias("v")).where("host <> '' and page_id is not null and v is not null")
-    slim = slim.groupBy("host", "v").agg(F.min(F.struct(F.xxhash64("page_id").alias("h"), "page_id", "url")).alias("one"))
-    order = Window.partitionBy("host").orderBy("one")
-    chosen = slim.withColumn("n", F.row_number().over(order)).where(F.col("n") <= p.exemplars).select(F.col("one.page_id").alias("_p"), F.col("one.url").alias("_u"), F.col("host").alias("_h"), F.col("v").alias("_v"))
+    """host, layout (null for the host as a whole), path and template of the wrappers, where there are different pages enough."""
+    slim = pages.select(host(F.col("url")).alias("host"), layout(F.col("html")).alias("layout"), "page_id", "url", visible(F.col("html")).alias("v")).where("host <> '' and page_id is not null and v is not null")
+    one = F.min(F.struct(F.xxhash64("page_id").alias("h"), "page_id", "url")).alias("one")
+    slim = slim.groupBy("host", "layout", "v").agg(one)
+    both = slim.select("host", F.explode(F.array("layout", F.lit(None).cast("long"))).alias("layout"), "v", "one")
+    least = lambda column: F.slice(F.array_sort(column), 1, p.exemplars)
+    # in two steps, so that no task holds all pages of a layout
+    part = both.groupBy("host", "layout", F.pmod(F.hash("v"), F.lit(1024)).alias("part")).agg(least(F.collect_list(F.struct("one", "v"))).alias("s"))
+    part = part.groupBy("host", "layout", F.floor(F.col("part") / 32).alias("part")).agg(least(F.flatten(F.collect_list("s"))).alias("s"))
+    chosen = part.groupBy("host", "layout").agg(least(F.flatten(F.collect_list("s"))).alias("s")).where(F.size("s") >= p.least_matches)
+    chosen = chosen.select(F.col("host").alias("_h"), F.col("layout").alias("_l"), F.explode("s").alias("s")).select("_h", "_l", F.col("s.one.page_id").alias("_p"), F.col("s.one.url").alias("_u"), F.col("s.v").alias("_v"))
     chosen = stage_table(chosen, "html-exemplars")
     some = only_ids(pages.select("page_id", "url", "html"), chosen.select(F.col("_p").alias("page_id")).distinct(), "page_id")
     some = some.join(chosen, (F.col("page_id") == F.col("_p")) & (F.col("url") == F.col("_u"))).where(visible(F.col("html")) == F.col("_v"))
-    some = some.groupBy(F.col("_h").alias("host"), "_v").agg(F.min(F.struct("page_id", "html")).alias("one")).select("host", "one.page_id", "one.html")  # repeated rows
+    some = some.groupBy(F.col("_h").alias("host"), F.col("_l").alias("layout"), "_v").agg(F.min(F.struct("page_id", "html")).alias("one")).select("host", "layout", "one.page_id", "one.html")  # repeated rows
 
-    def of_host(rows: pd.DataFrame) -> pd.DataFrame:
+    def of_group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("page_id")
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "template": [sorted(induce([h or "" for h in rows["html"]], p))]})
+        w = induce([h or "" for h in rows["html"]], p)
+        own = pd.DataFrame({"host": rows["host"].iloc[:1], "layout": rows["layout"].iloc[:1].astype("Int64"), "path": [list(w.path) if w else []], "template": [sorted(w.template) if w else []]})
+        return own if w else own.iloc[:0]
 
-    return some.groupBy("host").applyInPandas(of_host, "host string, template array<long>")
+    return some.groupBy("host", "layout").applyInPandas(of_group, "host string, layout long, path array<string>, template array<long>")
 
 
 def _extract(batches: Iterator[pa.RecordBatch], p: HtmlParams) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets: dict[tuple, set[int]] = {}
-        texts = []
-        for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            key = tuple(t or ())
-            if key not in sets:
-                sets[key] = set(key)
-            texts.append(main_text(h or "", sets[key], p))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        known: dict[tuple, Wrapper] = {}
+        texts, by = [], []
+        for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            own = None
+            if w is not None:
+                key = tuple(w["path"]), tuple(w["template"])
+                own = known.get(key) or known.setdefault(key, Wrapper(key[0], frozenset(key[1])))
+            text, found = extract(h or "", own, p)
+            texts.append(text)
+            by.append(found)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(by, pa.bool_())], ["page_id", "url", "text", "n_chars", "by_wrapper"])
 
 
 def extract_main_text(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
-    """page_id, url, text, n_chars of each page."""
+    """page_id, url, text, n_chars of each page, and by_wrapper: the text is that of the region of a wrapper."""
     # written, so that its size is known: small ones are broadcast by the planner, others joined by host
-    found = stage_table(wrappers(pages, p).where(F.size("template") > 0), "html-wrappers")
-    joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(found, "host", "left").select("page_id", "url", "html", "template")
-    return joined.mapInArrow(partial(_extract, p=p), "page_id long, url string, text string, n_chars long")
+    found = stage_table(wrappers(pages, p), "html-wrappers")
+    w = F.struct("path", "template").alias("w")
+    own = found.where("layout is not null").select("host", "layout", w)
+    whole = found.where("layout is null").select("host", w.alias("w0"))
+    keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"), layout(F.col("html")).alias("layout"))
+    joined = keyed.join(own, ["host", "layout"], "left").join(whole, "host", "left").select("page_id", "url", "html", F.coalesce("w", "w0").alias("w"))
+    return joined.mapInArrow(partial(_extract, p=p), "page_id long, url string, text string, n_chars long, by_wrapper boolean")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

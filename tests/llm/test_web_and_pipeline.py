@@ -54,12 +54,12 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_main_text():
-    got = html_text.main_text(PAGE, set())
+    got = html_text.main_text(PAGE)
     assert got == "Title & more First boldpara­graph one two. Second link . a b x y".replace("link .", "link.")
-    assert html_text.main_text("", set()) == ""
-    assert html_text.main_text("<p>a &lt; b", set()) == "a < b"
-    assert html_text.main_text("<article><p>one<script>x", set()) == "one"
-    assert html_text.main_text("<body><ul><li><a>Home</a><li><a>News</a></ul><div><p>Some text of the page.</p></div>", set()) == "Some text of the page."
+    assert html_text.main_text("") == ""
+    assert html_text.main_text("<p>a &lt; b") == "a < b"
+    assert html_text.main_text("<article><p>one<script>x") == "one"
+    assert html_text.main_text("<body><ul><li><a>Home</a><li><a>News</a></ul><div><p>Some text of the page.</p></div>") == "Some text of the page."
 
 
 def test_tree_matching():
@@ -68,6 +68,106 @@ def test_tree_matching():
     assert size == 5 == len(pairs)
 
 
+def brute_matching(a, b):
+    """The textbook recursion, for small trees."""
+    if a.key() != b.key():
+        return 0
+    x, y = a.nodes(), b.nodes()
+    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, c in enumerate(x, 1):
+        for j, d in enumerate(y, 1):
+            m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + brute_matching(c, d))
+    return m[-1][-1] + 1
+
+
+def test_tree_matching_by_brute_force():
+    import random
+
+    r = random.Random(4)
+
+    def tree(depth):
+        node = html_text.Node(r.choice("ab") if depth else "html", {})
+        node.children = [tree(depth + 1) for _ in range(r.randrange(5 if depth < 4 else 1))]
+        return node
+
+    for _ in range(150):
+        a, b = tree(0), tree(0)
+        size, pairs = html_text.simple_tree_matching(a, b)
+        assert size == brute_matching(a, b) == len(pairs)
+        of = {id(x): y for x, y in pairs}
+        above = lambda root: {id(c): n for n, _, _ in html_text._placed(root) for c in n.nodes()}
+        up, vp = above(a), above(b)
+        for x, y in pairs:  # same keys, matched parents, order kept
+            assert x.key() == y.key() and (x is a or of[id(up[id(x)])] is vp[id(y)])
+        for n, _, _ in html_text._placed(a):
+            own = [of[id(c)] for c in n.nodes() if id(c) in of]
+            if own:
+                at = [[id(z) for z in vp[id(own[0])].nodes()].index(id(y)) for y in own]
+                assert at == sorted(at)
+    many = lambda k: html_text.parse("<ul>" + "".join(f"<li>{i}</li><li class={'x' if i % k else 'y'}>{i}</li>" for i in range(60)) + "</ul>")
+    a, b = many(3), many(4)
+    shapes = html_text._Shapes()
+    p, q = (t.nodes()[0].nodes() for t in (a, b))
+    of = shapes.add(a) | shapes.add(b)
+    table = shapes.table(tuple(of[id(n)] for n in p), tuple(of[id(n)] for n in q))
+    whole, halved = html_text._aligned(table), html_text._aligned(table, most=50)
+    assert len(whole) == len(halved) == html_text.simple_tree_matching(a, b)[0] - 2
+
+
+def test_deep_and_long_pages(spark):
+    deep = ["<div>" * 10_000 + f"story {k}" + "</div>" * 10_000 for k in range(5)]
+    assert html_text.main_text(deep[0]) == "story 0"
+    assert html_text.induce(deep).path == ("div",) * 10_000
+    long = ["<div class=top>Fixed words here</div><div id=x><ul>" + "".join(f"<li>item {i * k} of {k}</li>" for i in range(1000 + k)) + "</ul></div>" for k in range(1, 6)]
+    rows = [(k, "http://long.example/", h) for k, h in enumerate(long)] + [(100 + k, "http://deep.example/", h) for k, h in enumerate(deep)]
+    got = {r["page_id"]: r for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(5):
+        assert got[k]["text"] == " ".join(f"item {i * (k + 1)} of {k + 1}" for i in range(1001 + k)) and got[k]["by_wrapper"]
+        assert got[100 + k]["text"] == f"story {k}"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<p class="x>Hello</p><p>World</p>', "Hello World"),
+        ('<p class="x>Hello</p><p class="y">World</p>', "Hello World"),
+        ("<p title='it>Hello</p><p>World's</p>", "Hello World's"),
+        ('<p title="a > b">Hello</p>', "Hello"),
+        ('<div id="a"class="b"><p>Hello</p></div>', "Hello"),
+        ('<script src="x>var a=1;</script><p>Hello', "Hello"),
+        ("<p>Hello <b", "Hello"),
+    ],
+)
+def test_broken_quotes(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_class_words_need_support():
+    inside = '<article><p>A</p><div class="legal-text">B</div><table class="form"><tr><td>C</table><p class="notice">D</p><div class="search">no</div><div class="ad-box">no</div></article>'
+    assert html_text.main_text(inside) == "A B C D"
+    assert html_text.main_text('<div class="legal-text">no</div><p>A</p>') == "A"
+
+
+def test_slots_choose_the_content(spark):
+    """Pages without semantic tags: menu, advert and imprint vary as the article does, and no class tells which is which."""
+    word = lambda k, n: " ".join(f"w{(k * 31 + i * 7) % 97}" for i in range(n))
+    page = lambda k: (
+        f'<body><div class="a1"><ul><li><a href="/{k}">{word(k, 3)}</a></li></ul></div><div class="b{k}"><p>{word(k + 5, 4)}</p></div><div class="c3"><div class="d4"><h1>{word(k, 5)}</h1>'
+        f"<p>{word(k + 1, 60 + k)}</p><p>Read on below</p><p>{word(k + 2, 40)}</p></div></div><div>{word(k + 9, 5)}</div></body>"
+    )
+    want = lambda k: f"{word(k, 5)} {word(k + 1, 60 + k)} {word(k + 2, 40)}"
+    other = lambda k: f'<body><div class="c3"><p>{word(k, 30)}</p></div><div id="z"><p>{word(k, 80)}</p></div></body>'
+    rows = [(k, "http://plain.example/a", page(k), "clash") for k in range(12)] + [(3, "http://plain.example/a", page(3), "clash")]
+    rows += [(50 + k, "http://plain.example/b", other(k), "clash") for k in range(6)] + [(90, "http://alone.example/", page(90), "clash")]
+    got = {r["page_id"]: r for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
+    assert len(got) == 19
+    for k in range(12):
+        assert got[k]["text"] == want(k) and got[k]["by_wrapper"]
+    for k in range(6):  # another layout has a wrapper of its own: no single container has most of the text
+        assert got[50 + k]["text"].endswith(word(k, 80))
+    assert got[90]["text"].startswith(word(95, 4)) and not got[90]["by_wrapper"]
+
+
 def test_wrapper(spark):
     page = lambda k: f"<body><div><p>Subscribe now for news</p></div><div><p>Story number {k} about thing {k * 7}</p></div><div>Imprint</div></body>"
     rows = [(k, f"http://host.example/{k}", page(k)) for k in range(9)] + [(20, "no url", page(20)), (21, None, page(21)), (22, "http://other.example/", None)]
@@ -101,6 +201,7 @@ def test_extraction_fixture(spark, small):
         article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         text = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", article))).split())
         assert got[r["page_id"]]["text"] == text and got[r["page_id"]]["n_chars"] == len(text)
+    assert sum(r["by_wrapper"] for r in got.values()) > 0
     assert html_text.extract_main_text(pages.where("false")).collect() == []
 
 
