@@ -11,9 +11,10 @@ each other. Matches of one occurrence have about the same alignment (place in th
 ones in overlapping bands of an eighth and of half of the item's words (for words put in or left out), and, for items in pieces, all
 matches of the document. An item whose matches of the document don't have the coverage has no occurrence that has it.
 
-Windows with few plain words (below ``literals``) would match anything of their shape, so they don't count as templates. An item
-with such windows is also matched word by word (v 2): all its windows, with the values as they are, so that it is found verbatim,
-though not with other values.
+A window weighs as many as it has plain words, so those that are mostly placeholders say little. Windows with hardly any (below
+``literals``, and two at least) would match anything of their shape, so they don't count as templates. An item with such windows is
+also matched word by word (v 2): all its windows, with the values as they are, so that it is found verbatim, though, where no other windows
+are left, not with other values.
 
 Only windows that may be an item's are shuffled: a bit map of bounded size over the items' windows is broadcast; the join is
 exact. An item with fewer words than ``width`` is one window of all its words.
@@ -25,6 +26,7 @@ the lower id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, partial
@@ -50,12 +52,18 @@ NUMBER, UNIT, NAME, VERBATIM = (U(x) for x in (0x1F3D5B79, 0x2E4C6A81, 0x3D5B799
 
 @dataclass(frozen=True)
 class DeconParams:
-    """A document is contaminated with an item if it has ``coverage`` of the item's windows and ``consistency`` of its slots agree."""
+    """A document is contaminated with an item if it has ``coverage`` of the weight of the item's windows and ``consistency`` of its slots
+    agree. literals: the share of plain words that a template window has at least. broadcast_rows: the most rows of item windows
+    that are broadcast; more of them are joined by shuffling."""
 
     width: int = 8
-    literals: float = 0.6
+    literals: float = 0.375
     coverage: float = 0.5
     consistency: float = 0.75
+    broadcast_rows: int = 500_000
+
+    def least(self, width: int) -> int:
+        return min(width, max(2, math.ceil(self.literals * width)))
 
 
 @cache
@@ -129,7 +137,7 @@ def _typed(texts: list[str], units: bool = True, names: bool = True) -> tuple[np
 
 
 def _windows(typed: tuple[np.ndarray, ...], widths: list[int], p: DeconParams, own_width: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, its words, hashes, places, slots) of the windows with words enough; own_width: only of width min(width, words)."""
+    """(text, its words, hashes, places, slots) of the windows with plain words enough; own_width: only of width min(width, words)."""
     token, slot, at = typed[:3]
     every = {w: shingle_hashes(token, w) for w in widths}
     plain = np.concatenate([[0], np.cumsum(slot == 0)])
@@ -138,7 +146,7 @@ def _windows(typed: tuple[np.ndarray, ...], widths: list[int], p: DeconParams, o
         for w in [min(p.width, n)] if own_width else widths:
             if 0 < w <= n:
                 place = np.arange(n - w + 1)
-                ok = (plain[a + w : b + 1] - plain[a : b - w + 1]) >= p.literals * w
+                ok = (plain[a + w : b + 1] - plain[a : b - w + 1]) >= p.least(w)
                 place = place[ok]
                 slots = np.lib.stride_tricks.sliding_window_view(slot[a:b], w)[place] if len(place) else np.empty((0, w), np.uint64)
                 if w in every:
@@ -171,7 +179,7 @@ def _item_rows(batches: Iterator[pa.RecordBatch], p: DeconParams) -> Iterator[pa
     items with windows of few plain words also as they are (v 2)."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), _texts(batch.column(1))
-        item, v, h, place, slots, width, n, words = [], [], [], [], [], [], [], []
+        item, v, h, place, slots, width, n, words, weight = [], [], [], [], [], [], [], [], []
         both = [_typed(texts, names=names) for names in (True, False)]
         found = [[*_windows(typed, [p.width], p, True)] for typed in both]
         few = {t for t, length, hashes, _, own in found[0] if len(hashes) < length - own.shape[1] + 1}
@@ -185,10 +193,12 @@ def _item_rows(batches: Iterator[pa.RecordBatch], p: DeconParams) -> Iterator[pa
                 place += places.tolist()
                 slots += list(own)
                 width += [own.shape[1]] * k
-                n += [k] * k
+                own_weight = (own == 0).sum(axis=1).tolist()
+                weight += own_weight
+                n += [sum(own_weight)] * k
                 words += [length] * k
-        columns = [pa.array(item, pa.int64()), pa.array(v, pa.int32()), pa.array(h, pa.int64()), *(pa.array(c, pa.int32()) for c in (place, width, n, words)), _lists(slots)]
-        yield pa.RecordBatch.from_arrays(columns, ["item_id", "v", "w", "ip", "width", "n", "words", "islots"])
+        columns = [pa.array(item, pa.int64()), pa.array(v, pa.int32()), pa.array(h, pa.int64()), *(pa.array(c, pa.int32()) for c in (place, width, n, words, weight)), _lists(slots)]
+        yield pa.RecordBatch.from_arrays(columns, ["item_id", "v", "w", "ip", "width", "n", "words", "weight", "islots"])
 
 
 def _doc_rows(batches: Iterator[pa.RecordBatch], widths: list[int], verbatim: list[int], held: Broadcast, bits: int, p: DeconParams) -> Iterator[pa.RecordBatch]:
@@ -245,22 +255,26 @@ def _occurrences(shift: Column, words: Column) -> Column:
 def matches(keyed: DataFrame, items: DataFrame, p: DeconParams = DeconParams()) -> DataFrame:
     """keyed: _dk, _th, text. dk, th, item_id, coverage, consistency of the contaminated ones."""
     spark = keyed.sparkSession
-    own = stage_table(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(partial(_item_rows, p=p), "item_id long, v int, w long, ip int, width int, n int, words int, islots array<long>"), "decon-items")
+    own = stage_table(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(partial(_item_rows, p=p), "item_id long, v int, w long, ip int, width int, n int, words int, weight int, islots array<long>"), "decon-items")
     kinds = own.select("width", (F.col("v") == 2).alias("verbatim")).distinct().collect()  # twice width of them at most
     widths, verbatim = (sorted(r["width"] for r in kinds if r["verbatim"] == kind) for kind in (False, True))
     if not kinds:
         return spark.createDataFrame([], "dk long, th long, item_id long, coverage double, consistency double")
     keys = own.select(F.col("w").alias("key")).distinct()
     bits = filter_bits(keys.count())
+    if own.count() <= p.broadcast_rows:  # a window that many documents have is no task of its own then
+        own = F.broadcast(own)
     held = spark.sparkContext.broadcast(bitmap(keys, bits))
     found = keyed.select("_dk", "_th", "text").mapInArrow(partial(_doc_rows, widths=widths, verbatim=verbatim, held=held, bits=bits, p=p), "dk long, th long, w long, width int, dp int, dslots array<long>")
-    found = found.distinct()  # repeated rows
+    # rows that repeat id and text bring each match as many times as the others: nothing below depends on it
     met = stage_table(found.join(own, ["w", "width"]), "decon-met")
     ids = ["dk", "th", "item_id", "v"]
-    met = met.withColumn("got", F.size(F.collect_set("ip").over(Window.partitionBy(*ids)))).where(F.col("got") >= p.coverage * F.col("n"))
+    weights = F.collect_set(F.struct("ip", "weight"))
+    total = lambda s: F.aggregate(s, F.lit(0), lambda a, x: a + x["weight"])
+    met = met.withColumn("got", total(weights.over(Window.partitionBy(*ids)))).where(F.col("got") >= p.coverage * F.col("n"))
     met = met.withColumn("occurrence", F.explode(_occurrences(F.col("dp") - F.col("ip"), F.col("words"))))
     ids.append("occurrence")
-    covered = met.groupBy(*ids).agg(F.countDistinct("ip").alias("got"), F.first("n").alias("n")).withColumn("coverage", F.col("got") / F.col("n")).where(F.col("coverage") >= p.coverage)
+    covered = met.groupBy(*ids).agg(total(weights).alias("got"), F.first("n").alias("n")).withColumn("coverage", F.col("got") / F.col("n")).where(F.col("coverage") >= p.coverage)
     pairs = met.where("islots is not null").select(*ids, F.explode(F.arrays_zip("islots", "dslots")).alias("s")).where("s.islots <> 0")
     each = pairs.groupBy(*ids, "s.islots", "s.dslots").agg(F.count("*").alias("c")).groupBy(*ids, "islots").agg(F.max("c").alias("best"), F.sum("c").alias("all"))
     agreed = each.groupBy(*ids).agg((F.sum("best") / F.sum("all")).alias("consistency"))

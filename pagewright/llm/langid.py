@@ -30,6 +30,10 @@ from ._vec import slices
 
 @dataclass(frozen=True)
 class LangParams:
+    """per_language bounds the documents that a language is learned from, buckets the numbers that it has. switch_penalty is what another
+    language than the word before's costs, in log-likelihood. words_at_once bounds the words that Viterbi labels together (memory
+    only: documents aren't cut, the result is the same)."""
+
     per_language: int = 3000
     buckets: int = 1 << 16
     smoothing: float = 0.5
@@ -122,7 +126,7 @@ def viterbi(scores: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
     labels = scores.shape[1]
     value = np.zeros((len(n), labels), np.float64)
     stayed = np.ones((len(scores), labels), bool)
-    source = np.zeros(len(scores), np.int8)
+    source = np.zeros(len(scores), np.int32)
     longest = int(n[0]) if len(n) else 0
     alive = np.searchsorted(-n, -np.arange(longest), "left") if longest else []
     for t in range(longest):
@@ -136,7 +140,7 @@ def viterbi(scores: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
             source[row] = v.argmax(axis=1)
             v = np.where(keep, v, best)
         value[:k] = v + scores[row]
-    out = np.zeros(len(scores), np.int8)
+    out = np.zeros(len(scores), np.int32)
     state = value.argmax(axis=1)
     for t in range(longest - 1, -1, -1):
         k = int(alive[t])

@@ -11,7 +11,8 @@ up to 48 words are whole in one of 64. Such a piece counts once for each notice,
 better, has given its family, or a sister of it (CC, GPL), for these words. n_paragraphs counts lines and pieces of lines.
 
 Training rows are variants of the templates below (words dropped, replaced, cut off, put in context) and, for the unknown
-class, at most ``background`` paragraphs of the corpus (chosen by a hash of the id) that compare with no template.
+class, at most ``background`` paragraphs of the corpus that compare with no template: one of each of some documents, all chosen
+by hashes of the id, from the whole text.
 
 Defined results: a null or empty text has no paragraphs and no licence; without background rows the unknown class is
 trained on shuffled words; ties go to the family that is first in order; repeated rows are judged alike. Extra columns
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import WHITE, table
 from ._vec import U, mix, run_hashes, slices, word_bounds
 
 #: Usual notices of the licence families.
@@ -91,6 +92,10 @@ NEAR_MISSES = (
 
 @dataclass(frozen=True)
 class LicenseParams:
+    """features: buckets of word grams. variants: training rows for each template. background bounds the paragraphs of the corpus that
+    the unknown class is trained on. piece_words: longer lines are paragraphs in pieces. false_positives: the share of rows of the unknown
+    class that may pass the bar of a family. similarity: the share of a template's word pairs that confirms it."""
+
     features: int = 4096
     variants: int = 24
     background: int = 1500
@@ -304,11 +309,18 @@ def _scan(batches: Iterator[pa.RecordBatch], model: LicenseModel, p: LicensePara
 
 
 def train(docs: DataFrame, p: LicenseParams = LicenseParams()) -> LicenseModel:
-    n = docs.count()
-    share = int((1 << 20) * min(1.0, 0.5 * p.background / max(1, n))) + 1
-    rows = docs.where((F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < share) & F.col("text").isNotNull()).select(F.slice(F.split("text", "\n"), 1, 4).alias("t")).limit(p.background).collect()
-    background = [" ".join(line.split()[: p.piece_words]) for r in rows for line in r["t"] if line.strip()]
-    return fit(background[: p.background], p)
+    """docs: doc_id, text. The same documents, in any order, give the same model."""
+    n = docs.where("text is not null").count()
+    share = int((1 << 20) * min(1.0, 1.2 * p.background / max(1, n))) + 1
+    by = lambda seed: F.xxhash64("doc_id", F.lit(seed))
+    one = lambda parts, seed: F.get(parts, F.pmod(by(seed), F.greatest(F.size(parts), F.lit(1))).cast("int"))
+    rows = docs.where((F.pmod(by(5), F.lit(1 << 20)) < share) & F.col("text").isNotNull())
+    lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_replace(x, WHITE, "") != "")
+    words = F.array_remove(F.split(one(lines, 6), WHITE), "")
+    rows = rows.select("doc_id", words.alias("w")).where(F.size("w") > 0)
+    piece = F.pmod(by(7), F.ceil(F.size("w") / p.piece_words)).cast("int")
+    rows = rows.select(by(8).alias("h"), F.array_join(F.slice("w", piece * p.piece_words + 1, F.lit(p.piece_words)), " ").alias("t"))
+    return fit([r["t"] for r in rows.orderBy("h", "t").limit(p.background).collect()], p)
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, p: LicenseParams = LicenseParams()) -> DataFrame:

@@ -48,12 +48,16 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 
 @dataclass(frozen=True)
 class ToxParams:
+    """max_toxic and max_clean bound the labelled documents learned from, max_exceptions the exception phrases learned (exceptions are given
+    ones). Beginnings of shortest to longest letters are tried beside whole words. An entry must be least_odds times as frequent in
+    toxic documents, and so strong that among candidates entries chance makes none in a hundred runs."""
+
     max_toxic: int = 2000
     max_clean: int = 10000
     shortest: int = 4
     longest: int = 14
     least_odds: float = 3.0
-    candidates: int = 10_000_000  # entries that could be tried; sets how strong one must be
+    candidates: int = 10_000_000
     exceptions: tuple[str, ...] = ()
     max_exceptions: int = 100_000
 
@@ -258,7 +262,7 @@ def _scores(batches: Iterator[pa.RecordBatch], model: ToxModel) -> Iterator[pa.R
         hits, score = [], []
         for text in _folded(_texts(batch.column(1))):
             found = matcher.hits(text)
-            f = _features(sum(w for _, w in found), text.count(" "))
+            f = _features(sum(w for _, w in found), len(text.split()))
             hits.append(len(found))
             score.append(1 / (1 + math.exp(-max(-30.0, min(30.0, b[0] + b[1] * f[0] + b[2] * f[1])))))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(hits, pa.int64())], ["doc_id", "score", "hits"])

@@ -2,9 +2,10 @@
 
 Payload digests are shuffled as headers only; of the records with equal payloads the least page becomes the response,
 the others become revisit records that refer to it. Archives are written record by record (gzip members) in parts of
-bounded size, through the file system that the cluster's shared folder names, each part first under another name and
-then renamed, so a retried task leaves the same files. Reading resolves revisit records by joining them to the
-responses they refer to.
+bounded size, through the file system that the cluster's shared folder names. A part's name holds the attempt of the task that
+wrote it; ``write_archives`` returns the parts of the attempts that won, and reading opens these alone, so parts that a
+lost or slower attempt left behind don't count, however it cut them. Reading resolves revisit records by joining them to the responses
+they refer to.
 
 Defined results: a null html is an empty payload; payloads under ``least`` bytes are all responses; rows that repeat page
 and payload make one response and revisits of it; a null page id comes after all others; a null url gives the record
@@ -92,7 +93,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, p: WarcParams) -> Ite
     size = 0
 
     def flush() -> None:
-        name = f"part-{task.partitionId():06d}-{len(names):05d}.warc.gz"
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(names):05d}.warc.gz"
         temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
         with store.open_output_stream(temporary) as out:
             for m in members:

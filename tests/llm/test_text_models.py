@@ -24,6 +24,36 @@ def test_viterbi_is_exact():
         assert value(got[a:b].tolist()) == pytest.approx(best)
 
 
+def test_viterbi_of_many_labels():
+    """200 labels: numbers beyond 127."""
+    r = np.random.default_rng(1)
+    lengths, penalty = [40, 0, 7], 2.5
+    scores = r.normal(size=(sum(lengths), 200)) * 2
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    got = langid.viterbi(scores, at, penalty)
+    assert got.min() >= 0 and got.max() > 127
+    for a, b in itertools.pairwise(at):
+        best = np.zeros(200)
+        for t in range(a, b):  # the textbook recursion
+            best = scores[t] + (np.maximum(best, best.max() - penalty) if t > a else 0)
+        path = got[a:b]
+        value = scores[np.arange(a, b), path].sum() - penalty * (np.diff(path) != 0).sum()
+        assert value == pytest.approx(best.max() if b > a else 0)
+
+
+def test_many_languages(spark):
+    """200 languages, each of words of its own."""
+    names = [f"l{k:03d}" for k in range(200)]
+    r = np.random.default_rng(2)
+    words = {n: ["".join(chr(0x61 + int(c)) for c in r.integers(0, 26, 6)) for _ in range(12)] for n in names}
+    rows = [(k * 4 + j, " ".join(words[n][(j + i * 5) % 12] for i in range(12)), n) for k, n in enumerate(names) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == names
+    got = {x["doc_id"]: x["lang_pred"] for x in langid.identify(docs, model).collect()}
+    assert sum(got[i] == n for i, _, n in rows) >= 0.98 * len(rows)
+
+
 def test_language(spark, docs, no_docs, small):
     whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = crc_mod(F.col("doc_id"), 4) == 2
@@ -70,6 +100,10 @@ def test_toxicity(spark, docs, no_docs):
     planted = spark.createDataFrame([(1, "the thing is an 1d1ot and a m0ron of the worth1ess kind"), (2, "the thing and the other thing"), (3, None), (4, "")], "doc_id long, text string")
     out = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(planted, model).collect()}
     assert out[1] >= 0.5 > max(out[k] for k in (2, 3, 4))
+    assert out[3] == out[4]
+    dotted = spark.createDataFrame([(1, "the 1d1ot and the thing of it is here"), (2, "the... 1d1ot!!! (and) -- the // thing, of; it: is -- here ...")], "doc_id long, text string")
+    same = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(dotted, model).collect()}
+    assert same[1] == pytest.approx(same[2]) and same[1] > out[4]  # marks are no words
     assert toxicity.score_toxicity(docs, model).count() == docs.count()
     assert toxicity.score_toxicity(no_docs, model).collect() == []
     none = toxicity.train(whole, labels.where("toxic = 0"))
@@ -78,6 +112,8 @@ def test_toxicity(spark, docs, no_docs):
 
 def test_licenses(spark, docs, no_docs, small):
     whole = spark.read.parquet(f"{small}/documents.parquet")
+    model, again = licenses.train(whole, licenses.LicenseParams(background=60)), licenses.train(whole.repartition(5), licenses.LicenseParams(background=60))
+    assert (model.weights == again.weights).all() and (model.temperature, model.bar) == (again.temperature, again.bar)
     model = licenses.train(whole)
     background = "the thing and of onon ther with is was tion in the and"
     rows = [
@@ -115,6 +151,100 @@ def test_decontamination(spark, docs, no_docs, small):
     assert decontamination.decontaminate(docs, items.where("false")).where("contaminated").count() == 0
 
 
+def brute_occurrence(matched, windows, words, p):
+    """matched: (item place, document place, item slots, document slots). Has any occurrence the coverage and the consistency?"""
+    total = sum(weight for weight in windows.values())
+    groups = {}
+    for m in matched:
+        shift = m[1] - m[0]
+        names = [(0, 0), (1, shift)]
+        for scale, part in ((2, 8), (3, 2)):
+            band = shift // max(1, words // part)
+            names += [(scale, band), (scale, band - 1)]
+        for name in names:
+            groups.setdefault(name, []).append(m)
+    for own in groups.values():
+        if sum(windows[i] for i in {m[0] for m in own}) < p.coverage * total:
+            continue
+        slots = {}
+        for _, _, a, b in own:
+            for x, y in zip(a, b, strict=True):
+                if x:
+                    slots.setdefault(x, []).append(y)
+        every = sum(map(len, slots.values()))
+        if not every or sum(max(v.count(y) for y in set(v)) for v in slots.values()) >= p.consistency * every:
+            return True
+    return False
+
+
+def brute_contaminated(texts, items, p=decontamination.DeconParams()):
+    """Window by window in Python, by the canonical words that are tested elsewhere."""
+    from collections import defaultdict
+
+    out = set()
+    rows = [(decontamination._typed([t]), t) for t in texts]
+    for item in items:
+        kinds = []
+        for names in (True, False):
+            token, slot, _, value, _ = decontamination._typed([item], names=names)
+            w = min(p.width, len(token))
+            if w:
+                windows = {k: int((slot[k : k + w] == 0).sum()) for k in range(len(token) - w + 1)}
+                keep = {k: n for k, n in windows.items() if n >= min(w, max(2, -(-p.literals * w // 1)))}
+                kinds.append((0, token, slot, w, keep))
+                if names and len(keep) < len(windows):
+                    w2 = min(p.width, len(value))
+                    kinds.append((2, value, np.zeros_like(value), w2, dict.fromkeys(range(len(value) - w2 + 1), w2)))
+        for d, (typed, _) in enumerate(rows):
+            for kind, token, slot, w, keep in kinds:
+                words, slots = (typed[3], np.zeros_like(typed[3])) if kind == 2 else (typed[0], typed[1])
+                where = defaultdict(list)
+                for k in range(len(words) - w + 1):
+                    where[words[k : k + w].tobytes()].append(k)
+                matched = [(i, k, slot[i : i + w].tolist(), slots[k : k + w].tolist()) for i in keep for k in where.get(token[i : i + w].tobytes(), ())]
+                if kind != 2:  # document windows are held to the same share of plain words: equal tokens, so equal shares
+                    matched = [m for m in matched if sum(x == 0 for x in m[3]) >= min(w, max(2, -(-p.literals * w // 1)))]
+                if matched and brute_occurrence(matched, keep, len(token), p):
+                    out.add(d)
+    return out
+
+
+def test_slots_by_brute_force(spark, small):
+    """Whole tables at sf0.001, with copies of items given other values, consistently and not."""
+    import random
+    import re
+
+    r = random.Random(6)
+    items = [x["text"] for x in spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id").collect()] + [ITEM, SUMS, BOX]
+    texts = [x["text"] or "" for x in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()]
+    for item in (ITEM, SUMS, BOX):
+        for _ in range(6):
+            new = {v: str(r.randrange(2, 999)) for v in re.findall(r"\d+", item)}
+            texts.append("Some lead. " + re.sub(r"\d+", lambda m, new=new: new[m[0]], item) + " And a tail.")
+            texts.append("Some lead. " + re.sub(r"\d+", lambda m: str(r.randrange(2, 999)), item))
+            cut = item.split()
+            texts.append(" ".join(cut[: r.randrange(len(cut))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = brute_contaminated(texts, items)
+    for p in (decontamination.DeconParams(), decontamination.DeconParams(broadcast_rows=0)):
+        assert {x["doc_id"] for x in decontamination.decontaminate(docs, table, p).where("contaminated").collect()} == want
+    assert 0 < len(want) < len(texts)
+
+
+SUMS = "Compute 12 plus 34 minus 56 times 78 over 9 and 10 less 11 by 13"
+BOX = "A box holds 12 red pens and since 12 red pens weigh 30 grams it is plain that 30 grams of pens are 12 of them."
+
+
+def test_number_rich_items(spark):
+    items = spark.createDataFrame([(1, SUMS), (2, BOX)], "item_id long, text string")
+    other = "Compute 5 plus 61 minus 7 times 80 over 3 and 14 less 2 by 99"
+    rows = [(1, f"Lead. {SUMS} and a tail", 1), (2, f"Lead. {other} and a tail", 1), (3, BOX.replace("12", "7").replace("30", "400"), 2), (4, BOX.replace("12 red", "5 red").replace("since 5", "since 8").replace("30 grams it", "2 grams it"), None)]
+    rows += [(5, "Compute 3 plus 4 and then stop here, since 5 plus 6 is another sum and no item at all", None), (6, "12 34 56 78 9 10 11 13", None)]
+    got = {r["doc_id"]: r["item_id"] for r in decontamination.decontaminate(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), items).collect()}
+    assert got == {k: i for k, _, i in rows}
+
+
 def test_leaks_by_brute_force(spark, small):
     whole, items = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
     norm = lambda t: " ".join(t.lower().split())

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.llm import html_text, warc
 from pagewright.llm._common import stage_path
@@ -39,6 +41,16 @@ def test_warc_round_trip(spark, pages):
     assert warc.read_archives(spark, folder, warc.write_archives(empty, folder)).collect() == []
 
 
+def test_attempts_that_cut_other_parts(spark, pages):
+    """Two attempts in one folder, their rows in another order: each reading is whole."""
+    folder = stage_path(spark, "warc-test")
+    both = [warc.write_archives(pages.orderBy(order).coalesce(1), folder, warc.WarcParams(part_bytes=500)) for order in (F.col("page_id"), F.desc("page_id"))]
+    names = [[r["name"] for r in parts.collect()] for parts in both]
+    assert len(names[0]) > 1 and not set(names[0]) & set(names[1])
+    first, second = (Counter(map(tuple, warc.resolve_revisits(warc.read_archives(spark, folder, parts)).collect())) for parts in both)
+    assert first == second and first.total() == pages.count()
+
+
 def test_truncated_archive():
     record = warc.encode("response", "<urn:uuid:1>", "1", "http://a", "d", b"payload", None, None, warc.WarcParams())
     assert [p for _, p in warc.decode(record + record)] == [b"payload", b"payload"]
