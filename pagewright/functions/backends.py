@@ -55,6 +55,11 @@ def embed(text: Column, backend: EmbeddingBackend | None = None) -> Column:
     return run(text)
 
 
+def vector_of(text: Column, dimension: int) -> Column:
+    """A vector that is written as a JSON list; null if it isn't one. A vector of another length stops the job."""
+    return checked_dimension(F.from_json(text, "array<float>"), dimension)
+
+
 def checked_dimension(vector: Column, dimension: int) -> Column:
     """The vector; a vector of another length stops the job."""
     return F.when(vector.isNull() | (F.size(vector) == dimension), vector).otherwise(F.raise_error(F.concat(F.lit(f"vector of another dimension than {dimension}: "), F.size(vector).cast("string"))))

@@ -28,6 +28,21 @@ VISION_FIELDS = {
 }
 VISION = "struct<" + ",".join(f"{k}:{v}" for k, v in VISION_FIELDS.items()) + ">"
 RICH = f"struct<section_number:string,headline:string,definitions:array<string>,key_concepts:array<string>,formulas:array<{FORMULA}>,worked_examples:array<string>,exam_keywords:array<string>>"
+PAGE_FIELDS = {
+    "topics": "array<string>",
+    "text": "string",
+    "formulas": f"array<{FORMULA}>",
+    "derivations": f"array<{DERIVATION}>",
+    "tables": f"array<{TABLE}>",
+    "diagrams": f"array<{DIAGRAM}>",
+    "graphs": f"array<{GRAPH}>",
+    "chemical_equations": f"array<{CHEMICAL}>",
+    "summary": "string",
+    "keywords": "array<string>",
+    "search_text": "string",
+    "section_identifiers": "array<string>",
+}
+PAGE = "struct<page_number:int," + ",".join(f"{k}:{v}" for k, v in PAGE_FIELDS.items()) + ">"
 LOW_PROSE, MAX_DEFINITION = 50, 500
 
 

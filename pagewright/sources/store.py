@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 STATUSES = ("pending", "vision_done", "tree_uploaded", "enriched", "complete", "failed")
 READY_FOR_TREE = ("vision_done", "tree_uploaded", "enriched", "complete")
 SEARCHABLE = ("complete", "enriched")
+PAST_VISION = ("vision_done", "enriched", "complete")
 CACHE_VERSION = "v3"
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key, that of new if it has one. Rows of new alone are kept too."""
+    """One row for each key, that of new if it has one; rows of new alone are kept too. Of rows that repeat a key in one batch the one with the largest
+    values, column by column, counts."""
     both = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)), allowMissingColumns=True)
-    latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_batch")))
+    rest = [F.col(f.name) if f.dataType.typeName() != "map" else F.to_json(f.name) for f in old.schema.fields if f.name not in keys]
+    latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_batch"), *[F.desc_nulls_last(c) for c in rest]))
     return both.withColumn("_n", latest).where("_n = 1").drop("_n", "_batch")
 
 

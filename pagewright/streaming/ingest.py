@@ -14,8 +14,8 @@ def file_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def upsert_stream(stream: DataFrame, table: str, keys: list[str], checkpoint: str, trigger: dict | None = None):
-    """Start a query that merges each batch into the Parquet table under table. The state of the table is a folder for each
-    batch, named in its _current file, so a batch that is run again writes the same state."""
+    """Start a query that merges each batch into the Parquet table under table. The state after batch n is the folder v<n>, written from v<n-1> and the batch,
+    so a batch that is run again writes the same state; versions before v<n-1> are deleted. A batch may repeat keys (see upsert)."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -26,6 +26,10 @@ def upsert_stream(stream: DataFrame, table: str, keys: list[str], checkpoint: st
         if number and path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             new = upsert(spark.read.parquet(before), batch, keys)
         new.write.mode("overwrite").parquet(f"{table}/v{number}")
+        old = jvm.org.apache.hadoop.fs.Path(f"{table}/v{number - 2}")
+        store = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if number > 1 and store.exists(old):
+            store.delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

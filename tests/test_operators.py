@@ -174,25 +174,141 @@ def test_streaming_upsert(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{target}/v1").collect())) == [(1, "a"), (2, "c")]
 
 
-def test_engine(spark):
+def test_engine(spark, tmp_path):
     from pagewright.functions.backends import leading_summary
     from pagewright.plans.engine import Engine, NotFound, NotReady
 
-    e = Engine(spark, summary=leading_summary)
+    root = str(tmp_path / "tables")
+    e = Engine(spark, root, summary=leading_summary)
     text = "Magnets attract iron. " * 60
     none = lambda k: F.array().cast(f"array<{k}>")
-    pages = spark.createDataFrame([("d", 1, "5.1 INTRO WORDS\n" + text), ("d", 2, text), ("d", 3, "coils and currents " * 40)], "document_id string, page_number int, text string")
+    pages = spark.createDataFrame([("d", 1, "5.1 INTRO WORDS\n" + text), ("d", 2, text), ("d", 3, "6 COILS AND CURRENTS\n" + "coils and currents " * 40)], "document_id string, page_number int, text string")
     pages = pages.withColumns({"formulas": none(R.FORMULA), "tables": none(R.TABLE), "diagrams": none(R.DIAGRAM), "graphs": none(R.GRAPH), "keywords": F.array(F.lit("k"))})
     with pytest.raises(NotFound):
         e.status("d")
     assert e.ingest("d", pages)["page_count"] == 3
     with pytest.raises(NotReady):
         e.search("d", "magnets")
-    leaves = spark.createDataFrame([("d", 0, "a", "Intro", "5.1", 1, 2, "")], LEAF)
+    leaves = spark.createDataFrame([("d", 0, "a", "Intro", "5.1", 1, 3, "")], LEAF)
     assert e.load_tree("d", leaves) == 1
-    assert e.enrich("d")["parents"] >= 1
-    assert e.status("d")["status"] == "complete"
-    assert e.search("d", "magnets attract", top_k=3).count() >= 1
-    assert e.search("d", "key concepts").count() >= 1
+    first = e.enrich("d")
+    assert first["parents"] >= 1 and first["warnings"] >= 1
+    # another engine on the same folder, in a session of its own, goes on
+    other = Engine(spark.newSession(), root, summary=leading_summary)
+    assert other.status("d") == {"document_id": "d", "status": "complete", "page_count": 3, "filename": "unknown.pdf"}
+    assert other.search("d", "magnets attract", top_k=3).count() >= 1
+    whole = other.search("d", "key concepts")
+    assert whole.count() == first["parents"]
+    parent = whole.where("page_start = 1").first()
+    assert [p["page_number"] for p in parent["pages_data"]] == [1, 2] and parent["pages_data"][0]["text"].startswith("5.1 INTRO")
+    assert other.tables.chunks("d").count() == first["parents"] + first["children"]
     with pytest.raises(ValueError):
-        e.search("d", "x", kind="nonsense")
+        other.search("d", "x", kind="nonsense")
+    assert other.ingest("d", pages.where("false"))["status"] == "complete"
+    history = [r["status"] for r in other.tables.rows("documents", "d").orderBy("batch").collect()]
+    assert history == ["vision_done", "tree_uploaded", "complete"]
+    about = other.tables.documents("d").first()
+    assert about["vision_done_at"] <= about["enriched_at"] <= about["updated_at"] and about["pipeline_version"] == "v2"
+
+
+def test_upload_and_run(spark, tmp_path):
+    """From a file to page records: pages are read once for each content, failed ones aren't cached, a failure marks the document."""
+    from pagewright.plans.engine import Engine
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    for name, content in (("a.pdf", b"one|two|bad"), ("b.PDF", b"two|three"), ("c.pdf", b"broken"), ("n.txt", b"x")):
+        (tmp_path / name).write_bytes(content)
+    where = str(calls)
+
+    def decoder(content, zoom):
+        if content == b"broken":
+            raise ValueError("no PDF")
+        return content.split(b"|")
+
+    def vision(image):
+        import json
+        import os
+        import uuid
+
+        open(os.path.join(where, uuid.uuid4().hex), "w").write(image.decode())
+        if image == b"bad":
+            raise ValueError("unreadable")
+        return json.dumps({"prose_text": f"The text of {image.decode()}.", "key_terms": [image.decode()], "formulas": [{"latex": "$"}]})
+
+    e = Engine(spark, str(tmp_path / "tables"), vision=vision, decoder=decoder)
+    with pytest.raises(ValueError, match="Only PDF files"):
+        e.upload(str(tmp_path / "n.txt"))
+    with pytest.raises(ValueError, match="Only PDF files"):
+        e.upload(str(tmp_path / "a.pdf"), "")
+    a, b, c = (e.upload(str(tmp_path / n))["document_id"] for n in ("a.pdf", "b.PDF", "c.pdf"))
+    assert e.status(a) == {"document_id": a, "status": "pending", "page_count": None, "filename": "a.pdf"}
+    assert e.run(a)["page_count"] == 3 and e.run(a)["status"] == "vision_done"
+    assert e.run(b)["page_count"] == 2
+    read = sorted(p.read_text() for p in calls.iterdir())
+    assert read == ["bad", "one", "three", "two"]
+    got = e.tables.load_pages(a).collect()
+    assert [(r["page_number"], r["text"], r["keywords"], r["formulas"]) for r in got] == [(1, "The text of one.", ["one"], []), (2, "The text of two.", ["two"], []), (3, "", [], [])]
+    with pytest.raises(Exception, match="no PDF"):
+        e.run(c)
+    assert e.status(c)["status"] == "failed"
+
+
+def test_tables(spark, tmp_path):
+    from pagewright.functions.backends import vector_of
+    from pagewright.sources.tables import Tables, json_cells
+
+    t = Tables(spark, str(tmp_path / "t"), parts=4)
+    assert t.pages("d").collect() == [] and t.documents().collect() == [] and t.cache().collect() == []
+    page = lambda *rows: spark.createDataFrame(rows, "document_id string, page_number int, text string, topics array<string>")
+    t.save_pages(page(("d", 2, "b", ["x"]), ("d", 1, "a", None), ("e", 1, "z", None), ("d", 1, "longer", None)))
+    t.save_pages(page(("d", 2, None, None), ("d", 3, "c", ["y"])))
+    rows = t.load_pages("d").collect()
+    assert [(r["page_number"], r["text"], r["topics"], r["summary"]) for r in rows] == [(1, "longer", [], ""), (2, "", [], ""), (3, "c", ["y"], "")]
+    before = sorted(map(tuple, t.pages().select("document_id", "page_number", "text").collect()), key=str)
+    t.compact("pages")
+    assert sorted(map(tuple, t.pages().select("document_id", "page_number", "text").collect()), key=str) == before and t.rows("pages").count() == 4
+    chunk = lambda *rows: spark.createDataFrame(rows, "document_id string, id string, title string, content string, is_parent boolean, role string")
+    counts = t.replace_chunks(chunk(("d", "1", "T", "body", True, "x"), ("d", "2", "U", "part", False, "example"), ("e", "3", "V", "", True, None)), "v2").collect()
+    assert sorted(map(tuple, counts)) == [("d", 1, 1), ("e", 1, 0)]
+    t.replace_chunks(chunk(("d", "9", "W", "new", True, None)), "v2")
+    t.replace_chunks(chunk(("d", "old", "O", "o", True, None)), "v1")
+    assert sorted((r["id"], r["topic"], r["search_text"], r["role"]) for r in t.chunks().collect()) == [("3", "V", "", None), ("9", "W", "new", None), ("old", "O", "o", None)]
+    t.replace_chunks(chunk(("d", "x", "", "", True, None)).where("false"), "v2", spark.createDataFrame([("e",)], "document_id string"))
+    assert {r["id"] for r in t.chunks().collect()} == {"9", "old"}
+    flat = json_cells(t.chunks("d").select("id", "formulas", "keywords", "rich_summary").where("id = '9'")).first()
+    assert tuple(flat) == ("9", "[]", None, "{}")
+    assert one(spark, vector_of(F.lit("[1, 2.5]"), 2)) == [1.0, 2.5]
+    with pytest.raises(Exception, match="another dimension"):
+        one(spark, vector_of(F.lit("[1]"), 2))
+
+
+def test_trees(spark):
+    import json
+
+    from pagewright.sources import trees
+
+    node = lambda k, *nodes: {"node_id": f"n{k}", "title": f"T {k}", "section_id": str(k), "start_index": k, "end_index": k + 1, "nodes": list(nodes)}
+    nested = [node(1, node(2), node(3, node(4))), node(5)]
+    bodies = [("a", json.dumps({"tree": nested, "flat_nodes": [node(7), node(6)]})), ("b", json.dumps({"tree": {"title": "Book", "nodes": nested}})), ("c", json.dumps({"tree": nested})), ("d", "no JSON"), ("e", None)]
+    got = trees.uploads(spark.createDataFrame(bodies, "document_id string, body string"))
+    tree = {r["document_id"]: r["tree"] for r in got.collect()}
+    assert json.loads(tree["a"]) == {"nodes": nested} == json.loads(tree["c"]) and json.loads(tree["b"])["title"] == "Book"
+    rows = sorted((r["document_id"], r["leaf_pos"], r["node_id"], r["start_index"]) for r in trees.leaves(got).where("node_id is not null").collect())
+    assert rows == [("a", 0, "n7", 7), ("a", 1, "n6", 6), *[("b", k, f"n{k}", k) for k in range(1, 6)], *[("c", k, f"n{k + 1}", k + 1) for k in range(5)]]
+
+
+def test_settings(spark, monkeypatch):
+    from pagewright.config import Settings
+
+    monkeypatch.setenv("PAGEWRIGHT_DEFAULT_TOP_K", "3")
+    s = spark.newSession()
+    s.conf.set("spark.pagewright.enable_concept_split", "false")
+    assert (Settings.of(s).default_top_k, Settings.of(s).enable_concept_split, Settings.of(spark).enable_concept_split, Settings.of(s).rrf_k) == (3, False, True, 60)
+
+
+def test_upsert_of_repeated_keys(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(2, "c"), (2, "d"), (2, None)], "k int, v string")
+    for order in ("v", "k"):
+        assert sorted(map(tuple, store.upsert(old, new.orderBy(order), ["k"]).collect())) == [(1, "a"), (2, "d")]
