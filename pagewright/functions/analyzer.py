@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,8 +101,15 @@ def stem(word: str) -> str:
 
 
 def _analyze(c: pa.Array) -> pa.Array:
+    """Each distinct word of a batch is stemmed once."""
+    c = pc.fill_null(c, pa.scalar([], c.type))
+    words = c.flatten().dictionary_encode()
     stop = set(ENGLISH_STOP_WORDS)
-    return pa.array([[stem(w) for w in ws or () if w not in stop] for ws in c.to_pylist()], pa.list_(pa.string()))
+    stems = pa.array([None if w in stop else stem(w) for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+    kept = stems.is_valid()
+    ends = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])
+    at = np.concatenate([[0], np.cumsum(pc.list_value_length(c).to_numpy(zero_copy_only=False))])
+    return pa.ListArray.from_arrays(pa.array(ends[at], pa.int32()), stems.drop_null())
 
 
 def english_terms(c: Column) -> Column:

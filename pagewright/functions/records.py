@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text, first_filled, ordered_distinct, strip
+from .text import clean_text, first_filled, let, ordered_distinct, strip
 
 VARIABLE = "struct<symbol:string,meaning:string>"
 FORMULA = f"struct<name:string,latex:string,variables:array<{VARIABLE}>,context:string,describes:string>"
@@ -280,11 +280,12 @@ def fallback_spans(text: Column) -> Column:
         breaks = x["breaks"]
         parts = F.when(n >= 2400, 3).otherwise(2)
         nearest = lambda k: F.array_min(F.transform(breaks, lambda b: F.struct(F.abs(b - F.floor(k * n / parts)).alias("d"), b.alias("b"))))["b"]
-        cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(F.sequence(F.lit(1), parts - 1), nearest), F.array(n))))
+        edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(F.sequence(F.lit(1), parts - 1), nearest), F.array(n))))
         spans = lambda c: F.filter(F.transform(F.slice(c, 1, F.size(c) - 1), lambda s, i: F.struct(s.cast("int").alias("start_char"), F.get(c, i + 1).cast("int").alias("end_char"), F.concat(F.lit("Part "), (i + 1).cast("string")).alias("title"))), lambda p: p["end_char"] - p["start_char"] >= 200)
         stretch = lambda s: F.transform(s, lambda p, i: F.struct(F.when(i == 0, 0).otherwise(p["start_char"]).alias("start_char"), F.when(i == F.size(s) - 1, n).otherwise(p["end_char"]).cast("int").alias("end_char"), p["title"].alias("title")))
-        made = F.get(F.transform(F.array(cuts), lambda c: spans(c)), F.lit(0))
-        return F.when((F.size(breaks) == 0) | (F.size(cuts) < 3) | (F.size(made) < 2), F.array().cast(kind)).otherwise(stretch(made))
+        none = F.array().cast(kind)
+        made = let(edges, lambda c: F.when(F.size(c) < 3, none).otherwise(spans(c)))  # each step is computed once
+        return F.when(F.size(breaks) == 0, none).otherwise(let(made, lambda s: F.when(F.size(s) < 2, none).otherwise(stretch(s))))
 
     found = F.get(F.transform(F.array(pieces), ends), F.lit(0))
     return F.when(n < 800, F.array().cast(kind)).otherwise(F.get(F.transform(F.array(F.struct(found.alias("breaks"))), body), F.lit(0)))

@@ -158,8 +158,9 @@ def strip_running_header(text: Column, header: Column, min_hits: int = 2) -> Col
     probe = F.lower(strip(header))
 
     def body(lines: Column) -> Column:
-        hits = lambda i: F.size(F.filter(F.slice(lines, 1, i + 1), lambda x: F.lower(strip(x)) == probe))
-        return F.array_join(F.filter(lines, lambda x, i: (F.lower(strip(x)) != probe) | (hits(i) <= min_hits)), "\n")
+        hits = F.filter(F.transform(lines, lambda x, i: F.when(F.lower(strip(x)) == probe, i)), lambda i: i.isNotNull())
+        last = lambda places: F.coalesce(F.get(places, F.lit(min_hits - 1)), F.size(lines))  # noqa: E731  that of the last one to stay
+        return let(let(hits, last), lambda n: F.array_join(F.filter(lines, lambda x, i: (F.lower(strip(x)) != probe) | (i <= n)), "\n"))
 
     return F.when((text == "") | (F.coalesce(probe, F.lit("")) == ""), text).otherwise(let(F.split(text, "\n"), body))
 
@@ -192,12 +193,13 @@ def terms(c: Column) -> Column:
 def ordered_distinct(words: Column) -> Column:
     """Trimmed words, one of each that differ in case only: the first spelling, in order."""
 
-    def body(kept: Column) -> Column:
-        low = F.transform(kept, lambda x: F.lower(x))
-        return let(low, lambda known: F.filter(kept, lambda x, i: F.array_position(known, F.lower(x)) == i + 1))
+    def body(ordered: Column) -> Column:  # by spelling and place: the first of each spelling follows another one
+        first = F.filter(ordered, lambda e, j: F.coalesce(F.get(ordered, j - 1)["k"] != e["k"], F.lit(True)))
+        return F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["i"].alias("i"), e["v"].alias("v")))), lambda e: e["v"])
 
     trimmed = F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda x: strip(F.coalesce(x, F.lit(""))))
-    return let(F.filter(trimmed, lambda x: x != ""), body)
+    numbered = F.transform(F.filter(trimmed, lambda x: x != ""), lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("v")))
+    return let(F.array_sort(numbered), body)
 
 
 def leading_heading(text: Column) -> Column:

@@ -34,16 +34,33 @@ def semantic_lane(chunks: DataFrame, vector: list[float], k: int, column: str =
     return scored.where("score is not null").orderBy(F.desc("score"), "id").limit(k)
 
 
-def semantic_per_query(chunks: DataFrame, queries: DataFrame, k: int, block: int = 512) -> DataFrame:
-    """qid, id, score, rank: the k nearest rows of each query. Queries meet the rows in blocks of block vectors, each task
-    multiplies matrices and keeps k of its rows; the rest is a top-k over what the tasks kept."""
+def semantic_per_query(chunks: DataFrame, queries: DataFrame, k: int, block: int = 512, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """qid, id, score, rank: the k nearest rows of each query. Queries meet the rows in blocks of block vectors, which are broadcast, at most
+    broadcast_bytes at once: more of them take another pass over the rows. Each task multiplies matrices and keeps k rows for each query, the
+    rest is a top-k over what the tasks kept; no vector is shuffled."""
     numbered = queries.select("qid", "embedding", F.pmod(F.xxhash64("qid"), F.lit(1 << 20)).alias("h"))
-    blocks = max(1, -(-queries.count() // block))
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    blocks = max(1, -(-size["n"] // block))
+    at_once = max(1, broadcast_bytes // (8 * block * max(1, size["d"] or 1)))
     grouped = numbered.groupBy((F.col("h") % blocks).alias("block")).agg(F.collect_list(F.struct("qid", "embedding")).alias("queries"))
-    rows = chunks.where("embedding is not null").select("id", "embedding").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = rows.join(grouped, "block") if blocks > 1 else rows.join(F.broadcast(grouped), "block")
+    rows = chunks.where("embedding is not null").select("id", "embedding")
+
+    def met(low: int) -> DataFrame:
+        high = min(blocks, low + at_once) - 1
+        own = grouped.where(F.col("block").between(low, high))
+        return rows.withColumn("block", F.explode(F.sequence(F.lit(low), F.lit(high)))).join(F.broadcast(own), "block")
+
+    def best_of(parts: list) -> list:
+        """k rows of each query."""
+        q, i, s = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        head = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        rank = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
+        return [(q[rank < k], i[rank < k], s[rank < k])]
 
     def nearest(frames):
+        held, waiting = [], 0
         for frame in frames:
             for _, part in frame.groupby("block", sort=False):
                 asked = part["queries"].iloc[0]
@@ -58,16 +75,24 @@ def semantic_per_query(chunks: DataFrame, queries: DataFrame, k: int, block: int
                 for n, x in enumerate(asked):
                     if long[n] > 0 and len(ids):
                         # keep all ties with the k-th, so that ids decide below
-                        at = np.flatnonzero(score[n] >= score[n][best[n]].min() - 1e-12)
-                        yield pd.DataFrame({"qid": x["qid"], "id": ids[at], "score": score[n][at]})
-
-    found = met.select("block", "id", "embedding", "queries").mapInPandas(nearest, "qid long, id long, score double")
+                        at = np.flatnonzero(score[n] >= score[n][best[n]].min() - 1e-9)
+                        held.append((np.full(len(at), x["qid"]), ids[at], np.round(score[n][at], 9)))
+                        waiting += len(at)
+            if waiting > 200_000:
+                held = best_of(held)
+                waiting = 0
+        if held:
+            for q, i, s in best_of(held):
+                yield pd.DataFrame({"qid": q, "id": i, "score": s})
+
+    found = [met(low).select("block", "id", "embedding", "queries").mapInPandas(nearest, "qid long, id long, score double") for low in range(0, blocks, at_once)]
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
-    return found.withColumn("score", F.round("score", 9)).withColumn("rank", rank).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def keyword_lane(chunks: DataFrame, query: str, k: int, analyzer=terms, text: str = "search_text") -> DataFrame:
-    """id and score of the k best rows that have every term of the query, by BM25 over all rows. No term, no rows."""
+    """id and score of the k best rows that have every term of the query, by BM25 over all rows. No term, no rows. Texts are read once: lengths and
+    counts of the query's terms are kept while the statistics are taken; the k rows come back as a local table."""
     spark = chunks.sparkSession
     asked = spark.range(1).select(F.array_distinct(analyzer(F.lit(query))).alias("t")).first()["t"]
     if not asked:
@@ -76,7 +101,7 @@ def keyword_lane(chunks: DataFrame, query: str, k: int, analyzer=terms, text: st
     counts = words
     for i, t in enumerate(asked):
         counts = counts.withColumn(f"tf{i}", F.size(F.filter("w", _equals(t))))
-    counts = counts.drop("w")
+    counts = counts.drop("w").persist()
     stats = counts.agg(F.count("*").alias("N"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))]).first()
     score = F.lit(0.0)
     for i in range(len(asked)):
@@ -84,7 +109,10 @@ def keyword_lane(chunks: DataFrame, query: str, k: int, analyzer=terms, text: st
         c = F.col(f"tf{i}").cast("double")
         score = score + F.lit(idf) * c * (K1 + 1) / (c + K1 * (1 - B + B * F.col("n") / F.lit(float(stats["mean"] or 1.0))))
     every = reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in range(len(asked))])
-    return counts.where(every).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    top = counts.where(every).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    found = spark.createDataFrame(top.collect(), top.schema)
+    counts.unpersist()
+    return found
 
 
 def _equals(term: str):

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import analyzer
 from ..functions import records as R
 from ..functions import text as T
-from ..functions.backends import HashingBackend, embed
+from ..functions.backends import HashingBackend, embed, vector_of
 from ..operators import alignment, chunks, intervals, retrieval
-from ..sources import store
+from ..sources import store, tables, trees
 from .views import CHUNKS, PAGES, TREE, chunks as chunks_v, pages as pages_v, table, tree as tree_v, with_views
 
 QUERIES: dict = {}
@@ -89,7 +89,16 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyzer.postings(d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
-@query()
+_STEM = "^thing(s|e|es|ed|eds|ing|ings|ness|ful)?$"
+_STOP = "(" + ", ".join(f"'{w}'" for w in analyzer.ENGLISH_STOP_WORDS) + ")"
+
+
+@query(
+    f"WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), c AS (SELECT id, count(*) FILTER (w NOT IN {_STOP}) AS n, count(*) FILTER (regexp_matches(w, '{_STEM}'))::DOUBLE AS t FROM w GROUP BY id), "
+    "s AS (SELECT (SELECT count(*) FROM documents) AS nd, sum(n) / (SELECT count(*) FROM documents) AS mean, sum(CASE WHEN t > 0 THEN 1 ELSE 0 END)::DOUBLE AS d FROM c), "
+    "k AS (SELECT id, ln(1 + (nd - d + 0.5::DOUBLE) / (d + 0.5::DOUBLE)) * t * 2.2::DOUBLE / (t + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)) AS score FROM c, s WHERE t > 0) "
+    "SELECT id, round(score, 6) AS score FROM k ORDER BY round(score, 9) DESC, id LIMIT 20"
+)
 def english_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("search_text"))
     return retrieval.keyword_lane(d, "the things are thing", 20, analyzer.english_terms).withColumn("score", F.round("score", 6))
@@ -168,27 +177,28 @@ def hybrid_formula_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH l AS (SELECT doc_id AS id, 0 AS lane_ord, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents WHERE lang = 'en' UNION ALL "
-    "SELECT doc_id, 1, row_number() OVER (ORDER BY n_chars, doc_id) - 1 FROM documents WHERE source IN ('src1', 'src2')) "
+    "WITH l AS (SELECT doc_id AS id, 0 AS lane_ord, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents WHERE lang = 'en' QUALIFY rank < 1000 UNION ALL "
+    "SELECT doc_id, 1, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS rank FROM documents WHERE source IN ('src1', 'src2') QUALIFY rank < 1000) "
     "SELECT id, round(sum(1::DOUBLE / (60 + rank + 1)), 9) AS rrf FROM l GROUP BY id"
 )
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lanes are top-k lists, as everywhere: k is 1000 here."""
     d = table(spark, sf_dir, "documents")
-    lane = lambda x, n, *o: x.select(F.col("doc_id").alias("id"), F.lit(n).alias("lane_ord"), (F.row_number().over(Window.orderBy(*o)) - 1).alias("rank"))
+    lane = lambda x, n, *o: x.orderBy(*o).limit(1000).select(F.col("doc_id").alias("id"), F.lit(n).alias("lane_ord"), (F.row_number().over(Window.orderBy(*o)) - 1).alias("rank"))
     lanes = lane(d.where("lang = 'en'"), 0, F.desc("n_chars"), F.col("doc_id")).unionByName(lane(d.where("source in ('src1', 'src2')"), 1, F.col("n_chars"), F.col("doc_id")))
     return retrieval.reciprocal_rank_fusion(lanes).select("id", F.round("rrf", 9).alias("rrf"))
 
 
-@query(with_views(PAGES, CHUNKS, body="SELECT c.id, p.id AS parent, p.title, p.page_start FROM chunks_v c JOIN chunks_v p ON p.id = c.parent_id WHERE c.page_start % 3 = 0"))
+@query(with_views(PAGES, CHUNKS, body="SELECT c.id, p.id AS parent, p.title, p.page_start FROM chunks_v c JOIN chunks_v p ON p.id = c.parent_id"))
 def parent_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks_v(spark, sf_dir)
-    return retrieval.parent_map(c, c.where("page_start % 3 = 0")).select("id", F.col("parent.id").alias("parent"), F.col("parent.title").alias("title"), F.col("parent.page_start").alias("page_start"))
+    return retrieval.parent_map(c, c).select("id", F.col("parent.id").alias("parent"), F.col("parent.title").alias("title"), F.col("parent.page_start").alias("page_start"))
 
 
-@query(with_views(PAGES, CHUNKS, "f AS (SELECT * FROM chunks_v WHERE page_start % 3 <> 0)", body="SELECT id, parent_id FROM f WHERE NOT (is_parent AND id IN (SELECT parent_id FROM f WHERE parent_id IS NOT NULL))"))
+@query(with_views(PAGES, CHUNKS, body="SELECT id, parent_id FROM chunks_v WHERE NOT (is_parent AND id IN (SELECT parent_id FROM chunks_v WHERE parent_id IS NOT NULL))"))
 def parent_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks_v(spark, sf_dir)
-    return retrieval.drop_covered_parents(c.where("page_start % 3 <> 0").select("id"), c).select("id", F.col("parent.id").alias("parent_id"))
+    return retrieval.drop_covered_parents(c.select("id"), c).select("id", F.col("parent.id").alias("parent_id"))
 
 
 # --- queries as data -------------------------------------------------------------------------------------------------
@@ -282,8 +292,14 @@ _noisy(
     f"array_to_string(list_transform(string_split($t, {NL}), lambda l: array_to_string(list_filter(string_split(l, ' '), lambda x, i: NOT (x <> '' AND coalesce(i > 1 AND string_split(l, ' ')[i - 1] = x, false) AND "
     f"(coalesce(string_split(l, ' ')[i + 1] = x, false) OR coalesce(i > 2 AND string_split(l, ' ')[i - 2] = x, false)))), ' ')), {NL})",
 )
-# DuckDB would split each line again for each token: too slow on whole tables, tested against brute force instead.
-del ORACLES["token_runs"]
+# linear in DuckDB: one row for each token
+ORACLES["token_runs"] = (
+    f"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, ' the ', ' the the the the ') ELSE text END AS t FROM documents), l AS (SELECT doc_id, unnest(string_split(t, {NL})) AS line, generate_subscripts(string_split(t, {NL}), 1) AS i FROM d), "
+    "k AS (SELECT doc_id, i, unnest(string_split(line, ' ')) AS tok, generate_subscripts(string_split(line, ' '), 1) AS j FROM l), "
+    "n AS (SELECT *, lag(tok) OVER w AS p1, lag(tok, 2) OVER w AS p2, lead(tok) OVER w AS n1 FROM k WINDOW w AS (PARTITION BY doc_id, i ORDER BY j)), "
+    "o AS (SELECT doc_id, i, coalesce(string_agg(tok, ' ' ORDER BY j) FILTER (NOT coalesce(tok <> '' AND p1 = tok AND (coalesce(n1 = tok, false) OR coalesce(p2 = tok, false)), false)), '') AS line FROM n GROUP BY ALL) "
+    f"SELECT doc_id, md5(string_agg(line, {NL} ORDER BY i)) AS digest, length(string_agg(line, {NL} ORDER BY i)) AS n FROM o GROUP BY doc_id"
+)
 
 
 @query(
@@ -302,64 +318,79 @@ def clean_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.md5(T.clean_text(F.col("t"))).alias("digest"))
 
 
-@query()
+# the leftmost run of a word in capitals, with the longest part that stands there three times or more
+@query(
+    "WITH d AS (SELECT doc_id, concat(text, ' FIGFIGFIG 2') AS t FROM documents), p AS (SELECT doc_id, unnest(regexp_extract_all(t, '[A-Z]+|[^A-Z]+')) AS w, generate_subscripts(regexp_extract_all(t, '[A-Z]+|[^A-Z]+'), 1) AS i FROM d), "
+    "c AS (SELECT *, unnest(generate_series(1, length(w) - 5)) AS s FROM p WHERE length(w) >= 6 AND regexp_matches(w, '^[A-Z]')), g AS (SELECT *, unnest(generate_series(2, 10)) AS g FROM c), "
+    "m AS (SELECT doc_id, i, any_value(w) AS w, arg_min(s, s * 100 - g) AS s, arg_min(g, s * 100 - g) AS g FROM g WHERE s + 3 * g - 1 <= length(w) AND substr(w, s, 3 * g) = repeat(substr(w, s, g), 3) GROUP BY ALL), "
+    "r AS (SELECT *, list_max(list_filter(generate_series(3, length(w) // g), lambda k: substr(w, s, k * g) = repeat(substr(w, s, g), k))) AS k FROM m), "
+    "x AS (SELECT p.doc_id, p.i, CASE WHEN r.s IS NULL THEN p.w ELSE concat(left(p.w, r.s - 1), substr(p.w, r.s, r.g), substr(p.w, r.s + r.k * r.g)) END AS w FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.i = p.i) "
+    "SELECT doc_id, md5(string_agg(w, '' ORDER BY i)) AS digest FROM x GROUP BY doc_id"
+)
 def caps_stutter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.drop_caps_stutter(F.concat("text", F.lit(" FIGFIGFIG 2")))).alias("digest"))
 
 
-@query()
+@query("SELECT doc_id, md5(concat(nfc_normalize(text), ' fi 1⁄2')) AS digest FROM documents")
 def nfkc_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.nfkc(F.concat("text", F.lit(" ﬁ ½")))).alias("digest"))
 
 
-@query()
+_TRIGRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower({t}), '[a-z0-9]+'), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr(concat('  ', w, ' '), i, 3)))))"
+
+
+@query(
+    f"WITH b AS (SELECT item_id, {_TRIGRAMS.format(t='text')} AS a, {_TRIGRAMS.format(t=chr(39) + 'that and the thing' + chr(39))} AS b FROM benchmark) "
+    "SELECT item_id, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM b"
+)
 def trigram_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.round(T.trigram_similarity(F.col("text"), F.lit("that and the thing")), 6).alias("similarity"))
 
 
 # --- records ---------------------------------------------------------------------------------------------------------
 
-_FORMULAS = [
-    ("F=ma", "Newton", "$"), ("\\frac{a}{b", "", "x"), ("", "", "x"), ("2+2=4", "", ""), ("\\begin{array}", "", "x"), ("E=mc^2", "", ""), ("v = s/t", "speed", "v"),
-]
-
-
 def _formula_col() -> Column:
-    """A formula for each document, by its id: kinds of valid and invalid ones."""
-    out = None
-    for k, (latex, name, symbol) in enumerate(_FORMULAS):
-        shown = "$F=ma$" if symbol == "$" else latex
-        variables = F.array(F.struct(F.lit(symbol).alias("symbol"), F.lit("" if k == 6 else "meaning").alias("meaning"))) if symbol else F.array().cast(f"array<{R.VARIABLE}>")
-        f = F.struct(F.lit(name).alias("name"), F.lit(shown).alias("latex"), variables.cast(f"array<{R.VARIABLE}>").alias("variables"), F.lit("").alias("context"), F.lit("d").alias("describes")).cast(R.FORMULA)
-        out = F.when(F.col("doc_id") % 7 == k, f) if out is None else out.when(F.col("doc_id") % 7 == k, f)
-    return out
-
-
-_VALID_SQL = """CASE doc_id % 7 WHEN 0 THEN 'contains unescaped $ delimiters' WHEN 1 THEN 'unbalanced braces' WHEN 2 THEN 'empty latex' WHEN 3 THEN ''
- WHEN 4 THEN 'mismatched \\begin/\\end environments' WHEN 5 THEN 'symbolic formula has no variable explanations' ELSE 'variable missing meaning' END"""
+    """A document's text as a formula: frequent words are braces and environments; some have no variables, or ones without symbol or meaning."""
+    latex = F.col("text")
+    for word, mark in _TEX:
+        latex = F.replace(latex, F.lit(f" {word} "), F.lit(f" {mark} "))
+    variable = F.struct(F.when(F.col("lang") == "de", "").otherwise(F.col("lang")).alias("symbol"), F.when(F.col("lang") == "es", "").otherwise(F.col("source")).alias("meaning"))
+    variables = F.when(F.col("lang") == "fr", F.array()).otherwise(F.array(variable)).cast(f"array<{R.VARIABLE}>")
+    return F.struct(F.lit("").alias("name"), latex.alias("latex"), variables.alias("variables"), F.lit("").alias("context"), F.col("source").alias("describes")).cast(R.FORMULA)
+
+
+_TEX = (("the", "{ "), ("of", "}"), ("und", "\\begin{a}"), ("der", "\\end{a}"), ("la", "\\begin{b}"), ("de", "\\end{b}"))
+_LATEX_SQL = reduce(lambda x, t: f"replace({x}, ' {t[0]} ', ' {t[1]} ')", _TEX, "text")
+_LATEX_SQL = f"SELECT *, {_LATEX_SQL} AS x FROM documents"
+_ENVIRONMENTS = "list_sort(regexp_extract_all(x, '\\\\{0}\\{{([^}}]+)\\}}', 1))"
+_PROBLEM_SQL = (
+    "CASE WHEN regexp_full_match(x, '\\s*') THEN 'empty latex' WHEN regexp_matches(x, '(^|[^\\\\])\\$') THEN 'contains unescaped $ delimiters' WHEN length(replace(x, '{', '')) <> length(replace(x, '}', '')) THEN 'unbalanced braces' "
+    f"WHEN {_ENVIRONMENTS.format('begin')} <> {_ENVIRONMENTS.format('end')} THEN 'mismatched \\begin/\\end environments' WHEN lang = 'fr' AND regexp_matches(x, '[A-Za-z]') THEN 'symbolic formula has no variable explanations' "
+    "WHEN lang = 'de' THEN 'variable missing symbol' WHEN lang = 'es' THEN 'variable missing meaning' ELSE '' END"
+)
 
 
-@query(f"SELECT doc_id, {_VALID_SQL} AS problem FROM documents")
+@query(f"SELECT doc_id, {_PROBLEM_SQL} AS problem FROM ({_LATEX_SQL})")
 def formula_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", R.formula_problem(_formula_col()).alias("problem"))
 
 
-@query("SELECT doc_id, length(trim(t)) < 50 AS low_prose, length(trim(t)) < 50 AND doc_id % 2 = 0 AS figure_only, CASE WHEN doc_id % 7 = 3 THEN 0 ELSE 1 END AS bad_formula_count FROM (SELECT doc_id, left(text, CAST(doc_id % 120 AS int)) AS t FROM documents)")
+@query(f"SELECT doc_id, n < 50 AS low_prose, n < 50 AND lang <> 'en' AS figure_only, ({_PROBLEM_SQL} <> '')::int AS bad_formula_count FROM (SELECT *, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM ({_LATEX_SQL}))")
 def page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.left("text", (F.col("doc_id") % 120).cast("int")).alias("t"))
-    t = F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.lit("c").alias("caption")))).otherwise(F.array().cast("array<struct<caption:string>>"))
+    t = F.when(F.col("lang") != "en", F.array(F.struct(F.lit("c").alias("caption")))).otherwise(F.array().cast("array<struct<caption:string>>"))
     tables = F.transform(t, lambda x: F.struct(x["caption"].alias("caption"), F.array().cast("array<string>").alias("headers"), F.array().cast("array<array<string>>").alias("rows")))
     none = lambda k: F.array().cast(f"array<{k}>")
-    return d.select("doc_id", *R.page_flags(F.col("t"), none(R.DIAGRAM), tables, none(R.GRAPH), F.array(_formula_col())))
+    return table(spark, sf_dir, "documents").select("doc_id", *R.page_flags(F.col("text"), none(R.DIAGRAM), tables, none(R.GRAPH), F.array(_formula_col())))
 
 
 @query(
-    "WITH w AS (SELECT doc_id, list_filter(list_transform(string_split(left(text, 400), ' '), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents) "
-    "SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i), '|') AS keywords FROM w WHERE NOT contains(array_to_string(l, ''), chr(10))"
+    "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents), t AS (SELECT doc_id, i, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS v FROM w), "
+    "f AS (SELECT doc_id, min(i) AS i, arg_min(v, i) AS v FROM t WHERE v <> '' GROUP BY doc_id, lower(v)), k AS (SELECT doc_id, string_agg(v, '|' ORDER BY i) AS k FROM f GROUP BY doc_id) "
+    "SELECT doc_id, md5(coalesce(k, '')) AS keywords FROM documents LEFT JOIN k USING (doc_id)"
 )
 def ordered_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(400)).alias("t")).where(~F.col("t").contains("\n"))
-    return d.select("doc_id", F.array_join(T.ordered_distinct(F.split("t", " ")), "|").alias("keywords"))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(F.array_join(T.ordered_distinct(F.split("text", " ")), "|")).alias("keywords"))
 
 
 @query("SELECT doc_id, concat('F=ma|N', doc_id % 5, '|c2|d;', 'E=mc^2|||') AS merged FROM documents")
@@ -371,19 +402,18 @@ def formula_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", line.alias("merged"))
 
 
-@query("SELECT doc_id, CASE WHEN length(trim(v)) > 0 AND length(trim(v)) >= 0.5 * length(trim(t)) THEN trim(v) ELSE t END AS prose FROM (SELECT doc_id, left(text, CAST(doc_id % 40 AS int)) AS v, left(text, 30) AS t FROM documents WHERE NOT contains(left(text, 40), chr(10)))")
+@query("SELECT doc_id, md5(CASE WHEN length(v) > 0 AND length(v) >= 0.5 * length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) THEN v ELSE t END) AS prose FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[aeioun]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS v, text AS t FROM documents)")
 def prose_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(~F.left("text", F.lit(40)).contains("\n"))
-    return d.select("doc_id", R.choose_prose(F.left("text", (F.col("doc_id") % 40).cast("int")), F.left("text", F.lit(30))).alias("prose"))
+    """Vision reads some letters only: about half of a text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(R.choose_prose(F.regexp_replace("text", "[aeioun]", ""), F.col("text"))).alias("prose"))
 
 
-@query("SELECT doc_id, concat('E=mc^2 energy E: ', lang, ' cell ', source, ' ', left(text, 20)) AS joined FROM documents WHERE NOT contains(left(text, 20), chr(10)) AND left(text, 20) = trim(left(text, 20))")
+@query("SELECT doc_id, md5(concat('x_', n_chars, ' ', text, ' E: ', lang)) AS formula_input, md5(concat(lang, ' ', text, ' ', source)) AS table_input, md5(CASE WHEN regexp_full_match(text, '\\s*') THEN source ELSE text END) AS search_input FROM documents")
 def embedding_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(~F.left("text", F.lit(20)).contains("\n") & (F.left("text", F.lit(20)) == F.trim(F.left("text", F.lit(20)))))
-    formula = F.struct(F.lit("").alias("name"), F.lit("E=mc^2").alias("latex"), F.array(F.struct(F.lit("E").alias("symbol"), F.col("lang").alias("meaning"))).alias("variables"), F.lit("energy").alias("context"), F.lit("").alias("describes"))
-    tables = F.array(F.struct(F.lit("").alias("caption"), F.array(F.lit("h")).alias("headers"), F.array(F.array(F.lit("cell"), F.col("source"))).alias("rows")))
-    x = d.select("doc_id", *R.embedding_inputs(F.left("text", F.lit(20)), F.lit(""), F.array(formula), tables))
-    return x.select("doc_id", F.concat_ws(" ", "formula_input", "table_input", "search_input").alias("joined"))
+    formula = F.struct(F.lit("").alias("name"), F.concat(F.lit("x_"), F.col("n_chars").cast("string")).alias("latex"), F.array(F.struct(F.lit("E").alias("symbol"), F.col("lang").alias("meaning"))).alias("variables"), F.col("text").alias("context"), F.lit("").alias("describes"))
+    tables = F.array(F.struct(F.col("lang").alias("caption"), F.array(F.lit("h")).alias("headers"), F.array(F.array("text", "source")).alias("rows")))
+    x = table(spark, sf_dir, "documents").select("doc_id", *R.embedding_inputs(F.col("text"), F.col("source"), F.array(formula), tables))
+    return x.select("doc_id", *[F.md5(c).alias(c) for c in ("formula_input", "table_input", "search_input")])
 
 
 @query(f"SELECT doc_id, concat('SECTION: ', doc_id % 9, {NL}, 'OVERVIEW: ', source, {NL}, 'DEFINITION: ', lang, {NL}, 'FORMULA (n): E=mc^2 — d', {NL}, '  VAR: E = energy', {NL}, 'KEYWORDS: ', lang, ', ', source) AS line FROM documents")
@@ -425,11 +455,12 @@ def first_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.first_claim(pages_v(spark, sf_dir), tree_v(spark, sf_dir)).select("document_id", "page_number", F.col("leaf.leaf_pos").alias("leaf_pos"))
 
 
-@query(with_views(PAGES, body="SELECT g.document_id, g.page_number, coalesce(p.lang, '') AS lang FROM (SELECT document_id, unnest(generate_series(1, max(page_number) + 3))::int AS page_number FROM pages_v GROUP BY document_id) g LEFT JOIN pages_v p ON p.document_id = g.document_id AND p.page_number = g.page_number AND p.page_number % 4 <> 0"))
+@query(with_views(PAGES, body="SELECT g.document_id, g.page_number, coalesce(p.lang, '') AS lang FROM (SELECT document_id, unnest(generate_series(1, 2 * max(page_number) + 3))::int AS page_number FROM pages_v GROUP BY document_id) g LEFT JOIN pages_v p ON p.document_id = g.document_id AND 2 * p.page_number = g.page_number"))
 def page_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vision has every second page."""
     p = pages_v(spark, sf_dir)
-    counts = p.groupBy("document_id").agg((F.max("page_number") + 3).alias("total_pages"))
-    vision = p.where("page_number % 4 <> 0").select("document_id", "page_number", "lang")
+    counts = p.groupBy("document_id").agg((2 * F.max("page_number") + 3).alias("total_pages"))
+    vision = p.select("document_id", (2 * F.col("page_number")).alias("page_number"), "lang")
     empty = p.where("false").select("document_id", "page_number")
     return intervals.page_grid(counts, empty, vision).select("document_id", "page_number", F.coalesce("lang", F.lit("")).alias("lang"))
 
@@ -540,12 +571,21 @@ def split_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", gate.alias("gate"))
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'single span (no-op)' WHEN 2 THEN 'span[1] start 41 != previous end 40' WHEN 3 THEN 'last span ends at 99, expected 100' ELSE 'first span does not start at 0 (got 1)' END AS problem FROM documents")
+# lines as spans: each has its line end, but for texts that aren't English, where gaps are left
+@query(
+    f"WITH l AS (SELECT doc_id, lang, length(text) AS total, unnest(string_split(text, {NL})) AS x, generate_subscripts(string_split(text, {NL}), 1) AS i, len(string_split(text, {NL})) AS k FROM documents), "
+    "o AS (SELECT *, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM l), s AS (SELECT *, s + length(x) + CASE WHEN lang = 'en' AND i < k THEN 1 ELSE 0 END AS e FROM o), "
+    "p AS (SELECT *, lag(e) OVER (PARTITION BY doc_id ORDER BY i) AS pe FROM s), f AS (SELECT doc_id, any_value(k) AS k, arg_min(CASE WHEN s >= e THEN concat('span[', i - 1, '] invalid range ', s, '..', e) ELSE concat('span[', i - 1, '] start ', s, ' != previous end ', pe) END, i) "
+    "FILTER (s >= e OR i > 1 AND s <> pe) AS flaw FROM p GROUP BY doc_id) "
+    "SELECT doc_id, CASE WHEN k < 2 THEN 'single span (no-op)' WHEN k > 5 THEN 'too many spans' ELSE coalesce(flaw, '') END AS problem FROM f"
+)
 def span_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    span = lambda a, b: F.struct(F.lit(a).alias("start_char"), F.lit(b).alias("end_char"))
-    kinds = [[(0, 40), (40, 100)], [(0, 100)], [(0, 40), (41, 100)], [(0, 40), (40, 99)], [(1, 40), (40, 100)]]
-    chosen = reduce(lambda acc, k: acc.when(F.col("doc_id") % 5 == k, F.array(*[span(*s) for s in kinds[k]])), range(1, 5), F.when(F.col("doc_id") % 5 == 0, F.array(*[span(*s) for s in kinds[0]])))
-    return table(spark, sf_dir, "documents").select("doc_id", R.span_problem(chosen, F.lit(100)).alias("problem"))
+    lines = F.split("text", "\n")
+    start = lambda i: F.aggregate(F.slice(lines, 1, i), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    few = F.size(lines) <= 6
+    more = lambda i: F.when((F.col("lang") == "en") & (i < F.size(lines) - 1), 1).otherwise(0)
+    spans = F.transform(F.slice(lines, 1, F.when(few, F.size(lines)).otherwise(6)), lambda x, i: F.struct(start(i).alias("start_char"), (start(i) + F.length(x) + more(i)).alias("end_char")))
+    return table(spark, sf_dir, "documents").select("doc_id", R.span_problem(spans, F.length("text")).alias("problem"))
 
 
 @query(
@@ -569,13 +609,25 @@ def _with_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n\nExample 1.2 shows\n"), "text", F.lit("\n\nExample 3 again\n"), "text").alias("t"))
 
 
-@query()
+@query(
+    f"WITH t AS (SELECT doc_id, length(text) AS n, length(rtrim(text, ' {chr(9)}' || {NL})) AS m, text FROM documents) "
+    "SELECT doc_id, n + 2 AS s, n + 2 + 18 + m + CASE WHEN n > m AND contains(substr(text, m + 1), chr(10)) THEN strpos(substr(text, m + 1), chr(10)) ELSE n - m + 1 END AS e, 'Example 1.2' AS label FROM t WHERE e - s >= 80 UNION ALL "
+    "SELECT doc_id, n + 2 + 18 + n + 2, n + 2 + 18 + n + 2 + 16 + n, 'Example 3' FROM t WHERE 16 + n >= 80"
+)
 def example_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _with_examples(spark, sf_dir).select("doc_id", chunks.piece_list(F.col("t")).alias("p")).select("doc_id", F.explode("p").alias("p"))
     return x.where("p.kind = 'example'").select("doc_id", F.col("p.s").alias("s"), F.col("p.e").alias("e"), F.col("p.label").alias("label"))
 
 
-@query()
+@query(
+    f"WITH d AS (SELECT doc_id, replace(text, '. ', concat('.', {NL}, {NL})) AS t FROM documents), c AS (SELECT doc_id, length(t) AS n, unnest(regexp_extract_all(t, '(?s).*?\\n\\s*\\n')) AS x, generate_subscripts(regexp_extract_all(t, '(?s).*?\\n\\s*\\n'), 1) AS i FROM d WHERE length(t) >= 800), "
+    "b AS (SELECT doc_id, n, CASE WHEN n >= 2400 THEN 3 ELSE 2 END AS parts, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS b FROM c), "
+    "k AS (SELECT doc_id, any_value(n) AS n, arg_min(b, abs(b - floor(n / parts::DOUBLE)) * 1e9 + b) AS b1, arg_min(b, abs(b - floor(2 * n / parts::DOUBLE)) * 1e9 + b) FILTER (parts = 3) AS b2 FROM b GROUP BY doc_id), "
+    "u AS (SELECT doc_id, n, list_sort(list_distinct(list_filter([0, b1, b2, n], lambda x: x IS NOT NULL))) AS cuts FROM k), "
+    "s AS (SELECT doc_id, n, list_filter(list_transform(generate_series(1, len(cuts) - 1), lambda i: [cuts[i], cuts[i + 1]]), lambda p: p[2] - p[1] >= 200) AS p FROM u WHERE len(cuts) >= 3), "
+    "e AS (SELECT doc_id, n, p, unnest(generate_series(1, len(p))) AS i FROM s WHERE len(p) >= 2) "
+    "SELECT doc_id, (CASE WHEN i = 1 THEN 0 ELSE p[i][1] END)::int AS s, (CASE WHEN i = len(p) THEN n ELSE p[i][2] END)::int AS e FROM e"
+)
 def fallback_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("t"))
     return d.select("doc_id", F.explode(R.fallback_spans(F.col("t"))).alias("p")).select("doc_id", F.col("p.start_char").alias("s"), F.col("p.end_char").alias("e"))
@@ -591,15 +643,15 @@ def enrich_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parents.select(*columns, F.lit("").alias("role")).unionByName(children.select(*columns, "role"))
 
 
-@query("SELECT doc_id, concat('E=mc^2 energy E: ', lang) AS formula_input, concat('cap cell ', source) AS table_input FROM documents")
+@query("SELECT doc_id, md5(concat('x_', n_chars, ' ', text, ' E: ', lang)) AS formula_input, md5(text) AS table_input FROM documents")
 def embedding_inputs_older(spark: SparkSession, sf_dir: str) -> DataFrame:
-    formula = F.struct(F.lit("").alias("name"), F.lit("E=mc^2").alias("latex"), F.array(F.struct(F.lit("E").alias("symbol"), F.col("lang").alias("meaning"))).alias("variables"), F.lit("").alias("context"), F.lit("energy").alias("describes"))
-    tables = F.array(F.struct(F.lit("cap").alias("caption"), F.array(F.lit("h")).alias("headers"), F.array(F.array(F.lit("cell"), F.col("source"))).alias("rows")))
-    x = R.embedding_inputs(F.lit("s"), F.lit(""), F.array(formula), tables, older=True)
-    return table(spark, sf_dir, "documents").select("doc_id", *x).select("doc_id", "formula_input", "table_input")
+    """The older inputs: a formula gives its description where it has no context; without cells the table's input is the search text."""
+    formula = F.struct(F.lit("").alias("name"), F.concat(F.lit("x_"), F.col("n_chars").cast("string")).alias("latex"), F.array(F.struct(F.lit("E").alias("symbol"), F.col("lang").alias("meaning"))).alias("variables"), F.lit("").alias("context"), F.col("text").alias("describes"))
+    x = table(spark, sf_dir, "documents").select("doc_id", *R.embedding_inputs(F.col("text"), F.col("source"), F.array(formula), F.array().cast(f"array<{R.TABLE}>"), older=True))
+    return x.select("doc_id", F.md5("formula_input").alias("formula_input"), F.md5("table_input").alias("table_input"))
 
 
-@query()
+@query("SELECT doc_id, 64 AS n, CASE WHEN regexp_matches(lower(text), '[a-z0-9]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents")
 def offline_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = embed(F.col("text"), HashingBackend(64))
     return table(spark, sf_dir, "documents").select("doc_id", v.alias("v")).select("doc_id", F.size("v").alias("n"), F.round(retrieval.dot(F.col("v"), F.col("v")), 3).alias("norm"))
@@ -608,11 +660,11 @@ def offline_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- store -----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('new ', lang) ELSE lang END AS lang FROM documents UNION ALL SELECT doc_id + 1000000000, 'added' FROM documents WHERE doc_id % 10 = 0")
+@query("WITH n AS (SELECT doc_id * 3 AS doc_id, concat('new ', lang) AS lang FROM documents) SELECT doc_id, coalesce(n.lang, d.lang) AS lang FROM documents d FULL JOIN n USING (doc_id)")
 def page_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of as many rows, a part of them with known keys."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    new = d.where("doc_id % 3 = 0").withColumn("lang", F.concat(F.lit("new "), "lang")).unionByName(d.where("doc_id % 10 = 0").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.lit("added").alias("lang")))
-    return store.upsert(d, new, ["doc_id"])
+    return store.upsert(d, d.select((F.col("doc_id") * 3).alias("doc_id"), F.concat(F.lit("new "), "lang").alias("lang")), ["doc_id"])
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_type)) AS status FROM events GROUP BY user_id")
@@ -622,8 +674,10 @@ def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, sha256(concat('v3', chr(0), html)) AS key FROM pages WHERE page_id % 4 <> 0")
 def cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", store.cache_key(F.col("html")).alias("key"))
-    return store.cache_misses(p, p.where("page_id % 4 = 0")).select("page_id", "key")
+    """The cache has all pages, but most of them with other content."""
+    p = table(spark, sf_dir, "pages")
+    other = F.when(F.col("page_id") % 4 == 0, F.col("html")).otherwise(F.concat("html", F.lit("<!-- older -->")))
+    return store.cache_misses(p.select("page_id", store.cache_key(F.col("html")).alias("key")), p.select(store.cache_key(other).alias("key"))).select("page_id", "key")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -631,12 +685,88 @@ def count_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id < 500 UNION ALL SELECT doc_id, 'x' AS lang FROM documents WHERE doc_id >= 500 AND doc_id % 2 = 0")
+@query("SELECT doc_id, lang FROM documents UNION ALL SELECT doc_id * 2, 'x' FROM documents WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)")
 def insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return store.insert_new(d.where("doc_id < 500"), d.where("doc_id % 2 = 0").withColumn("lang", F.lit("x")), ["doc_id"])
+    return store.insert_new(d, d.select((F.col("doc_id") * 2).alias("doc_id"), F.lit("x").alias("lang")), ["doc_id"])
 
 
 @query("SELECT page_id, printf('page_%04d.jpg', page_id) AS name, lower(url) LIKE '%.pdf' AS pdf FROM pages")
 def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", store.page_file_name(F.col("page_id")).alias("name"), store.is_pdf(F.col("url")).alias("pdf"))
+
+
+def _tables(spark: SparkSession) -> tables.Tables:
+    """Tables in a folder of their own, deleted when the session ends."""
+    return tables.Tables(spark, store.scratch(spark, "tables"), parts=8)
+
+
+@query(with_views(PAGES, TREE, body="SELECT document_id, leaf_pos, node_id, title, section_id, start_index, end_index, summary FROM tree_v"))
+def tree_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads as JSON: trees that are lists or objects, with flat nodes or without; written and read back."""
+    node = F.struct("node_id", "title", "section_id", "start_index", "end_index", "summary")
+    t = tree_v(spark, sf_dir).groupBy("document_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("leaf_pos", node.alias("n")))), lambda x: x["n"])).alias("nodes"))
+    odd = F.length("document_id") % 2 == 1
+    tree = F.when(odd, F.col("nodes")).otherwise(F.concat(F.lit('{"nodes":'), "nodes", F.lit("}")))
+    body = F.concat(F.lit('{"tree":'), tree, F.when(odd, F.concat(F.lit(',"flat_nodes":'), "nodes")).otherwise(""), F.lit("}"))
+    own = _tables(spark)
+    own.save_trees(trees.uploads(t.select("document_id", body.alias("body"))))
+    return trees.leaves(own.trees())
+
+
+@query(
+    with_views(
+        PAGES, body="SELECT document_id, page_number, md5(CASE WHEN lang = 'en' THEN concat('again ', text) WHEN lang = 'de' THEN '' ELSE text END) AS text, CASE WHEN lang IN ('fr', 'en') THEN '' ELSE lang END AS topics, '' AS summary, 0 AS n_formulas FROM pages_v"
+    )
+)
+def page_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records are saved, those of one language again with other text, and reloaded: nulls are empty texts and lists."""
+    p = pages_v(spark, sf_dir)
+    own = _tables(spark)
+    first = p.select("document_id", "page_number", F.when(F.col("lang") != "de", F.col("text")).alias("text"), F.when(F.col("lang") != "fr", F.array("lang")).alias("topics"))
+    own.save_pages(first)
+    own.save_pages(p.where("lang = 'en'").select("document_id", "page_number", F.concat(F.lit("again "), "text").alias("text")))
+    found = tables.filled_pages(own.pages())
+    return found.select("document_id", "page_number", F.md5("text").alias("text"), F.array_join("topics", "|").alias("topics"), "summary", F.size("formulas").alias("n_formulas"))
+
+
+@query(with_views(PAGES, CHUNKS, "f AS (SELECT document_id, min(id) AS first FROM chunks_v GROUP BY 1)", body="SELECT document_id, id, 'new' AS title, md5(search_text) AS digest FROM chunks_v JOIN f USING (document_id) WHERE length(document_id) = 4 AND NOT is_parent UNION ALL SELECT document_id, id, title, md5(search_text) FROM chunks_v WHERE length(document_id) <> 4"))
+def chunk_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks are stored, then those of some documents are replaced: their old ones are gone, all others stay."""
+    c = chunks_v(spark, sf_dir).drop("topic")
+    own = _tables(spark)
+    own.replace_chunks(c, "v2")
+    own.replace_chunks(c.where((F.length("document_id") == 4) & ~F.col("is_parent")).withColumn("title", F.lit("new")), "v2")
+    return own.chunks().select("document_id", "id", "title", F.md5("search_text").alias("digest"))
+
+
+@query("SELECT user_id::VARCHAR AS document_id, arg_max(event_type, (ts, event_type)) AS status, epoch_us(min(ts)) AS created, epoch_us(max(ts)) AS updated FROM events GROUP BY user_id")
+def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _tables(spark)
+    own.record_events(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("document_id"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("at")))
+    return own.documents().select("document_id", "status", F.unix_micros("created_at").alias("created"), F.unix_micros("updated_at").alias("updated"))
+
+
+@query("SELECT page_id, min(url) OVER (PARTITION BY html) AS record, 0 AS missing FROM pages")
+def cache_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misses are written to the cache, and found there afterwards."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", store.cache_key(F.col("html")).alias("key"))
+    own = _tables(spark)
+    own.save_cache(store.cache_misses(p, own.cache()).select("key", F.col("url").alias("record")))
+    missing = store.cache_misses(p, own.cache()).count()
+    return store.cache_hits(p, own.cache()).select("page_id", "record", F.lit(missing).cast("int").alias("missing"))
+
+
+@query("SELECT vec_id, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def vector_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that were written as texts."""
+    v = vector_of(F.to_json("embedding"), 64)
+    x = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v"))
+    return x.select("vec_id", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, y: a + y.cast("double")), 4).alias("total"))
+
+
+@query("""SELECT doc_id, concat('[{"name":"', source, '","latex":"x_', n_chars, '","variables":[{"symbol":"E","meaning":"', lang, '"}],"context":"","describes":"d"}]') AS formulas, lang FROM documents""")
+def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    variables = F.array(F.struct(F.lit("E").alias("symbol"), F.col("lang").alias("meaning")))
+    f = F.struct(F.col("source").alias("name"), F.concat(F.lit("x_"), F.col("n_chars").cast("string")).alias("latex"), variables.alias("variables"), F.lit("").alias("context"), F.lit("d").alias("describes"))
+    return tables.json_cells(table(spark, sf_dir, "documents").select("doc_id", F.array(f).alias("formulas"), "lang"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +40,33 @@ def replace_partitions(df: DataFrame, path: str, by: str = "document_id") -> Non
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name that driver and executors share, deleted at exit; one of our own only where the session names none and runs on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="pagewright-")
+        _scratch.append((spark, shared))
+    path = f"{shared.rstrip('/')}/pagewright/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _scratch:
+        try:
+            if spark.sparkContext._jsc is not None:
+                where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may be gone at exit
+            pass
+
+
 def cache_key(content: Column) -> Column:
     """SHA-256 of the version, a zero byte and the content."""
     return F.sha2(F.concat(F.encode(F.lit(CACHE_VERSION), "utf-8"), F.unhex(F.lit("00")), content.cast("binary")), 256)
