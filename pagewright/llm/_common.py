@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import math
 import tempfile
+import threading
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
+#: The thread that wrote a table.
+_by: dict[str, int] = {}
 
 
 #: Bytes of an Arrow batch that a Python worker gets at once, where the session sets no limit of its own.
@@ -52,6 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/pagewright/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    _by[path] = threading.get_ident()
     return path
 
 
@@ -70,6 +75,22 @@ def release(df: DataFrame | None) -> None:
     path = getattr(df, "_pagewright_path", None)
     if path:
         _delete(df.sparkSession, path)
+        _written[:] = [w for w in _written if w[1] != path]
+
+
+def written_so_far() -> set[str]:
+    return {path for _, path in _written}
+
+
+def release_since(before: set[str], kept: DataFrame) -> None:
+    """Delete all tables that this thread has written since written_so_far() gave before, but for kept: its rows are written, so nothing reads those
+    that led to it."""
+    path = getattr(kept, "_pagewright_path", None)
+    gone = [(spark, p) for spark, p in _written if p not in before and p != path and _by.get(p) == threading.get_ident()]
+    for spark, p in gone:
+        _delete(spark, p)
+        _by.pop(p, None)
+    _written[:] = [w for w in _written if w not in gone]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -102,30 +123,51 @@ MAX_FILTER_BITS = 30
 
 
 def filter_bits(keys: int, most: int = MAX_FILTER_BITS) -> int:
-    """Bits of a bit map for so many keys: 16 a key, between 2^16 and 2^most bits (128 MB)."""
+    """Bits of a filter for so many keys: 16 a key at least, between 2^16 and 2^most bits (128 MB)."""
     return min(most, max(16, math.ceil(math.log2(max(1, keys) * 16))))
 
 
-def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bit map of the low bits of keys.key, built in parts of 4 KB by Spark: 2^bits bits in all, however many keys."""
-    low = keys.select(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).alias("k"))
-    parts = low.groupBy(F.floor(F.col("k") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("k") % 32768).alias("bits"))
+@dataclass(frozen=True)
+class KeyFilter:
+    """A Bloom filter of longs: true for all that it was made of, and for few others (one in 400 while it has room)."""
+
+    data: np.ndarray
+    bits: int
+    hashes: int
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        mask = (1 << self.bits) - 1
+        low, step = keys & mask, (keys.view(np.uint64) >> np.uint64(32)).view(np.int64) & mask | 1
+        out = np.ones(len(keys), bool)
+        for i in range(self.hashes):
+            at = (low + i * step) & mask
+            out &= (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def key_filter(keys: DataFrame, count: int | None = None, most: int = MAX_FILTER_BITS) -> KeyFilter:
+    """Of keys.key, built in parts of 4 KB by Spark: 2^most bits in all, however many keys."""
+    count = keys.count() if count is None else count
+    bits = filter_bits(count, most)
+    hashes = max(1, min(4, int(0.69 * (1 << bits) / max(1, count))))
+    mask = F.lit((1 << bits) - 1)
+    step = F.shiftrightunsigned("key", 32).bitwiseAND(mask).bitwiseOR(F.lit(1))
+    places = F.array(*[(F.col("key").bitwiseAND(mask) + i * step).bitwiseAND(mask) for i in range(hashes)])
+    parts = keys.select(F.explode(places).alias("k")).groupBy(F.floor(F.col("k") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("k") % 32768).alias("bits"))
     out = np.zeros((1 << bits) >> 3, np.uint8)
     for r in parts.toLocalIterator():
         out[r["part"] * 4096 : r["part"] * 4096 + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
+    return KeyFilter(out, bits, hashes)
 
 
 def maybe_in(keys: DataFrame):
-    """A test of a long column: true if it is in keys.key, and for some values that aren't. The bit map behind it is broadcast;
-    its size is bounded."""
-    bits = filter_bits(keys.count())
-    held = keys.sparkSession.sparkContext.broadcast(bitmap(keys, bits))
+    """A test of a long column: true if it is in keys.key, and for some values that aren't. The filter behind it is broadcast; its
+    size is bounded."""
+    held = keys.sparkSession.sparkContext.broadcast(key_filter(keys))
 
     @F.arrow_udf("boolean")
     def test(k: pa.Array) -> pa.Array:
-        at = k.to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
-        return pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+        return pa.array(held.value.has(k.to_numpy(zero_copy_only=False)))
 
     return test
 

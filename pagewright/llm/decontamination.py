@@ -16,7 +16,7 @@ A window weighs as many as it has plain words, so those that are mostly placehol
 also matched word by word (v 2): all its windows, with the values as they are, so that it is found verbatim, though, where no other windows
 are left, not with other values.
 
-Only windows that may be an item's are shuffled: a bit map of bounded size over the items' windows is broadcast; the join is
+Only windows that may be an item's are shuffled: a filter of bounded size over the items' windows is broadcast; the join is
 exact. An item with fewer words than ``width`` is one window of all its words.
 
 Defined results: a null or empty text has no windows and is clean; so is everything if there are no items; repeated rows
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._chars import looked_up, points, tables
-from ._common import bitmap, filter_bits, stage_table, table, with_matches
+from ._common import key_filter, stage_table, table, with_matches
 from ._vec import U, mix, powers, shingle_hashes, slices
 
 #: Units that may follow a number.
@@ -201,11 +201,10 @@ def _item_rows(batches: Iterator[pa.RecordBatch], p: DeconParams) -> Iterator[pa
         yield pa.RecordBatch.from_arrays(columns, ["item_id", "v", "w", "ip", "width", "n", "words", "weight", "islots"])
 
 
-def _doc_rows(batches: Iterator[pa.RecordBatch], widths: list[int], verbatim: list[int], held: Broadcast, bits: int, p: DeconParams) -> Iterator[pa.RecordBatch]:
+def _doc_rows(batches: Iterator[pa.RecordBatch], widths: list[int], verbatim: list[int], held: Broadcast, p: DeconParams) -> Iterator[pa.RecordBatch]:
 
     def maybe(hashes: np.ndarray) -> np.ndarray:
-        bit = hashes.view(np.int64) & ((1 << bits) - 1)
-        return np.flatnonzero(held.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+        return np.flatnonzero(held.value.has(hashes.view(np.int64)))
 
     for batch in batches:
         dk, th, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2))
@@ -261,11 +260,10 @@ def matches(keyed: DataFrame, items: DataFrame, p: DeconParams = DeconParams())
     if not kinds:
         return spark.createDataFrame([], "dk long, th long, item_id long, coverage double, consistency double")
     keys = own.select(F.col("w").alias("key")).distinct()
-    bits = filter_bits(keys.count())
     if own.count() <= p.broadcast_rows:  # a window that many documents have is no task of its own then
         own = F.broadcast(own)
-    held = spark.sparkContext.broadcast(bitmap(keys, bits))
-    found = keyed.select("_dk", "_th", "text").mapInArrow(partial(_doc_rows, widths=widths, verbatim=verbatim, held=held, bits=bits, p=p), "dk long, th long, w long, width int, dp int, dslots array<long>")
+    held = spark.sparkContext.broadcast(key_filter(keys))
+    found = keyed.select("_dk", "_th", "text").mapInArrow(partial(_doc_rows, widths=widths, verbatim=verbatim, held=held, p=p), "dk long, th long, w long, width int, dp int, dslots array<long>")
     # rows that repeat id and text bring each match as many times as the others: nothing below depends on it
     met = stage_table(found.join(own, ["w", "width"]), "decon-met")
     ids = ["dk", "th", "item_id", "v"]

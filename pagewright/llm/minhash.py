@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import only_ids, release, stage_table, table, with_matches
+from ._common import only_ids, release, release_since, stage_table, table, with_matches, written_so_far
 from ._vec import U, shingle_sets, slices
 from .components import components
 
@@ -33,13 +33,16 @@ from .components import components
 @dataclass(frozen=True)
 class MinHashParams:
     """bands * rows minima. A pair at the threshold shares no band with probability (1 - t^rows)^bands: 5e-6 here.
-    slack is how far below the threshold the signatures of a pair may agree: five standard deviations."""
+    slack is how far below the threshold the signatures of a pair may agree: five standard deviations. A shingle that more than hot nodes have
+    is compared in a grid of tasks; broadcast_rows bounds the table of them that is broadcast."""
 
     width: int = 5
     percent: int = 75
     bands: int = 32
     rows: int = 4
     slack: float = 0.19
+    hot: int = 256
+    broadcast_rows: int = 1_000_000
 
     @property
     def minima(self) -> int:
@@ -135,11 +138,26 @@ def _across(nodes: DataFrame, docs: DataFrame, params: MinHashParams) -> DataFra
     prefix = ranked.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * t / 100) + 1).join(nodes.select(F.col("rep").alias("id"), "label"), "id")
     prefix = stage_table(prefix.select("id", "shingle", "size", (F.col("size") - F.col("at") + 1).alias("rest"), "label"), "near-prefix")
     release(shingles)
-    mixed = prefix.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("shingle")
-    prefix = prefix.join(mixed, "shingle", "left_semi")
-    right = prefix.select("shingle", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("rest").alias("rb"), F.col("label").alias("lb"))
+    of = prefix.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"))
+    mixed = stage_table(of.where("x < y").select("shingle", "n"), "near-mixed")
+    hot = mixed.where(F.col("n") > params.hot).select("shingle", F.ceil(F.col("n") / params.hot).cast("int").alias("g"))
+    n_hot = hot.count()
     enough = (100 + t) * F.least("rest", "rb") >= t * (F.col("size") + F.col("sb"))
-    return prefix.join(right, "shingle").where((F.col("label") < F.col("lb")) & enough).select(F.col("id").alias("a"), "b").distinct()
+
+    def met(keys: list[str], left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.select(*keys, F.col("id").alias("b"), F.col("size").alias("sb"), F.col("rest").alias("rb"), F.col("label").alias("lb"))
+        return left.join(right, keys).where((F.col("label") < F.col("lb")) & enough).select(F.col("id").alias("a"), "b")
+
+    if not n_hot:
+        cold = prefix.join(mixed, "shingle", "left_semi")
+        return met(["shingle"], cold, cold).distinct()
+    if n_hot <= params.broadcast_rows:  # else shuffled: then the nodes of a hot shingle are read by one task before they are dealt out
+        hot = F.broadcast(hot)
+    cold = prefix.join(hot, "shingle", "left_anti").join(mixed, "shingle", "left_semi")
+    # g parts of the nodes of a hot shingle on each side: each of g * g tasks compares one part with another
+    dealt = prefix.join(hot, "shingle").withColumn("part", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    spread = lambda own, other: dealt.withColumn(own, F.col("part")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    return met(["shingle"], cold, cold).unionByName(met(["shingle", "i", "j"], spread("i", "j"), spread("j", "i"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
@@ -163,12 +181,14 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     labelled = buckets.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     nodes = stage_table(labelled.join(open_keys, "key", "left_semi").select("rep", "label").distinct(), "near-open")
+    mark = written_so_far()
     more = stage_table(_across(nodes, docs, params).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
+    release_since(mark, more)
     if not more.isEmpty():
         extra = verify(more, classes, docs, params)
         if not extra.isEmpty():
             label = stage_table(components(links.unionByName(extra)), "near-labels")
-    for df in (classes, buckets, tried, links, more):
+    for df in (classes, buckets, tried, links, nodes, more):
         release(df)
     out = member.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")

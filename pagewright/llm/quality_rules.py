@@ -28,9 +28,10 @@ SYMBOLS = r"[#*$%&|<>]+"
 
 @dataclass(frozen=True)
 class RuleParams:
-    """max_labelled bounds the labelled rows that the list is fitted on (chosen by a hash of the id)."""
+    """max_labelled bounds the labelled rows that the list is fitted on (chosen by a hash of the id). cuts: thresholds tried for a feature; max_rules and
+    max_conditions: size of the list; min_cover: rows to reject that a rule covers at least; min_precision: on the rows that prune."""
 
-    max_labelled: int = 200_000
+    max_labelled: int = 20_000
     cuts: int = 48
     max_rules: int = 8
     max_conditions: int = 3
@@ -211,12 +212,17 @@ def _pruned(rows: DataFrame, rule: list[Condition]) -> tuple[list[Condition], fl
     return rule[: k + 1], value[k], int(r[f"t{k}"])
 
 
-def labelled_rows(features: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
-    """Features of labelled rows (those that pass the base rules), at most about max_labelled of them."""
+def chosen(labels: DataFrame, params: RuleParams = RuleParams()) -> tuple[DataFrame, Column]:
+    """The labels to fit on (doc_id, _quality), about max_labelled of them at most, and the test of doc_id that chose them."""
     own = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     total = own.count()
-    if total > params.max_labelled:
-        own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * params.max_labelled / total))
+    test = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, params.max_labelled / max(1, total)))
+    return own.where(test), test
+
+
+def labelled_rows(features: DataFrame, own: DataFrame) -> DataFrame:
+    """Features of the labelled rows that pass the base rules. own: of chosen(), so small that it may be broadcast."""
+    own = F.broadcast(own)
     return (
         features.withColumn("_q_row", F.monotonically_increasing_id())
         .where((F.col("_q_row") >= 0) & ~base_failed())
@@ -226,9 +232,11 @@ def labelled_rows(features: DataFrame, labels: DataFrame, params: RuleParams = R
 
 
 def learn(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> DecisionList:
-    """Fit on the labelled ones of docs. The features of all are computed before the join, so no text is shuffled."""
-    features = with_features(docs.select("doc_id", "text")).drop("text")
-    return fit(stage_table(labelled_rows(features, labels, params), "rules-labelled"), params)
+    """Fit on the labelled ones of docs. Features are computed where the choice of labels may fall, before the join: no text is shuffled, and of a large
+    corpus a small part is looked at."""
+    own, test = chosen(labels, params)
+    features = with_features(docs.select("doc_id", "text").where(test)).drop("text")
+    return fit(stage_table(labelled_rows(features, own), "rules-labelled"), params)
 
 
 def keep_good(docs: DataFrame, rules: DecisionList) -> DataFrame:
@@ -242,7 +250,8 @@ def keep_good(docs: DataFrame, rules: DecisionList) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
     """One row for each document: the base counts, base_failed, kept and the number of the rule that rejected it."""
     features = stage_table(with_features(docs.select("doc_id", "text")).drop("text"), "rules-features")
-    rules = fit(stage_table(labelled_rows(features, labels, params), "rules-labelled"), params)
+    own, test = chosen(labels, params)
+    rules = fit(stage_table(labelled_rows(features.where(test), own), "rules-labelled"), params)
     number = F.when(~base_failed(), rules.rule_number())
     longs = [F.col(f"_q_{c}").cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return features.select("doc_id", *longs, base_failed().alias("base_failed"), (~base_failed() & number.isNull()).alias("kept"), number.alias("rule"))

@@ -34,20 +34,21 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import MAX_FILTER_BITS, bitmap, filter_bits, release, stage_table, table, with_matches
+from ._common import MAX_FILTER_BITS, key_filter, release, stage_table, table, with_matches
 from ._vec import _PLAIN, U, mix, powers, run_hashes, word_bounds
 from .suffix_array import repeated_starts
 
 
 @dataclass(frozen=True)
 class SubstringParams:
-    """width and gram count symbols: bytes or words, by unit. max_filter_bits bounds the bit map that is broadcast; with more keys
-    than it can tell apart, the shards only get more segments."""
+    """width and gram count symbols: bytes or words, by unit. max_filter_bits bounds the filter that is broadcast; with more keys
+    than it can tell apart, the shards only get more segments. An anchor with more than group_limit segments is split; shard_bytes is what one
+    suffix array is built of."""
 
     width: int = 400
     gram: int = 100
     unit: str = "bytes"
-    group_limit: int = 4096
+    group_limit: int = 512
     shard_bytes: int = 1 << 20
     max_filter_bits: int = MAX_FILTER_BITS
 
@@ -146,10 +147,10 @@ def _key(f, e, p, dk: int, th: int) -> np.ndarray:
     return f ^ e ^ p ^ dk ^ th
 
 
-def _segments(batches: Iterator[pa.RecordBatch], p: SubstringParams, held: Broadcast, bits: int) -> Iterator[pa.RecordBatch]:
-    """The segments, with bytes, of the anchor occurrences that the bit map names."""
+def _segments(batches: Iterator[pa.RecordBatch], p: SubstringParams, held: Broadcast) -> Iterator[pa.RecordBatch]:
+    """The segments, with bytes, of the anchor occurrences that the filter has."""
     schema = pa.schema([("f", pa.int64()), ("dk", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("seg", pa.binary())])
-    bits_set = held.value
+    wanted = held.value
     for batch in batches:
         out, size = [], 0
         for dk, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2)), strict=True):
@@ -158,8 +159,7 @@ def _segments(batches: Iterator[pa.RecordBatch], p: SubstringParams, held: Broad
             if not len(f):
                 continue
             e = _segment_hashes(total, place, lo, hi, p)
-            bit = _key(f.view(np.int64), e.view(np.int64), place, dk, th) & ((1 << bits) - 1)
-            hit = np.flatnonzero(bits_set[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            hit = np.flatnonzero(wanted.has(_key(f.view(np.int64), e.view(np.int64), place, dk, th)))
             for k in hit.tolist():
                 seg = data[lo[k] * p.symbol_bytes : (hi[k] + p.width) * p.symbol_bytes]
                 out.append((f[k].view(np.int64).item(), dk, th, int(place[k]), int(lo[k]), int(hi[k]), seg))
@@ -292,12 +292,11 @@ def repeated_ranges(docs: DataFrame, p: SubstringParams = SubstringParams()) ->
     n = open_.count()
     if n == 0:
         return done(out)
-    bits = filter_bits(n, p.max_filter_bits)
     key = F.col("f").bitwiseXOR(F.col("e")).bitwiseXOR(F.col("p").cast("long")).bitwiseXOR(F.col("dk")).bitwiseXOR(F.col("th"))
-    held = spark.sparkContext.broadcast(bitmap(open_.select(key.alias("key")), bits))
+    held = spark.sparkContext.broadcast(key_filter(open_.select(key.alias("key")), n, p.max_filter_bits))
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     hot = stage_table(open_.where(F.col("n") > p.group_limit).select("f").distinct(), "sub-hot")
-    segments = docs.mapInArrow(partial(_segments, p=p, held=held, bits=bits), _SEGMENT_ROW)
+    segments = docs.mapInArrow(partial(_segments, p=p, held=held), _SEGMENT_ROW)
     search = [segments]
     if not hot.isEmpty():
         segments = kept(stage_table(segments, "sub-segments"))

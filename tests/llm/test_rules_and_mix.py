@@ -67,6 +67,12 @@ def test_learned_list(spark):
     assert kept == {k for k in range(600) if k % 4 > 1}
     got = quality_rules.quality_rules(docs, marks).collect()
     assert {r["doc_id"] for r in got if r["kept"]} == kept
+    half = quality_rules.RuleParams(max_labelled=300)  # a sample of the labels, the same on both ways
+    own, test = quality_rules.chosen(marks, half)
+    assert 200 < own.count() < 400 and own.count() == docs.where(test).count()
+    kept = {r["doc_id"] for r in quality_rules.keep_good(docs, quality_rules.learn(docs, marks, half)).collect()}
+    assert kept == {r["doc_id"] for r in quality_rules.quality_rules(docs, marks, half).collect() if r["kept"]}
+    assert len(kept ^ {k for k in range(600) if k % 4 > 1}) <= 6
 
 
 def fill(sizes, weights=(1, 2, 3), most=3):

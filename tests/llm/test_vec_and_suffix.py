@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from pagewright.llm import suffix_array as S
 from pagewright.llm._vec import shingle_sets, words_of
-from pagewright.llm.substring_dedup import SubstringParams, anchors
+from pagewright.llm.substring_dedup import SubstringParams, anchors, symbols
 
 
 def test_words_and_sets():
@@ -54,10 +54,23 @@ def test_repeated_starts(texts, shard):
 @pytest.mark.parametrize("data", [b"ab" * 400, bytes(np.random.default_rng(1).integers(97, 123, 3000, dtype=np.uint8)), b"x" * 900, b"q" * 399, b"q" * 400])
 def test_every_window_has_one_anchor(data):
     p = SubstringParams()
-    f, place, lo, hi, _ = anchors(data, p)
+    f, place, lo, hi, _ = anchors(symbols(data, p)[0], p)
     n = max(0, len(data) - p.width + 1)
     covered = np.zeros(n + 1, int)
     for a, b, x in zip(lo, hi, place, strict=True):
         covered[a : b + 1] += 1
         assert all(s <= x <= s + p.width - p.gram for s in (a, b))
     assert (covered[:n] == 1).all()
+
+
+def test_key_filter(spark):
+    from pagewright.llm._common import key_filter
+
+    r = np.random.default_rng(3)
+    keys, others = r.integers(-(1 << 63), 1 << 63, 5000), r.integers(-(1 << 63), 1 << 63, 50_000)
+    table = spark.createDataFrame([(int(k),) for k in keys], "key long")
+    found = key_filter(table)
+    assert found.hashes == 4 and found.has(keys).all() and found.has(others).mean() < 0.01
+    full = key_filter(table, most=16)  # no room: still complete
+    assert full.has(keys).all()
+    assert not key_filter(table.where("false")).has(others).any()
