@@ -4,6 +4,8 @@ Texts become sets of word shingles; many universal hash minima make a signature;
 buckets; pairs of a bucket are verified first on signatures, then on the full sets; connected components come from
 alternating large-star and small-star.
 
+Sets are of 64-bit hashes of shingles: two different shingles of a pair of texts would have to have equal hashes to be taken for one.
+
 Texts with equal sets are one class, so copies never meet in pairs. Within a bucket every class is compared with the
 bucket's least class (a star, not all pairs). Classes of buckets that still hold several components afterwards are
 compared across these components by an exact prefix filter, so no link is lost to the star.

@@ -29,11 +29,13 @@ GOLDEN = 0.6180339887498949
 @dataclass(frozen=True)
 class MixParams:
     """weights repeat over the ordered sources; slots is the length of the schedule at most (blocks are
-    of one word at least); a document is taken max_repeat times at most."""
+    of one word at least); a document is taken max_repeat times at most. A source's documents are dealt to as many shards as leave
+    about shard_rows of all rows in one, shards at least; the schedule looks its points up in bins."""
 
     weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     slots: int = 1 << 19
     shards: int = 256
+    shard_rows: int = 1_000_000
     bins: int = 4096
     max_repeat: int = 3
 
@@ -103,10 +105,12 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     h = F.xxhash64("doc_id")
     sized = stage_table(
         docs.select("doc_id", "source", size_of(F.col("text")).alias("size")).select(
-            "doc_id", "source", "size", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("key"), h.alias("h"), F.pmod(h, F.lit(params.shards)).cast("int").alias("shard")
+            "doc_id", "source", "size", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("key"), h.alias("h")
         ),
         "mix-sizes",
     )
+    shards = max(params.shards, -(-sized.count() // params.shard_rows))
+    sized = sized.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
     shards = sized.groupBy("key", "source", "shard").agg(F.sum("size").alias("shard_size"))
     sources = shards.groupBy("key", "source").agg(F.sum("shard_size").alias("source_size"))
     block = F.greatest(F.lit(1), F.ceil(F.sum("source_size").over(Window.partitionBy()) / params.slots)).cast("long")

@@ -68,7 +68,11 @@ def test_language(spark, docs, no_docs, small):
     assert [s["lang"] for s in out[1]["spans"]] == ["en", "de"] and abs(out[1]["spans"][1]["start"] - 600) < 40
     assert [(out[k]["lang_pred"], out[k]["score"]) for k in (2, 3, 4)] == [("und", 0.0)] * 3
     assert out[5]["lang_pred"] in model.languages
+    found = langid.identify(docs, model).join(docs.select("doc_id", "text").distinct(), "doc_id").collect()
     assert langid.identify(docs, model).count() == docs.count()
+    assert all((r["lang_pred"], r["score"]) == ("und", 0.0) for r in found if r["doc_id"] in (4, 5, 6))
+    assert all(r["lang_pred"] != "und" and 0 < r["score"] <= 1 for r in found if r["doc_id"] in (1, 2, 3, 7, 10))
+    assert len({(r["lang_pred"], r["score"]) for r in found if r["doc_id"] in (1, 2)}) == 1 and len({str(r["spans"]) for r in found if r["doc_id"] == 8}) == 1
     assert langid.identify(no_docs, model).collect() == []
     assert {r["lang_pred"] for r in langid.identify(docs, langid.train(no_docs)).collect()} == {"und"}
 
@@ -104,7 +108,10 @@ def test_toxicity(spark, docs, no_docs):
     dotted = spark.createDataFrame([(1, "the 1d1ot and the thing of it is here"), (2, "the... 1d1ot!!! (and) -- the // thing, of; it: is -- here ...")], "doc_id long, text string")
     same = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(dotted, model).collect()}
     assert same[1] == pytest.approx(same[2]) and same[1] > out[4]  # marks are no words
-    assert toxicity.score_toxicity(docs, model).count() == docs.count()
+    scored = [(r["doc_id"], r["score"], r["hits"]) for r in toxicity.score_toxicity(docs, model).collect()]
+    assert len(scored) == docs.count()
+    assert {s for i, s, _ in scored if i in (4, 5, 6)} == {out[3]} and all(h == 0 and s < 0.5 for i, s, h in scored if i in (1, 2, 7, 14, 16))
+    assert len({x for x in scored if x[0] == 8}) == 1
     assert toxicity.score_toxicity(no_docs, model).collect() == []
     none = toxicity.train(whole, labels.where("toxic = 0"))
     assert not none.entries
@@ -129,7 +136,9 @@ def test_licenses(spark, docs, no_docs, small):
     got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), model).collect()}
     assert {k: r["license"] for k, r in got.items()} == {k: e for k, _, e in rows}
     assert got[1]["found"][0]["line"] == 1 and got[4]["n_paragraphs"] == 0
-    assert licenses.scan_licenses(docs, model).count() == docs.count()
+    scanned = licenses.scan_licenses(docs, model).collect()
+    assert len(scanned) == docs.count() and all(r["license"] is None and r["found"] == [] for r in scanned)
+    assert {r["n_paragraphs"] for r in scanned if r["doc_id"] in (4, 5, 6)} == {0} and {r["n_paragraphs"] for r in scanned if r["doc_id"] == 7} == {-(-30_000 // 64)}
     assert licenses.scan_licenses(no_docs, licenses.train(no_docs)).collect() == []
 
 

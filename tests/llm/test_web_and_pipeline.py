@@ -232,6 +232,29 @@ def test_pipeline(spark, small):
     assert {r["doc_id"] for r in P.run(spark, small).collect()} == ids
 
 
+def test_pipeline_on_awkward_rows(spark, docs, no_docs, small):
+    """Every stage on nulls, empty and very long texts, ties, repeated rows and clashing columns, and on an empty table."""
+    import corpus_pipeline as P
+
+    now = docs
+    for name, stage in P.STAGES[:-1]:
+        before = [r["doc_id"] for r in now.collect()]
+        out = stage(spark, now, small)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert not Counter(r["doc_id"] for r in rows) - Counter(before), name
+        assert all(r["n_chars"] == len(r["text"]) for r in rows if r["text"] is not None), name
+        now = spark.createDataFrame(rows, out.schema)
+        empty = stage(spark, no_docs, small)
+        assert empty.columns == docs.columns and empty.collect() == [], name
+    kept = {r["doc_id"]: r["text"] for r in now.collect()}
+    assert {1, 7, 8, 9} <= set(kept) and not {2, 3, 4, 5, 6, 10} & set(kept)
+    passage = " ".join(docs.where("doc_id = 8").first()["text"].split()[60:180])
+    assert all(passage not in " ".join(t.split()) for t in kept.values())
+    assert {r["doc_id"] for r in P.mix_sources(spark, now, small).collect()} == set(kept)
+    assert P.mix_sources(spark, no_docs, small).collect() == []
+
+
 def test_registry():
     import __spark_entry__ as e
 
