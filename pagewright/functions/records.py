@@ -135,7 +135,7 @@ def merged_page(vision: Column, tree_text: Column, headings: Column, node_summar
 
 
 def formula_problem(f: Column) -> Column:
-    """Why a formula isn't valid; an empty text if it is."""
+    """Why a formula isn't valid; an empty text if it is. The reasons are fixed values."""
     latex = F.coalesce(f["latex"], F.lit(""))
     count = lambda s: F.length(latex) - F.length(F.replace(latex, F.lit(s), F.lit("")))
     names = lambda word: F.sort_array(F.regexp_extract_all(latex, F.lit(r"\\" + word + r"\{([^}]+)\}"), F.lit(1)))
@@ -196,7 +196,7 @@ def merge_formulas(vision: Column, summary: Column) -> Column:
 
 
 def serialise_summary(r: Column) -> Column:
-    """A rich summary as labelled lines."""
+    """A rich summary as labelled lines. The labels are fixed values."""
     line = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.array(F.concat(F.lit(label + ": "), c))).otherwise(F.array().cast("array<string>"))
     each = lambda label, a: F.transform(some(a, "string"), lambda x: F.concat(F.lit(label + ": "), x))
 
@@ -237,7 +237,7 @@ def should_split(gate: Column) -> Column:
 
 
 def span_problem(spans: Column, total: Column) -> Column:
-    """What is wrong with spans (array of struct start_char, end_char) as a partition of total characters; empty if nothing."""
+    """What is wrong with spans (array of struct start_char, end_char) as a partition of total characters; empty if nothing. The texts are fixed values."""
 
     def body(s: Column) -> Column:
         n = F.size(s)

@@ -39,6 +39,22 @@ COMPREHENSIVE_PHRASES = (
 )
 QUERY_TYPES = ("comprehensive", "derivation", "formula", "table", "general")
 
+# Patterns of the cleanup chain, in its order.
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+HYPHEN_BREAK = r"(?U)(\w)-\s*\n\s*(?=[a-z])"
+PAGE_NUMBER_LINE = r"(?mdU)^\s*\d{1,4}\s*$"
+GLUED_PAGE_NUMBER = r"(?mdU)^(\d{2,4})(?=\d+\.\d+)"
+MANY_NEWLINES = r"\n{3,}"
+MANY_SPACES = r"[ \t]{2,}"
+CAPS_STUTTER = r"([A-Z]{2,10})\1{2,}"
+LETTER_GAP = r"(?mdU)^((?:\d+(?:\.\d+)+\s+)?)([A-Z])\s+(?=[A-Z]{2,}\b)"
+TITLE_GAP = r"(?U)^([A-Z])\s+(?=[A-Z]{2,}\b)"
+
+# Patterns of section numbers, content tokens and leading headings.
+SECTION_NUMBER = r"\b(\d+(?:\.\d+){1,3})\b"
+CONTENT_TOKEN = r"[a-z][a-z\-']{2,}"
+HEADING = r"(?d)\A(\d+(?:\.\d+){0,3})\s+([A-Z][A-Z0-9\s'&,\-()]{3,}?)(?:\n|\z)"
+
 
 def let(value: Column, body) -> Column:
     """body(value) with value computed once."""
@@ -73,27 +89,27 @@ def map_punctuation(c: Column) -> Column:
 
 
 def drop_control(c: Column) -> Column:
-    return F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    return F.regexp_replace(c, CONTROL, "")
 
 
 def join_hyphen_breaks(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)(\w)-\s*\n\s*(?=[a-z])", "$1")
+    return F.regexp_replace(c, HYPHEN_BREAK, "$1")
 
 
 def blank_page_number_lines(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?mdU)^\s*\d{1,4}\s*$", "")
+    return F.regexp_replace(c, PAGE_NUMBER_LINE, "")
 
 
 def cut_glued_page_numbers(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?mdU)^(\d{2,4})(?=\d+\.\d+)", "")
+    return F.regexp_replace(c, GLUED_PAGE_NUMBER, "")
 
 
 def squeeze_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, r"\n{3,}", "\n\n")
+    return F.regexp_replace(c, MANY_NEWLINES, "\n\n")
 
 
 def squeeze_spaces(c: Column) -> Column:
-    return F.regexp_replace(c, r"[ \t]{2,}", " ")
+    return F.regexp_replace(c, MANY_SPACES, " ")
 
 
 def each_line(c: Column, body) -> Column:
@@ -105,7 +121,7 @@ def strip_lines(c: Column) -> Column:
 
 
 def drop_caps_stutter(c: Column) -> Column:
-    return F.regexp_replace(c, r"([A-Z]{2,10})\1{2,}", "$1")
+    return F.regexp_replace(c, CAPS_STUTTER, "$1")
 
 
 def collapse_token_runs(line: Column) -> Column:
@@ -123,7 +139,7 @@ def collapse_runs_by_line(c: Column) -> Column:
 
 
 def close_letter_gaps(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?mdU)^((?:\d+(?:\.\d+)+\s+)?)([A-Z])\s+(?=[A-Z]{2,}\b)", "$1$2")
+    return F.regexp_replace(c, LETTER_GAP, "$1$2")
 
 
 CHAIN = (
@@ -149,7 +165,7 @@ def clean_text(c: Column, normalize: bool = True) -> Column:
 
 
 def clean_title(c: Column, normalize: bool = True) -> Column:
-    gap = F.regexp_replace(clean_text(c, normalize), r"(?U)^([A-Z])\s+(?=[A-Z]{2,}\b)", "$1")
+    gap = F.regexp_replace(clean_text(c, normalize), TITLE_GAP, "$1")
     return strip(F.regexp_replace(gap, r"(?U)\s+", " "))
 
 
@@ -166,13 +182,13 @@ def strip_running_header(text: Column, header: Column, min_hits: int = 2) -> Col
 
 
 def section_numbers(c: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\b(\d+(?:\.\d+){1,3})\b"), F.lit(1))
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(SECTION_NUMBER), F.lit(1))
 
 
 def content_tokens(c: Column) -> Column:
     """Words of three or more letters that carry content, first occurrence only."""
     noise = F.array(*[F.lit(w) for w in dict.fromkeys([*STOP_WORDS, *FORMULA_WORDS, *TABLE_WORDS])])
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[a-z][a-z\-']{2,}"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(CONTENT_TOKEN), F.lit(0))
     return F.array_distinct(F.filter(words, lambda w: ~F.array_contains(noise, w)))
 
 
@@ -205,9 +221,8 @@ def ordered_distinct(words: Column) -> Column:
 def leading_heading(text: Column) -> Column:
     """struct(section, title) of the numbered capital heading that a page begins with, or null."""
     head = F.regexp_replace(F.left(F.coalesce(text, F.lit("")), F.lit(300)), r"(?U)\A\s+", "")
-    pattern = r"(?d)\A(\d+(?:\.\d+){0,3})\s+([A-Z][A-Z0-9\s'&,\-()]{3,}?)(?:\n|\z)"
-    section = F.regexp_extract(head, pattern, 1)
-    rest = strip(F.regexp_extract(head, pattern, 2))
+    section = F.regexp_extract(head, HEADING, 1)
+    rest = strip(F.regexp_extract(head, HEADING, 2))
     return F.when((section != "") & rest.rlike("[A-Z]"), F.struct(section.alias("section"), F.concat(section, F.lit(" "), rest).alias("title")))
 
 

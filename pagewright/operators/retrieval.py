@@ -115,6 +115,31 @@ def keyword_lane(chunks: DataFrame, query: str, k: int, analyzer=terms, text: st
     return found
 
 
+def inverted_index(chunks: DataFrame, analyzer=terms, text: str = "search_text") -> tuple[DataFrame, DataFrame]:
+    """What indexed_keyword_lane reads: postings (term, id, tf) and lengths (id, n). To be written: postings sorted by term, so that a query reads few
+    row groups."""
+    words = chunks.select("id", analyzer(F.col(text)).alias("w"))
+    found = words.select("id", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"))
+    return found.repartitionByRange("term").sortWithinPartitions("term", "id"), words.select("id", F.size("w").alias("n"))
+
+
+def indexed_keyword_lane(postings: DataFrame, lengths: DataFrame, query: str, k: int, analyzer=terms) -> DataFrame:
+    """keyword_lane() from an index: only the postings of the query's terms are read, and no text."""
+    asked = postings.sparkSession.range(1).select(F.array_distinct(analyzer(F.lit(query))).alias("t")).first()["t"]
+    if not asked:
+        return lengths.where(F.lit(False)).select("id", F.lit(0.0).alias("score"))
+    own = postings.where(F.col("term").isin(asked))
+    df = {r["term"]: r["df"] for r in own.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each term of the query
+    whole = lengths.agg(F.count("*").alias("N"), F.avg("n").alias("mean")).first()
+    counts = own.groupBy("id").agg(F.count("*").alias("terms"), *[F.sum(F.when(F.col("term") == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(asked)])
+    score = F.lit(0.0)
+    for i, t in enumerate(asked):
+        idf = float(np.log(1 + (whole["N"] - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)))
+        c = F.col(f"tf{i}").cast("double")
+        score = score + F.lit(idf) * c * (K1 + 1) / (c + K1 * (1 - B + B * F.col("n") / F.lit(float(whole["mean"] or 1.0))))
+    return counts.where(F.col("terms") == len(asked)).join(lengths, "id").select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
 def _equals(term: str):
     return lambda x: x == F.lit(term)
 

@@ -76,6 +76,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.keyword_lane(d, WORDS, 20).withColumn("score", F.round("score", 6))
 
 
+@query(ORACLES["bm25_topk"])
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an inverted index that is written first."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("search_text"))
+    postings, lengths = (store.written(x, name) for x, name in zip(retrieval.inverted_index(d), ("postings", "lengths"), strict=True))
+    return retrieval.indexed_keyword_lane(postings, lengths, WORDS, 20).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT doc_id FROM documents WHERE list_has_all(regexp_extract_all(lower(text), '[a-z0-9]+'), ['the', 'of', 'thing'])")
 def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(T.terms(F.lit(WORDS)))

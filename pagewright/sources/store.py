@@ -56,6 +56,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a folder of its own and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _scratch:

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from pagewright.functions.analyzer import english_terms, postings, stem
-from pagewright.operators.retrieval import keyword_lane
+from pagewright.operators.retrieval import indexed_keyword_lane, inverted_index, keyword_lane
 
 
 @pytest.mark.parametrize(
@@ -23,4 +23,7 @@ def test_english_lane(spark):
     c = spark.createDataFrame([("a", "The magnets were attracting iron"), ("b", "an iron door")], "id string, search_text string")
     assert [r["id"] for r in keyword_lane(c, "what attracts a magnet", 5, english_terms).collect()] == ["a"]
     assert keyword_lane(c, "the of and", 5, english_terms).collect() == []
+    postings_, lengths = inverted_index(c, english_terms)
+    assert [(r["id"], round(r["score"], 9)) for r in indexed_keyword_lane(postings_, lengths, "what attracts a magnet", 5, english_terms).collect()] == [(r["id"], round(r["score"], 9)) for r in keyword_lane(c, "what attracts a magnet", 5, english_terms).collect()]
+    assert indexed_keyword_lane(postings_, lengths, "of the", 5, english_terms).collect() == [] == indexed_keyword_lane(postings_, lengths, "absent iron", 5, english_terms).collect()
     assert {(r["term"], r["id"]): r["tf"] for r in postings(c).collect()}["iron", "b"] == 1
