@@ -152,10 +152,10 @@ _MINE_SECTION = """SELECT id, (contains(lower(title), 'thing') OR contains(lower
 WHERE contains(lower(topic), 'the thing') OR contains(lower(title), 'the thing') OR contains(lower(title), 'thing') OR contains(lower(topic), 'thing') ORDER BY o DESC, page_start, id LIMIT 10"""
 
 
-def _hybrid_sql(extra: bool) -> str:
+def _hybrid_sql(kind: str = "") -> str:
     lanes = [_lane_sql("section", _MINE_SECTION, "o DESC, page_start, id", 0), _lane_sql("semantic", _SEM.format(c="search_embedding"), "score DESC, id", 1), _lane_sql("keyword", "SELECT * FROM keyword ORDER BY round(score, 9) DESC, id LIMIT 10", "round(score, 9) DESC, id", 2)]
-    if extra:
-        lanes.append(_lane_sql("formula", _SEM.format(c="formula_embedding"), "score DESC, id", 3))
+    if kind:
+        lanes.append(_lane_sql(kind, _SEM.format(c=f"{kind}_embedding"), "score DESC, id", retrieval.LANES.index(kind)))
     return with_views(
         PAGES,
         CHUNKS,
@@ -174,16 +174,21 @@ def _hybrid(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return found.select("id", F.round("rrf", 9).alias("rrf"), F.col("parent.id").alias("parent_id"))
 
 
-@query(_hybrid_sql(False))
+@query(_hybrid_sql())
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, "general")
 
 
-@query(_hybrid_sql(True))
+@query(_hybrid_sql("formula"))
 def hybrid_formula_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, "formula")
 
 
+@query(_hybrid_sql("table"))
+def hybrid_table_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir, "table")
+
+
 @query(
     "WITH l AS (SELECT doc_id AS id, 0 AS lane_ord, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents WHERE lang = 'en' QUALIFY rank < 1000 UNION ALL "
     "SELECT doc_id, 1, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS rank FROM documents WHERE source IN ('src1', 'src2') QUALIFY rank < 1000) "
@@ -383,6 +388,11 @@ def formula_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", R.formula_problem(_formula_col()).alias("problem"))
 
 
+@query(f"SELECT doc_id, CASE WHEN problem = '' THEN '' ELSE concat('dropped formula (', problem, '): ', left(x, 80)) END AS line FROM (SELECT *, {_PROBLEM_SQL} AS problem FROM ({_LATEX_SQL}))")
+def rejected_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(R.rejected_formulas(F.array(_formula_col())), "|").alias("line"))
+
+
 @query(f"SELECT doc_id, n < 50 AS low_prose, n < 50 AND lang <> 'en' AS figure_only, ({_PROBLEM_SQL} <> '')::int AS bad_formula_count FROM (SELECT *, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM ({_LATEX_SQL}))")
 def page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.when(F.col("lang") != "en", F.array(F.struct(F.lit("c").alias("caption")))).otherwise(F.array().cast("array<struct<caption:string>>"))

@@ -55,6 +55,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("search_text"),
         "search_embedding",
         F.when(F.col("doc_id") % 2 == 0, F.col("search_embedding")).alias("formula_embedding"),
+        F.when(F.col("lang") == "en", F.col("search_embedding")).alias("table_embedding"),
     )
 
 
@@ -67,7 +68,7 @@ CHUNKS = """chunks_v AS (SELECT concat('c', p.doc_id) AS id, p.document_id, p.pa
   CASE WHEN p.page_number % 5 <> 1 THEN concat('c', f.doc_id) END AS parent_id, concat('n', p.page_number) AS node_id,
   concat(1 + p.page_number % 9, '.', p.page_number) AS section_id, left(p.text, 60) AS title,
   concat(1 + p.page_number % 9, '.', p.page_number, ' ', left(p.text, 30)) AS topic, p.text AS search_text, e.embedding AS search_embedding,
-  CASE WHEN p.doc_id % 2 = 0 THEN e.embedding END AS formula_embedding
+  CASE WHEN p.doc_id % 2 = 0 THEN e.embedding END AS formula_embedding, CASE WHEN p.lang = 'en' THEN e.embedding END AS table_embedding
   FROM pages_v p LEFT JOIN embeddings e ON e.vec_id = p.doc_id
   LEFT JOIN pages_v f ON f.document_id = p.document_id AND f.page_number = p.page_number - (p.page_number - 1) % 5)"""
 
