@@ -300,6 +300,8 @@ def test_wrapped_licenses(spark, small):
     word = "the thing and of onon ther with is was tion in the and"
     rows = [(1, f"MIT License\n\nCopyright (c) 2020 A Person\n\n{mit}\n\nThe above notice", "mit"), (2, "\n".join(f"# {x}" for x in textwrap.wrap(gpl, 40)), "gpl-3.0"), (3, "\n".join(textwrap.wrap(apache, 30)), "apache-2.0")]
     rows += [(10 + k, f"{'and the of ' * 30}"[: 3 * k] + "\n" + " ".join(["thing"] * (40 + k)) + " " + apache + " " + word, "apache-2.0") for k in range(0, 24, 4)]
+    notices = [(family, t) for family, own in licenses.TEMPLATES.items() for t in own if len(t.split()) > 14]
+    rows += [(100 + 10 * k + w, f"{word}\n\n" + "\n".join(textwrap.wrap(t, 60 + 12 * w)) + f"\n\n{word}", family) for k, (family, t) in enumerate(notices) for w in range(2)]
     rows += [(40, "\n".join([word] * 30), None), (41, "She got her driving\nlicense last year", None)]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), model).collect()}
     assert {k: r["license"] for k, r in got.items()} == {k: e for k, _, e in rows}
