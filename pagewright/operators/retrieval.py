@@ -35,57 +35,54 @@ def semantic_lane(chunks: DataFrame, vector: list[float], k: int, column: str =
 
 
 def semantic_per_query(chunks: DataFrame, queries: DataFrame, k: int, block: int = 512, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """qid, id, score, rank: the k nearest rows of each query. Queries meet the rows in blocks of block vectors, which are broadcast, at most
-    broadcast_bytes at once: more of them take another pass over the rows. Each task multiplies matrices and keeps k rows for each query, the
-    rest is a top-k over what the tasks kept; no vector is shuffled."""
-    numbered = queries.select("qid", "embedding", F.pmod(F.xxhash64("qid"), F.lit(1 << 20)).alias("h"))
+    """qid, id, score, rank: the k nearest rows of each query, exactly. The query vectors are broadcast, at most broadcast_bytes of them at once: more
+    take another pass over the rows. Each task multiplies matrices, block queries at a time, and keeps k rows for each query; the rest is a top-k over
+    what the tasks kept. No vector is shuffled."""
+    spark = chunks.sparkSession
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    blocks = max(1, -(-size["n"] // block))
-    at_once = max(1, broadcast_bytes // (8 * block * max(1, size["d"] or 1)))
-    grouped = numbered.groupBy((F.col("h") % blocks).alias("block")).agg(F.collect_list(F.struct("qid", "embedding")).alias("queries"))
+    passes = max(1, -(-size["n"] * 8 * max(1, size["d"] or 1) // broadcast_bytes))
     rows = chunks.where("embedding is not null").select("id", "embedding")
 
-    def met(low: int) -> DataFrame:
-        high = min(blocks, low + at_once) - 1
-        own = grouped.where(F.col("block").between(low, high))
-        return rows.withColumn("block", F.explode(F.sequence(F.lit(low), F.lit(high)))).join(F.broadcast(own), "block")
+    def asked(number: int):
+        own = queries.where("embedding is not null and qid is not null").where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == number).select("qid", "embedding").toArrow()
+        q = np.array(own.column("embedding").to_pylist(), np.float64).reshape(own.num_rows, -1)
+        long = np.linalg.norm(q, axis=1)
+        return spark.sparkContext.broadcast((own.column("qid").to_numpy()[long > 0], q[long > 0] / long[long > 0][:, None]))
 
-    def best_of(parts: list) -> list:
+    def best_of(parts: list) -> tuple:
         """k rows of each query."""
         q, i, s = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.lexsort((i, -s, q))
         q, i, s = q[order], i[order], s[order]
         head = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
         rank = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
-        return [(q[rank < k], i[rank < k], s[rank < k])]
-
-    def nearest(frames):
-        held, waiting = [], 0
-        for frame in frames:
-            for _, part in frame.groupby("block", sort=False):
-                asked = part["queries"].iloc[0]
-                q = np.array([x["embedding"] for x in asked], np.float64)
-                m = np.array(part["embedding"].tolist(), np.float64)
+        return q[rank < k], i[rank < k], s[rank < k]
+
+    def nearest(held):
+        def run(frames):
+            qids, vectors = held.value
+            kept, waiting = [], 0
+            for frame in frames:
+                m = np.array(frame["embedding"].tolist(), np.float64).reshape(len(frame), -1)
                 norm = np.linalg.norm(m, axis=1)
-                use = norm > 0
-                ids, m = part["id"].to_numpy()[use], m[use] / norm[use][:, None]
-                long = np.linalg.norm(q, axis=1)
-                score = np.divide(q, long[:, None], where=long[:, None] > 0, out=np.zeros_like(q)) @ m.T
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k] if len(ids) > k else np.tile(np.arange(len(ids)), (len(q), 1))
-                for n, x in enumerate(asked):
-                    if long[n] > 0 and len(ids):
-                        # keep all ties with the k-th, so that ids decide below
-                        at = np.flatnonzero(score[n] >= score[n][best[n]].min() - 1e-9)
-                        held.append((np.full(len(at), x["qid"]), ids[at], np.round(score[n][at], 9)))
-                        waiting += len(at)
-            if waiting > 200_000:
-                held = best_of(held)
-                waiting = 0
-        if held:
-            for q, i, s in best_of(held):
+                ids, m = frame["id"].to_numpy()[norm > 0], m[norm > 0] / norm[norm > 0][:, None]
+                for low in range(0, len(qids) if len(ids) else 0, block):
+                    score = np.round(vectors[low : low + block] @ m.T, 9)
+                    # all ties with the k-th stay, so that ids decide
+                    least = np.partition(score, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(score), -np.inf)
+                    n, at = np.nonzero(score >= least[:, None])
+                    kept.append((qids[low + n], ids[at], score[n, at]))
+                    waiting += len(at)
+                    if waiting > 1_000_000:
+                        kept = [best_of(kept)]
+                        waiting = len(kept[0][0])
+            if kept:
+                q, i, s = best_of(kept)
                 yield pd.DataFrame({"qid": q, "id": i, "score": s})
 
-    found = [met(low).select("block", "id", "embedding", "queries").mapInPandas(nearest, "qid long, id long, score double") for low in range(0, blocks, at_once)]
+        return run
+
+    found = [rows.mapInPandas(nearest(asked(number)), "qid long, id long, score double") for number in range(passes)]
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
     return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k)
 

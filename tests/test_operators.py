@@ -146,6 +146,28 @@ def test_lanes_without_candidates(spark):
         retrieval.semantic_lane(c, [1.0, 0.0], 5, "content")
 
 
+def test_semantic_per_query(spark):
+    """Ties, zero and missing vectors, more rows than a batch has queries, and several passes."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    m = r.integers(-2, 3, (300, 6)).astype(float)
+    rows = [(k, v.tolist()) for k, v in enumerate(m)] + [(900, None), (901, [0.0] * 6)]
+    c = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    asked = c.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding")
+    norm = np.linalg.norm(m, axis=1)
+    want = {}
+    for q in range(0, 300, 20):
+        if norm[q]:
+            score = [(-round(float(m[q] @ m[i] / norm[q] / norm[i]), 9), i) for i in range(300) if norm[i]]
+            want[q] = [i for _, i in sorted(score)[:7]]
+    for p in ({}, {"block": 4}, {"broadcast_bytes": 200}):
+        got = {}
+        for x in retrieval.semantic_per_query(c, asked, 7, **p).orderBy("qid", "rank").collect():
+            got.setdefault(x["qid"], []).append(x["id"])
+        assert got == want
+
+
 def test_examples():
     text = "intro\n\n  Example 1.2 of it\n" + "a" * 90 + "\nExample 3\nshort\n"
     assert [(text[s:e][:11], label) for s, e, label in chunks.example_ranges(text)] == [("Example 1.2", "Example 1.2")]
