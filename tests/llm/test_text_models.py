@@ -92,6 +92,60 @@ def test_matcher():
     assert toxicity.Matcher(toxicity.ToxModel()).hits(" x ") == []
 
 
+def test_matcher_by_brute_force():
+    """Every entry and exception looked for at every place."""
+    import random
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randrange(1, 5)))
+    for _ in range(200):
+        entries = {f" {word()}" + r.choice(["", " "]): float(k + 1) for k in range(6)}
+        free = [f"{word()} {word()}" for _ in range(3)]
+        (text,) = toxicity.fold([" ".join(word() for _ in range(40))])
+        covered = {i for x in free for m in range(len(text)) if text.startswith(f" {x} ", m) for i in range(m, m + len(x) + 1)}
+        want = []
+        for m in range(len(text)):
+            weights = [w for e, w in entries.items() if text.startswith(e, m)]
+            if weights and m not in covered:
+                want.append((m, max(weights)))
+        assert toxicity.Matcher(toxicity.ToxModel(entries, free)).hits(text) == want
+
+
+def test_licenses_by_brute_force():
+    """Lines far from each other: each is classified by its own row of grams and compared with all templates of its family."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(2)
+    words = [f"w{k}" for k in range(300)]
+    p = licenses.LicenseParams(variants=12, epochs=60)
+    model = licenses.fit([" ".join(r.choice(words) for _ in range(20)) for _ in range(200)], p)
+    texts = []
+    for _ in range(60):
+        lines = []
+        for _ in range(r.randrange(1, 5)):
+            own = r.choice(licenses.TEMPLATES[r.choice(licenses.FAMILIES[:-1])]).split() if r.random() < 0.6 else [r.choice(words) for _ in range(r.randrange(1, 60))]
+            keep = own[: r.randrange(1, len(own) + 1)] if r.random() < 0.5 else own
+            lines.append(" ".join([*(r.choice(words) for _ in range(r.randrange(3))), *keep]))
+        texts.append("\n\n".join(lines))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = [x for b in licenses._scan(iter([batch]), model, p) for x in b.to_pylist()]
+    n = 0
+    for t, row in zip(texts, got, strict=True):
+        want = []
+        for k, line in enumerate(t.split("\n")):
+            if licenses._clean(line).split():
+                probability = model.probabilities(licenses._matrix([line], p) @ model.weights[:-1] + model.weights[-1])[0]
+                top = int(probability[:-1].argmax())
+                sim = licenses.best_similarity(line, licenses.FAMILIES[top])
+                if probability[top] >= model.bar and sim >= p.similarity:
+                    want.append((licenses.FAMILIES[top], k, round(float(probability[top]), 4), sim))
+        assert sorted((e["family"], e["line"], round(e["probability"], 4), e["similarity"]) for e in row["found"]) == sorted(want)
+        n += len(want)
+    assert n > 30
+
+
 def test_toxicity(spark, docs, no_docs):
     d = "/root/testdata/sf0.1"
     whole, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
