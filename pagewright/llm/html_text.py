@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import only_ids, stage_table, table
+from ._common import let, only_ids, stage_table, table
 
 
 @dataclass(frozen=True)
@@ -527,16 +527,18 @@ def host(url) -> F.Column:
 
 def visible(html) -> F.Column:
     """A digest of the text between tags, white space squeezed; null if there is none."""
-    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>", " ")
+    raw = "(?i:script|style|noscript|template)"
+    text = F.regexp_replace(html, rf"<(?:!--(?s:.*?)-->|{raw}\b(?s:.*?)</{raw}\s*>|[^>]*>)", " ")
     text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(text != "", F.sha2(text, 256))
+    return let(text, lambda t: F.when(t != "", F.sha2(t, 256)))
 
 
 def layout(html) -> Column:
     """A number for the set of tags and classes of the containers of a page, without digits."""
     tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:div|section|main|article|aside|nav|header|footer|table|form)\b[^>]*>"), F.lit(0))
-    name = lambda t: F.lower(F.regexp_replace(F.regexp_replace(t, r"(?is)^<(\w+)(?:[^>]*?\sclass\s*=\s*[\"']?([\w -]*))?.*$", "$1.$2"), r"\d+", "0"))
-    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(tags, name))))
+    part = lambda t, pattern: F.regexp_extract(t, pattern, 1)
+    name = lambda t: F.lower(F.translate(F.concat(part(t, r"^<(\w+)"), F.lit("."), part(t, r"(?i)\sclass\s*=\s*[\"']?([\w -]*)")), "0123456789", ""))
+    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(F.array_distinct(tags), name))))
 
 
 def wrappers(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:

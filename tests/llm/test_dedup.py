@@ -60,7 +60,7 @@ def test_links_that_no_star_has(spark):
     rows = [(n, " ".join(w[:160] if n == 0 else w[4 * n : 160 + 4 * n])) for n in range(18)]
     rows += [(100 + n, " ".join([*w[:130], *(f"z{n}_{k}" for k in range(30))])) for n in range(25)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for p in (minhash.MinHashParams(), minhash.MinHashParams(hot=3), minhash.MinHashParams(hot=3, broadcast_rows=0)):
+    for p in (minhash.MinHashParams(), minhash.MinHashParams(hot=3, broadcast_rows=0)):
         check_near(docs.collect(), minhash.near_duplicates(docs, p).collect())
 
 
