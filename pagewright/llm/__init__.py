@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import decontamination, html_text, langid, licenses, minhash, mixing, quality_rules, substring_dedup, toxicity, warc
+    from . import decontamination, html_text, langid, licenses, minhash, mixing, packing, prefix_trie, quality_rules, substring_dedup, toxicity, warc
 
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_warc": warc.op9_warc,
         "op10_html_text": html_text.op10_html_text,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_packing": packing.op12_packing,
     }
 
 
