@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens, section_numbers, terms
+from ..sources import store
 
 LANES = ("section", "semantic", "keyword", "formula", "table")
 VECTOR_COLUMNS = ("search_embedding", "formula_embedding", "table_embedding")
@@ -49,42 +50,64 @@ def semantic_per_query(chunks: DataFrame, queries: DataFrame, k: int, block: int
         long = np.linalg.norm(q, axis=1)
         return spark.sparkContext.broadcast((own.column("qid").to_numpy()[long > 0], q[long > 0] / long[long > 0][:, None]))
 
-    def best_of(parts: list) -> tuple:
-        """k rows of each query."""
-        q, i, s = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((i, -s, q))
-        q, i, s = q[order], i[order], s[order]
-        head = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
-        rank = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
-        return q[rank < k], i[rank < k], s[rank < k]
-
     def nearest(held):
         def run(frames):
             qids, vectors = held.value
-            kept, waiting = [], 0
+            kept = Best(k)
             for frame in frames:
                 m = np.array(frame["embedding"].tolist(), np.float64).reshape(len(frame), -1)
                 norm = np.linalg.norm(m, axis=1)
                 ids, m = frame["id"].to_numpy()[norm > 0], m[norm > 0] / norm[norm > 0][:, None]
                 for low in range(0, len(qids) if len(ids) else 0, block):
-                    score = np.round(vectors[low : low + block] @ m.T, 9)
-                    # all ties with the k-th stay, so that ids decide
-                    least = np.partition(score, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(score), -np.inf)
-                    n, at = np.nonzero(score >= least[:, None])
-                    kept.append((qids[low + n], ids[at], score[n, at]))
-                    waiting += len(at)
-                    if waiting > 1_000_000:
-                        kept = [best_of(kept)]
-                        waiting = len(kept[0][0])
-            if kept:
-                q, i, s = best_of(kept)
-                yield pd.DataFrame({"qid": q, "id": i, "score": s})
+                    kept.add(qids[low : low + block], ids, vectors[low : low + block] @ m.T)
+            yield from kept.frames()
 
         return run
 
-    found = [rows.mapInPandas(nearest(asked(number)), "qid long, id long, score double") for number in range(passes)]
+    def one(number: int) -> DataFrame:
+        held = asked(number)
+        found = rows.mapInPandas(nearest(held), "qid long, id long, score double")
+        if passes == 1:
+            return found
+        found = store.written(found, "nearest")  # so that no two passes hold their vectors at once
+        held.destroy()
+        return found
+
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
-    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, [one(n) for n in range(passes)]).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+class Best:
+    """The k best rows of each query that a task has met; ties go to the least ids."""
+
+    def __init__(self, k: int, most: int = 1_000_000):
+        self.k, self.most, self.waiting = k, most, 0
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, qids: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """score: a row for each of qids, a column for each of ids."""
+        score = np.round(score, 9)
+        # all ties with the k-th stay, so that ids decide
+        least = np.partition(score, -self.k, axis=1)[:, -self.k] if len(ids) > self.k else np.full(len(score), -np.inf)
+        n, at = np.nonzero(score >= least[:, None])
+        self.kept.append((qids[n], ids[at], score[n, at]))
+        self.waiting += len(at)
+        if self.waiting > self.most:
+            self.kept = [self._best()]
+            self.waiting = len(self.kept[0][0])
+
+    def _best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, i, s = (np.concatenate(c) for c in zip(*self.kept, strict=True))
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        head = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        rank = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
+        return q[rank < self.k], i[rank < self.k], s[rank < self.k]
+
+    def frames(self):
+        if self.waiting:
+            q, i, s = self._best()
+            yield pd.DataFrame({"qid": q, "id": i, "score": s})
 
 
 def keyword_lane(chunks: DataFrame, query: str, k: int, analyzer=terms, text: str = "search_text") -> DataFrame:
@@ -191,10 +214,10 @@ def drop_covered_parents(fused: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.drop("covered", "is_parent").join(parents, "id", "left")
 
 
-def hybrid(chunks: DataFrame, query: str, vector: list[float], top_k: int = 10, kind: str = "general", rrf_k: int = 60) -> DataFrame:
-    """The fused list: id, rrf, first_seen, parent, in order."""
+def hybrid(chunks: DataFrame, query: str, vector: list[float], top_k: int = 10, kind: str = "general", rrf_k: int = 60, keyword: DataFrame | None = None) -> DataFrame:
+    """The fused list: id, rrf, first_seen, parent, in order. keyword: that lane's rows (id, score), where an index has them."""
     lanes = [ranked(section_lane(chunks, query, top_k), "section", F.desc("token_overlap"), F.asc_nulls_last("page_start"), F.col("id"))]
-    lanes += [ranked(semantic_lane(chunks, vector, top_k), "semantic"), ranked(keyword_lane(chunks, query, top_k), "keyword")]
+    lanes += [ranked(semantic_lane(chunks, vector, top_k), "semantic"), ranked(keyword_lane(chunks, query, top_k) if keyword is None else keyword, "keyword")]
     if kind in ("formula", "table"):
         lanes.append(ranked(semantic_lane(chunks, vector, top_k, f"{kind}_embedding"), kind))
     fused = reciprocal_rank_fusion(reduce(DataFrame.unionByName, lanes), rrf_k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass, field
 
@@ -12,6 +13,7 @@ from ..config import Settings
 from ..functions.backends import EmbeddingBackend, HashingBackend, SplitBackend, SummaryBackend, VisionBackend, extract_pages, no_split, no_summary
 from ..functions.records import VISION, merged_page, page_flags, parse_vision, valid_formulas
 from ..functions.text import QUERY_TYPES, query_type
+from ..operators import keyword_index
 from ..operators.chunks import chunk_keywords, enrich, warnings, with_embeddings
 from ..operators.intervals import page_grid
 from ..operators.retrieval import hybrid, parents_in_page_order
@@ -155,6 +157,25 @@ class Engine:
         parents.unpersist()
         return {"parents": n["parents"], "children": n["children"], "warnings": told}
 
+    def _index_path(self, document_id: str) -> str:
+        """Where the keyword index of a document's present chunks lies, if there is one."""
+        now = self.tables.rows("documents", document_id).where("chunks is not null").agg(F.max("chunks")).first()[0]
+        return f"keyword/{hashlib.sha256(document_id.encode()).hexdigest()}/{now}"
+
+    def index(self, document_id: str) -> int:
+        """Write the keyword index of a document's chunks, which searches read until the chunks are replaced; the number of its rows. Worth its while for large documents."""
+        if self.status(document_id)["status"] not in SEARCHABLE:
+            raise NotReady("no chunks")
+        chunks = self.tables.chunks(document_id).select("id", "search_text")
+        return keyword_index.build(chunks).write(f"{self.tables.root}/{self._index_path(document_id)}").rows.count()
+
+    def _keyword(self, document_id: str, query: str, top_k: int) -> DataFrame | None:
+        path = self._index_path(document_id)
+        store, where = self.tables._path(f"{path}/words/_SUCCESS")  # what is written last
+        if not store.exists(where):
+            return None
+        return keyword_index.search(keyword_index.read(self.spark, f"{self.tables.root}/{path}"), query, top_k)
+
     def search(self, document_id: str, query: str, top_k: int | None = None, kind: str | None = None) -> DataFrame:
         """The chunks found, in order. An explicit kind wins over the classifier; comprehensive gives all parents."""
         now = self.status(document_id)["status"]
@@ -168,7 +189,7 @@ class Engine:
         if kind == "comprehensive":
             return parents_in_page_order(chunks)
         vector = self.embedding.embed([query])[0].tolist()
-        found = hybrid(chunks, query, vector, top_k, kind, self.settings.rrf_k)
+        found = hybrid(chunks, query, vector, top_k, kind, self.settings.rrf_k, self._keyword(document_id, query, top_k))
         return found.join(chunks.drop("search_embedding", "formula_embedding", "table_embedding"), "id").orderBy(F.desc("rrf"), "first_seen", "id")
 
 

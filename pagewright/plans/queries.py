@@ -11,7 +11,7 @@ from ..functions import analyzer
 from ..functions import records as R
 from ..functions import text as T
 from ..functions.backends import HashingBackend, embed, vector_of
-from ..operators import alignment, chunks, intervals, retrieval
+from ..operators import alignment, chunks, intervals, keyword_index, retrieval, trigram_index, vector_index
 from ..sources import store, tables, trees
 from .views import CHUNKS, PAGES, TREE, chunks as chunks_v, pages as pages_v, table, tree as tree_v, with_views
 
@@ -84,6 +84,38 @@ def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.indexed_keyword_lane(postings, lengths, WORDS, 20).withColumn("score", F.round("score", 6))
 
 
+@query(ORACLES["bm25_topk"])
+def bm25_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index with block maxima, of which few blocks are read."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("search_text"))
+    index = keyword_index.build(d, width=64).write(store.scratch(spark, "keyword"))
+    return keyword_index.search(index, WORDS, 20).withColumn("score", F.round("score", 6))
+
+
+def _vector_index(spark: SparkSession, sf_dir: str) -> tuple[vector_index.VectorIndex, DataFrame]:
+    """The index of all vectors, and the queries."""
+    e = table(spark, sf_dir, "embeddings")
+    index = vector_index.build(e.select(F.col("vec_id").alias("id"), "embedding"), store.scratch(spark, "vectors"))
+    return index, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+
+
+@query(ORACLES["cosine_topk_per_query"])
+def cosine_topk_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest rows of each query from inverted lists, as far as they can hold a nearer row."""
+    index, asked = _vector_index(spark, sf_dir)
+    found = vector_index.search(index, asked, 10, exact=True)
+    return found.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def vector_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is 0.9 of what an exact search finds in the lists that are asked first?"""
+    index, asked = _vector_index(spark, sf_dir)
+    rows = index.rows.select("id", "embedding")
+    found = vector_index.recall(vector_index.search(index, asked, 10), retrieval.semantic_per_query(rows, asked, 10))
+    return found.select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query("SELECT doc_id FROM documents WHERE list_has_all(regexp_extract_all(lower(text), '[a-z0-9]+'), ['the', 'of', 'thing'])")
 def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(T.terms(F.lit(WORDS)))
@@ -360,6 +392,18 @@ def trigram_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.round(T.trigram_similarity(F.col("text"), F.lit("that and the thing")), 6).alias("similarity"))
 
 
+@query(
+    f"WITH b AS (SELECT item_id, {_TRIGRAMS.format(t='left(text, 60)')} AS a FROM benchmark), d AS (SELECT doc_id, {_TRIGRAMS.format(t='left(text, 60)')} AS b FROM documents), "
+    "p AS (SELECT item_id, doc_id, len(list_intersect(a, b))::DOUBLE AS n, len(a) + len(b) AS m FROM b, d) SELECT item_id, doc_id, round(n / (m - n), 6) AS similarity FROM p WHERE n / (m - n) >= 0.3"
+)
+def similar_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of headings of benchmark items and documents with a trigram similarity of 0.3 and more, by the index."""
+    heading = F.left("text", F.lit(60)).alias("text")
+    index = trigram_index.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), heading), store.scratch(spark, "trigrams"))
+    found = trigram_index.similar(index, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), heading), 0.3)
+    return found.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), F.round("similarity", 6).alias("similarity"))
+
+
 # --- records ---------------------------------------------------------------------------------------------------------
 
 def _formula_col() -> Column:
@@ -637,6 +681,16 @@ def example_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.where("p.kind = 'example'").select("doc_id", F.col("p.s").alias("s"), F.col("p.e").alias("e"), F.col("p.label").alias("label"))
 
 
+@query(
+    f"WITH x AS ({ORACLES['example_ranges']}), g AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS s, s AS e FROM x), "
+    "l AS (SELECT doc_id, coalesce(max(e), 0) AS s, any_value(3 * length(text) + 38) AS e FROM documents LEFT JOIN x USING (doc_id) GROUP BY doc_id) "
+    "SELECT doc_id, s::INT AS s, e::INT AS e, 'example' AS kind, label FROM x UNION ALL SELECT doc_id, s::INT, e::INT, 'prose', NULL FROM (SELECT * FROM g UNION ALL SELECT * FROM l) WHERE e > s"
+)
+def piece_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as prose and examples in turn."""
+    return _with_examples(spark, sf_dir).select("doc_id", F.explode(chunks.piece_list(F.col("t"))).alias("p")).select("doc_id", "p.*")
+
+
 @query(
     f"WITH d AS (SELECT doc_id, replace(text, '. ', concat('.', {NL}, {NL})) AS t FROM documents), c AS (SELECT doc_id, length(t) AS n, unnest(regexp_extract_all(t, '(?s).*?\\n\\s*\\n')) AS x, generate_subscripts(regexp_extract_all(t, '(?s).*?\\n\\s*\\n'), 1) AS i FROM d WHERE length(t) >= 800), "
     "b AS (SELECT doc_id, n, CASE WHEN n >= 2400 THEN 3 ELSE 2 END AS parts, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS b FROM c), "

@@ -43,15 +43,20 @@ def replace_partitions(df: DataFrame, path: str, by: str = "document_id") -> Non
 _scratch: list[tuple[SparkSession, str]] = []
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name that driver and executors share, deleted at exit; one of our own only where the session names none and runs on one machine."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own, deleted at exit, only where the session names none and runs on one machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         _scratch.append((spark, shared))
-    path = f"{shared.rstrip('/')}/pagewright/{name}-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder, deleted at exit."""
+    path = f"{shared_folder(spark)}/pagewright/{name}-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
     return path
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,10 +170,21 @@ def test_semantic_per_query(spark):
         assert got == want
 
 
-def test_examples():
-    text = "intro\n\n  Example 1.2 of it\n" + "a" * 90 + "\nExample 3\nshort\n"
-    assert [(text[s:e][:11], label) for s, e, label in chunks.example_ranges(text)] == [("Example 1.2", "Example 1.2")]
-    assert [k for *_, k, _ in chunks.pieces(text)] == ["prose", "example", "prose"]
+def test_examples(spark):
+    """Against the positions of a regular expression; the parting character in a text is a letter as any other."""
+    head = re.compile(r"(?m)^\s*(Example\s+\d+(?:\.\d+)?)\b[^\n]*")
+    long, mark = "a" * 90, chunks._MARK
+    texts = ["intro\n\n  Example 1.2 of it\n" + long + "\nExample 3\nshort\n", None, "", "no example", "Example 1\n" + long, "\n\nExample 2" + long, long + "\nExample 5 " + long + "\n\n \t\nExample\t6.1\u00a0x " + long]
+    texts += [f"{mark}\nExample 7 {mark}{long}\nExample 8 {long}\rExample 9 {long}", "é" * 100 + "\n\x0bExample 1 " + long, "x\nExample 12a\nExample 1.2.3 " + long, ("\nExample 4 " + long) * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", "t", chunks.piece_list(F.col("t")).alias("p")).collect():
+        t = r["t"] or ""
+        at = [m.start() for m in head.finditer(t)] + [len(t)]
+        want = {(s + len(t[s:e]) - len(t[s:e].lstrip(" \t\n")), e): head.match(t, s)[1].strip() for s, e in zip(at, at[1:])}
+        want = {k: v for k, v in want.items() if k[1] - k[0] >= 80}
+        assert {(p["s"], p["e"]): p["label"] for p in r["p"] if p["kind"] == "example"} == want, r["i"]
+        assert "".join(t[p["s"] : p["e"]] for p in r["p"]) == t and all(p["s"] < p["e"] for p in r["p"])
+        assert all(a["kind"] == "example" or b["kind"] == "example" for a, b in zip(r["p"], r["p"][1:]))
 
 
 def test_store(spark):

@@ -52,6 +52,7 @@ def test_entry_without_llm(tmp_path):
     root = Path(__file__).resolve().parent.parent
     copy = tmp_path / "copy"
     shutil.copytree(root / "pagewright", copy / "pagewright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(root / "jobs", copy / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q); assert not [n for n in q if n == 'pipeline' or n.startswith('op')]"
     for name in ("__spark_entry__.py", "corpus_pipeline.py"):
         if (root / name).exists():
