@@ -9,8 +9,8 @@ from ._common import release, stage_table
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
-    """u and the least of u and its neighbours."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """u and the least of u and its neighbours; written, so that what is joined to it is shuffled as it is and the rows of a hub can be split."""
+    return stage_table(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,12 +24,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     state = _state(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = _lowest(both)
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage_table(large, "cc")
-        down = large.join(_lowest(large), "u")
+        release(low)
+        low = _lowest(large)
+        down = large.join(low, "u")
         small = down.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         after = stage_table(small, "cc")
         release(large)
+        release(low)
         new = _state(after)
         release(now)
         now = after

@@ -11,8 +11,9 @@ A layout is the set of the tags and classes of a page's containers.
 Extraction: a page's text is that of the nodes at the region of its layout's wrapper, else of its host's, without template nodes. A page
 without wrapper, or without text there, gives that of its articles, else of the main element, else of the body without blocks of
 links. Scripts, styles, forms, navigation, page headers and footers, sidebars, notices, adverts and comments (by element, role and
-class or id) are lost everywhere; words that may name parts of an article too count within one only where the class
-says no more (``legal``, not ``legal-text``) and the element is no table or paragraph. Blocks come in page order, white space squeezed.
+class or id) are lost everywhere. Within an article, or a region that a wrapper found, the slots decide, and a name only tells where all its
+words say so (``cookie-banner``, not ``cookie-recipe`` or ``menu-items``); words that may name parts of an article too (``legal``) not even then for tables and
+paragraphs. Blocks come in page order, white space squeezed.
 
 Defined results: a null or empty html gives an empty text; a null or unreadable url is a host without wrapper; markup
 that isn't closed ends with the page, a tag whose quote isn't closed at its first >; nesting may be of any depth; rows that repeat
@@ -43,12 +44,13 @@ from ._common import let, only_ids, stage_table, table
 class HtmlParams:
     """exemplars: pages that a wrapper is induced from, least_matches: the fewest that do. share: the part of the text in slots that a
     region must have of what is around it. link_density: the part of a block's text in links beyond which it isn't text, outside of
-    article and main elements."""
+    article and main elements. Wrappers are broadcast up to broadcast_nodes template nodes in all (of 8 bytes)."""
 
     exemplars: int = 8
     least_matches: int = 4
     share: float = 0.75
     link_density: float = 0.6
+    broadcast_nodes: int = 4_000_000
 
 
 #: A quoted value ends where white space, / or > follows its quote.
@@ -63,23 +65,30 @@ _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "ruby", "rb", "rt", "rp",
-    "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "picture", "nobr",
+    "label", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "picture", "nobr",
 }
-DROPPED = {"nav", "footer", "aside", "form", "button", "select", "option", "label", "fieldset", "input", "dialog", "menu", "head", "map", "datalist", "progress", "meter", "frameset"}
+DROPPED = {"nav", "footer", "aside", "form", "button", "select", "option", "fieldset", "input", "dialog", "menu", "head", "map", "datalist", "progress", "meter", "frameset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tablist"}
 #: Words of class and id names that mark what isn't the article.
 MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "banners", "menu", "menus", "nav", "navbar", "navigation",
     "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "widget", "widgets", "related", "recommended", "recommendations", "teaser", "teasers", "share", "sharing", "social", "cookie", "cookies", "consent",
     "gdpr", "notice", "notices", "notification", "notifications", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "signin", "search", "searchbox",
-    "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "footer", "masthead", "topbar", "pagination", "pager", "copyright", "legal", "disclaimer", "skip", "toolbar", "paywall", "form",
+    "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "reviews", "footer", "masthead", "topbar", "pagination", "pager", "copyright", "legal", "disclaimer", "skip", "toolbar", "paywall", "form",
 }
 #: Those of them that may name a part of an article.
 UNSURE = {"legal", "form", "notice", "notices", "search", "share", "sharing", "alert", "banner", "copyright", "disclaimer", "widget", "skip", "login", "footer", "related", "reply", "respond"}
 TEXTUAL = {"table", "thead", "tbody", "tr", "td", "th", "p", "blockquote", "pre", "dl", "dt", "dd", "li", "figure", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"}
 ARTICLE = ("article", "main")
 CONTAINERS = {"div", "section", "article", "main", "table", "tbody", "tr", "td", "center"}
-COMMENTS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "reviews"}
+#: Words beside a mark in a name that leave it a mark.
+PLAIN = {
+    "box", "block", "container", "wrapper", "wrap", "holder", "area", "bar", "list", "links", "link", "buttons", "button", "icons", "section", "inner", "outer", "panel", "region", "unit", "slot", "top", "bottom", "left",
+    "right", "header", "site", "page", "user", "reader", "customer", "visitor", "main", "sub", "global", "row", "col", "form", "thread", "count", "title",
+}
+#: Further words that leave the marks of comments and of what is related to an article.
+OF_ARTICLE = {"article", "articles", "post", "posts", "story", "stories", "entry", "entries", "blog", "content", "news"}
 HEADERS = {"header", "site", "page", "top", "masthead", "banner"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 _SCOPE = {"ul": {"li"}, "ol": {"li"}, "dl": {"dt", "dd"}, "table": {"tr", "td", "th", "thead", "tbody"}}
@@ -184,8 +193,21 @@ def _words(attrs: dict[str, str]) -> set[str]:
     return set(re.findall(r"[a-z]+", both))
 
 
-def dropped(node: Node, inside: bool) -> bool:
-    """Isn't the node part of the article? inside: it is below an article or main element."""
+def _marked(attrs: dict[str, str], tag: str) -> bool:
+    """Does a class or id of a node within an article say that it is no part of it? All words of the name must."""
+    both = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()
+    for name in both.split():
+        words = set(re.findall(r"[a-z]+", name)) if not re.match(r"(?:no|has|with|without|is|hide)[-_]", name) else set()
+        marks = words & MARKS
+        if not marks or not words - marks <= PLAIN | (OF_ARTICLE if marks & (COMMENTS | {"related", "recommended", "share", "sharing"}) else set()):
+            continue
+        if not marks <= UNSURE or tag not in TEXTUAL and (words == marks or not words & (OF_ARTICLE | {"section", "box"}) or marks & (COMMENTS | {"related"})):
+            return True
+    return False
+
+
+def dropped(node: Node, inside: bool, region: bool = False) -> bool:
+    """Isn't the node part of the article? inside: it is below an article or main element. region: below the node that a wrapper chose."""
     tag, attrs = node.tag, node.attrs
     if tag in DROPPED:
         return True
@@ -202,10 +224,7 @@ def dropped(node: Node, inside: bool) -> bool:
         return True
     if "header" in words and not inside and tag == "div":
         return True
-    marks = words & MARKS
-    if marks and inside and marks <= UNSURE:
-        return tag not in TEXTUAL and (words <= MARKS or not words & {"text", "body", "content", "entry", "story", "article", "post", "section", "copy", "box"})
-    return bool(marks)
+    return _marked(attrs, tag) if inside or region else bool(words & MARKS)
 
 
 def is_article(node: Node) -> bool:
@@ -222,7 +241,7 @@ def hash_of(node: Node, at: int) -> int:
     return (at & 0x7FFFFFFF) << 32 | crc32(text.encode("utf-8", "surrogatepass")) if text else -1
 
 
-def blocks(node: Node, constant: frozenset[int] | set[int], at: int = 0, inside: bool = False) -> list[tuple[str, float, bool]]:
+def blocks(node: Node, constant: frozenset[int] | set[int], at: int = 0, region: bool = False) -> list[tuple[str, float, bool]]:
     """Texts of the blocks below node, with the share of each that is in links, and whether it is below an article or main element.
     constant: hashes of the template nodes; at: the node's place."""
     out: list[tuple[str, float, bool]] = []
@@ -236,7 +255,7 @@ def blocks(node: Node, constant: frozenset[int] | set[int], at: int = 0, inside:
                 out.append((whole, linked / max(1, sum(len(t.strip()) for t, _ in run)), within))
             run.clear()
 
-    stack = [(iter(node.children), bool(constant) and hash_of(node, at) in constant, inside or is_article(node), at)]
+    stack = [(iter(node.children), bool(constant) and hash_of(node, at) in constant, is_article(node), at)]
     while stack:
         rest, template, within, own = stack[-1]
         for c in rest:
@@ -245,7 +264,7 @@ def blocks(node: Node, constant: frozenset[int] | set[int], at: int = 0, inside:
                     run.append(c)
             else:
                 end(within)
-                if not dropped(c, within):
+                if not dropped(c, within, region):
                     here = place(own, c) if constant else 0
                     stack.append((iter(c.children), bool(constant) and hash_of(c, here) in constant, within or is_article(c), here))
                     break
@@ -509,7 +528,7 @@ def extract(html: str, wrapper: Wrapper | None = None, p: HtmlParams = HtmlParam
     template = wrapper.template if wrapper else frozenset()
     join = lambda out: " ".join(t for t, links, inside in out if inside or links <= p.link_density)
     if wrapper and wrapper.path:
-        text = join(b for n, at in _at(root, wrapper.path) for b in blocks(n, template, at))
+        text = join(b for n, at in _at(root, wrapper.path) for b in blocks(n, template, at, True))
         if text:
             return text, True
     role = lambda c: c.attrs.get("role", "").lower()
@@ -589,6 +608,9 @@ def extract_main_text(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFra
     w = F.struct("path", "template").alias("w")
     own = found.where("layout is not null").select("host", "layout", w)
     whole = found.where("layout is null").select("host", w.alias("w0"))
+    # the pages' texts stay where they are as long as the wrappers are small: 8 bytes for each node of a template
+    if (found.agg(F.sum(F.size("template"))).first()[0] or 0) <= p.broadcast_nodes:
+        own, whole = F.broadcast(own), F.broadcast(whole)
     keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"), layout(F.col("html")).alias("layout"))
     joined = keyed.join(own, ["host", "layout"], "left").join(whole, "host", "left").select("page_id", "url", "html", F.coalesce("w", "w0").alias("w"))
     return joined.mapInArrow(partial(_extract, p=p), "page_id long, url string, text string, n_chars long, by_wrapper boolean")

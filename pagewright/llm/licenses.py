@@ -8,7 +8,9 @@ families is ``unknown``. A prediction counts only if the paragraph also compares
 Notices that are wrapped, or lie across two pieces of a long line, are found in blocks: neighbouring lines up to one without words. A
 block is classified and compared in overlapping pieces of a quarter, a half and all of ``piece_words``; by their strides, templates of
 up to 48 words are whole in one of 64. Such a piece counts once for each notice, and only where no line, and no piece that compares
-better, has given its family, or a sister of it (CC, GPL), for these words. n_paragraphs counts lines and pieces of lines.
+better, has given its family, or a sister of it (CC, GPL), for these words. n_paragraphs counts lines and pieces of lines. A prediction is
+compared with its own piece, never with the rest of a long line. A notice of under four words amid the words of a longer line may be missed: among 16
+words, the shortest piece of a line, so few don't outweigh the others. On a line of its own it is found.
 
 Training rows are variants of the templates below (words dropped, replaced, cut off, put in context) and, for the unknown
 class, at most ``background`` paragraphs of the corpus that compare with no template: one of each of some documents, all chosen
@@ -273,14 +275,26 @@ def _scan(batches: Iterator[pa.RecordBatch], model: LicenseModel, p: LicensePara
             probability = model.probabilities(raw)
             top = probability[:, :-1].argmax(axis=1)
             value = probability[np.arange(len(top)), top]
-            spans: dict[int, list[tuple[int, int, str, float]]] = {}
+            compared: dict[tuple[bytes, str], float] = {}  # notices repeat
+
+            def compare(a: int, b: int, family: str) -> float:
+                """The similarity of words a to b with the family's templates."""
+                key = buf[starts[a] : ends[b - 1]].tobytes(), family
+                if key not in compared:
+                    compared[key] = best_similarity(key[0].decode(errors="replace"), family)
+                return compared[key]
+
+            # what was found, by text and place: a span is piece_words long at most, so those that meet it lie in its stretch or one next to it
+            spans: dict[tuple[int, int], list[tuple[int, int, str, float]]] = {}
+            put = lambda t, span: spans.setdefault((t, span[0] // p.piece_words), []).append(span)
+            near = lambda t, at, size: [x for k in range(at // p.piece_words - 1, (at + size) // p.piece_words + 1) for x in spans.get((t, k), ()) if x[0] < at + size and at < x[1]]
             for k in np.flatnonzero(value >= model.bar).tolist():
                 family, t = FAMILIES[top[k]], lo + int(text[k])
-                lines = texts[t].split("\n")
-                sim = best_similarity(lines[int(line[k])], family)
+                until = int(first[k + 1]) if k + 1 < len(first) else len(starts)
+                sim = compare(int(first[k]), until, family)
                 if sim >= p.similarity:
                     found[t].append({"family": family, "line": int(line[k]), "probability": float(value[k]), "similarity": sim})
-                    spans.setdefault(t, []).append((int(first[k]), int(first[k + 1]) if k + 1 < len(first) else len(starts), family, sim))
+                    put(t, (int(first[k]), until, family, sim))
             a, b, last = _block_pieces(own, of, p)
             if not len(a):
                 continue
@@ -294,14 +308,14 @@ def _scan(batches: Iterator[pa.RecordBatch], model: LicenseModel, p: LicensePara
             more = []
             for k in np.flatnonzero(value >= model.bar).tolist():
                 family = FAMILIES[top[k]]
-                sim = best_similarity(buf[starts[a[k]] : ends[b[k] - 1]].tobytes().decode(errors="replace"), family)
+                sim = compare(int(a[k]), int(b[k]), family)
                 if sim >= p.similarity:
                     more.append((-sim, int(b[k] - a[k]), -float(value[k]), int(a[k]), family))
             for sim, size, minus, at, family in sorted(more):
                 t = lo + int(of[at])
-                met = [x for x in spans.get(t, []) if x[0] < at + size and at < x[1] and _stem(x[2]) == _stem(family)]
+                met = [x for x in near(t, at, size) if _stem(x[2]) == _stem(family)]
                 if not any(f == family or s >= -sim for _, _, f, s in met):
-                    spans.setdefault(t, []).append((at, at + size, family, -sim))
+                    put(t, (at, at + size, family, -sim))
                     number = int(own[at] - own[np.searchsorted(of, of[at])]) + int(line[np.searchsorted(text, of[at])])
                     found[t].append({"family": family, "line": number, "probability": -minus, "similarity": -sim})
         best = [min(f, key=lambda e: (-e["similarity"], -e["probability"], FAMILIES.index(e["family"])))["family"] if f else None for f in found]

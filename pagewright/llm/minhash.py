@@ -109,16 +109,21 @@ def _prefixes(batches: Iterator[pa.RecordBatch], params: MinHashParams) -> Itera
 
 
 def verify(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, params: MinHashParams) -> DataFrame:
-    """The pairs (a, b) that are links: enough equal minima, then the full sets. signatures: rep, sig."""
+    """The pairs (a, b) that are links: enough equal minima, then the full sets. signatures: rep, sig. A leader b with more than params.hot pairs has
+    copies of its signature and text in as many tasks as its pairs ask for."""
     n = params.minima
     least = int(n * (params.percent / 100 - params.slack))
-    signed = pairs.join(signatures.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(signatures.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+    heavy = stage_table(pairs.groupBy("b").agg(F.ceil(F.count("*") / params.hot).cast("int").alias("g")).where("g > 1"), "near-heavy")
+    heavy = F.broadcast(heavy) if heavy.count() <= params.broadcast_rows else heavy
+    pairs = pairs.join(heavy, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("g")), F.lit(0)).cast("int").alias("salt"))
+    copies = lambda rows: rows.join(heavy, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1))).drop("g")
+    signed = pairs.join(signatures.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(copies(signatures.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))), ["b", "salt"])
     equal = F.size(F.filter(F.sequence(F.lit(1), F.lit(4 * n), F.lit(4)), lambda i: F.col("sa").substr(i, F.lit(4)) == F.col("sb").substr(i, F.lit(4))))
-    likely = stage_table(signed.where(equal >= least).select("a", "b"), "near-likely")
+    likely = stage_table(signed.where(equal >= least).select("a", "b", "salt"), "near-likely")
     ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
     texts = stage_table(only_ids(docs, ids), "near-texts")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    full = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").sortWithinPartitions("b")
+    full = likely.join(side("a"), "a").join(copies(side("b")), ["b", "salt"]).select("a", "b", "ta", "tb").sortWithinPartitions("b")
     out = stage_table(full.mapInArrow(partial(_exact, params=params), "a long, b long"), "near-links")
     release(likely)
     release(texts)

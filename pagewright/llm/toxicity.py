@@ -8,8 +8,8 @@ plain and for each hundred words, give the score through a logistic function.
 Lexicon, weights, exceptions and the logistic function are learned from labelled rows: an entry must be so much more
 frequent in toxic texts that chance explains it less than once in a hundred runs; of nested beginnings of a word the
 strongest is taken. At most ``max_toxic`` and ``max_clean`` labelled documents are used (chosen by a
-hash of the id). Exception phrases are learned from all hits of these texts: phrases of five clean ones and no toxic one, the
-``max_exceptions`` most frequent (ten for each of ``max_clean`` by default), ties in order of the phrase.
+hash of the id). Exception phrases are learned from all hits of these texts: all phrases (a hit's word with the one before or after it) of
+``clean_uses`` clean ones and no toxic one. ``max_clean`` bounds them.
 
 Defined results: a null or empty text has no hits and gets the score of no hits; a null label isn't learned from;
 without toxic labels every score is the share of toxic ones (0). Rows that repeat are scored alike. Extra columns are ignored.
@@ -48,8 +48,8 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 
 @dataclass(frozen=True)
 class ToxParams:
-    """max_toxic and max_clean bound the labelled documents learned from, max_exceptions the exception phrases learned (exceptions are given
-    ones). Beginnings of shortest to longest letters are tried beside whole words. An entry must be least_odds times as frequent in
+    """max_toxic and max_clean bound the labelled documents learned from; phrases of clean_uses clean and no toxic ones are exceptions (exceptions are
+    further ones). Beginnings of shortest to longest letters are tried beside whole words. An entry must be least_odds times as frequent in
     toxic documents, and so strong that among candidates entries chance makes none in a hundred runs."""
 
     max_toxic: int = 2000
@@ -59,7 +59,7 @@ class ToxParams:
     least_odds: float = 3.0
     candidates: int = 10_000_000
     exceptions: tuple[str, ...] = ()
-    max_exceptions: int = 100_000
+    clean_uses: int = 5
 
 
 @dataclass
@@ -194,7 +194,10 @@ def _measure(batches: Iterator[pa.RecordBatch], model: ToxModel) -> Iterator[pa.
             around = set()
             for p, _ in found:
                 own = [x for x in _TWO_WORDS.match(text, p).groups() if x]
-                before = text[max(0, p - 40) : p].split()[-1:]
+                end = p
+                while end and text[end - 1] == " ":
+                    end -= 1
+                before = [text[text.rfind(" ", 0, end) + 1 : end]] if end else []
                 around |= {" ".join(own)} | {" ".join([*before, own[0]])}
             phrases.append([x for x in around if " " in x])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.int64()), pa.array(weight, pa.float64()), pa.array(words, pa.int64()), pa.array(phrases, pa.list_(pa.string()))], ["id", "hits", "weight", "words", "phrases"])
@@ -243,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxParams = ToxParams()) -
     model = ToxModel(choose_entries(rows, toxic, clean), list(params.exceptions))
     measured = stage_table(some.mapInArrow(partial(_measure, model=model), "toxic int, hits long, weight double, words long, phrases array<string>"), "tox-measured")
     phrases = measured.select("toxic", F.explode(F.array_distinct("phrases")).alias("p")).groupBy("p").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    free = [r["p"] for r in phrases.where((F.col("t") == 0) & (F.col("n") >= 5)).orderBy(F.desc("n"), "p").limit(params.max_exceptions).collect()]
+    free = [r["p"] for r in phrases.where((F.col("t") == 0) & (F.col("n") >= params.clean_uses)).orderBy(F.desc("n"), "p").collect()]
     if free:
         model.exceptions += free
         measured = some.mapInArrow(partial(_measure, model=model), "toxic int, hits long, weight double, words long, phrases array<string>")

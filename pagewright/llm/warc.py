@@ -36,6 +36,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 @dataclass(frozen=True)
 class WarcParams:
+    """Payloads under least bytes are never revisits. A part is closed when it has part_bytes; level is that of gzip; date is every record's."""
+
     least: int = 100
     part_bytes: int = 16 << 20
     level: int = 1
@@ -154,7 +156,8 @@ def write_archives(pages: DataFrame, folder: str, p: WarcParams = WarcParams())
 def _resolved(base: DataFrame, headers: DataFrame, p: WarcParams) -> DataFrame:
     """base with the first record of each payload; headers are those of the payloads that occur again."""
     order = F.struct(F.col("number").isNull().alias("last"), F.col("number").alias("number"), F.coalesce("url", F.lit("")).alias("u"), F.col("page").alias("page"), F.col("url").alias("url"))
-    first = headers.where(F.col("n") >= p.least).groupBy("digest").agg(F.min(order).alias("first"))
+    # written, so that the headers of one digest can be split over tasks when they are joined to it
+    first = stage_table(headers.where(F.col("n") >= p.least).groupBy("digest").agg(F.min(order).alias("first")), "warc-first")
     known = headers.distinct().join(first, "digest", "left")
     same = F.col("page").eqNullSafe(F.col("first.page")) & F.col("url").eqNullSafe(F.col("first.url"))
     known = known.select(

@@ -204,3 +204,12 @@ def test_utf8_cut(spark):
     got = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(docs).collect()}
     assert all("�" not in t for t in got.values())
     assert F is not None
+
+
+def test_hot_leader(spark):
+    """Many near copies of one text, that of the least id: its pairs are dealt to many tasks."""
+    w = [f"w{k}" for k in range(120)]
+    rows = [(0, " ".join(w))] + [(k, " ".join([*w[:k % 100], f"x{k}", *w[k % 100 + 1 :]])) for k in range(1, 90)] + [(500, "other words are in this text"), (501, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_near(docs.collect(), minhash.near_duplicates(docs, minhash.MinHashParams(hot=4)).collect())
+    check_near(docs.collect(), minhash.near_duplicates(docs, minhash.MinHashParams(hot=4, broadcast_rows=0)).collect())

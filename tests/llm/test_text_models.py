@@ -375,3 +375,64 @@ def test_exceptions_of_all_hits():
     assert row["hits"] == len(hits) == 201
     words = folded.split()
     assert set(row["phrases"]) == {f"{a} {b}" for a, b, m in zip(words, words[1:], range(len(words))) if ("trash" in (a, b)) and m < 600} | {"trash trash"}
+
+
+def test_many_notices_in_a_text():
+    """Time grows with the text, not with its square; each line is found once."""
+    import time
+
+    import pyarrow as pa
+
+    model = licenses.fit([f"other words of the corpus {k} and {k * 7}" for k in range(300)])
+    took = {}
+    for n in (2_000, 100_000):
+        batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array(["All rights reserved.\n" * n])], ["doc_id", "text"])
+        began = time.perf_counter()
+        (row,) = next(licenses._scan(iter([batch]), model, licenses.LicenseParams())).to_pylist()
+        took[n] = time.perf_counter() - began
+        assert row["license"] == "all-rights-reserved" and row["n_paragraphs"] == n
+        assert len({e["line"] for e in row["found"]}) == len(row["found"]) == n
+    assert took[100_000] < 150 * max(took[2_000], 0.05)
+
+
+def test_a_piece_is_compared_not_its_line():
+    """A notice elsewhere in a long line doesn't confirm a piece that a family was guessed for."""
+    import pyarrow as pa
+
+    model = licenses.fit([f"other words of the corpus {k} and {k * 7}" for k in range(300)])
+    mit = licenses.TEMPLATES["mit"][1]
+    line = mit + " " + " ".join(f"word{k}" for k in range(200)) + " mit license granted copy"
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([line])], ["doc_id", "text"])
+    (row,) = next(licenses._scan(iter([batch]), model, licenses.LicenseParams())).to_pylist()
+    assert row["license"] == "mit" and len(row["found"]) == 1
+
+
+def test_learned_exceptions_free_texts(spark, tmp_path):
+    """In the query's own path: a toxic word that clean texts have in one phrase only. With the phrase learned, held-out clean texts are clean."""
+    import random
+
+    r = random.Random(1)
+    fill = lambda: " ".join(f"w{r.randrange(3000)}" for _ in range(40))
+    rows, labels = [], []
+    for k in range(1500):
+        kind = k % 5
+        bad = "you scum go away " if kind == 0 else "the scum bucket " if kind == 1 else ""
+        rows.append((k, f"{fill()} {bad}{fill()}", "en", "s", 1))
+        labels.append((k, 1, int(kind == 0)))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = [x for x in toxicity.op3_toxicity(spark, str(tmp_path)).collect() if x["held_out"]]
+    assert {x["predicted"] for x in got if x["doc_id"] % 5 == 0} == {1}
+    freed = [x for x in got if x["doc_id"] % 5 == 1]
+    assert len(freed) > 20 and all(x["hits"] == 0 and x["predicted"] == 0 for x in freed)
+    model = toxicity.train(*(spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "labels")))
+    assert any("scum" in x for x in model.exceptions)
+
+
+def test_the_whole_word_before_a_hit():
+    import pyarrow as pa
+
+    long = "x" * 90
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([f"{long} trash y. trash"])], ["id", "text"])
+    (row,) = next(toxicity._measure(iter([batch]), toxicity.ToxModel({" trash ": 2.0}))).to_pylist()
+    assert set(row["phrases"]) == {f"{long} trash", "trash y", "y trash"}

@@ -261,3 +261,69 @@ def test_registry():
     names = set(e.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(e.oracle_sql()) <= names
+
+
+INSIDE = [
+    ('<div class="cookie-recipe">Mix flour</div>', "Mix flour"),
+    ('<div class="promo-code">abc</div>', "abc"),
+    ('<ul class="menu-items"><li>Soup</ul>', "Soup"),
+    ("<p><label>inline</label> text</p>", "inline text"),
+    ('<section class="user-reviews"><p>Liked it</p></section>', ""),
+    ('<div class="cookie-banner">Yes?</div>', ""),
+    ('<div id="adSlot3">Buy</div>', ""),
+    ('<div class="share-buttons">Share</div>', ""),
+    ('<div class="related-posts">More</div>', ""),
+    ('<div class="legal-text">Law</div>', "Law"),
+    ('<div class="article-comments">First!</div>', ""),
+    ("<form><label>Name</label></form>", ""),
+]
+
+
+@pytest.mark.parametrize(("part", "text"), INSIDE)
+def test_names_within_an_article(part, text):
+    assert html_text.main_text(f"<article><p>Before.</p>{part}<p>After.</p></article>") == " ".join(["Before.", *text.split(), "After."])
+
+
+def test_names_within_a_region(spark):
+    """Without article tags, the wrapper's region counts: what varies in it stays, what is the same goes, and so do names that say so whole."""
+    page = lambda k: (
+        f'<body><div class="nav"><a href="/">Home</a></div><div class="story"><h1>Head {k}</h1><p>{f"Words of page {k} and more. " * 9}</p><div class="cookie-recipe">Mix {k} cups</div>'
+        f'<div class="promo-code">code {k}</div><div class="ad">Buy {k}</div><ul class="menu-items"><li>Soup {k}</ul><div class="tail-box">The same on every page.</div></div><div class="foot">Firm</div></body>'
+    )
+    rows = [(k, f"http://h/{k}", page(k)) for k in range(9)]
+    got = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in got:
+        k = r["page_id"]
+        assert r["by_wrapper"] and r["text"] == " ".join(f"Head {k} {f'Words of page {k} and more. ' * 9} Mix {k} cups code {k} Soup {k}".split())
+
+
+def test_tagless_copies(spark, small):
+    """Pages with other tags and class names in place of the telling ones give the same texts."""
+    pages = spark.read.parquet(f"{small}/pages.parquet").where("html is not null")
+    html = F.col("html")
+    for a, b in (("article", 'div class="k1"'), ("nav", 'div class="k2"'), ("footer", 'div class="k3"')):
+        html = F.regexp_replace(F.regexp_replace(html, f"<{a}\\b[^>]*>", f"<{b}>"), f"</{a}>", "</div>")
+    html = F.regexp_replace(html, 'class="ad"', 'class="k4"')
+    want = {r["page_id"]: r["text"] for r in html_text.extract_main_text(pages).collect()}
+    got = {r["page_id"]: r for r in html_text.extract_main_text(pages.withColumn("html", html)).collect()}
+    by = [k for k, r in got.items() if r["by_wrapper"]]
+    same = sum(got[k]["text"] == want[k] for k in by)
+    assert len(by) >= 0.9 * len(want) and same >= 0.97 * len(by)
+
+
+@pytest.mark.parametrize("most", [0, 4_000_000])
+def test_wrappers_by_broadcast_and_shuffle(spark, small, most):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    p = html_text.HtmlParams(broadcast_nodes=most)
+    assert Counter(map(tuple, html_text.extract_main_text(pages, p).collect())) == Counter(map(tuple, html_text.extract_main_text(pages).collect()))
+
+
+def test_hot_payload(spark):
+    """One payload for nine tenths of the pages: every page is there once, all but the first revisit it."""
+    error = "<html><body>Not found. " + "Sorry. " * 30 + "</body></html>"
+    rows = [(k, f"http://a/{k}", error if k % 10 else f"{error}{k}", "x") for k in range(1, 2001)]
+    folder = stage_path(spark, "warc-test")
+    parts = warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(7), folder, warc.WarcParams(part_bytes=1 << 14))
+    got = {r["page_id"]: r for r in warc.resolve_revisits(warc.read_archives(spark, folder, parts)).collect()}
+    assert len(got) == 2000
+    assert all((r["record_type"], r["refers_to"]) == (("revisit", 1) if k % 10 and k > 1 else ("response", None)) for k, r in got.items())
