@@ -11,7 +11,7 @@ from ..functions import analyzer
 from ..functions import records as R
 from ..functions import text as T
 from ..functions.backends import HashingBackend, embed, vector_of
-from ..operators import alignment, chunks, intervals, keyword_index, retrieval, trigram_index, vector_index
+from ..operators import alignment, batch, chunks, intervals, keyword_index, retrieval, trigram_index, vector_index
 from ..sources import store, tables, trees
 from .views import CHUNKS, PAGES, TREE, chunks as chunks_v, pages as pages_v, table, tree as tree_v, with_views
 
@@ -287,6 +287,45 @@ def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _user(spark, sf_dir).select("conv_id", "turn", F.array_join(T.content_tokens(F.col("q")), " ").alias("tokens"))
 
 
+_BATCH_USER = """u AS (SELECT conv_id * 100 + turn AS qid, concat('src', conv_id % 20) AS document_id, array_to_string(list_slice(string_split(trim(regexp_replace(text, '[ \\n]+', ' ', 'g')), ' '), 1, 2), ' ') AS query,
+  e.embedding, ['general', 'formula', 'table', 'comprehensive'][1 + (conv_id + turn) % 4] AS kind FROM conversations JOIN embeddings e ON e.vec_id = (conv_id * 7 + turn) % 500 WHERE role = 'user'),
+t AS (SELECT *, lower(query) AS low, list_distinct(list_filter(regexp_extract_all(lower(query), '[a-z][a-z\\-'']{2,}'), lambda x: NOT list_contains(NOISE, x))) AS tok,
+  regexp_extract_all(query, '\\b(\\d+(?:\\.\\d+){1,3})\\b', 1) AS sec, list_distinct(regexp_extract_all(low, '[a-z0-9]+')) AS terms FROM u WHERE kind <> 'comprehensive'),
+s AS (SELECT qid, id, page_start, len(list_filter(tok, lambda x: contains(lower(title), x) OR contains(lower(topic), x))) AS o,
+  len(low) >= 4 AND (contains(lower(topic), low) OR contains(lower(title), low)) OR len(list_filter(sec, lambda x: section_id = x OR starts_with(node_id, x) OR starts_with(topic, x || ' ') OR starts_with(topic, x || '.')
+  OR contains(left(search_text, 200), x || ' ') OR contains(left(search_text, 200), x || chr(10)))) > 0 AS named FROM t JOIN chunks_v USING (document_id)),
+w AS (SELECT document_id, id, regexp_extract_all(lower(search_text), '[a-z0-9]+') AS w FROM chunks_v), m AS (SELECT document_id, count(*) AS nd, avg(len(w)) AS mean FROM w GROUP BY 1),
+p AS (SELECT document_id, id, term, count(*)::DOUBLE AS tf, any_value(n) AS n FROM (SELECT document_id, id, len(w) AS n, unnest(w) AS term FROM w) GROUP BY ALL), f AS (SELECT document_id, term, count(*)::DOUBLE AS df FROM p GROUP BY ALL),
+a AS (SELECT document_id, qid, len(terms) AS wanted, unnest(terms) AS term FROM t),
+k AS (SELECT qid, id, sum(ln(1 + (nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))) AS score FROM a JOIN f USING (document_id, term) JOIN m USING (document_id) JOIN p USING (document_id, term)
+  GROUP BY qid, id HAVING count(*) = any_value(wanted)),
+v AS (SELECT qid, id, 1 AS lane_ord, round(list_cosine_similarity(search_embedding::DOUBLE[], embedding::DOUBLE[]), 9) AS score FROM t JOIN chunks_v USING (document_id) WHERE search_embedding IS NOT NULL
+  UNION ALL SELECT qid, id, 3, round(list_cosine_similarity(formula_embedding::DOUBLE[], embedding::DOUBLE[]), 9) FROM t JOIN chunks_v USING (document_id) WHERE kind = 'formula' AND formula_embedding IS NOT NULL
+  UNION ALL SELECT qid, id, 4, round(list_cosine_similarity(table_embedding::DOUBLE[], embedding::DOUBLE[]), 9) FROM t JOIN chunks_v USING (document_id) WHERE kind = 'table' AND table_embedding IS NOT NULL),
+lanes AS (SELECT qid, id, 0 AS lane_ord, row_number() OVER (PARTITION BY qid ORDER BY o DESC, page_start, id) - 1 AS rank FROM s WHERE o > 0 OR named UNION ALL SELECT qid, id, lane_ord, row_number() OVER (PARTITION BY qid, lane_ord ORDER BY score DESC, id) - 1 FROM v
+  UNION ALL SELECT qid, id, 2, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) - 1 FROM k),
+fused AS (SELECT qid, id, round(sum(1::DOUBLE / (60 + rank + 1)), 12) AS rrf, min(lane_ord * 1000 + rank) AS seen FROM lanes WHERE rank < 10 GROUP BY qid, id),
+known AS (SELECT f.*, c.is_parent, c.parent_id FROM fused f JOIN chunks_v c USING (id)),
+best AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, seen, id) AS rank, id, round(rrf, 9) AS rrf, parent_id FROM known x
+  WHERE NOT (is_parent AND EXISTS (SELECT 1 FROM known y WHERE y.qid = x.qid AND y.parent_id = x.id)))""".replace("NOISE", _NOISE)
+
+
+@query(
+    with_views(
+        PAGES, CHUNKS, _BATCH_USER, body="SELECT * FROM best WHERE rank <= 10 UNION ALL SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY page_start, page_end, id), id, NULL, NULL FROM u JOIN chunks_v USING (document_id) WHERE kind = 'comprehensive' AND is_parent"
+    )
+)
+def hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for the first words of every user turn, each in a document, of every kind."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    u = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("vec_id", (F.col("conv_id") * 7 + F.col("turn")) % 500).join(e, "vec_id")
+    words = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", "[ \n]+", " ")), " "), 1, 2), " ")
+    kinds = F.array(*[F.lit(k) for k in ("general", "formula", "table", "comprehensive")])
+    asked = u.select((F.col("conv_id") * 100 + F.col("turn")).alias("qid"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("document_id"), words.alias("query"), "embedding", F.get(kinds, ((F.col("conv_id") + F.col("turn")) % 4).cast("int")).alias("kind"))
+    found = batch.hybrid_batch(store.written(chunks_v(spark, sf_dir), "chunks"), asked)
+    return found.select("qid", F.col("rank").cast("long").alias("rank"), "id", F.round("rrf", 9).alias("rrf"), "parent_id")
+
+
 # --- cleanup ---------------------------------------------------------------------------------------------------------
 
 
@@ -455,13 +494,24 @@ def ordered_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.md5(F.array_join(T.ordered_distinct(F.split("text", " ")), "|")).alias("keywords"))
 
 
-@query("SELECT doc_id, concat('F=ma|N', doc_id % 5, '|c2|d;', 'E=mc^2|||') AS merged FROM documents")
+_LINES = f"string_split(text, {NL})"
+
+
+@query(
+    f"WITH l AS (SELECT doc_id, unnest({_LINES}) AS x, generate_subscripts({_LINES}, 1) - 1 AS i FROM documents), f AS (SELECT doc_id, i, i % 2 AS more, left(x, 3) AS latex, regexp_replace(left(x, 3), '\\s+', '', 'g') AS k, "
+    "CASE WHEN length(x) % 3 > 0 THEN right(x, 4) ELSE '' END AS name, CASE WHEN length(x) % 5 > 2 THEN md5(x) ELSE '' END AS context FROM l WHERE regexp_replace(left(x, 3), '\\s+', '', 'g') <> ''), "
+    "o AS (SELECT *, min(more * 1000000 + i) OVER (PARTITION BY doc_id, k) AS place, CASE WHEN more = 0 THEN -1 ELSE i END AS o FROM f QUALIFY more = 1 OR i = max(i) OVER (PARTITION BY doc_id, k, more)), "
+    "m AS (SELECT doc_id, place, arg_min(latex, o) AS latex, coalesce(arg_min(name, o) FILTER (name <> ''), '') AS name, coalesce(arg_min(context, o) FILTER (context <> ''), '') AS context FROM o GROUP BY doc_id, k, place) "
+    "SELECT doc_id, md5(coalesce(string_agg(concat(latex, '|', name, '|', context), ';' ORDER BY place), '')) AS merged, count(place) AS n FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id"
+)
 def formula_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = lambda latex, name, context, describes: F.struct(name.alias("name"), F.lit(latex).alias("latex"), F.array().cast(f"array<{R.VARIABLE}>").alias("variables"), F.lit(context).alias("context"), F.lit(describes).alias("describes"))
-    n = F.concat(F.lit("N"), (F.col("doc_id") % 5).cast("string"))
-    merged = R.merge_formulas(F.array(f("F = ma", F.lit(""), "", ""), f("F=ma", n, "c2", "")), F.array(f("F=ma", F.lit("Newton"), "", "d"), f("E=mc^2", F.lit(""), "", "")))
-    line = F.array_join(F.transform(merged, lambda m: F.concat_ws("|", m["latex"], m["name"], m["context"], m["describes"])), ";")
-    return table(spark, sf_dir, "documents").select("doc_id", line.alias("merged"))
+    """Even lines are what vision read, odd ones what the summary brought: keys repeat, names and contexts are blank here and there."""
+    lines = F.split("text", "\n")
+    of = lambda x: F.struct(F.when(F.length(x) % 3 > 0, F.right(x, F.lit(4))).otherwise("").alias("name"), F.left(x, F.lit(3)).alias("latex"), F.array().cast(f"array<{R.VARIABLE}>").alias("variables"), F.when(F.length(x) % 5 > 2, F.md5(x)).otherwise("").alias("context"), F.lit("").alias("describes"))
+    part = lambda k: F.transform(F.filter(lines, lambda x, i: i % 2 == k), of)
+    merged = R.merge_formulas(part(0), part(1))
+    x = table(spark, sf_dir, "documents").select("doc_id", merged.alias("m"))
+    return x.select("doc_id", F.md5(F.array_join(F.transform("m", lambda m: F.concat_ws("|", m["latex"], m["name"], m["context"])), ";")).alias("merged"), F.size("m").cast("long").alias("n"))
 
 
 @query("SELECT doc_id, md5(CASE WHEN length(v) > 0 AND length(v) >= 0.5 * length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) THEN v ELSE t END) AS prose FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[aeioun]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS v, text AS t FROM documents)")
@@ -478,28 +528,56 @@ def embedding_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", *[F.md5(c).alias(c) for c in ("formula_input", "table_input", "search_input")])
 
 
-@query(f"SELECT doc_id, concat('SECTION: ', doc_id % 9, {NL}, 'OVERVIEW: ', source, {NL}, 'DEFINITION: ', lang, {NL}, 'FORMULA (n): E=mc^2 — d', {NL}, '  VAR: E = energy', {NL}, 'KEYWORDS: ', lang, ', ', source) AS line FROM documents")
+@query(
+    f"WITH l AS (SELECT *, {_LINES} AS l FROM documents) SELECT doc_id, md5(array_to_string(list_concat([concat('SECTION: ', doc_id % 9)], [concat('OVERVIEW: ', source)], list_transform(list_filter(l, lambda x, i: i % 2 = 1), lambda x: concat('DEFINITION: ', x)), "
+    "list_transform(list_filter(l, lambda x, i: i % 2 = 0), lambda x: concat('CONCEPT: ', x)), "
+    "flatten(list_transform(list_filter(l, lambda x, i: i % 3 = 1 AND x <> ''), lambda x: list_concat([concat('FORMULA', CASE WHEN length(x) % 2 = 1 THEN concat(' (', right(x, 3), ')') ELSE '' END, ': ', left(x, 5), ' — ', x)], CASE WHEN length(x) % 4 > 0 THEN [concat('  VAR: ', left(x, 1), ' = ', lang)] ELSE [] END))), "
+    "list_transform(list_filter(l, lambda x, i: i % 5 = 0), lambda x: concat('EXAMPLE: ', x)), [concat('KEYWORDS: ', array_to_string(list_concat([lang], l), ', '))]), chr(10))) AS line FROM l"
+)
 def summary_serialise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    variable = F.array(F.struct(F.lit("E").alias("symbol"), F.lit("energy").alias("meaning")))
-    formula = F.struct(F.lit("n").alias("name"), F.lit("E=mc^2").alias("latex"), variable.alias("variables"), F.lit("c").alias("context"), F.lit("d").alias("describes"))
-    none = F.array().cast("array<string>")
-    rich = F.struct((F.col("doc_id") % 9).cast("string").alias("section_number"), F.col("source").alias("headline"), F.array("lang").alias("definitions"), none.alias("key_concepts"), F.array(formula).alias("formulas"), none.alias("worked_examples"), F.array("lang", "source").alias("exam_keywords"))
-    return table(spark, sf_dir, "documents").select("doc_id", R.serialise_summary(rich).alias("line"))
+    """Definitions, concepts, formulas, examples and keywords are the lines of the texts."""
+    lines = F.split("text", "\n")
+    every = lambda n, k: F.filter(lines, lambda x, i: (i + 1) % n == k)
+    variables = lambda x: F.when(F.length(x) % 4 > 0, F.array(F.struct(F.left(x, F.lit(1)).alias("symbol"), F.col("lang").alias("meaning")))).otherwise(F.array(F.struct(F.lit("").alias("symbol"), F.lit("lost").alias("meaning"))))
+    formula = lambda x: F.struct(F.when(F.length(x) % 2 == 1, F.right(x, F.lit(3))).otherwise("").alias("name"), F.left(x, F.lit(5)).alias("latex"), variables(x).alias("variables"), x.alias("context"), F.lit("").alias("describes"))
+    rich = F.struct(
+        (F.col("doc_id") % 9).cast("string").alias("section_number"), F.col("source").alias("headline"), every(2, 1).alias("definitions"), every(2, 0).alias("key_concepts"), F.transform(every(3, 1), formula).alias("formulas"), every(5, 0).alias("worked_examples"), F.concat(F.array("lang"), lines).alias("exam_keywords")
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(R.serialise_summary(rich)).alias("line"))
 
 
-@query("SELECT doc_id, source AS prose, 0 AS n_formulas, 1 AS n_terms FROM documents")
+@query(
+    f"SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN md5('') ELSE md5(text) END AS prose, CASE WHEN doc_id % 4 = 1 THEN 0 ELSE len({_LINES}) END AS n_formulas, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE len(string_split(text, ' ')) END AS n_terms, "
+    f"md5(CASE WHEN doc_id % 4 = 3 THEN '' ELSE array_to_string(string_split(text, ' '), '|') END) AS terms, md5(CASE WHEN doc_id % 4 = 1 THEN '' ELSE array_to_string({_LINES}, '|') END) AS latex, 0 AS n_tables FROM documents"
+)
 def vision_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    json = F.format_string('{"prose_text": "%s", "formulas": "none", "key_terms": ["%s"]}', F.col("source"), F.col("lang"))
-    x = table(spark, sf_dir, "documents").select("doc_id", R.parse_vision(json).alias("v"))
-    return x.select("doc_id", F.col("v.prose_text").alias("prose"), F.size("v.formulas").alias("n_formulas"), F.size("v.key_terms").alias("n_terms"))
+    """Whole texts as a model would return them: in turn complete, with a key of the wrong type, with one missing, with a null."""
+    words, lines = F.split("text", " "), F.split("text", "\n")
+    kind = F.col("doc_id") % 4
+    pair = lambda key, value: F.concat(F.lit(f'"{key}":'), value)
+    text = F.expr("substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)")
+    formulas = F.when(kind == 1, '"none"').otherwise(F.to_json(F.transform(lines, lambda x: F.struct(x.alias("latex")))))
+    parts = F.array_compact(F.array(F.when(kind != 2, pair("prose_text", text)), pair("formulas", formulas), pair("key_terms", F.when(kind == 3, "null").otherwise(F.to_json(words)))))
+    x = table(spark, sf_dir, "documents").select("doc_id", R.parse_vision(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))).alias("v"))
+    return x.select(
+        "doc_id", F.md5("v.prose_text").alias("prose"), F.size("v.formulas").alias("n_formulas"), F.size("v.key_terms").alias("n_terms"), F.md5(F.array_join("v.key_terms", "|")).alias("terms"), F.md5(F.array_join(F.transform("v.formulas", lambda f: f["latex"]), "|")).alias("latex"), F.size("v.tables").alias("n_tables")
+    )
 
 
-@query("SELECT doc_id, concat(source, ' E=mc^2 cell sum ', lang, ' k ', doc_id % 10) AS search_text, concat('k|', lang) AS keywords FROM documents")
+@query(
+    f"SELECT doc_id, md5(concat(source, ' x_', n_chars, ' ', array_to_string(list_concat({_LINES}, [lang]), ' '), ' ', text, ' ', 'sum ', lang, ' ', source, ' k ', doc_id % 10)) AS search_text, concat('k|', lang, '|', source) AS keywords, 'sum' AS summary, source AS text "
+    "FROM documents"
+)
 def page_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    json = F.format_string('{"prose_text": "%s", "formulas": [{"latex": "E=mc^2"}], "tables": [{"rows": [["cell"]]}], "topics_detected": ["%s"], "key_terms": ["k"], "section_identifiers": ["%s"]}', F.col("source"), F.col("lang"), (F.col("doc_id") % 10).cast("string"))
-    x = table(spark, sf_dir, "documents").select("doc_id", R.parse_vision(json).alias("v"))
+    """Tables hold the lines of the texts, diagrams describe with whole texts."""
+    lines = F.split("text", "\n")
+    tables = F.array(F.struct(F.lit("").alias("caption"), F.array().cast("array<string>").alias("headers"), F.array(lines, F.array("lang")).alias("rows")))
+    record = F.struct(
+        F.col("source").alias("prose_text"), F.array(F.struct(F.concat(F.lit("x_"), F.col("n_chars").cast("string")).alias("latex"))).alias("formulas"), tables.alias("tables"), F.array(F.struct(F.col("text").alias("description"))).alias("diagrams"), F.array("lang", "source").alias("topics_detected"), F.array(F.lit("k")).alias("key_terms"), F.array((F.col("doc_id") % 10).cast("string")).alias("section_identifiers")
+    )
+    x = table(spark, sf_dir, "documents").select("doc_id", R.parse_vision(F.to_json(record)).alias("v"))
     merged = x.select("doc_id", *R.merged_page(F.col("v"), F.lit(""), F.array().cast("array<string>"), F.lit("sum"), normalize=False))
-    return merged.select("doc_id", "search_text", F.array_join("keywords", "|").alias("keywords"))
+    return merged.select("doc_id", F.md5("search_text").alias("search_text"), F.array_join("keywords", "|").alias("keywords"), "summary", "text")
 
 
 # --- tree ------------------------------------------------------------------------------------------------------------
