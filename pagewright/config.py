@@ -23,6 +23,8 @@ class Settings:
     default_top_k: int = 10
     rrf_k: int = 60
     vision_concurrency: int = 5
+    summary_concurrency: int = 5
+    model_attempts: int = 1
     enable_concept_split: bool = True
 
     @classmethod

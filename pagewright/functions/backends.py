@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import re
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from itertools import islice
 from typing import Protocol
 
 import numpy as np
@@ -85,18 +90,63 @@ def leading_summary(topic: str, body: str) -> str | None:
     return json.dumps({"section_number": "", "headline": re.split(r"(?<=[.!?])\s", body.strip())[0][:200], "definitions": [], "key_concepts": best[:3], "formulas": [], "worked_examples": [], "exam_keywords": best})
 
 
-def summaries(topic: Column, text: Column, backend: SummaryBackend = no_summary, max_body_chars: int = 12_000) -> Column:
-    """JSON of the rich summary, or null: blank texts aren't sent, and a backend that fails leaves the chunk as it is."""
+@dataclass(frozen=True)
+class CallLimit:
+    """at_once bounds the calls to a model in flight, over all tasks together. A call that fails is made again, attempts times in all, after a pause (in seconds) that doubles each
+    time up to longest."""
+
+    at_once: int = 5
+    attempts: int = 3
+    pause: float = 0.5
+    longest: float = 30.0
+
+    def dealt(self, parallelism: int) -> tuple[int | None, int]:
+        """The partitions that rows are dealt to so that no more tasks run than calls may be in flight (None: any number), and the calls of a task."""
+        return (self.at_once, 1) if self.at_once < parallelism else (None, self.at_once // parallelism)
+
+
+def bounded(rows: DataFrame, limit: CallLimit) -> DataFrame:
+    """rows, in as few partitions as limit asks for."""
+    partitions, _ = limit.dealt(rows.sparkSession.sparkContext.defaultParallelism)
+    return rows if partitions is None else rows.repartition(partitions)
+
+
+def ordered_calls(call: Callable, items: Iterator, width: int, limit: CallLimit = CallLimit()) -> Iterator[tuple[object, str | None]]:
+    """The result and the error (one of them None) of call for each of items, in order; width calls at most are in flight, and no item is taken before one of them may start."""
+
+    def tried(item) -> tuple[object, str | None]:
+        for attempt in range(1, limit.attempts + 1):
+            try:
+                return call(item), None
+            except Exception as e:  # noqa: BLE001  a failed call is reported, not fatal
+                if attempt == limit.attempts:
+                    return None, str(e) or type(e).__name__
+                time.sleep(min(limit.longest, limit.pause * 2 ** (attempt - 1)))
+        return None, "no attempt was allowed"
+
+    if width == 1:
+        yield from map(tried, items)
+        return
+    with ThreadPoolExecutor(width) as pool:
+        flying: deque = deque()
+        for item in items:
+            flying.append(pool.submit(tried, item))
+            if len(flying) == width:
+                yield flying.popleft().result()
+        while flying:
+            yield flying.popleft().result()
+
+
+def summaries(topic: Column, text: Column, backend: SummaryBackend = no_summary, max_body_chars: int = 12_000, width: int = 1, limit: CallLimit = CallLimit()) -> Column:
+    """JSON of the rich summary, or null: blank texts aren't sent, and a backend that fails leaves the chunk as it is. A task makes width calls at a time."""
+    if backend is no_summary:
+        return F.lit(None).cast("string")
 
     @F.arrow_udf("string")
     def run(t: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for topic_, body in zip(t.to_pylist(), b.to_pylist(), strict=True):
-            try:
-                out.append(backend(topic_ or "", body) if body and body.strip() else None)
-            except Exception:  # noqa: BLE001  fail-safe by contract
-                out.append(None)
-        return pa.array(out, pa.string())
+        sent = [(topic_ or "", body) for topic_, body in zip(t.to_pylist(), b.to_pylist(), strict=True)]
+        call = lambda x: backend(*x) if x[1] and x[1].strip() else None
+        return pa.array([found for found, _ in ordered_calls(call, iter(sent), width, limit)], pa.string())
 
     return run.asNondeterministic()(topic, F.left(text, F.lit(max_body_chars)))  # a call for each row, never twice
 
@@ -113,22 +163,27 @@ def no_split(prose: str, title: str) -> list[tuple[int, int, str, str, list[str]
 VisionBackend = Callable[[bytes], str]
 
 
-def extract_pages(images: DataFrame, backend: VisionBackend, concurrency: int = 5) -> DataFrame:
-    """images: document_id, page_number, content. Record (JSON) and error of each page; concurrency tasks at a time call
-    the backend."""
+def extract_pages(images: DataFrame, backend: VisionBackend, concurrency: int = 5, limit: CallLimit | None = None) -> DataFrame:
+    """images: document_id, page_number, content. Record (JSON) and error of each page, in as many tasks and calls as limit (or concurrency, with its other settings) allows; a
+    page that fails in all attempts has its last error."""
+    limit = limit or CallLimit(concurrency)
+    _, width = limit.dealt(images.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            record, error = [], []
-            for content in batch.column(2).to_pylist():
-                try:
-                    record.append(backend(content))
-                    error.append(None)
-                except Exception as e:  # noqa: BLE001  a failed page is reported, not fatal
-                    record.append(None)
-                    error.append(str(e))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(record, pa.string()), pa.array(error, pa.string())], ["document_id", "page_number", "record", "error"])
+        keys: deque = deque()
+
+        def contents() -> Iterator[bytes]:
+            for batch in batches:
+                for document, number, content in zip(*batch.columns, strict=True):
+                    keys.append((document.as_py(), number.as_py()))
+                    yield content.as_py()
 
-    return images.select("document_id", "page_number", "content").repartition(concurrency).mapInArrow(run, "document_id string, page_number int, record string, error string")
+        def rows() -> Iterator[tuple]:
+            for record, error in ordered_calls(backend, contents(), width, limit):
+                yield *keys.popleft(), record, error
 
+        found = rows()
+        while some := list(islice(found, 64)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], ["document_id", "page_number", "record", "error"])
 
+    return bounded(images.select("document_id", F.col("page_number").cast("int").alias("page_number"), "content"), limit).mapInArrow(run, "document_id string, page_number int, record string, error string")

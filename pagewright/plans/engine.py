@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.backends import EmbeddingBackend, HashingBackend, SplitBackend, SummaryBackend, VisionBackend, extract_pages, no_split, no_summary
+from ..functions.backends import CallLimit, EmbeddingBackend, HashingBackend, SplitBackend, SummaryBackend, VisionBackend, extract_pages, no_split, no_summary
 from ..functions.records import VISION, merged_page, page_flags, parse_vision, valid_formulas
 from ..functions.text import QUERY_TYPES, query_type
 from ..operators import keyword_index
@@ -99,7 +99,7 @@ class Engine:
     def extracted(self, images: DataFrame) -> DataFrame:
         """images: document_id, page_number, content, key. document_id, page_number and the vision record v of the pages that have one; new ones are cached."""
         missing = cache_misses(images, self.tables.cache()).dropDuplicates(["key"])
-        read = extract_pages(missing, self.vision, self.settings.vision_concurrency).join(missing.select("document_id", "page_number", "key"), ["document_id", "page_number"])
+        read = extract_pages(missing, self.vision, limit=CallLimit(self.settings.vision_concurrency, self.settings.model_attempts)).join(missing.select("document_id", "page_number", "key"), ["document_id", "page_number"])
         self.tables.save_cache(read)
         return images.select("document_id", "page_number", "key").join(self.tables.cache(), "key").select("document_id", "page_number", parse_vision(F.col("record")).alias("v"))
 
@@ -148,7 +148,7 @@ class Engine:
             raise NotReady("no section tree")
         leaves = tree_leaves(trees)
         split = self.settings.enable_concept_split if split is None else split
-        parents, children = enrich(pages, leaves, split=split, summary=self.summary, splitter=self.splitter)
+        parents, children = enrich(pages, leaves, split=split, summary=self.summary, splitter=self.splitter, limit=CallLimit(self.settings.summary_concurrency, self.settings.model_attempts))
         both = parents.drop("leaf_pos", "offsets").unionByName(children, allowMissingColumns=True).withColumn("keywords", chunk_keywords())
         document = self.spark.createDataFrame([(document_id,)], "document_id string")
         n = self.tables.replace_chunks(with_embeddings(both, self.embedding), VERSION, document).first()
