@@ -17,6 +17,7 @@ from ..operators import keyword_index
 from ..operators.chunks import chunk_keywords, enrich, warnings, with_embeddings
 from ..operators.intervals import page_grid
 from ..operators.retrieval import hybrid, parents_in_page_order
+from ..sources.pdf import page_count
 from ..sources.store import PAST_VISION, READY_FOR_TREE, SEARCHABLE, cache_key, cache_misses, is_pdf, render_pages
 from ..sources.tables import Tables, filled_pages
 from ..sources.trees import leaves as tree_leaves
@@ -69,7 +70,8 @@ class Engine:
         document_id = file.select("document_id").first()["document_id"]
         if self.tables.documents(document_id).isEmpty():
             self.tables.append("uploads", file)
-            self.tables.event(document_id, filename=name or "unknown.pdf", pdf_path=path, status="pending")
+            pages = file.select(page_count(F.col("content")).alias("n")).first()["n"]
+            self.tables.event(document_id, filename=name or "unknown.pdf", pdf_path=path, status="pending", **({} if pages is None else {"page_count": pages}))
         return {"document_id": document_id, "status": "ingestion_started"}
 
     def run(self, document_id: str) -> dict:

@@ -12,7 +12,7 @@ from ..functions import records as R
 from ..functions import text as T
 from ..functions.backends import HashingBackend, embed, vector_of
 from ..operators import alignment, batch, chunks, intervals, keyword_index, retrieval, trigram_index, vector_index
-from ..sources import store, tables, trees
+from ..sources import pdf, store, tables, trees
 from .views import CHUNKS, PAGES, TREE, chunks as chunks_v, pages as pages_v, table, tree as tree_v, with_views
 
 QUERIES: dict = {}
@@ -846,6 +846,15 @@ def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", store.page_file_name(F.col("page_id")).alias("name"), store.is_pdf(F.col("url")).alias("pdf"))
 
 
+@query("SELECT source, count(*)::INT AS pages FROM documents GROUP BY source")
+def pdf_page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A PDF for each source, with a page for each of its documents whose stream is the text: pages are counted without rendering."""
+    page = F.concat((F.col("doc_id") + 10).cast("string"), F.lit(" 0 obj << /Type /Page /Parent 2 0 R >> stream\n"), "text", F.lit("\nendstream endobj\n"))
+    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_join(F.collect_list(page), "").alias("pages"), F.count("*").cast("string").alias("n"))
+    head = F.lit("%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Count ")
+    return d.select("source", pdf.page_count(F.encode(F.concat(head, "n", F.lit(" >> endobj\n"), "pages"), "utf-8")).alias("pages"))
+
+
 def _tables(spark: SparkSession) -> tables.Tables:
     """Tables in a folder of their own, deleted when the session ends."""
     return tables.Tables(spark, store.scratch(spark, "tables"), parts=8)
