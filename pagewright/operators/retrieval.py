@@ -114,7 +114,7 @@ def keyword_lane(chunks: DataFrame, query: str, k: int, analyzer=terms, text: st
     """id and score of the k best rows that have every term of the query, by BM25 over all rows. No term, no rows. Texts are read once: lengths and
     counts of the query's terms are kept while the statistics are taken; the k rows come back as a local table."""
     spark = chunks.sparkSession
-    asked = spark.range(1).select(F.array_distinct(analyzer(F.lit(query))).alias("t")).first()["t"]
+    asked = spark.range(0, 1, 1, 1).select(F.array_distinct(analyzer(F.lit(query))).alias("t")).first()["t"]
     if not asked:
         return chunks.where(F.lit(False)).select("id", F.lit(0.0).alias("score"))
     words = chunks.select("id", analyzer(F.col(text)).alias("w")).withColumn("n", F.size("w"))
@@ -145,7 +145,7 @@ def inverted_index(chunks: DataFrame, analyzer=terms, text: str = "search_text")
 
 def indexed_keyword_lane(postings: DataFrame, lengths: DataFrame, query: str, k: int, analyzer=terms) -> DataFrame:
     """keyword_lane() from an index: only the postings of the query's terms are read, and no text."""
-    asked = postings.sparkSession.range(1).select(F.array_distinct(analyzer(F.lit(query))).alias("t")).first()["t"]
+    asked = postings.sparkSession.range(0, 1, 1, 1).select(F.array_distinct(analyzer(F.lit(query))).alias("t")).first()["t"]
     if not asked:
         return lengths.where(F.lit(False)).select("id", F.lit(0.0).alias("score"))
     own = postings.where(F.col("term").isin(asked))
@@ -167,7 +167,7 @@ def _equals(term: str):
 def section_lane(chunks: DataFrame, query: str, k: int) -> DataFrame:
     """id, score (1.0), token_overlap and page_start of the k rows whose section number, topic or title the query names."""
     spark = chunks.sparkSession
-    q = spark.range(1).select(section_numbers(F.lit(query)).alias("s"), content_tokens(F.lit(query)).alias("t")).first()
+    q = spark.range(0, 1, 1, 1).select(section_numbers(F.lit(query)).alias("s"), content_tokens(F.lit(query)).alias("t")).first()
     low = query.lower()
     topic, title, head = F.coalesce("topic", F.lit("")), F.coalesce("title", F.lit("")), F.left(F.coalesce("search_text", F.lit("")), F.lit(200))
     tests = []

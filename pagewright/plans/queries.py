@@ -201,7 +201,7 @@ def _hybrid_sql(kind: str = "") -> str:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    c = chunks_v(spark, sf_dir).where("document_id = 'src3'")
+    c = store.written(chunks_v(spark, sf_dir).where("document_id = 'src3'"), "chunks")  # read by every lane
     found = retrieval.hybrid(c, _HYBRID_WORDS, _vector(spark, sf_dir), 10, kind)
     return found.select("id", F.round("rrf", 9).alias("rrf"), F.col("parent.id").alias("parent_id"))
 
@@ -889,14 +889,22 @@ def page_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("document_id", "page_number", F.md5("text").alias("text"), F.array_join("topics", "|").alias("topics"), "summary", F.size("formulas").alias("n_formulas"))
 
 
-@query(with_views(PAGES, CHUNKS, "f AS (SELECT document_id, min(id) AS first FROM chunks_v GROUP BY 1)", body="SELECT document_id, id, 'new' AS title, md5(search_text) AS digest FROM chunks_v JOIN f USING (document_id) WHERE length(document_id) = 4 AND NOT is_parent UNION ALL SELECT document_id, id, title, md5(search_text) FROM chunks_v WHERE length(document_id) <> 4"))
+@query(
+    with_views(
+        PAGES, CHUNKS, "r AS (SELECT *, length(document_id) = 4 AS again FROM chunks_v)",
+        body="SELECT document_id, id, node_id, section_id, CASE WHEN again THEN 'new' ELSE title END AS title, CASE WHEN again THEN 'new' WHEN page_start % 3 = 0 THEN topic ELSE title END AS topic, md5(search_text) AS digest, md5(search_text) AS content, "
+        "page_start, page_end, is_parent, parent_id, CASE WHEN NOT is_parent THEN 'definition' END AS role, 'v2' AS pipeline_version, len(search_embedding)::INT AS n_search, len(formula_embedding)::INT AS n_formula, len(table_embedding)::INT AS n_table FROM r WHERE NOT (again AND is_parent)",
+    )
+)
 def chunk_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All chunks are stored, then those of some documents are replaced: their old ones are gone, all others stay."""
-    c = chunks_v(spark, sf_dir).drop("topic")
+    """All chunks are stored, then those of some documents are replaced: their old ones are gone, all others stay. Blank topics and search texts fall back, roles are for children."""
+    c = chunks_v(spark, sf_dir).withColumns({"content": F.col("search_text"), "search_text": F.when(F.col("page_start") % 2 == 0, "").otherwise(F.col("search_text")), "role": F.lit("definition"), "topic": F.when(F.col("page_start") % 3 == 0, F.col("topic")).when(F.col("page_start") % 3 == 1, "")})
     own = _tables(spark)
     own.replace_chunks(c, "v2")
-    own.replace_chunks(c.where((F.length("document_id") == 4) & ~F.col("is_parent")).withColumn("title", F.lit("new")), "v2")
-    return own.chunks().select("document_id", "id", "title", F.md5("search_text").alias("digest"))
+    own.replace_chunks(c.where((F.length("document_id") == 4) & ~F.col("is_parent")).withColumns({"title": F.lit("new"), "topic": F.lit("")}), "v2")
+    sizes = [F.when(F.col(f"{k}_embedding").isNotNull(), F.size(f"{k}_embedding")).alias(f"n_{k}") for k in ("search", "formula", "table")]
+    plain = ["document_id", "id", "node_id", "section_id", "title", "topic", "page_start", "page_end", "is_parent", "parent_id", "role", "pipeline_version"]
+    return own.chunks().select(*plain, F.md5("search_text").alias("digest"), F.md5("content").alias("content"), *sizes)
 
 
 @query("SELECT user_id::VARCHAR AS document_id, arg_max(event_type, (ts, event_type)) AS status, epoch_us(min(ts)) AS created, epoch_us(max(ts)) AS updated FROM events GROUP BY user_id")
