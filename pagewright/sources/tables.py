@@ -159,14 +159,42 @@ class Tables:
     # --- upkeep -----------------------------------------------------------------------------------------------------------
 
     def compact(self, name: str) -> None:
-        """Put what readers see of pages, trees or cache into one batch and delete the batches before it. No writer may run meanwhile."""
-        current = {"pages": self.pages, "trees": self.trees, "cache": self.cache}[name]()
+        """Put what readers see into one batch. No writer may run meanwhile. Batches of pages, trees, cache, uploads and status events that it stands for are deleted, so no reader of these
+        may run either; after a failure half-way rows are there twice, which readers don't notice. Replaced chunks stay until vacuum(), so their readers go on."""
+        if name == "chunks":
+            self._compact_chunks()
+            return
+        current = {"pages": self.pages, "trees": self.trees, "cache": self.cache, "documents": lambda: self.rows("documents").drop("batch"), "uploads": lambda: self.rows("uploads").drop("batch").dropDuplicates(["document_id"])}[name]()
         store, path = self._path(name)
         old = [f.getPath() for f in store.listStatus(path)] if store.exists(path) else []
         self.append(name, current)
         for p in old:
             store.delete(p, True)
 
+    def _compact_chunks(self) -> None:
+        """All committed chunks as one batch, which events then name."""
+        batch = self.append("chunks", self.chunks())
+        held = self.rows("chunks").where(F.col("batch") == batch).select("document_id", "pipeline_version").distinct()
+        # the event is as old as the document's last one: nothing that is told of the document changes
+        last = self.rows("documents").groupBy("document_id").agg(F.max("at").alias("at"))
+        self.record_events(held.join(last, "document_id").select("document_id", "at", "pipeline_version", F.lit(batch).alias("chunks")))
+
+    def vacuum(self, keep_seconds: float = 86_400) -> list[str]:
+        """Delete the batches of chunks that no document's event names any more and that are older than keep_seconds, the time that a reader may still need them and a writer has to name
+        what it wrote; their names."""
+        events = self.rows("documents").where("chunks is not null")
+        named = events.groupBy("document_id", "pipeline_version").agg(F.max("chunks").alias("batch")).select("batch").distinct()
+        # batches named once, and since then no more, are as old as the event that replaced them
+        replaced = events.groupBy("document_id", "pipeline_version").agg(F.max("chunks").alias("now"), F.collect_set("chunks").alias("all")).select("now", F.explode("all").alias("batch")).where("batch < now")
+        until = f"{time.time_ns() - int(keep_seconds * 1e9):020d}"
+        recent = replaced.where(F.col("now") >= until).select("batch")
+        stored = self.rows("chunks").select("batch").distinct().where(F.col("batch") < until)
+        gone = [r["batch"] for r in stored.join(named, "batch", "left_anti").join(recent, "batch", "left_anti").collect()]  # a name for each batch
+        for batch in gone:
+            store, path = self._path(f"chunks/batch={batch}")
+            store.delete(path, True)
+        return gone
+
 
 def filled_pages(pages: DataFrame) -> DataFrame:
     """Page records with empty lists and texts in place of nulls."""

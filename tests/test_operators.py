@@ -347,3 +347,56 @@ def test_upsert_of_repeated_keys(spark):
     new = spark.createDataFrame([(2, "c"), (2, "d"), (2, None)], "k int, v string")
     for order in ("v", "k"):
         assert sorted(map(tuple, store.upsert(old, new.orderBy(order), ["k"]).collect())) == [(1, "a"), (2, "d")]
+
+
+def test_chunks_compacted_and_vacuumed(spark, tmp_path):
+    """Readers see the same rows after compaction and clean-up; replaced batches go once they are old enough; a reader of the old state finishes meanwhile."""
+    import os
+
+    from pagewright.sources.tables import Tables
+
+    t = Tables(spark, str(tmp_path), parts=2)
+    made = lambda d, n, text: spark.range(n).select(F.lit(d).alias("document_id"), F.concat(F.lit(d), F.col("id").cast("string")).alias("id"), F.lit(text).alias("title"), F.lit(True).alias("is_parent"))
+    for d, n in (("a", 3), ("b", 2), ("c", 4)):
+        t.replace_chunks(made(d, n, "old"), "v1")
+    t.replace_chunks(made("a", 5, "new"), "v1")
+    t.replace_chunks(made("a", 1, "other"), "v2")
+    seen = lambda: sorted((r["id"], r["title"], r["pipeline_version"]) for r in t.chunks().collect())
+    told = lambda: sorted(map(tuple, t.documents().select("document_id", "status", "created_at", "updated_at", "enriched_at").collect()))
+    folders = lambda name: sorted(f for f in os.listdir(tmp_path / name) if f.startswith("batch="))
+    before, status = seen(), told()
+    assert len(before) == 12 and len(folders("chunks")) == 5
+    assert t.vacuum(3600) == [] and len(t.vacuum(0)) == 1 and seen() == before
+    reader = t.chunks()
+    t.compact("chunks")
+    assert len(reader.collect()) == 12  # of the state before
+    assert seen() == before and told() == status
+    assert t.vacuum(3600) == [] and len(folders("chunks")) == 5
+    assert len(t.vacuum(0)) == 4 and len(folders("chunks")) == 1
+    assert seen() == before and told() == status
+    t.compact("documents")
+    assert len(folders("documents")) == 1 and seen() == before and told() == status
+    t.replace_chunks(made("b", 1, "newer"), "v1")
+    assert ("b0", "newer", "v1") in seen() and len(seen()) == 11
+    t.replace_chunks(made("c", 0, ""), "v1", spark.createDataFrame([("c",)], "document_id string"))
+    assert len(seen()) == 7 and t.vacuum(0) == []
+    t.compact("uploads")
+
+
+def test_ranges_of_any_length(spark):
+    """Against all pairs: ranges from one page to millions; a range is 65 rows at most."""
+    import random
+
+    r = random.Random(8)
+    ranges = [("d", k, a, a + r.choice([0, 1, 15, 16, 900, 1023, 1024, 1025, 70_000, 5_000_000, 2**31 - 1 - a])) for k, a in enumerate(r.randrange(-50, 200_000) for _ in range(120))]
+    ranges += [("d", 500, None, 5), ("d", 501, 9, None), ("d", 502, 9, 8), ("e", 503, 1, 2**31 - 1), ("d", 504, -(2**31), 2**31 - 1)]
+    leaves = spark.createDataFrame([(d, k, str(k), "", "", a, b, f"s{k}") for d, k, a, b in ranges], LEAF)
+    pages = [("d", r.randrange(-60, 300_000), f"t{k}") for k in range(300)] + [("d", 5, "x"), ("d", 5, "y"), ("e", 7, "z"), ("f", 1, "")]
+    table = spark.createDataFrame(pages, "document_id string, page_number int, text string")
+    want = sorted((d, p, t, k) for d, p, t in pages for e, k, a, b in ranges if d == e and a is not None and b is not None and a <= p <= b)
+    assert sorted((x["document_id"], x["page_number"], x["text"], x["leaf_pos"]) for x in intervals.covering(table, leaves).collect()) == want
+    rows = intervals.spread(leaves).groupBy("leaf_pos").count().collect()
+    assert max(x["count"] for x in rows) <= 65 and len(rows) == len(ranges) - 3
+    first = {(x["document_id"], x["page_number"]): x["leaf"]["leaf_pos"] for x in intervals.first_claim(table, leaves).collect()}
+    assert first == {(d, p): min(k for e, q, _, k in want if (e, q) == (d, p)) for d, p, _, _ in want}
+    assert {x["document_id"] for x in intervals.orphan_pages(table, leaves).collect()} == {"f"}
