@@ -12,7 +12,7 @@ from ..functions import records as R
 from ..functions import text as T
 from ..functions.backends import HashingBackend, embed, vector_of
 from ..operators import alignment, batch, chunks, intervals, keyword_index, retrieval, trigram_index, vector_index
-from ..sources import pdf, store, tables, trees
+from ..sources import layout, pdf, store, tables, trees
 from .views import CHUNKS, PAGES, TREE, chunks as chunks_v, pages as pages_v, table, tree as tree_v, with_views
 
 QUERIES: dict = {}
@@ -240,6 +240,13 @@ def parent_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.parent_map(c, c).select("id", F.col("parent.id").alias("parent"), F.col("parent.title").alias("title"), F.col("parent.page_start").alias("page_start"))
 
 
+@query(ORACLES["parent_map"])
+def parent_map_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table in buckets of families, joined without a shuffle."""
+    families = layout.by_family(chunks_v(spark, sf_dir), store.scratch(spark, "families"), 8)
+    return layout.parents_of(families).select("id", F.col("parent.id").alias("parent"), F.col("parent.title").alias("title"), F.col("parent.page_start").alias("page_start"))
+
+
 @query(with_views(PAGES, CHUNKS, body="SELECT id, parent_id FROM chunks_v WHERE NOT (is_parent AND id IN (SELECT parent_id FROM chunks_v WHERE parent_id IS NOT NULL))"))
 def parent_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks_v(spark, sf_dir)

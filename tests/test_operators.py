@@ -400,3 +400,24 @@ def test_ranges_of_any_length(spark):
     first = {(x["document_id"], x["page_number"]): x["leaf"]["leaf_pos"] for x in intervals.first_claim(table, leaves).collect()}
     assert first == {(d, p): min(k for e, q, _, k in want if (e, q) == (d, p)) for d, p, _, _ in want}
     assert {x["document_id"] for x in intervals.orphan_pages(table, leaves).collect()} == {"f"}
+
+
+def test_layouts(spark, tmp_path):
+    """No shuffle in the join of children with parents; a section's rows are in few files, which the scan's statistics find."""
+    from pagewright.sources import layout
+
+    rows = [(f"d{k % 3}", f"c{k}", None if k % 5 == 0 else f"c{k - k % 5}", f"{k % 40}.{k}", f"T{k}" if k % 2 else "", "top", k, k) for k in range(400)]
+    chunks = spark.createDataFrame(rows, "document_id string, id string, parent_id string, section_id string, title string, topic string, page_start int, page_end int").repartition(5)
+    families = layout.by_family(chunks, str(tmp_path / "f"), 4)
+    got = layout.parents_of(families)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, retrieval.parent_map(chunks, chunks).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    again = layout.by_family(chunks, str(tmp_path / "g"), 4)
+    assert again.count() == families.count() == 400
+    sections = layout.by_section(chunks, str(tmp_path / "s"), files=6)
+    assert sections.columns == chunks.columns and sections.count() == 400
+    one = sections.where("document_id = 'd1' and section_id = '7.247'")
+    assert [r["id"] for r in one.collect()] == ["c247"]
+    files = lambda df: {r["f"] for r in df.select(F.input_file_name().alias("f")).collect()}
+    assert len(files(sections.where("document_id = 'd1'"))) < len(files(sections)) and len(files(one)) == 1
