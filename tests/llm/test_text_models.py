@@ -436,3 +436,26 @@ def test_the_whole_word_before_a_hit():
     batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([f"{long} trash y. trash"])], ["id", "text"])
     (row,) = next(toxicity._measure(iter([batch]), toxicity.ToxModel({" trash ": 2.0}))).to_pylist()
     assert set(row["phrases"]) == {f"{long} trash", "trash y", "y trash"}
+
+
+def test_families_by_brute_force(spark, small):
+    """Every line of every text of a table against every template: what compares well is found under its family, what compares with nothing isn't."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    word = "thing and of the "
+    rows += [(10_000 + k, f"{word * 5}\n{t}\n{word * 3}") for k, t in enumerate(t for own in licenses.TEMPLATES.values() for t in own if len(t.split()) > 4)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), licenses.train(docs)).collect()}
+    clear = 0
+    for doc_id, text in rows:
+        lines = [x for x in (text or "").split("\n") if x.strip() and len(x.split()) <= 64]
+        best = {f: max((licenses.best_similarity(x, f) for x in lines), default=0.0) for f in licenses.FAMILIES[:-1]}
+        families = {e["family"] for e in got[doc_id]["found"]}
+        whole = [f for f, s in best.items() if s == 1.0]
+        if len(whole) == 1 and sorted(best.values())[-2] < 0.5:
+            clear += 1
+            assert got[doc_id]["license"] == whole[0], (doc_id, best)
+        if len(lines) == len([x for x in (text or "").split("\n") if x.strip()]) and "\n" not in (text or "").strip():
+            assert all(best[f] >= 0.5 for f in families), doc_id
+        if not families:
+            assert not [f for f, s in best.items() if s == 1.0 and all(len(t.split()) > 4 for t in licenses.TEMPLATES[f])], doc_id
+    assert clear >= 10
