@@ -23,6 +23,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    from . import warc
+    from . import prefix_trie, warc
 
-    return {"op9_warc": warc.ORACLE_SQL}
+    return {"op9_warc": warc.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL}

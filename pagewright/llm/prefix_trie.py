@@ -333,3 +333,24 @@ def rebuilt(sequences: DataFrame) -> DataFrame:
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sequences = encode(table(spark, sf_dir, "conversations"))
     return trie(rebuilt(sequences)).drop("turn_id")
+
+
+#: CRC-32 of a decimal number, bit by bit (DuckDB has none).
+_STEP = "xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)"
+_CRC = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), "
+    f"lambda r, x: list_reduce([xor(r, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: {_STEP})), 4294967295::BIGINT)"
+)
+ORACLE_SQL = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(length(coalesce(role, '')), ':', role, text))) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, {_CRC} % 9 AS h, conv_id - conv_id % 5 AS base FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT h.*, (SELECT count(*) FROM t WHERE t.conv_id = h.base) AS n FROM h),
+r AS (SELECT b.conv_id, t.p AS d, role, text FROM b JOIN t ON t.conv_id = b.base AND t.p <= b.h UNION ALL SELECT b.conv_id, least(b.h, b.n) + t.p - b.h, role, text FROM b JOIN t ON t.conv_id = b.conv_id AND t.p > b.h),
+n AS (SELECT conv_id, 0 AS d, '' AS path, 0 AS bytes FROM h UNION ALL SELECT conv_id, d, string_agg(md5(concat(length(role), ':', role, text)), '') OVER (PARTITION BY conv_id ORDER BY d), strlen(text) FROM r),
+g AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, CASE WHEN d > 0 THEN left(path, (32 * (d - 1))::BIGINT) END AS up FROM n GROUP BY path, d),
+k AS (SELECT up AS path, count(*) AS kids FROM g WHERE d > 0 GROUP BY up),
+e AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM n WHERE (conv_id, d) IN (SELECT (conv_id, max(d)) FROM n GROUP BY conv_id) GROUP BY path),
+s AS (SELECT left(path, (32 * i)::BIGINT) AS path, sum((n_convs - 1) * bytes)::BIGINT AS saved, count(*) FILTER (kids IS NULL) AS leaves FROM (SELECT g.*, kids, unnest(range(0, d::BIGINT + 1)) AS i FROM g LEFT JOIN k USING (path)) GROUP BY 1)
+SELECT g.conv_id, g.d::BIGINT AS depth, u.conv_id AS parent_conv_id, g.n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM g JOIN s USING (path) LEFT JOIN k USING (path) LEFT JOIN e USING (path) LEFT JOIN g u ON u.path = g.up
+"""

@@ -99,6 +99,21 @@ def test_trie_query(spark, small):
     assert got(prefix_trie.op11_prefix_trie(spark, small)) == brute_trie(brute_rebuilt(brute_sequences(rows)))
 
 
+def test_trie_sql(spark):
+    """The SQL on awkward rows against brute force."""
+    import duckdb
+    import pandas as pd
+
+    rows = [(c, t, role, text) for c, t, role, text in made(5)]
+    conversations = pd.DataFrame({"conv_id": pd.array([r[0] for r in rows], "Int64"), "turn": pd.array([r[1] for r in rows], "Int64"), "role": pd.array([r[2] for r in rows], "string"), "text": pd.array([r[3] for r in rows], "string")})
+    c = duckdb.connect()
+    c.register("conversations", conversations)
+    found = c.execute(prefix_trie.ORACLE_SQL)
+    names = [d[0] for d in found.description]
+    got = sorted(tuple(r[names.index(k)] for k in COLUMNS) for r in found.fetchall())
+    assert got == brute_trie(brute_rebuilt(brute_sequences(rows)))
+
+
 def test_trie_of_nothing(spark):
     none = spark.createDataFrame([], TURNS)
     assert prefix_trie.trie(prefix_trie.encode(none)[1]).collect() == []
@@ -148,6 +163,7 @@ def test_words_are_the_tokenizers():
     letters = [chr(k) for k in range(0x180)] + list("'''   ..,,sStTdDlLmMreREveaaeexyzé \n")
     texts = ["".join(r.choice(letters) for _ in range(r.randrange(60))) for _ in range(3_000)]
     texts += ["don't we'll I'M 's''s x's. it's, 12½²3", "<|endoftext|> a<|startoftext|>", "İ J̌ a\x1cb ΑΣ ς. é 日本 　x", "a" * 200, "word word. word... word .word", "", " \n", "a\x00b\x7fc\x85d\xa0e"]
+    texts += ["a, b. c", "a,, b.", "a , b", ".", ". a", "a.\n.b", "a.\nb, c!\n", "a.b c.", "a.\tb. c", "é, ß! a?", "a.,", "word word. " * 40 + "x,y", "a! ! b"]
     for t in texts + texts[:50]:
         assert own.of(t).tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids, repr(t)
 
