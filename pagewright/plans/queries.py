@@ -554,7 +554,7 @@ def summary_serialise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN md5('') ELSE md5(text) END AS prose, CASE WHEN doc_id % 4 = 1 THEN 0 ELSE len({_LINES}) END AS n_formulas, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE len(string_split(text, ' ')) END AS n_terms, "
+    f"SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN md5('') ELSE md5(text) END AS prose, (CASE WHEN doc_id % 4 = 1 THEN 0 ELSE len({_LINES}) END)::INT AS n_formulas, (CASE WHEN doc_id % 4 = 3 THEN 0 ELSE len(string_split(text, ' ')) END)::INT AS n_terms, "
     f"md5(CASE WHEN doc_id % 4 = 3 THEN '' ELSE array_to_string(string_split(text, ' '), '|') END) AS terms, md5(CASE WHEN doc_id % 4 = 1 THEN '' ELSE array_to_string({_LINES}, '|') END) AS latex, 0 AS n_tables FROM documents"
 )
 def vision_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
