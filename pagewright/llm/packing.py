@@ -41,7 +41,7 @@ class PackParams:
     tokenizer: str = ""
     end_id: int = 2
     longest: int = 4096
-    max_words: int = 1 << 18
+    max_words: int = 1 << 19
     max_word_chars: int = 64
     shards: int = 64
     shard_rows: int = 1_000_000
@@ -56,6 +56,8 @@ _PLAIN = re.compile("[\t\n\r -~¡-įı-ſ]*")
 #: The words that the tokenizer's own pattern finds in a plain text.
 _UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[%(L)s]+|[%(N)s]|[^ %(L)s%(N)s]+" % {"L": _class("L"), "N": _class("N")})
 #: Punctuation at the end of a word of letters is a unit of its own: set apart, the word is met more often.
+_MARKS = ".,;:!?"
+_PROSE = re.compile(f"[{_class('Ll')} \n{_MARKS}]*")
 _AFTER = re.compile(r"(?<=[%s])([.,;:!?]+)(?=[ \n]|\Z)" % _class("Ll"))
 
 
@@ -98,9 +100,9 @@ class WordIds:
         """All ids of text (unsigned 32 bits)."""
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = _AFTER.sub(r" \1", text.lower()).split()
+        words = _apart(text.lower()).split()
         own: dict[str, bytes] = {}
-        for w in [w for w in set(words) if w not in self.known]:
+        for w in set(words).difference(self.known):
             found = self.older.get(w) or self._word(w)
             if len(w) <= self.max_word_chars:
                 self.known[w] = found
@@ -118,6 +120,16 @@ def _word_ids(path: str, max_words: int, max_word_chars: int) -> WordIds:
     return WordIds(path, max_words, max_word_chars)
 
 
+def _apart(text: str) -> str:
+    """text (lower case) with the marks that end words set apart. Where nothing but letters and white space is beside marks, and each mark ends a word, plain replacement does."""
+    marks = [c for c in _MARKS if c in text]
+    if not _PROSE.fullmatch(text) or any(text.count(c) != text.count(c + " ") + text.count(c + "\n") + text.endswith(c) or " " + c in text or "\n" + c in text for c in marks) or text[:1] in _MARKS:
+        return _AFTER.sub(r" \1", text)
+    for c in marks:
+        text = text.replace(c, " " + c)
+    return text
+
+
 def lengths(tokens: int, longest: int) -> list[int]:
     """Powers of two that sum to tokens, none above longest, largest first."""
     rest = tokens % longest
