@@ -27,7 +27,7 @@ class EmbeddingBackend(Protocol):
 
 
 class HashingBackend:
-    """Feature hashing of words (Weinberger et al. 2009), unit length; needs no model and no network."""
+    """Feature hashing of words (Weinberger et al. 2009), unit length for every text with a word; needs no model and no network."""
 
     def __init__(self, dimension: int = DIMENSION):
         self.dimension = dimension
@@ -37,9 +37,12 @@ class HashingBackend:
 
         out = np.zeros((len(texts), self.dimension), np.float32)
         for k, t in enumerate(texts):
-            for w in re.findall(r"[a-z0-9]+", t.lower()):
-                h = zlib.crc32(w.encode())
+            hashes = [zlib.crc32(w.encode()) for w in re.findall(r"[a-z0-9]+", t.lower())]
+            for h in hashes:
                 out[k, h % self.dimension] += 1 if h >> 31 else -1
+            if hashes and not out[k].any():  # words that cancel each other out count without signs
+                for h in hashes:
+                    out[k, h % self.dimension] += 1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 

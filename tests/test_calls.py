@@ -109,3 +109,20 @@ def test_summaries_over_tasks(spark, tmp_path):
     assert got == {str(k): "old" if "3" in str(k) else f"about {k}" for k in range(40)}
     spans = intervals_of(tmp_path)
     assert len(spans) == 40 and most_at_once(spans) <= 2
+
+
+def test_words_that_cancel_out_have_a_vector():
+    """Two words of one place and opposite signs once gave the zero vector."""
+    import zlib
+
+    import numpy as np
+
+    from pagewright.functions.backends import HashingBackend
+
+    by: dict = {}
+    for i in range(1000):
+        h = zlib.crc32(f"w{i}".encode())
+        by.setdefault(h % 64, {})[h >> 31] = f"w{i}"
+    pair = " ".join(next(v for v in by.values() if len(v) == 2).values())
+    found = HashingBackend(64).embed([pair, pair + " " + pair, "plain", " ,"])
+    assert np.allclose(np.linalg.norm(found, axis=1), [1, 1, 1, 0])
