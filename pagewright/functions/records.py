@@ -269,26 +269,28 @@ def fallback_spans(text: Column) -> Column:
     kind = "array<struct<start_char:int,end_char:int,title:string>>"
     mark = "\x01"  # control characters don't survive cleanup
     pieces = F.split(F.regexp_replace(text, r"(?U)\n\s*\n", "$0" + mark), mark)
-    n = F.length(text)
-
-    def ends(parts: Column) -> Column:
-        start = F.struct(F.lit(0).alias("t"), F.array().cast("array<int>").alias("a"))
-        longer = lambda s, x: F.struct((s["t"] + F.length(x)).alias("t"), F.concat(s["a"], F.array(s["t"] + F.length(x))).alias("a"))
-        return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, longer, lambda s: s["a"])
-
-    def body(x: Column) -> Column:
-        breaks = x["breaks"]
-        parts = F.when(n >= 2400, 3).otherwise(2)
-        nearest = lambda k: F.array_min(F.transform(breaks, lambda b: F.struct(F.abs(b - F.floor(k * n / parts)).alias("d"), b.alias("b"))))["b"]
-        edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(F.sequence(F.lit(1), parts - 1), nearest), F.array(n))))
+    none = F.array().cast(kind)
+    near = "struct<d:bigint,b:int>"
+
+    def cut(x: Column) -> Column:  # one walk over the pieces, which keeps the break nearest to each part's end
+        n, ends, parts = x["n"], x["ends"], F.size(x["ends"]) + 1
+        best = lambda kept, t, k: F.least(kept, F.struct(F.abs(t - F.get(ends, F.lit(k))).alias("d"), t.alias("b")))  # noqa: E731  an end that isn't there has null, the larger
+        start = F.struct(F.lit(0).alias("t"), F.lit(None).cast(near).alias("a"), F.lit(None).cast(near).alias("z"))
+        step = lambda s, t: F.struct(t.alias("t"), best(s["a"], t, 0).alias("a"), F.when(parts == 3, best(s["z"], t, 1)).alias("z"))
+        walked = F.aggregate(F.slice(x["pieces"], 1, F.size(x["pieces"]) - 1), start, lambda s, piece: let(s["t"] + F.length(piece), lambda t: step(s, t)))
+        breaks = let(walked, lambda s: F.filter(F.array(s["a"]["b"], s["z"]["b"]), lambda b: b.isNotNull()))
+        edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), breaks, F.array(n))))
         spans = lambda c: F.filter(F.transform(F.slice(c, 1, F.size(c) - 1), lambda s, i: F.struct(s.cast("int").alias("start_char"), F.get(c, i + 1).cast("int").alias("end_char"), F.concat(F.lit("Part "), (i + 1).cast("string")).alias("title"))), lambda p: p["end_char"] - p["start_char"] >= 200)
         stretch = lambda s: F.transform(s, lambda p, i: F.struct(F.when(i == 0, 0).otherwise(p["start_char"]).alias("start_char"), F.when(i == F.size(s) - 1, n).otherwise(p["end_char"]).cast("int").alias("end_char"), p["title"].alias("title")))
-        none = F.array().cast(kind)
         made = let(edges, lambda c: F.when(F.size(c) < 3, none).otherwise(spans(c)))  # each step is computed once
-        return F.when(F.size(breaks) == 0, none).otherwise(let(made, lambda s: F.when(F.size(s) < 2, none).otherwise(stretch(s))))
+        return let(made, lambda s: F.when(F.size(s) < 2, none).otherwise(stretch(s)))
 
-    found = F.get(F.transform(F.array(pieces), ends), F.lit(0))
-    return F.when(n < 800, F.array().cast(kind)).otherwise(F.get(F.transform(F.array(F.struct(found.alias("breaks"))), body), F.lit(0)))
+    def body(n: Column) -> Column:  # lengths are counted once, not for each break
+        end = lambda k, parts: F.floor(k * n / parts)
+        ends = F.when(n >= 2400, F.array(end(1, 3), end(2, 3))).otherwise(F.array(end(1, 2)))
+        return F.when(n < 800, none).otherwise(let(F.struct(n.alias("n"), ends.alias("ends"), pieces.alias("pieces")), lambda x: F.when(F.size(x["pieces"]) < 2, none).otherwise(cut(x))))
+
+    return let(F.length(text), body)
 
 
 def page_range(offsets: Column, start: Column, end: Column, first: Column, last: Column) -> Column:
