@@ -70,6 +70,10 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in columns], F.lit(""))
 
 
+#: What the pattern of strip() takes for white space (Unicode's White_Space), for the trimming of single words.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
@@ -211,11 +215,12 @@ def ordered_distinct(words: Column) -> Column:
 
     def body(ordered: Column) -> Column:  # by spelling and place: the first of each spelling follows another one
         first = F.filter(ordered, lambda e, j: F.coalesce(F.get(ordered, j - 1)["k"] != e["k"], F.lit(True)))
-        return F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["i"].alias("i"), e["v"].alias("v")))), lambda e: e["v"])
+        return F.transform(F.sort_array(F.transform(first, lambda e: F.struct(e["i"].alias("i"), e["v"].alias("v")))), lambda e: e["v"])
 
-    trimmed = F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda x: strip(F.coalesce(x, F.lit(""))))
+    # the first of equal words is the first of its spelling: sorting meets each word once
+    trimmed = F.transform(F.array_distinct(F.coalesce(words, F.array().cast("array<string>"))), lambda x: F.btrim(F.coalesce(x, F.lit("")), F.lit(WHITE)))
     numbered = F.transform(F.filter(trimmed, lambda x: x != ""), lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("v")))
-    return let(F.array_sort(numbered), body)
+    return let(F.sort_array(numbered), body)
 
 
 def leading_heading(text: Column) -> Column:

@@ -84,3 +84,18 @@ def test_leading_heading(spark, text, title):
 def test_running_header(spark):
     text = "HEADER\na\n header\nHeader\nb"
     assert one(spark, T.strip_running_header(F.lit(text), F.lit("Header"))) == "HEADER\na\n header\nb"
+
+
+def test_ordered_distinct_of_white_space_and_repeats(spark):
+    """White space of every kind is trimmed; the first spelling stays, however often others come."""
+    white = "".join(chr(c) for c in (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+    assert T.WHITE == white
+    words = ["", None, "B", f"{white}b{white}", "a", "A", "B", white, "a", "ä ", "Ä"]
+    row = spark.createDataFrame([(words,)], "w array<string>").select(T.ordered_distinct(F.col("w")).alias("o")).first()
+    assert row["o"] == ["B", "a", "ä"]
+
+
+def test_terms_are_runs_of_letters_and_digits(spark):
+    texts = [None, "", " ,.", "One,two  3x", ".a.", "Ünder_score"]
+    found = [r["w"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.terms(F.col("t")).alias("w")).collect()]
+    assert found == [[], [], [], ["one", "two", "3x"], ["a"], ["nder", "score"]]
