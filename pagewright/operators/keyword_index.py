@@ -22,6 +22,8 @@ from ..sources import store
 from .retrieval import K1, B
 
 WIDTH = 4096
+#: Words of a part of a build, and its most parts: beyond that they grow.
+PART_WORDS, MOST_PARTS = 2_000_000, 4096
 
 
 @dataclass(frozen=True)
@@ -37,7 +39,8 @@ class KeywordIndex:
         """Replace what lies under path (blocks in folders by bucket) and read it back."""
         self.rows.write.mode("overwrite").parquet(f"{path}/rows")
         self.stats.write.mode("overwrite").json(f"{path}/stats")
-        buckets = self.blocks.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+        # blocks stay where they were made: each file is sorted by term, so that a search reads few row groups of it, and no posting is shuffled
+        buckets = self.blocks.sortWithinPartitions("bucket", "term", "block")
         buckets.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
         spark = self.blocks.sparkSession
         _words(_read_blocks(spark, path)).write.mode("overwrite").parquet(f"{path}/words")
@@ -79,12 +82,22 @@ def build(chunks: DataFrame, analyzer=terms, text: str = "search_text", width: i
     rows = store.written(numbered(words.groupBy("id").agg(F.sum(F.size("w")).alias("n"))).select("doc", "id", "n"), "rows")
     s = rows.agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean")).first()
     stats = spark.range(1).select(F.lit(s["n_docs"]).cast("long").alias("n_docs"), F.lit(float(s["mean"] or 1.0)).alias("mean"), F.lit(width).cast("long").alias("width"), F.lit(buckets).alias("buckets"))
-    found = words.select("id", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"))
-    placed = found.join(rows, "id").select("term", "doc", "tf", "n")
+    # texts, smaller than their postings, are shuffled once: a part is a range of ids that holds whole blocks
+    total = (s["n_docs"] or 0) * float(s["mean"] or 0)
+    parts = min(MOST_PARTS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PART_WORDS)))
+    each = width * max(1, -(-s["n_docs"] // (width * parts)))
+    starts = [r["id"] for r in rows.where(F.col("doc") % each == 0).orderBy("doc").select("id").collect()]  # an id for each part
+    part = F.size(F.filter(F.array(*[F.lit(x) for x in starts]), lambda x: x <= F.col("id"))) - 1 if starts else F.lit(0)
+    dealt = chunks.where("id is not null").select("id", F.col(text).alias("_text")).withColumn("part", part).repartition(max(1, parts // 2), "part")
+    doc = F.col("part").cast("long") * each + F.dense_rank().over(Window.partitionBy("part").orderBy("id")) - 1
+    own = dealt.withColumn("doc", doc).select("part", "id", "doc", analyzer(F.col("_text")).alias("w"))
+    own = own.withColumn("n", F.sum(F.size("w")).over(Window.partitionBy("part", "id")))
+    placed = own.select("part", "doc", "n", F.explode("w").alias("term")).groupBy("part", "doc", "n", "term").agg(F.count("*").cast("int").alias("tf"))
     w = weight(F.col("tf").cast("double"), F.col("n"), F.lit(float(s["mean"] or 1.0)))
-    blocks = placed.groupBy("term", F.floor(F.col("doc") / width).alias("block")).agg(
+    blocks = placed.groupBy("part", "term", F.floor(F.col("doc") / width).alias("block")).agg(
         F.count("*").alias("n_docs"), F.sum("tf").alias("n_words"), F.max(w).alias("peak"), F.sort_array(F.collect_list(F.struct("doc", "tf", "n"))).alias("postings")
     )
+    blocks = blocks.drop("part")
     blocks = blocks.withColumn("bucket", bucket_of(F.col("term"), buckets))
     return KeywordIndex(blocks, _words(blocks), rows, stats)
 
