@@ -55,3 +55,18 @@ def test_numbered(spark):
     ids = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("id")).distinct().repartition(7)
     got = keyword_index.numbered(ids).collect()
     assert [r["doc"] for r in sorted(got, key=lambda r: r["id"])] == list(range(len(got)))
+
+
+def test_blocks_of_many_parts(spark, monkeypatch):
+    """Repeated ids, rows without words and blocks over many parts; the postings themselves are not shuffled: the texts' exchange is the only one of the blocks."""
+    monkeypatch.setattr(keyword_index, "PART_WORDS", 20)
+    r = random.Random(5)
+    rows = [(f"k{r.randrange(150)}", " ".join(r.choice("abcdefg") for _ in range(r.randrange(9)))) for _ in range(300)]
+    built = keyword_index.build(spark.createDataFrame(rows, "id string, search_text string").repartition(3), width=4)
+    ids = sorted({i for i, _ in rows})
+    words = {i: [w for j, t in rows if j == i for w in t.split()] for i in ids}
+    want = {(w, n // 4, n, words[i].count(w), len(words[i])) for n, i in enumerate(ids) for w in words[i]}
+    found = [(b["term"], b["block"], *p) for b in built.blocks.collect() for p in b["postings"]]
+    assert len(found) == len(want) and set(found) == want
+    plan = built.blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Exchange rangepartitioning" not in plan
