@@ -85,11 +85,11 @@ class Best:
         self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, qids: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        """score: a row for each of qids, a column for each of ids."""
+        """score: a row for each of qids, a column for each of ids; -inf where they don't meet."""
         score = np.round(score, 9)
         # all ties with the k-th stay, so that ids decide
         least = np.partition(score, -self.k, axis=1)[:, -self.k] if len(ids) > self.k else np.full(len(score), -np.inf)
-        n, at = np.nonzero(score >= least[:, None])
+        n, at = np.nonzero((score >= least[:, None]) & (score > -np.inf))  # -inf: no match
         self.kept.append((qids[n], ids[at], score[n, at]))
         self.waiting += len(at)
         if self.waiting > self.most:
@@ -136,11 +136,11 @@ def keyword_lane(chunks: DataFrame, query: str, k: int, analyzer=terms, text: st
 
 
 def inverted_index(chunks: DataFrame, analyzer=terms, text: str = "search_text") -> tuple[DataFrame, DataFrame]:
-    """What indexed_keyword_lane reads: postings (term, id, tf) and lengths (id, n). To be written: postings sorted by term, so that a query reads few
-    row groups."""
+    """What indexed_keyword_lane reads: postings (term, id, tf) and lengths (id, n). To be written: each file of postings is sorted by term, so that a
+    query reads few row groups of it; they are shuffled once."""
     words = chunks.select("id", analyzer(F.col(text)).alias("w"))
     found = words.select("id", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"))
-    return found.repartitionByRange("term").sortWithinPartitions("term", "id"), words.select("id", F.size("w").alias("n"))
+    return found.sortWithinPartitions("term", "id"), words.select("id", F.size("w").alias("n"))
 
 
 def indexed_keyword_lane(postings: DataFrame, lengths: DataFrame, query: str, k: int, analyzer=terms) -> DataFrame:
