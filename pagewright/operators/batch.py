@@ -5,7 +5,8 @@ documents. Each query is asked of its document's chunks, and gets what ``hybrid`
 
 * section: the queries of a document lie in blocks of bounded size; a chunk row meets each block once, as an array, and only the queries that name it are exploded.
 * semantic, formula, table: query vectors are broadcast in passes of bounded size, by document; tasks multiply matrices and keep k rows for each query.
-* keyword: postings of the queries' terms only, with the statistics of each document, joined by (document, term).
+* keyword: postings of the queries' terms only, weighed by the statistics of each document, a row for each chunk; the queries' terms are broadcast in passes of bounded
+  size, tasks add rows of weights and keep k rows for each query.
 
 Queries without qid or document are left out; qids are distinct. No loop over queries, no pair of a query and a chunk that doesn't match is ever a row.
 """
@@ -24,7 +25,8 @@ from .retrieval import B, K1, LANES, Best, reciprocal_rank_fusion
 
 
 def _first(rows: DataFrame, k: int, *order) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)) - 1).where(F.col("rank") < k)
+    # a plain bound on the row number lets tasks drop all but k rows of a query before the shuffle
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def section_lanes(chunks: DataFrame, queries: DataFrame, k: int, block: int = 64) -> DataFrame:
@@ -46,7 +48,7 @@ def section_lanes(chunks: DataFrame, queries: DataFrame, k: int, block: int = 64
     return _first(met.select("j.qid", "j.overlap", "id", "page_start"), k, F.desc("overlap"), F.asc_nulls_last("page_start"), "id").select("qid", "id", "rank")
 
 
-def keyword_lanes(chunks: DataFrame, queries: DataFrame, k: int, analyzer=terms) -> DataFrame:
+def keyword_lanes(chunks: DataFrame, queries: DataFrame, k: int, analyzer=terms, block: int = 1024, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """qid, id, rank of the k chunks of its document with every term of each query, by BM25 over the document."""
     asked = queries.select("document_id", "qid", F.array_distinct(analyzer(F.coalesce("query", F.lit("")))).alias("t"))
     asked = asked.select("document_id", "qid", F.size("t").alias("wanted"), F.explode("t").alias("term"))
@@ -57,9 +59,59 @@ def keyword_lanes(chunks: DataFrame, queries: DataFrame, k: int, analyzer=terms)
     df = tf.groupBy("document_id", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("of") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    met = asked.join(df.join(mean, "document_id"), ["document_id", "term"]).join(tf, ["document_id", "term"])
-    scored = met.groupBy("qid", "id").agg(F.count("*").alias("terms"), F.first("wanted").alias("wanted"), F.sum(part).alias("score")).where("terms = wanted")
-    return _first(scored, k, F.desc(F.round("score", 9)), "id").select("qid", "id", "rank")
+    weighed = tf.join(df.join(mean, "document_id"), ["document_id", "term"]).select("document_id", "id", F.struct("term", part.alias("weight")).alias("p"))
+    rows = store.written(weighed.groupBy("document_id", F.col("id").cast("string").alias("id")).agg(F.collect_list("p").alias("p")), "weighed")
+    spark = chunks.sparkSession
+    wanted = queries.select("document_id", "qid", F.array_distinct(analyzer(F.coalesce("query", F.lit("")))).alias("t")).where(F.size("t") > 0)
+    passes = max(1, -(-wanted.agg(F.sum(16 + F.length(F.array_join("t", " ")) + 8 * F.size("t")).alias("n")).first()["n"] // broadcast_bytes)) if wanted.take(1) else 0
+
+    def held(number: int):
+        own = wanted.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == number).toPandas()
+        by = {}
+        for document, q in own.groupby("document_id"):
+            at = {t: i for i, t in enumerate(sorted({t for ts in q["t"] for t in ts}))}
+            places = np.full((len(q), max(map(len, q["t"]))), len(at), np.int32)  # the last row of weights is 0 for every chunk
+            for i, ts in enumerate(q["t"]):
+                places[i, : len(ts)] = [at[t] for t in ts]
+            by[document] = q["qid"].to_numpy(), at, places
+        return spark.sparkContext.broadcast(by)
+
+    def best_of(by):
+        def run(frames):
+            best = Best(k)
+            for frame in frames:
+                for document, some in frame.groupby("document_id", sort=False):
+                    qids, at, places = by.value.get(document, ((), {}, None))
+                    for first in range(0, len(some) if len(qids) else 0, block):
+                        own = some.iloc[first : first + block]
+                        weights = np.full((len(at) + 1, len(own)), -np.inf)
+                        weights[-1] = 0.0
+                        for column, postings in enumerate(own["p"]):
+                            for x in postings:
+                                if x["term"] in at:
+                                    weights[at[x["term"]], column] = x["weight"]
+                        held_by = (weights > -np.inf).any(axis=1)
+                        there = np.flatnonzero(held_by[places].all(axis=1))  # queries whose terms all occur in these chunks
+                        ids = own["id"].to_numpy(dtype=str)
+                        for low in range(0, len(there), block):
+                            q = there[low : low + block]
+                            score = weights[places[q, 0]]
+                            for j in range(1, places.shape[1]):
+                                score = score + weights[places[q, j]]
+                            best.add(qids[q], ids, score)
+            yield from (f.astype({"id": object}) for f in best.frames())
+
+        return run
+
+    found = [spark.createDataFrame([], "qid long, id string, score double")]
+    for number in range(passes):
+        by = held(number)
+        one = rows.mapInPandas(best_of(by), "qid long, id string, score double")
+        if passes > 1:
+            one = store.written(one, "found")  # so that no two passes hold their queries at once
+            by.destroy()
+        found.append(one)
+    return _first(reduce(DataFrame.unionByName, found), k, F.desc("score"), "id").select("qid", "id", "rank")
 
 
 def semantic_lanes(chunks: DataFrame, queries: DataFrame, k: int, column: str = "search_embedding", block: int = 512, broadcast_bytes: int = 64 << 20) -> DataFrame:

@@ -59,3 +59,18 @@ def test_blocks_and_passes(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(batch.section_lanes(chunks, queries, 5, block=3)) == rows(batch.section_lanes(chunks, queries, 5))
     assert rows(batch.semantic_lanes(chunks, queries, 5, block=2, broadcast_bytes=300)) == rows(batch.semantic_lanes(chunks, queries, 5))
+
+
+def test_keyword_lane_in_passes_and_blocks(spark):
+    """Passes and blocks of any size give the same rows; no pair of a query and a chunk is shuffled before k of them are kept."""
+    r = random.Random(4)
+    words = "magnet coil field flux iron core".split()
+    chunks = spark.createDataFrame([(f"d{k % 2}", f"c{k}", " ".join(r.choice(words) for _ in range(r.randrange(12)))) for k in range(200)], "document_id string, id string, search_text string").cache()
+    queries = spark.createDataFrame([(k, f"d{k % 3}", " ".join(r.sample([*words, "absent"], k % 4))) for k in range(60)], "qid long, document_id string, query string").cache()
+    lanes = [sorted(map(tuple, batch.keyword_lanes(chunks, queries, 5, **how).collect())) for how in ({}, {"block": 7, "broadcast_bytes": 500})]
+    want = []
+    for q in queries.collect():
+        best = retrieval.keyword_lane(chunks.where(F.col("document_id") == q["document_id"]), q["query"], 200).collect()
+        best = sorted(best, key=lambda x: (-round(x["score"], 9), x["id"]))[:5]
+        want += [(q["qid"], x["id"], n) for n, x in enumerate(best)]
+    assert lanes[0] == lanes[1] == sorted(want)
