@@ -27,3 +27,16 @@ def test_english_lane(spark):
     assert [(r["id"], round(r["score"], 9)) for r in indexed_keyword_lane(postings_, lengths, "what attracts a magnet", 5, english_terms).collect()] == [(r["id"], round(r["score"], 9)) for r in keyword_lane(c, "what attracts a magnet", 5, english_terms).collect()]
     assert indexed_keyword_lane(postings_, lengths, "of the", 5, english_terms).collect() == [] == indexed_keyword_lane(postings_, lengths, "absent iron", 5, english_terms).collect()
     assert {(r["term"], r["id"]): r["tf"] for r in postings(c).collect()}["iron", "b"] == 1
+
+
+def test_stems_of_slices(monkeypatch):
+    """A batch gives the same stems however it is sliced."""
+    import pyarrow as pa
+
+    from pagewright.functions import analyzer
+
+    batch = pa.array([["things", "the"], None, [], ["the"], ["running", "thing"]], pa.list_(pa.string()))
+    whole = analyzer._analyze(batch).to_pylist()
+    monkeypatch.setattr(analyzer, "ROWS", 2)
+    assert analyzer._analyze(batch).to_pylist() == whole == [["thing"], [], [], [], ["run", "thing"]]
+    assert analyzer._analyze(batch.slice(0, 0)).to_pylist() == []
