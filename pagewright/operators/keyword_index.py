@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +23,9 @@ from ..sources import store
 from .retrieval import K1, B
 
 WIDTH = 4096
-#: Words of a part of a build, and its most parts: beyond that they grow.
-PART_WORDS, MOST_PARTS = 2_000_000, 4096
+#: Words of a part of a build, and its most parts: beyond that they grow. A part is a task's, whose blocks are sorted in memory.
+PART_WORDS, MOST_PARTS = 1_000_000, 4096
+POSTINGS = "array<struct<doc:long,tf:int,n:long>>"
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,7 @@ class KeywordIndex:
 
 
 def _read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("term string, block long, n_docs long, n_words long, peak double, postings array<struct<doc:long,tf:int,n:long>>, bucket int").parquet(f"{path}/blocks")
+    return spark.read.schema(f"term string, block long, n_docs long, n_words long, peak double, postings {POSTINGS}, bucket int").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> KeywordIndex:
@@ -56,8 +58,8 @@ def read(spark: SparkSession, path: str) -> KeywordIndex:
     return KeywordIndex(_read_blocks(spark, path), spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/rows"), stats)
 
 
-def weight(tf: Column, n: Column, mean: Column) -> Column:
-    """What a term with an idf of 1 adds to a row's score."""
+def weight(tf, n, mean):
+    """What a term with an idf of 1 adds to a row's score; of columns or arrays."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
 
 
@@ -88,20 +90,66 @@ def build(chunks: DataFrame, analyzer=terms, text: str = "search_text", width: i
     each = width * max(1, -(-s["n_docs"] // (width * parts)))
     starts = [r["id"] for r in rows.where(F.col("doc") % each == 0).orderBy("doc").select("id").collect()]  # an id for each part
     part = F.size(F.filter(F.array(*[F.lit(x) for x in starts]), lambda x: x <= F.col("id"))) - 1 if starts else F.lit(0)
-    dealt = chunks.where("id is not null").select("id", F.col(text).alias("_text")).withColumn("part", part).repartition(max(1, parts // 2), "part")
+    dealt = chunks.where("id is not null").select("id", F.col(text).alias("_text")).withColumn("part", part).repartition(max(1, len(starts)), "part")
     doc = F.col("part").cast("long") * each + F.dense_rank().over(Window.partitionBy("part").orderBy("id")) - 1
     own = dealt.withColumn("doc", doc).select("part", "id", "doc", analyzer(F.col("_text")).alias("w"))
-    own = own.withColumn("n", F.sum(F.size("w")).over(Window.partitionBy("part", "id")))
-    placed = own.select("part", "doc", "n", F.explode("w").alias("term")).groupBy("part", "doc", "n", "term").agg(F.count("*").cast("int").alias("tf"))
-    w = weight(F.col("tf").cast("double"), F.col("n"), F.lit(float(s["mean"] or 1.0)))
-    blocks = placed.groupBy("part", "term", F.floor(F.col("doc") / width).alias("block")).agg(
-        F.count("*").alias("n_docs"), F.sum("tf").alias("n_words"), F.max(w).alias("peak"), F.sort_array(F.collect_list(F.struct("doc", "tf", "n"))).alias("postings")
-    )
-    blocks = blocks.drop("part")
+    # a task's rows come by number, so each block is counted alone; neither words nor postings are rows that Spark would have to hash and sort
+    counted = block_maker(width, float(s["mean"] or 1.0))
+    blocks = own.sortWithinPartitions("part", "id").select("doc", "w").mapInArrow(counted, f"term string, block long, n_docs long, n_words long, peak double, postings {POSTINGS}")
     blocks = blocks.withColumn("bucket", bucket_of(F.col("term"), buckets))
     return KeywordIndex(blocks, _words(blocks), rows, stats)
 
 
+def block_maker(width: int, mean: float):
+    """The blocks of rows of doc and w (list of terms) that come by doc, as a function for mapInArrow. It holds the rows of the batch at hand and of the block that it ends in."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            block = batch.column(0).to_numpy() // width
+            if held[0].column(0)[0].as_py() // width == block[-1]:
+                continue
+            whole = int(np.searchsorted(block, block[-1]))  # the last block may go on in the next batch
+            held[-1] = batch.slice(0, whole)
+            yield from _blocks(held, width, mean)
+            held = [batch.slice(whole)]
+        if held:
+            yield from _blocks(held, width, mean)
+
+    return run
+
+
+def _blocks(rows: list[pa.RecordBatch], width: int, mean: float):
+    table = pa.Table.from_batches(rows)
+    lists = table.column(1).combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    lengths = np.diff(lists.offsets.to_numpy())
+    docs, row = np.unique(table.column(0).to_numpy(), return_inverse=True)  # rows that repeat an id have one number
+    n = np.bincount(row, weights=lengths, minlength=len(docs)).astype(np.int64)
+    terms = lists.flatten().dictionary_encode()
+    if not len(terms):
+        return
+    keys, tf = np.unique(terms.indices.to_numpy().astype(np.int64) * len(docs) + np.repeat(row, lengths), return_counts=True)
+    term, at = np.divmod(keys, len(docs))
+    doc, n = docs[at], n[at]
+    block = doc // width
+    starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
+    ends = np.r_[starts, len(keys)].astype(np.int32)
+    postings = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([doc, tf.astype(np.int32), n], ["doc", "tf", "n"]))
+    columns = {
+        "term": terms.dictionary.take(pa.array(term[starts])),
+        "block": block[starts],
+        "n_docs": np.diff(ends).astype(np.int64),
+        "n_words": np.add.reduceat(tf, starts).astype(np.int64),
+        "peak": np.maximum.reduceat(weight(tf.astype(np.float64), n, mean), starts),
+        "postings": postings,
+    }
+    yield from pa.table(columns).to_batches(max_chunksize=10_000)
+
+
 def bucket_of(term: Column, buckets: int | Column) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), buckets if isinstance(buckets, Column) else F.lit(buckets)).cast("int")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,21 @@ def test_blocks_of_many_parts(spark, monkeypatch):
     assert len(found) == len(want) and set(found) == want
     plan = built.blocks._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2 and "Exchange rangepartitioning" not in plan
+
+
+def test_blocks_are_counted_one_by_one(spark):
+    """Blocks go on over batches, repeated ids count as one row, rows lack words: the same blocks as by hand. No words or postings are hashed or sorted by Spark, which spilled."""
+    r = random.Random(7)
+    rows = sorted((r.randrange(90), [r.choice("abcde") for _ in range(r.randrange(6))]) for _ in range(200))
+    data = pa.table({"doc": pa.array([d for d, _ in rows], pa.int64()), "w": pa.array([w for _, w in rows], pa.list_(pa.string()))})
+    words = {d: sum((w for e, w in rows if e == d), []) for d, _ in rows}
+    want = sorted((t, d // 8, d, words[d].count(t), len(words[d])) for d in words for t in set(words[d]))
+    for size in (1, 3, 17, 500):
+        blocks = [b for x in keyword_index.block_maker(8, 2.5)(iter(data.to_batches(max_chunksize=size))) for b in x.to_pylist()]
+        assert sorted((b["term"], b["block"], *p.values()) for b in blocks for p in b["postings"]) == want
+        assert len(blocks) == len({(b["term"], b["block"]) for b in blocks})
+        for b in blocks:
+            assert b["n_docs"] == len(b["postings"]) and b["n_words"] == sum(p["tf"] for p in b["postings"])
+            assert b["peak"] == max(keyword_index.weight(p["tf"], p["n"], 2.5) for p in b["postings"])
+    plan = keyword_index.build(spark.createDataFrame([(1, "a b")], "id long, search_text string")).blocks._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
