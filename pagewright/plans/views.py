@@ -10,10 +10,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids of a source that are numbered together, so that texts are dealt evenly however few sources there are.
+IDS = 4096
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page for each row of documents; the source is the document."""
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), n.cast("int").alias("page_number"), "doc_id", "lang", "text")
+    """A page for each row of documents; the source is the document. Rows are counted by source and range of ids, and numbered within."""
+    # a struct, whose nulls are equal
+    d = table(spark, sf_dir, "documents").withColumn("_key", F.struct("source", F.floor(F.col("doc_id") / IDS).alias("ids")))
+    before = Window.partitionBy("_key.source").orderBy("_key.ids").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy("_key").agg(F.count("*").alias("_n")).select("_key", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))
+    numbered = d.withColumn("_own", own).join(counts, "_key")
+    return numbered.select(F.col("source").alias("document_id"), (F.col("_before") + F.col("_own")).cast("int").alias("page_number"), "doc_id", "lang", "text")
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,13 +44,21 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A two-level forest: pages 1, 6, 11, ... are parents of the four that follow."""
-    by = Window.partitionBy("document_id").orderBy("page_number")
-    p = pages(spark, sf_dir)
+    # numbers, parents and vectors are found for the ids alone; the texts are joined last, and shuffled once
+    ids = pages(spark, sf_dir).select("document_id", "page_number", "doc_id")
     first = F.col("page_number") % 5 == 1
-    p = p.withColumn("_parent", F.last(F.when(first, F.col("doc_id")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    begins = ids.where(first).select(F.struct("document_id", "page_number").alias("_first"), F.col("doc_id").alias("_parent"))
+    at = F.struct("document_id", (F.col("page_number") - (F.col("page_number") - 1) % 5).alias("page_number"))
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("search_embedding"))
+    placed = ids.withColumn("_first", at).join(begins, "_first").withColumn("_key", F.struct("document_id", "doc_id"))
+    # rows of a source may repeat an id: their pages are dealt to them in turn
+    placed = placed.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("page_number", "_parent"))).alias("_pages"))
+    placed = placed.withColumn("doc_id", F.col("_key.doc_id")).join(e, "doc_id", "left").drop("doc_id")
+    d = table(spark, sf_dir, "documents").select(F.struct(F.col("source").alias("document_id"), "doc_id").alias("_key"), F.col("source").alias("document_id"), "doc_id", "lang", "text")
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))
+    p = d.withColumn("_turn", turn).join(placed, "_key").withColumn("_page", F.get("_pages", F.col("_turn") - 1)).select("*", "_page.*")
     section = F.concat((1 + F.col("page_number") % 9).cast("string"), F.lit("."), F.col("page_number").cast("string"))
-    return p.join(e, "doc_id", "left").select(
+    return p.select(
         F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"),
         "document_id",
         F.col("page_number").alias("page_start"),

@@ -421,3 +421,32 @@ def test_layouts(spark, tmp_path):
     assert [r["id"] for r in one.collect()] == ["c247"]
     files = lambda df: {r["f"] for r in df.select(F.input_file_name().alias("f")).collect()}
     assert len(files(sections.where("document_id = 'd1'"))) < len(files(sections)) and len(files(one)) == 1
+
+
+def test_pages_of_few_sources_are_dealt_evenly(spark, tmp_path, monkeypatch):
+    """Pages and chunks of one source lie in many partitions; null sources, null and repeated ids keep a page for each row, and parents are as the pages say."""
+    from pagewright.plans import views
+
+    monkeypatch.setattr(views, "IDS", 4)
+    rows = [(i, f"t{i}", "en", "one") for i in range(60)] + [(i, f"u{i}", "de", None) for i in range(9)] + [(None, "none", "en", "one"), (7, "again", "en", "one"), (7, "more", "en", "one")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i)]) for i in range(0, 60, 2)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = views.pages(spark, str(tmp_path)).withColumn("at", F.spark_partition_id()).collect()
+        c = views.chunks(spark, str(tmp_path)).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert len(p) == len(c) == len(rows)
+    assert len({r["at"] for r in p if r["document_id"] == "one"}) > 1 and len({r["at"] for r in c if r["document_id"] == "one"}) > 1
+    for source in ("one", None):
+        own = sorted(((r["page_number"], r["doc_id"]) for r in p if r["document_id"] == source))
+        assert [n for n, _ in own] == list(range(1, len(own) + 1))
+        ids = [i for _, i in own]
+        assert ids == sorted(ids, key=lambda i: -1 if i is None else i)
+        chunks = sorted((r for r in c if r["document_id"] == source), key=lambda r: r["page_start"])
+        assert [r["id"] for r in chunks] == [None if i is None else f"c{i}" for i in ids]
+        assert [r["parent_id"] for r in chunks] == [None if n % 5 == 0 or ids[n - n % 5] is None else f"c{ids[n - n % 5]}" for n in range(len(ids))]
+        assert [r["search_embedding"] for r in chunks] == [[float(i)] if i is not None and i % 2 == 0 else None for i in ids]
+    assert sorted(r["search_text"] for r in c) == sorted(t for _, t, _, _ in rows)
