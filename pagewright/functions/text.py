@@ -46,6 +46,7 @@ PAGE_NUMBER_LINE = r"(?mdU)^\s*\d{1,4}\s*$"
 GLUED_PAGE_NUMBER = r"(?mdU)^(\d{2,4})(?=\d+\.\d+)"
 MANY_NEWLINES = r"\n{3,}"
 MANY_SPACES = r"[ \t]{2,}"
+TOKEN_RUN = r"(?<![^ \n])([^ \n]++)(?: \1(?![^ \n])){2,}+"  # collapse_token_runs() on every line; possessive, so that long runs need no stack
 CAPS_STUTTER = r"([A-Z]{2,10})\1{2,}"
 LETTER_GAP = r"(?mdU)^((?:\d+(?:\.\d+)+\s+)?)([A-Z])\s+(?=[A-Z]{2,}\b)"
 TITLE_GAP = r"(?U)^([A-Z])\s+(?=[A-Z]{2,}\b)"
@@ -70,13 +71,13 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in columns], F.lit(""))
 
 
-#: What the pattern of strip() takes for white space (Unicode's White_Space), for the trimming of single words.
+#: What strip() takes for white space (Unicode's White_Space).
 WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def _nfkc(c: pa.Array) -> pa.Array:
@@ -89,7 +90,8 @@ def nfkc(c: Column) -> Column:
 
 
 def map_punctuation(c: Column) -> Column:
-    return F.replace(F.translate(c, PUNCTUATION_FROM, PUNCTUATION_TO), F.lit(ELLIPSIS), F.lit("..."))
+    pairs = [*zip(PUNCTUATION_FROM, PUNCTUATION_TO, strict=True), (ELLIPSIS, "...")]
+    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)  # a search of bytes each; translate() looks at every character
 
 
 def drop_control(c: Column) -> Column:
@@ -139,7 +141,7 @@ def collapse_token_runs(line: Column) -> Column:
 
 
 def collapse_runs_by_line(c: Column) -> Column:
-    return each_line(c, collapse_token_runs)
+    return F.regexp_replace(c, TOKEN_RUN, "$1")
 
 
 def close_letter_gaps(c: Column) -> Column:

@@ -99,3 +99,32 @@ def test_terms_are_runs_of_letters_and_digits(spark):
     texts = [None, "", " ,.", "One,two  3x", ".a.", "Ünder_score"]
     found = [r["w"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.terms(F.col("t")).alias("w")).collect()]
     assert found == [[], [], [], ["one", "two", "3x"], ["a"], ["nder", "score"]]
+
+
+def test_cheap_steps_give_the_same(spark):
+    """Runs of tokens by one pattern as token by token, on random lines and a run too long for a stack; trimming as the pattern of white space does."""
+    import random
+
+    r = random.Random(3)
+    texts = ["".join(r.choice(["a", "ab", "b", " ", " ", "\n", "é", "\t", "a a a ", "a "]) for _ in range(r.randrange(30))) for _ in range(1500)]
+    texts += ["x " * 30_000 + "xy", "a a a", "a a a\na a a", "aa a a ab", "a a a ab", None, ""] + [w + "a" + w + "b" + w for w in T.WHITE] + list(T.WHITE) + ["​a​", "﻿a"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    by_token = T.each_line(F.col("t"), T.collapse_token_runs)
+    by_pattern = F.regexp_replace("t", r"(?U)\A\s+|\s+\z", "")
+    plain = F.replace(F.translate("t", T.PUNCTUATION_FROM, T.PUNCTUATION_TO), F.lit(T.ELLIPSIS), F.lit("..."))
+    for got, want in ((T.collapse_runs_by_line, by_token), (T.strip, by_pattern), (T.map_punctuation, plain)):
+        assert d.select("t", got(F.col("t")).alias("got"), want.alias("want")).where(~F.col("got").eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_no_splitter_needs_no_worker(spark):
+    """Without a splitter, prose isn't sent to Python."""
+    from pagewright.operators import chunks
+
+    pages = spark.createDataFrame([("d", n, "word " * 300) for n in (1, 2, 3)], "document_id string, page_number int, text string")
+    leaves = spark.createDataFrame([("d", 0, "n0", "T", "1", 1, 3, "")], "document_id string, leaf_pos int, node_id string, title string, section_id string, start_index int, end_index int, summary string")
+    for c in ("formulas", "tables", "keywords"):
+        pages = pages.withColumn(c, F.lit(None).cast(chunks.PAGE_FIELDS[c]))
+    parents = chunks.assemble_parents(pages, leaves, normalize=False)
+    workers = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    assert workers(chunks.split_parents(parents)) == workers(parents)
+    assert workers(chunks.split_parents(parents, lambda prose, title: [])) > workers(parents)
