@@ -5,11 +5,14 @@ whose text is the same count once, so that copies of an article don't make it te
 the first of them by simple tree matching, whatever their size. A node that is matched often and has the same text nearly
 always is template; nodes whose text varies are slots. The wrapper has the template nodes, as hashes of place and text, and
 the region that holds the content: from the root down, the only container of its kind that has most of the text in slots (not in
-links, not in what extraction loses below), as long as no varying heading is left outside; an article element ends the way.
-A layout is the set of the tags and classes of a page's containers.
-
-Extraction: a page's text is that of the nodes at the region of its layout's wrapper, else of its host's, without template nodes. A page
-without wrapper, or without text there, gives that of its articles, else of the main element, else of the body without blocks of
+links, not in what extraction loses below), as long as no varying heading is left outside; an article element ends the way. If none is
+the only one of its kind, it is one of several alike, by its number among them where the pages agree on how many there are; this
+only at the top of a page or of a table around it, so that no parts of an article are told apart.
+A layout is the set of the tags and classes of a page's containers. Each layout also has a region of all hosts, for the pages of hosts
+that have too few; what is template on several hosts stays in these, as they may be copies of one article.
+
+Extraction: a page's text is that of the nodes at the region of its layout's wrapper, else of its host's, else of its layout's on all hosts,
+without template nodes. A page without wrapper, or without text there, gives that of its articles, else of the main element, else of the body without blocks of
 links. Scripts, styles, forms, navigation, page headers and footers, sidebars, notices, adverts and comments (by element, role and
 class or id) are lost everywhere. Within an article, or a region that a wrapper found, the slots decide, and a name only tells where all its
 words say so (``cookie-banner``, not ``cookie-recipe`` or ``menu-items``); words that may name parts of an article too (``legal``) not even then for tables and
@@ -80,6 +83,7 @@ MARKS = {
 UNSURE = {"legal", "form", "notice", "notices", "search", "share", "sharing", "alert", "banner", "copyright", "disclaimer", "widget", "skip", "login", "footer", "related", "reply", "respond"}
 TEXTUAL = {"table", "thead", "tbody", "tr", "td", "th", "p", "blockquote", "pre", "dl", "dt", "dd", "li", "figure", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"}
 ARTICLE = ("article", "main")
+FRAMES = {"table", "tbody", "tr", "center"}
 CONTAINERS = {"div", "section", "article", "main", "table", "tbody", "tr", "td", "center"}
 COMMENTS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "reviews"}
 #: Words beside a mark in a name that leave it a mark.
@@ -400,7 +404,8 @@ def simple_tree_matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]
 
 @dataclass(frozen=True)
 class Wrapper:
-    """path: keys from below the root to the content, empty if no region was found; template: hashes of constant nodes."""
+    """path: keys from below the root to the content, empty if no region was found (before the key of one of several alike, its
+    number, how many there are, and a colon); template: hashes of constant nodes."""
 
     path: tuple[str, ...] = ()
     template: frozenset[int] = frozenset()
@@ -423,11 +428,12 @@ class _Weight:
     headings: int = 0
     node: Node | None = None
     above: int = 0
+    each: list[tuple[int, int]] = field(default_factory=list)  # text and headings of each node, the last one first
 
 
-def _weights(root: Node, template: frozenset[int]) -> dict[int, _Weight]:
-    """What extraction leaves of a page, summed by place."""
-    rows = [[root, 0, -1, False, 0, 0]]  # node, place, parent, inside, text, headings
+def _weights(root: Node, template: frozenset[int], at: int = 0, inside: bool = False) -> dict[int, _Weight]:
+    """What extraction leaves of a page (of what is below root, whose place is at), summed by place."""
+    rows = [[root, at, -1, inside, 0, 0]]  # node, place, parent, inside, text, headings
     k = 0
     while k < len(rows):
         n, at, _, inside = rows[k][:4]
@@ -441,37 +447,57 @@ def _weights(root: Node, template: frozenset[int]) -> dict[int, _Weight]:
     for n, at, parent, _, text, headings in reversed(rows):
         w = out.setdefault(at, _Weight(node=n, above=rows[parent][1] if parent >= 0 else -1))
         w.text, w.count, w.headings = w.text + text, w.count + 1, w.headings + headings
+        w.each.append((text, headings))
         if parent >= 0:
             rows[parent][4] += text
             rows[parent][5] += headings
     return out
 
 
-def _region(trees: list[Node], template: frozenset[int], p: HtmlParams) -> tuple[str, ...]:
-    """The keys on the way to the content."""
-    pages = [_weights(t, template) for t in trees]
+def _region(trees: list[tuple[Node, int, bool]], template: frozenset[int], p: HtmlParams, top: bool = True) -> tuple[str, ...]:
+    """The keys on the way to the content. trees: nodes, their place, and whether they are below an article or main element. top: nothing but
+    a table is around it."""
+    pages = [_weights(n, template, at, inside) for n, at, inside in trees]
     known = {at: w for page in pages for at, w in page.items()}
     below: dict[int, list[int]] = {}
     for at, w in known.items():
         if w.node.tag in CONTAINERS:
             below.setdefault(w.above, []).append(at)
-    here, path = 0, []
+    here, path = trees[0][1], []
     nothing = _Weight()
+
+    def share(of: list[tuple[int, int]], around: list[_Weight]) -> float:
+        """What nodes of these texts and headings have of the text around them; 0 if they aren't the content."""
+        part = median(text / max(1, w.text) for (text, _), w in zip(of, around, strict=True))
+        outside = sum(w.headings > headings for (_, headings), w in zip(of, around, strict=True))
+        return part if part >= p.share and 2 * outside < len(of) else 0
+
     while True:
-        best = None
+        around = [page.get(here, nothing) for page in pages]
+        best = 0.0, here
         for at in below.get(here, ()):
-            if sum(page.get(at, nothing).count == 1 for page in pages) < 0.8 * len(pages):
-                continue
-            share = median(page.get(at, nothing).text / max(1, page.get(here, nothing).text) for page in pages)
-            outside = sum(page.get(here, nothing).headings > page.get(at, nothing).headings for page in pages)
-            if share >= p.share and 2 * outside < len(pages) and (best is None or share > best[0]):
-                best = share, at
-        if best is None:
-            return tuple(path)
+            own = [page.get(at, nothing) for page in pages]
+            if sum(w.count == 1 for w in own) >= 0.8 * len(pages) and (part := share([(w.text, w.headings) for w in own], around)) > best[0]:
+                best = part, at
+        if not best[0]:
+            break
         here = best[1]
         path.append(known[here].node.key())
+        top &= known[here].node.tag in FRAMES
         if known[here].node.tag == "article":
             return tuple(path)
+    best, key = 0.0, ""
+    for at in below.get(here, ()) if top else ():
+        own = [page.get(at, nothing) for page in pages]
+        n, agree = Counter(w.count for w in own).most_common(1)[0]
+        for k in range(n) if n > 1 and agree >= 0.8 * len(pages) else ():
+            of = [w.each[-1 - k] if w.count == n else (0, 0) for w in own]
+            if 2 * sum(headings > 0 for _, headings in of) > len(of) and (part := share(of, around)) > best:
+                best, key = part, f"{k}/{n}:{known[at].node.key()}"
+    if not best:
+        return tuple(path)
+    chosen = [x for n, at, inside in trees for x in _at(n, (*path, key), at, inside)[:1]]
+    return (*path, key, *(_region(chosen, template, p, False) if chosen[0][0].tag != "article" else ()))
 
 
 def induce(pages: list[str], p: HtmlParams = HtmlParams()) -> Wrapper | None:
@@ -492,7 +518,7 @@ def induce(pages: list[str], p: HtmlParams = HtmlParams()) -> Wrapper | None:
             equal[id(a)] += a.own_text() == b.own_text()
     constant = lambda k: matched[k] >= p.least_matches - 1 and equal[k] >= matched[k] - 1 and equal[k] >= 0.85 * matched[k]
     template = frozenset(hash_of(n, at) for n, at, _ in exemplars[0] if constant(id(n))) - {-1}
-    return Wrapper(_region(trees, template, p), template)
+    return Wrapper(_region([(t, 0, False) for t in trees], template, p), template)
 
 
 def _look(root: Node, wanted) -> list[Node]:
@@ -510,12 +536,21 @@ def _look(root: Node, wanted) -> list[Node]:
     return found
 
 
-def _at(root: Node, path: tuple[str, ...]) -> list[tuple[Node, int]]:
-    """The nodes at a path of keys, with their places."""
-    out = [(root, 0, False)]
+def _at(root: Node, path: tuple[str, ...], at: int = 0, inside: bool = False) -> list[tuple[Node, int, bool]]:
+    """The nodes at a path of keys below root, with their places, and whether they are below an article or main element."""
+    out = [(root, at, inside)]
     for key in path:
-        out = [(c, place(at, c), inside or is_article(n)) for n, at, inside in out for c in n.nodes() if c.key() == key and not dropped(c, inside or is_article(n))]
-    return [(n, at) for n, at, _ in out]
+        among, _, key = key.partition(":") if key[0].isdigit() else ("", "", key)
+        found = []
+        for n, above, within in out:
+            within = within or is_article(n)
+            same = [(c, place(above, c), within) for c in n.nodes() if c.key() == key and not dropped(c, within)]
+            if among:
+                number, n = map(int, among.split("/"))
+                same = same[number : number + 1] if len(same) == n else []
+            found += same
+        out = found
+    return out
 
 
 def main_text(html: str, wrapper: Wrapper | None = None, p: HtmlParams = HtmlParams()) -> str:
@@ -528,7 +563,7 @@ def extract(html: str, wrapper: Wrapper | None = None, p: HtmlParams = HtmlParam
     template = wrapper.template if wrapper else frozenset()
     join = lambda out: " ".join(t for t, links, inside in out if inside or links <= p.link_density)
     if wrapper and wrapper.path:
-        text = join(b for n, at in _at(root, wrapper.path) for b in blocks(n, template, at, True))
+        text = join(b for n, at, _ in _at(root, wrapper.path) for b in blocks(n, template, at, True))
         if text:
             return text, True
     role = lambda c: c.attrs.get("role", "").lower()
@@ -561,14 +596,16 @@ def layout(html) -> Column:
 
 
 def wrappers(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
-    """host, layout (null for the host as a whole), path and template of the wrappers, where there are different pages enough."""
+    """host (empty for all hosts), layout (null for the host as a whole), path and template of the wrappers, where there are different pages enough."""
     slim = pages.select(host(F.col("url")).alias("host"), layout(F.col("html")).alias("layout"), "page_id", "url", visible(F.col("html")).alias("v")).where("host <> '' and page_id is not null and v is not null")
     one = F.min(F.struct(F.xxhash64("page_id").alias("h"), "page_id", "url")).alias("one")
     slim = slim.groupBy("host", "layout", "v").agg(one)
-    both = slim.select("host", F.explode(F.array("layout", F.lit(None).cast("long"))).alias("layout"), "v", "one")
+    group = lambda host, layout: F.struct(host.alias("host"), layout.alias("layout"))
+    groups = F.array(group(F.col("host"), F.col("layout")), group(F.col("host"), F.lit(None).cast("long")), group(F.lit(""), F.col("layout")))
+    every = slim.select(F.explode(groups).alias("g"), "v", "one").select("g.*", "v", "one")
     least = lambda column: F.slice(F.array_sort(column), 1, p.exemplars)
     # in two steps, so that no task holds all pages of a layout
-    part = both.groupBy("host", "layout", F.pmod(F.hash("v"), F.lit(1024)).alias("part")).agg(least(F.collect_list(F.struct("one", "v"))).alias("s"))
+    part = every.groupBy("host", "layout", F.pmod(F.hash("v"), F.lit(1024)).alias("part")).agg(least(F.collect_list(F.struct("one", "v"))).alias("s"))
     part = part.groupBy("host", "layout", F.floor(F.col("part") / 32).alias("part")).agg(least(F.flatten(F.collect_list("s"))).alias("s"))
     chosen = part.groupBy("host", "layout").agg(least(F.flatten(F.collect_list("s"))).alias("s")).where(F.size("s") >= p.least_matches)
     chosen = chosen.select(F.col("host").alias("_h"), F.col("layout").alias("_l"), F.explode("s").alias("s")).select("_h", "_l", F.col("s.one.page_id").alias("_p"), F.col("s.one.url").alias("_u"), F.col("s.v").alias("_v"))
@@ -580,7 +617,7 @@ def wrappers(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
     def of_group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("page_id")
         w = induce([h or "" for h in rows["html"]], p)
-        own = pd.DataFrame({"host": rows["host"].iloc[:1], "layout": rows["layout"].iloc[:1].astype("Int64"), "path": [list(w.path) if w else []], "template": [sorted(w.template) if w else []]})
+        own = pd.DataFrame({"host": rows["host"].iloc[:1], "layout": rows["layout"].iloc[:1].astype("Int64"), "path": [list(w.path) if w else []], "template": [sorted(w.template) if w and rows["host"].iloc[0] else []]})
         return own if w else own.iloc[:0]
 
     return some.groupBy("host", "layout").applyInPandas(of_group, "host string, layout long, path array<string>, template array<long>")
@@ -606,13 +643,15 @@ def extract_main_text(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFra
     # written, so that its size is known: small ones are broadcast by the planner, others joined by host
     found = stage_table(wrappers(pages, p), "html-wrappers")
     w = F.struct("path", "template").alias("w")
-    own = found.where("layout is not null").select("host", "layout", w)
+    own = found.where("host <> '' and layout is not null").select("host", "layout", w)
     whole = found.where("layout is null").select("host", w.alias("w0"))
+    every = found.where("host = ''").select("layout", w.alias("w1"))
     # the pages' texts stay where they are as long as the wrappers are small: 8 bytes for each node of a template
-    if (found.agg(F.sum(F.size("template"))).first()[0] or 0) <= p.broadcast_nodes:
-        own, whole = F.broadcast(own), F.broadcast(whole)
+    if (found.agg(F.sum(F.size("template") + F.size("path"))).first()[0] or 0) <= p.broadcast_nodes:
+        own, whole, every = F.broadcast(own), F.broadcast(whole), F.broadcast(every)
     keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"), layout(F.col("html")).alias("layout"))
-    joined = keyed.join(own, ["host", "layout"], "left").join(whole, "host", "left").select("page_id", "url", "html", F.coalesce("w", "w0").alias("w"))
+    joined = keyed.join(own, ["host", "layout"], "left").join(whole, "host", "left").join(every, "layout", "left")
+    joined = joined.select("page_id", "url", "html", F.coalesce("w", "w0", F.expr("if(host <> '', w1, null)")).alias("w"))
     return joined.mapInArrow(partial(_extract, p=p), "page_id long, url string, text string, n_chars long, by_wrapper boolean")
 
 

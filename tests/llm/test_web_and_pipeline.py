@@ -311,6 +311,29 @@ def test_tagless_copies(spark, small):
     assert len(by) >= 0.9 * len(want) and same >= 0.97 * len(by)
 
 
+@pytest.mark.parametrize("most", [0, 4_000_000])
+def test_hosts_of_one_page_with_containers_alike(spark, most):
+    """Each host has one page, and no tag or class name tells the content from the rest; the parts of a story all stay."""
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    kinds = {
+        "divs": ('<div class="k1">{0}</div><div class="k2"><h1>Head {2}</h1><p>{1}</p></div><div class="k3">{0} end</div>', False),
+        "cells": ('<table><tr><td>{0}</td><td><h1>Head {2}</h1><p>{1}</p></td><td>{0} end</td></tr></table>', False),
+        "parts": ('<div class="story"><div class="p1"><h1>Head {2}</h1><p>{1}</p></div><div class="p2">{0}</div></div>', True),
+    }
+    rows = [(f"{kind}{k}", f"http://{kind}{k}.org/x" if k else None, f"<html><body>{html.format(words(k, 4), words(k + 100, 40), k)}</body></html>") for kind, (html, _) in kinds.items() for k in range(7)]
+    rows.append(("lacks7", "http://lacks.org/x", f'<html><body><div class="k1"><h1>Head 7</h1><p>{words(107, 40)}</p></div><div class="k2">end</div></body></html>'))
+    docs = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html_text.extract_main_text(docs, html_text.HtmlParams(broadcast_nodes=most)).collect()}
+    assert len(got) == len(rows)
+    assert (got[21]["by_wrapper"], got[21]["text"]) == (False, f"Head 7 {words(107, 40)} end")
+    for n, (name, url, _) in enumerate(rows[:21]):
+        k = int(name[-1])
+        own, story = f"Head {k} {words(k + 100, 40)}", kinds[name[:-1]][1]
+        assert got[n]["by_wrapper"] == (url is not None)
+        if url:
+            assert got[n]["text"] == (f"{own} {words(k, 4)}" if story else own)
+
+
 @pytest.mark.parametrize("most", [0, 4_000_000])
 def test_wrappers_by_broadcast_and_shuffle(spark, small, most):
     pages = spark.read.parquet(f"{small}/pages.parquet")
