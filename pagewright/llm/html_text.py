@@ -8,8 +8,8 @@ the region that holds the content: from the root down, the only container of its
 links, not in what extraction loses below), as long as no varying heading is left outside; an article element ends the way. If none is
 the only one of its kind, it is one of several alike, by its number among them where the pages agree on how many there are; this
 only at the top of a page or of a table around it, so that no parts of an article are told apart.
-A layout is the set of the tags and classes of a page's containers. Each layout also has a region of all hosts, for the pages of hosts
-that have too few; what is template on several hosts stays in these, as they may be copies of one article.
+A layout is the set of the tags and classes of a page's containers. Each layout whose exemplars are of ``least_matches`` hosts also has a
+region of all hosts, for the pages of hosts that have too few; what is template on several hosts stays in these, as they may be copies of one article.
 
 Extraction: a page's text is that of the nodes at the region of its layout's wrapper, else of its host's, else of its layout's on all hosts,
 without template nodes. A page without wrapper, or without text there, gives that of its articles, else of the main element, else of the body without blocks of
@@ -602,12 +602,14 @@ def wrappers(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
     slim = slim.groupBy("host", "layout", "v").agg(one)
     group = lambda host, layout: F.struct(host.alias("host"), layout.alias("layout"))
     groups = F.array(group(F.col("host"), F.col("layout")), group(F.col("host"), F.lit(None).cast("long")), group(F.lit(""), F.col("layout")))
-    every = slim.select(F.explode(groups).alias("g"), "v", "one").select("g.*", "v", "one")
+    every = slim.select(F.explode(groups).alias("g"), "v", "one", F.col("host").alias("of")).select("g.*", "v", "one", "of")
     least = lambda column: F.slice(F.array_sort(column), 1, p.exemplars)
     # in two steps, so that no task holds all pages of a layout
-    part = every.groupBy("host", "layout", F.pmod(F.hash("v"), F.lit(1024)).alias("part")).agg(least(F.collect_list(F.struct("one", "v"))).alias("s"))
+    part = every.groupBy("host", "layout", F.pmod(F.hash("v"), F.lit(1024)).alias("part")).agg(least(F.collect_list(F.struct("one", "v", "of"))).alias("s"))
     part = part.groupBy("host", "layout", F.floor(F.col("part") / 32).alias("part")).agg(least(F.flatten(F.collect_list("s"))).alias("s"))
     chosen = part.groupBy("host", "layout").agg(least(F.flatten(F.collect_list("s"))).alias("s")).where(F.size("s") >= p.least_matches)
+    # what a layout has on one host or a few isn't what it has on others
+    chosen = chosen.where((F.col("host") != "") | (F.size(F.array_distinct("s.of")) >= p.least_matches))
     chosen = chosen.select(F.col("host").alias("_h"), F.col("layout").alias("_l"), F.explode("s").alias("s")).select("_h", "_l", F.col("s.one.page_id").alias("_p"), F.col("s.one.url").alias("_u"), F.col("s.v").alias("_v"))
     chosen = stage_table(chosen, "html-exemplars")
     some = only_ids(pages.select("page_id", "url", "html"), chosen.select(F.col("_p").alias("page_id")).distinct(), "page_id")
