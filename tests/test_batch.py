@@ -74,3 +74,33 @@ def test_keyword_lane_in_passes_and_blocks(spark):
         best = sorted(best, key=lambda x: (-round(x["score"], 9), x["id"]))[:5]
         want += [(q["qid"], x["id"], n) for n, x in enumerate(best)]
     assert lanes[0] == lanes[1] == sorted(want)
+
+
+def test_section_lane_has_no_pairs(spark):
+    """Chunks meet no queries in a join; words, numbers, whole queries of stop words and missing pages give what single searches give."""
+    r = random.Random(5)
+    words = "magnet magnets coil the of field flux".split()
+    rows = []
+    for n in range(150):
+        text = " ".join(r.choice(words) for _ in range(r.randrange(6)))
+        section = f"{n % 7}.{n % 40}"
+        rows.append((f"d{n % 2}", f"c{n}", f"{n % 5}.{n % 30}" if n % 3 else None, section if n % 4 else None, text if n % 5 else None, f"{section} {r.choice(words)}", f"{r.choice(words)} see {n % 6}.{n % 20} {text}", n % 50 if n % 6 else None))
+    chunks = spark.createDataFrame(rows, "document_id string, id string, node_id string, section_id string, title string, topic string, search_text string, page_start int").cache()
+    asked = ["magnet", "the of", "Of the", "coil flux field", "see 3.17", "1.1 and 2.2 magnet", "5.1", "th", "", "absent", None]
+    queries = spark.createDataFrame([(n, f"d{n % 3}", asked[n % len(asked)]) for n in range(40)], "qid long, document_id string, query string")
+    lane = batch.section_lanes(chunks, queries, 4)
+    assert "Join" not in lane._jdf.queryExecution().toString()
+    want = []
+    for q in queries.collect():
+        best = retrieval.section_lane(chunks.where(F.col("document_id") == q["document_id"]), q["query"] or "", 4).collect()
+        want += [(q["qid"], x["id"], n) for n, x in enumerate(best)]
+    assert sorted(map(tuple, lane.collect())) == sorted(want) and len(want) > 40
+    assert sorted(map(tuple, batch.section_lanes(chunks, queries, 4, block=2, broadcast_bytes=200).collect())) == sorted(want)
+
+
+def test_parents_of_queries_that_share_an_id(spark):
+    """Comprehensive queries of one qid are numbered over the parents of all of them."""
+    chunks = spark.createDataFrame([(f"d{n % 2}", f"c{n}", "", "", "", "", "", 9 - n, n, True, None, None, None, None) for n in range(6)], CHUNK)
+    queries = spark.createDataFrame([(1, "d0", "overview of", None, None), (1, "d1", "overview of", None, None), (2, "d1", "overview of", None, None)], "qid long, document_id string, query string, embedding array<double>, kind string")
+    got = sorted((x["qid"], x["rank"], x["id"]) for x in batch.hybrid_batch(chunks, queries, 3).collect())
+    assert got == [(1, n + 1, f"c{5 - n}") for n in range(6)] + [(2, n + 1, f"c{5 - 2 * n}") for n in range(3)]
