@@ -64,3 +64,16 @@ def test_data_source(spark, tmp_path, monkeypatch):
 def test_empty_folder(spark, tmp_path):
     spark.dataSource.register(pdf.PdfPages)
     assert spark.read.format("pdf_pages").load(str(tmp_path)).collect() == []
+
+
+def test_counts_of_parts(spark):
+    """Files in parts have the same pages as whole ones, the last definition of an object counts wherever it is, and no part of a file meets another."""
+    whole = {"plain": plain(3), "none": plain(0), "packed": compressed(17), "updated": updated(3, 5), "held": plain(2).replace(b"/Count 2", b"/Count 77 0 R") + b"\n77 0 obj 2 endobj", "lost": plain(2).replace(b"/Count 2", b"/Count 78 0 R"), "other": b"no pdf 1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj", "bare": b"%PDF-1.4 nothing", "gone": plain(4) + b"\n2 0 obj << /Type /Page >> endobj", None: plain(6)}
+    rows = [(name, n, x) for name, content in whole.items() for n, x in enumerate(content.replace(b"endobj", b"endobj\0").split(b"\0") if name != "packed" else [content])]
+    assert len(rows) > 30
+    parts = spark.createDataFrame([*rows, ("empty", 0, None)], "path string, part int, content binary").repartition(7)
+    found = pdf.page_counts(parts)
+    got = {r["path"]: r["pages"] for r in found.collect()}
+    assert got == {name: pdf.count_pages(content) for name, content in whole.items()} | {"empty": None}
+    assert got["updated"] == 5 and got["held"] == 2 and got[None] == 6 and got["gone"] is None and got["lost"] is None
+    assert "collect_list" not in found._jdf.queryExecution().toString()
