@@ -22,8 +22,9 @@ def carried_headings(pages: DataFrame, heading: str = "heading") -> DataFrame:
 def arbitrated(pages: DataFrame, leaves: DataFrame) -> DataFrame:
     """pages: document_id, page_number, text. For each page section, title, kept (the leaf, if the tree won) and warning."""
     claims = first_claim(pages, leaves)
-    x = pages.join(claims, ["document_id", "page_number"], "left").withColumn("heading", leading_heading(F.col("text")))
-    x = carried_headings(x)
+    # headings are read before the join, so that no text is shuffled
+    headed = pages.select("document_id", "page_number", leading_heading(F.col("text")).alias("heading"))
+    x = carried_headings(headed.join(claims, ["document_id", "page_number"], "left"))
     sec = strip(F.coalesce(F.col("leaf.section_id"), F.lit("")))
     title = strip(F.coalesce(F.col("leaf.title"), F.lit("")))
     x = x.withColumns({"_sec": sec, "_title": title})

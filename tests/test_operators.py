@@ -450,3 +450,28 @@ def test_pages_of_few_sources_are_dealt_evenly(spark, tmp_path, monkeypatch):
         assert [r["parent_id"] for r in chunks] == [None if n % 5 == 0 or ids[n - n % 5] is None else f"c{ids[n - n % 5]}" for n in range(len(ids))]
         assert [r["search_embedding"] for r in chunks] == [[float(i)] if i is not None and i % 2 == 0 else None for i in ids]
     assert sorted(r["search_text"] for r in c) == sorted(t for _, t, _, _ in rows)
+
+
+def test_enrich_shuffles_few_copies_of_texts(spark):
+    """Headings and orphans are told without moving texts, and a text is joined before its clean copy is made: three copies are shuffled, not seven."""
+    import random
+
+    r = random.Random(1)
+    rows = [("d", n, "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=20_000)), [], [], []) for n in range(1, 61)]
+    pages = spark.createDataFrame(rows, f"document_id string, page_number int, text string, formulas array<{R.FORMULA}>, tables array<{R.TABLE}>, keywords array<string>")
+    leaves = spark.createDataFrame([("d", n, f"n{n}", f"Section {n}", str(n), 5 * n + 1, 5 * n + 4, "") for n in range(12)], "document_id string, leaf_pos int, node_id string, title string, section_id string, start_index int, end_index int, summary string")
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved()
+        parents, _ = chunks.enrich(pages, leaves, split=False)
+        assert parents.agg(F.sum(F.size("pages_data")).alias("n")).first()["n"] == 60
+        parents.unpersist()
+        copies = (moved() - before) / sum(len(x[2]) for x in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold") if adaptive is None else spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", adaptive)
+    assert copies < 4, copies
